@@ -1,9 +1,17 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
+from .decontaminate import op6_benchmark_overlaps
+from .licenses import op5_license_scan
 from .mixing import OP4_SQL, op4_source_mix
+from .quality import op1_quality_pu
+from .toxicity import op2_toxicity_ssk
 
 QUERIES = {
+    "op1_quality_pu": op1_quality_pu,
+    "op2_toxicity_ssk": op2_toxicity_ssk,
     "op4_source_mix": op4_source_mix,
+    "op5_license_scan": op5_license_scan,
+    "op6_benchmark_overlaps": op6_benchmark_overlaps,
 }
 
 ORACLE = {"op4_source_mix": OP4_SQL}
