@@ -29,15 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, appended, remainder, share, table, texts
+from .common import SPACED, appended, remainder, share, table, texts, written
 
-MAX_SAMPLE = 12_000
+MAX_SAMPLE = 8_000
 THRESHOLD = 0.3
 DECAY = 0.7
 SPAN = 6
 LENGTH = 18
-LANDMARKS = 64
+LANDMARKS = 128
 MAX_STRINGS = 3_000
+RIDGE = 0.05
 _MARKS = bytes(i for i in range(33, 128) if not (48 <= i <= 57 or 65 <= i <= 90 or 97 <= i <= 122))
 _LOWER = bytes(SPACED)
 _SINGLES = re.compile(rb"(?:(?<= )|^)(?:[a-z0-9] +){3,}[a-z0-9](?= |$)")
@@ -145,7 +146,7 @@ class SubsequenceSVM:
         strings_ = positive + spread + negative
         x = coded([s[:LENGTH] for s in strings_])[0][: len(strings_)]
         y = np.where(np.arange(len(strings_)) < len(positive) + len(spread), 1.0, -1.0)
-        marks = [*range(min(len(positive), LANDMARKS * 3 // 4)), *(len(positive) + len(spread) + rng.permutation(len(negative))[: LANDMARKS // 4])]
+        marks = [*range(min(len(positive), LANDMARKS * 3 // 4)), *(len(positive) + len(spread) + np.arange(min(len(negative), LANDMARKS // 4)))]
         z = table_of(x[marks])
         gram = kernels(x[marks], z)
         value, vector = np.linalg.eigh((gram + gram.T) / 2)
@@ -158,7 +159,7 @@ class SubsequenceSVM:
         for _ in range(30):  # Newton steps for the squared hinge loss
             on = y * (phi @ w) < 1
             a = phi[on] * cost[on, None]
-            new = np.linalg.solve(a.T @ phi[on] + 0.5 * np.eye(len(w)), a.T @ y[on])
+            new = np.linalg.solve(a.T @ phi[on] + RIDGE * np.eye(len(w)), a.T @ y[on])
             if np.allclose(new, w, atol=1e-7):
                 break
             w = new
@@ -229,7 +230,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, max_sample: int, seed: int) ->
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, seed: int = 0) -> SubsequenceSVM | None:
     """``labels``: doc_id, toxic (1 or 0); only rows with a label are learned from."""
-    sample = _labelled(docs, labels, max_sample, seed)
+    sample = written(_labelled(docs, labels, max_sample, seed))
     n_toxic, n_clean = (sample.groupBy().agg(F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("toxic") != 1).cast("long")), F.lit(0)))).first()
     if not n_toxic:
         return None
@@ -241,17 +242,18 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAM
             words, toxic = [], []
             for a, b, t in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column(1).to_pylist(), strict=True):
                 own = {w.decode(errors="ignore") for w in strings(bytes(whole[a:b])) if 3 < len(w) <= LENGTH}
-                own |= {w[:k] for w in own for k in range(4, min(len(w), 10))}
+                own |= {w[:k] for w in own for k in range(4, min(len(w), 9))}
                 words += own
                 toxic += [t] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int64())], names=["s", "toxic"])
 
-    counts = sample.select("text", F.col("toxic").cast("long")).mapInArrow(run, "s string, toxic long").groupBy("s").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    counts = written(sample.select("text", F.col("toxic").cast("long")).mapInArrow(run, "s string, toxic long").groupBy("s").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
     t, c = F.col("t").cast("double"), F.col("c").cast("double")
     expected = (t + c) * F.lit(n_toxic / (n_toxic + n_clean))
     ratio = 2 * (t * F.log(t / expected) + F.when(c > 0, c * F.log(c / ((t + c) - expected))).otherwise(0.0))
-    strong = counts.where((t >= 2) & (t > expected) & (c <= t / 4)).select("s", "t", "c", ratio.alias("g")).where("g > 11").orderBy(F.col("g").desc(), F.length("s").desc(), "s").limit(LANDMARKS * 20).collect()
+    strong = counts.where((t >= 2) & (t > expected) & (c <= t / 10)).select("s", "t", "c", ratio.alias("g")).where("g > 11").orderBy(F.col("g").desc(), F.length("s").desc(), "s").limit(LANDMARKS * 20).collect()
     kept: list[str] = []
+    strong = [r for r in strong if r[3] >= 0.1 * strong[0][3]]  # among millions of strings some are strong by chance
     for s, _, _, _ in strong:
         if not any(k.startswith(s) or s.startswith(k) for k in kept):
             kept.append(s)
@@ -271,8 +273,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAM
             near = np.argsort(-m)[:300]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(near)), pa.array(m[near])], names=["s", "m"])
 
-    worst = [r[0].encode() for r in clean.mapInArrow(hard, "s string, m double").orderBy(F.desc("m"), "s").limit(MAX_STRINGS // 4).collect()]
-    model = SubsequenceSVM(positive + more[:400], drawn + worst or [b"the"], seed)
+    worst = [r[0].encode() for r in clean.mapInArrow(hard, "s string, m double").orderBy(F.desc("m"), "s").limit(MAX_STRINGS // 2).collect()]
+    model = SubsequenceSVM(positive + more[:400], worst + drawn or [b"the"], seed)
 
     def scored(batches):
         seen: dict[bytes, float] = {}
