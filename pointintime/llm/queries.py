@@ -1,8 +1,11 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
 from .decontaminate import op6_benchmark_overlaps
+from .html_text import op7_html_text
 from .licenses import op5_license_scan
 from .mixing import OP4_SQL, op4_source_mix
+from .near_dup import op9_setsketch_near_dup
+from .neighbours import op10_hnsw_search
 from .quality import op1_quality_pu
 from .toxicity import op2_toxicity_ssk
 
@@ -12,6 +15,9 @@ QUERIES = {
     "op4_source_mix": op4_source_mix,
     "op5_license_scan": op5_license_scan,
     "op6_benchmark_overlaps": op6_benchmark_overlaps,
+    "op7_html_text": op7_html_text,
+    "op9_setsketch_near_dup": op9_setsketch_near_dup,
+    "op10_hnsw_search": op10_hnsw_search,
 }
 
 ORACLE = {"op4_source_mix": OP4_SQL}
