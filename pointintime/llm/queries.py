@@ -1,5 +1,6 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
+from .context_tree import op8_context_tree
 from .decontaminate import op6_benchmark_overlaps
 from .html_text import op7_html_text
 from .licenses import op5_license_scan
@@ -7,15 +8,18 @@ from .mixing import OP4_SQL, op4_source_mix
 from .near_dup import op9_setsketch_near_dup
 from .neighbours import op10_hnsw_search
 from .quality import op1_quality_pu
+from .suffix_dedup import op3_suffix_dedup
 from .toxicity import op2_toxicity_ssk
 
 QUERIES = {
     "op1_quality_pu": op1_quality_pu,
     "op2_toxicity_ssk": op2_toxicity_ssk,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_source_mix": op4_source_mix,
     "op5_license_scan": op5_license_scan,
     "op6_benchmark_overlaps": op6_benchmark_overlaps,
     "op7_html_text": op7_html_text,
+    "op8_context_tree": op8_context_tree,
     "op9_setsketch_near_dup": op9_setsketch_near_dup,
     "op10_hnsw_search": op10_hnsw_search,
 }
