@@ -299,14 +299,13 @@ def iso_parse(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT conv_id, turn, role, text, list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z''’.\\-]*'), lambda x: length(x) > 1), lambda x: lower(x))) AS ws FROM conversations),
-p AS (SELECT a.conv_id, a.turn, list_has_any(a.ws[1:3], b.ws) AS grounded FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)
+WITH w AS (SELECT conv_id, turn, list_transform(list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z''’.\\-]*'), lambda x: length(x) > 1), lambda x: lower(x)) AS ws, list_transform(list_filter(regexp_extract_all(substr(text, 1, 40), '[A-Za-z][A-Za-z''’.\\-]*'), lambda x: length(x) > 1), lambda x: lower(x)) AS name FROM conversations),
+p AS (SELECT a.conv_id, a.turn, coalesce(list_has_any(a.name, b.ws), false) AS grounded FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)
 SELECT conv_id, turn, grounded FROM p""")
 def grounding_overlap(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("said"))
-    name = F.array_join(F.slice(X.name_words(F.col("text")), 1, 3), " ")
-    return c.join(before, ["conv_id", "turn"]).select("conv_id", "turn", X.is_grounded(name, F.col("said")).alias("grounded"))
+    return c.join(before, ["conv_id", "turn"]).select("conv_id", "turn", X.is_grounded(F.substring(F.col("text"), 1, 40), F.col("said")).alias("grounded"))
 
 
 # -- retrieval -------------------------------------------------------------------------------------
