@@ -60,13 +60,13 @@ def without(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def is_due(now: Column) -> Column:
-    return F.col("enabled") & (F.col("last_attempt_at").isNull() | (F.unix_micros(now) - F.unix_micros("last_attempt_at") >= F.col("cadence_seconds") * 1_000_000))
+    return F.col("enabled") & (F.col("last_attempt_at").isNull() | (F.unix_micros(now) - F.unix_micros("last_attempt_at") >= F.col("cadence_seconds").cast("long") * 1_000_000))
 
 
 def is_stale(now: Column) -> Column:
     """Disabled: never stale; never succeeded: stale; else older than twice the cadence."""
     age = F.unix_micros(now) - F.unix_micros("last_success_at")
-    return F.when(~F.col("enabled"), False).when(F.col("last_success_at").isNull(), True).otherwise(age > F.col("cadence_seconds") * STALENESS_MULTIPLE * 1_000_000)
+    return F.when(~F.col("enabled"), False).when(F.col("last_success_at").isNull(), True).otherwise(age > F.col("cadence_seconds").cast("long") * STALENESS_MULTIPLE * 1_000_000)
 
 
 def poll_health(polls: DataFrame, key: str = "source_id") -> DataFrame:
