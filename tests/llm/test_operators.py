@@ -1,0 +1,268 @@
+"""Operators against brute force, and every operator and stage on awkward rows."""
+
+import hashlib
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from pointintime.llm import context_tree, decontaminate, html_text, licenses, mixing, near_dup, neighbours, quality, suffix_dedup, toxicity
+from pointintime.llm.common import remainder
+
+LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+
+
+def tokens(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+
+
+def prose(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(rng.choice(list("abcdeghilmnorstu"), int(rng.integers(2, 8)))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    base = prose(1, 120)
+    words = base.split()
+    near = " ".join([*words[:60], "changed", *words[61:]])
+    nearer = " ".join([*words[:59], "other", "changed", *words[61:]])
+    shared = prose(2, 60)
+    return [base, near, nearer, base, shared, prose(3, 50) + " " + shared, shared + " " + prose(4, 50), prose(5, 30) + shared[20:] + prose(6, 30), "ab " * 400, "x" * 260, prose(7, 2000), "", None, "one", "One", "two words", "  \n\t ", "naïve Éa ßü " * 30, prose(8, 5), prose(8, 5)]
+
+
+@pytest.fixture(scope="module")
+def documents(spark, texts):
+    rows = [(i, t, "en" if i % 2 else None, None if i % 5 == 0 else f"src{i % 3}", len(t) if t is not None else None) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def awkward(spark, documents):
+    """Repeated rows, null ids, columns whose names operators use themselves."""
+    more = documents.selectExpr("doc_id", "text", "lang", "source", "n_chars", "1 as id", "'a' as n", "2 as size", "3 as target", "4 as node", "true as kept", "5 as row", "6 as score")
+    nulls = more.where("doc_id in (0, 11, 12)").selectExpr("cast(null as long) as doc_id", *[f"`{c}`" for c in more.columns[1:]])
+    return more.unionByName(more.where("doc_id < 6")).unionByName(nulls)
+
+
+def linked(texts, k, percent):
+    sets = []
+    for t in texts:
+        w = tokens(t)
+        sets.append(set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return sets, [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates(documents, texts, k, percent):
+    sets, root = linked(texts, k, percent)
+    got = {r.doc_id: r for r in near_dup.near_duplicates(documents, k, percent).collect()}
+    assert [(got[i].n_shingles, got[i].component_id, got[i].kept) for i in range(len(texts))] == [(len(s), r, r == i) for i, (s, r) in enumerate(zip(sets, root, strict=True))]
+
+
+@pytest.mark.parametrize("many", [0, 256])
+def test_repeated_passages(documents, texts, many, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(t[p : p + 200] for t in raw for p in range(len(t) - 199))
+    got = {r.doc_id: r for r in suffix_dedup.suffix_digest(documents).collect()}
+    for i, t in enumerate(raw):
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 199):
+            if seen[t[p : p + 200]] > 1:
+                gone[p : p + 200] = True
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(t), gone.sum(), spans, hashlib.sha256(kept).hexdigest()), i
+
+
+def test_mixing_reaches_targets(documents):
+    rows = mixing.mix_sources(documents).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+        assert 0 <= r.mix_taken <= 3 * r.mix_size and r.mix_size == len(tokens(r.text))
+    for part in by.values():
+        assert abs(sum(r.mix_taken for r in part) - part[0].mix_target) <= len(part)
+    total = sum(r.mix_size for r in rows)
+    assert abs(sum(p[0].mix_target for p in by.values()) - total) < 1e-6 * total
+    sizes = {s: sum(r.mix_size for r in p) for s, p in by.items()}
+    want, free = dict.fromkeys(sizes, 0.0), set(sizes)
+    weights = dict(zip(sorted(sizes, key=lambda s: (s is None, s)), (5, 2, 1, 5), strict=True))
+    left = float(total)
+    while free:  # the same by rounds
+        level = left / sum(weights[s] for s in free)
+        over = {s for s in free if weights[s] * level > 3 * sizes[s]}
+        for s in over or free:
+            want[s] = 3.0 * sizes[s] if over else weights[s] * level
+            left -= want[s]
+        free -= over or free
+    assert all(abs(by[s][0].mix_target - want[s]) < 1e-6 for s in want)
+    out = mixing.repeated(mixing.mix_sources(documents)).groupBy("doc_id").sum("n_words").collect()
+    assert {r[0]: r[1] for r in out} == {r.doc_id: r.mix_taken for r in rows if r.mix_taken}
+
+
+def test_license_base(spark):
+    text = "Under the MIT License. Apache License, Version 2 under the mit license cc-by-nc. under the\nmit license"
+    got = licenses.license_scan(spark.createDataFrame([(1, text), (2, None), (3, "mit license agreement"), (4, "nothing")], "doc_id long, text string")).collect()
+    a, b, c, d = sorted(got, key=lambda r: r.doc_id)
+    assert (a.n_words, a.n_base, a.first_word, a.last_word, a.base_labels) == (19, 5, 0, 15, "apache-2,cc-by-nc,mit")
+    assert (b.n_words, b.n_base, b.first_word, b.labels, b.score) == (0, 0, None, "", 0.0)
+    assert (c.base_labels, c.labels) == ("", "mit") and (d.labels, d.score) == ("", 0.0)
+    assert len(licenses.rules()) >= 300
+    kept = licenses.detections(b" gnu lesser general public license version 2 1 ")
+    assert [k[2] for k in kept] == ["lgpl-2.1"]
+
+
+def test_benchmark_overlaps(spark):
+    item = prose(11, 40)
+    w = item.split()
+    swapped = " ".join(x if i not in (9, 27) else "zzz" for i, x in enumerate(w))
+    docs = [(1, prose(12, 80) + " " + item.upper() + "! " + prose(13, 9)), (2, swapped + " tail"), (3, prose(14, 400)), (4, " ".join(w[5:25])), (5, " ".join(w[:8])), (6, None), (7, ""), (8, "short item text here now and more")]
+    bench = spark.createDataFrame([(1, item), (2, "Short item, text here now"), (3, "of the"), (4, None), (5, "")], "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(frame, bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (4, 1), (8, 2)} and got[2, 1].n_equal == 38 and got[1, 1].first_word == 80
+    assert {r.doc_id for r in decontaminate.decontaminated(frame, bench).collect()} == {3, 5, 6, 7}
+    parts = decontaminate.seed_indexes(bench, block_items=2)
+    assert len(parts) == 5 and sum(len(p.ids) for p in parts) == 5
+
+
+def test_html():
+    page = "<body><nav><a href=1>Home</a></nav><div class='cookie-notice'>We use cookies</div><article><header><h1>A &amp; b</h1></header><p>First  <a href=x>link</a> words<br>on<p>Second<ul><li>i<li>j</ul></article><section id=comments><p>reader</section><footer>f</footer></body>"
+    assert html_text.main_text(page) == "A & b\n\nFirst link words on\n\nSecond\n\ni\n\nj"
+    assert [html_text.main_text(x) for x in (None, "", "<p>", "plain &lt;", "<script>x</script>")] == ["", "", "", "plain <", ""]
+    assert html_text.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+
+
+@pytest.mark.parametrize("frequent", [40, 1 << 19])
+def test_language_model(documents, texts, frequent, monkeypatch):
+    monkeypatch.setattr(context_tree, "FREQUENT", frequent)
+    train = remainder(documents["doc_id"], 4) != 1
+    got = {r.doc_id: r for r in context_tree.scored(documents, train).collect()}
+    held = {i for i, r in got.items() if r.held_out}
+    assert 0 < len(held) < len(texts)
+    counts = Counter(w for i, t in enumerate(texts) if i not in held for w in [*tokens(t), None])
+    n, v, depth = sum(counts.values()), len(counts), context_tree.DEPTH
+    for i, t in enumerate(texts):
+        own = [*tokens(t), None]
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(own), sum(w in counts for w in own), n)
+        assert math.isclose(got[i].base_score, sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own), rel_tol=1e-9)
+    nodes = {}
+    for i, t in enumerate(texts):
+        if i not in held:
+            b = [0] * depth + list((t or "").encode()) + [255]
+            for p in range(depth, len(b)):
+                for s in range(8):
+                    for d in range(depth + 1):
+                        nodes.setdefault((tuple(b[p - d : p]), (1 << s) | b[p] >> (8 - s)), [0, 0])[b[p] >> (7 - s) & 1] += 1
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    below, weight = Counter(), {}
+    for d in range(depth, -1, -1):
+        for (c, j), x in ((k, x) for k, x in nodes.items() if len(k[0]) == d):
+            own = kt(*x)
+            total = own if d == depth else np.logaddexp(own, below[c, j]) + math.log(0.5)
+            weight[c, j] = 1.0 if d == depth else math.exp(math.log(0.5) + own - total)
+            if d:
+                below[c[1:], j] += total
+    for i, t in list(enumerate(texts))[8:20]:
+        b, log_p = [0] * depth + list((t or "").encode())[:400] + [255], 0.0
+        if len((t or "").encode()) > 400:
+            continue
+        for p in range(depth, len(b)):
+            for s in range(8):
+                j, bit, q = (1 << s) | b[p] >> (8 - s), b[p] >> (7 - s) & 1, 0.5
+                for d in range(depth, -1, -1):
+                    k = (tuple(b[p - d : p]), j)
+                    q = weight[k] * (nodes[k][bit] + 0.5) / (sum(nodes[k]) + 1) + (1 - weight[k]) * q if k in nodes else 0.5
+                log_p += math.log10(q)
+        assert math.isclose(got[i].score, log_p, rel_tol=1e-6), i
+
+
+def test_nearest_neighbours(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(1500, 16)).astype(np.float32).astype(float)
+    v[7] = v[3]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(5000, None), (5001, []), (5002, [0.0] * 16), (5003, [float("nan")] * 16), (5004, [None] * 16), (5005, [1.0] * 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    graphs, shards = neighbours.index(frame, 700)
+    got = {}
+    for r in neighbours.search(graphs, shards, frame.where("vec_id % 50 = 3 or vec_id = 5005")).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    hit = 0
+    for q, found in got.items():
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        best = [i for i in np.lexsort((np.arange(1500), d)).tolist() if i != q][:10]
+        hit += len({i for i, _ in found.values()} & set(best))
+        assert all(math.isclose(s, d[i], abs_tol=1e-12) for i, s in found.values()) and sorted(found) == list(range(1, 11))
+    assert len(got) == 30 and hit >= 0.9 * 300 and got[3][1] == (7, 0.0)
+
+
+def labelled(spark, documents):
+    return documents.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality", "cast(doc_id % 3 = 0 as int) as toxic")
+
+
+def test_quality_and_toxicity_learn(spark):
+    good = [(i, prose(i, 60).capitalize() + ".") for i in range(60)]
+    bad = [(100 + i, prose(100 + i, 40).replace(" ", "!! ").upper()) for i in range(30)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = docs.where("doc_id % 4 <> 2").selectExpr("doc_id", "cast(doc_id < 100 as int) as quality")
+    model = quality.train_quality(docs, labels)
+    s = {r.doc_id: r.quality_score for r in quality.quality_scores(docs, model).collect()}
+    assert np.mean([(s[i] >= 0.7) == (i < 100) for i in s if i % 4 == 2]) > 0.9
+    mean = ["grobian", "dumbbell", "lowlife"]
+    rude = [(200 + i, f"{prose(200 + i, 30)} {mean[i % 3]} {prose(300 + i, 10)}") for i in range(40)]
+    docs = spark.createDataFrame(good + rude, "doc_id long, text string")
+    model = toxicity.train_toxicity(docs, docs.where("doc_id % 4 <> 2").selectExpr("doc_id", "cast(doc_id >= 200 as int) as toxic"))
+    s = {r.doc_id: r.toxic_score for r in toxicity.toxicity_scores(docs, model).collect()}
+    assert np.mean([(s[i] >= 0.3) == (i >= 200) for i in s if i % 4 == 2]) > 0.9
+    odd = [b"gro-bian", b"g r o b i a n", b"grobbian", b"GROBIAN"]
+    assert all(max(model.margins(list(toxicity.strings(t)))) > model.margins([b"table"])[0] + 0.5 for t in odd)
+
+
+def test_awkward_rows(spark, awkward):
+    n = awkward.count()
+    bench = spark.createDataFrame([(1, prose(2, 60))], "item_id long, text string")
+    for rows in (awkward, awkward.where("false")):
+        want = rows.count()
+        labels = labelled(spark, rows)
+        frames = [
+            quality.quality_scores(rows, quality.train_quality(rows, labels)), toxicity.toxicity_scores(rows, toxicity.train_toxicity(rows, labels)), suffix_dedup.suffix_digest(rows), suffix_dedup.cut_passages(rows), mixing.mix_sources(rows),
+            licenses.license_scan(rows), context_tree.scored(rows, rows["doc_id"] % 2 == 0), near_dup.near_duplicates(rows), decontaminate.decontaminated(rows, bench.where("false")),
+        ]
+        for f in frames:
+            assert len(f.collect()) == want
+        assert set(suffix_dedup.cut_passages(rows).columns) == set(rows.columns)
+        decontaminate.contaminated(rows, bench).collect()
+        neighbours.search(*neighbours.index(rows.selectExpr("doc_id as vec_id", "array(1.5, cast(n_chars as double)) as embedding", "1 as v", "2 as dim")), rows.selectExpr("doc_id as vec_id", "array(1.5, 2.5) as embedding")).collect()
+        html_text.page_texts(rows.selectExpr("doc_id as page_id", "source as url", "text as html", "1 as text")).collect()
+    assert n == 20 + 6 + 3
+
+
+def test_pipeline_stages(spark, documents, tmp_path):
+    import corpus_pipeline
+
+    d = str(tmp_path)
+    documents.write.parquet(f"{d}/documents.parquet")
+    labelled(spark, documents).write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, prose(7, 2000)[:300])], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, d).collect()
+    assert {0, 1, 2, 3} & {r.doc_id for r in rows} == {0} and 10 not in {r.doc_id for r in rows}
+    assert all(r.mix_taken > 0 for r in rows) and len({r.doc_id for r in rows}) == len(rows)
+    empty = documents.where("false")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, d).columns == documents.columns, name
