@@ -7,13 +7,15 @@ locality-sensitive: the chance that one agrees grows with the Jaccard similarity
 
 1. Rows with the same set (found by a hash of the whole set) are one class, represented by one row; only
    representatives go on. So groups of copies are never expanded.
-2. Bands of registers are hashed to bucket keys (``BANDS`` of ``ROWS``; a pair at the threshold of 0.85 is missed
-   with a probability under 1e-9). Buckets with one representative go away.
-3. Stars: in every bucket each member is paired with the smallest id. Pairs whose jointly estimated similarity
-   is far below the threshold go; the others are verified on full sets. Verified links are closed transitively.
-4. What the stars leave: within a bucket every member outside the bucket's largest component is paired with the
-   members of other components, smallest first, until all pairs of different components have been looked at. So no
-   link that two bucket members have is lost, and members of one component are never paired.
+2. Bands of registers (6 at a threshold of 0.85, 5 at 0.8) are hashed to bucket keys; a link at the threshold is missed with
+   a probability under 1e-8. Buckets with one representative go away.
+3. Stars: in every bucket each member is paired with the member that shares most buckets with others, the likeliest centre of
+   a group of copies. Pairs whose jointly estimated similarity is far below the threshold go; the others are verified on
+   full sets. Verified links are closed transitively. ``PIVOTS`` more rounds pair what stays outside a bucket's largest component
+   with other members of that component.
+4. What the stars leave are members outside their bucket's largest component. Where a bucket has few of them they are
+   paired with the members of its other components; in the others, members are paired that have one of
+   their rarest shingles in common, which loses no link (prefix filter). Members of one component are never paired.
 
 Null and empty texts have an empty set, no link, and are their own component. A null id counts as the
 largest id that a long can hold. Repeated rows are copies like any others.
@@ -28,12 +30,15 @@ from pyspark.sql import functions as F
 
 from .common import SPACED, mix, pieces, signed, table, word_hashes, written
 
-REGISTERS, ROWS = 160, 4
-BANDS = REGISTERS // ROWS
+REGISTERS = 240
 BASE_B = 1.02
 RATE_A = 20.0
 LIMIT = 1022
+PIVOTS = 4
 SLACK = 0.15
+#: Buckets with more pairs than this left after the stars are compared by prefixes.
+FEW = 64
+_SLOTS = 1 << 20
 _LOG_B = np.log(BASE_B)
 
 
@@ -63,23 +68,30 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return v, np.searchsorted(o, np.arange(n + 1))
 
 
-_SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
+_SEEDS = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64)).astype(np.uint32)
+_ADD, _TIMES = _SEEDS[:REGISTERS], _SEEDS[REGISTERS:] | np.uint32(1)
 
 
 def registers(values: np.ndarray) -> np.ndarray:
     """The sketch of one set."""
-    out = np.zeros(REGISTERS, np.int64)
     if not len(values):
-        return out
-    least = np.empty(REGISTERS)
-    for r, s in enumerate(_SEEDS):  # the largest hash gives the smallest exponential value
-        h = values * s
-        least[r] = float((h ^ (h >> np.uint64(32))).max())
-    # -log(u) with u = (h + 1) / 2**64, over the rate
-    x = np.maximum(-np.log((least + 1.0) / 2.0**64), 1e-19) / RATE_A
+        return np.zeros(REGISTERS, np.int64)
+    most = np.zeros(REGISTERS, np.uint32)
+    for at in range(0, len(values), 1024):  # the largest hash gives the smallest exponential value
+        h = (values[at : at + 1024, None].astype(np.uint32) ^ _ADD) * _TIMES
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        h ^= h >> np.uint32(12)
+        np.maximum(most, h.max(0), out=most)
+    x = -np.log1p(-(2.0**32 - most - 0.5) / 2.0**32) / RATE_A
     return np.clip(np.floor(1 - np.log(x) / _LOG_B), 0, LIMIT).astype(np.int64)
 
 
+def rows_of(percent: int) -> int:
+    """Registers in a band: a link at the threshold is missed with a probability under 1e-8."""
+    return 6 if percent >= 85 else 5 if percent >= 80 else 4 if percent >= 70 else 3
+
+
 def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """The likeliest Jaccard similarity for each pair of sketches (rows), the set sizes being known.
 
@@ -103,7 +115,7 @@ def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -
     return at
 
 
-def sketched(docs: DataFrame, k: int) -> DataFrame:
+def sketched(docs: DataFrame, k: int, rows: int) -> DataFrame:
     """id, n (set size), node (hash of the whole set), text_hash, sketch and bands; ``docs``: id, text."""
 
     def run(batches):
@@ -118,16 +130,16 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
                     code.append(spread.sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(mix(spread), initial=np.uint64(len(own))))
                     r = registers(own)
                     sketch.append(r.astype(np.int16).tobytes())
-                    key = np.arange(BANDS, dtype=np.uint64)
-                    for column in r.reshape(BANDS, ROWS).T.astype(np.uint64):
+                    key = np.arange(REGISTERS // rows, dtype=np.uint64)
+                    for column in r.reshape(-1, rows).T.astype(np.uint64):
                         key = mix(key + column * np.uint64(0x9FB21C651E98DF25))
                     bands.append(signed(key))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * (REGISTERS // rows), pa.int32()), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
             node = pa.array(signed(mix(np.array(code, np.uint64))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_set, pa.int64()), node, batch.column(2), pa.array(sketch, pa.binary()), lists], names=["id", "n", "node", "text_hash", "sketch", "bands"])
 
-    rows = docs.select("id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, "id long, n long, node long, text_hash long, sketch binary, bands array<long>")
+    read = docs.select("id", "text", F.xxhash64("text").alias("text_hash"))
+    return read.mapInArrow(run, "id long, n long, node long, text_hash long, sketch binary, bands array<long>")
 
 
 def _near(pairs: DataFrame, least: float) -> DataFrame:
@@ -190,40 +202,107 @@ def components(links: DataFrame) -> DataFrame:
         edges = written(star.where("x <> y").distinct())
 
 
+def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, token: the rarest n - ceil(n * percent / 100) + 1 shingles of each set (``texts``: node, text).
+
+    Two sets of the similarity have at least one such shingle in common, whatever fixed order decides what is rare. The
+    order is by counts of ``_SLOTS`` hash slots, a table of fixed size, then by hash.
+    """
+
+    def sets(batch):
+        for t in batch.column(1).to_pylist():
+            yield shingles(np.frombuffer(t, np.uint8), np.array([0, len(t)]), k)[0]
+
+    def slots(batches):
+        for batch in batches:
+            found = np.concatenate([np.zeros(0, np.uint64), *sets(batch)]) & np.uint64(_SLOTS - 1)
+            slot, n = np.unique(found.astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], names=["slot", "n"])
+
+    rows = texts.mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(_SLOTS, np.int64)
+    counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def rarest(batches):
+        for batch in batches:
+            nodes, tokens = [], [np.zeros(0, np.uint64)]
+            for node, own in zip(batch.column(0).to_pylist(), sets(batch), strict=True):
+                n = len(own) - (len(own) * percent + 99) // 100 + 1
+                order = np.lexsort((own, sent.value[(own & np.uint64(_SLOTS - 1)).astype(np.int64)]))
+                tokens.append(own[order[:n]])
+                nodes.append(np.full(min(n, len(own)), node, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *nodes])), pa.array(signed(np.concatenate(tokens)))], names=["node", "token"])
+
+    return texts.mapInArrow(rarest, "node long, token long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text)."""
     none = F.lit((1 << 63) - 1)
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), "text")
-    known = written(sketched(base, shingle))
+    known = written(sketched(base, shingle, rows_of(percent)))
     one = known.where("n > 0").groupBy("node").agg(F.min_by(F.struct("id", "n", "text_hash", "sketch", "bands"), "id").alias("r"))
     reps = written(one.select("node", "r.*"))
     member = reps.select("node", "id", F.explode("bands").alias("bucket"))
-    sizes = written(member.groupBy("bucket").agg(F.min(F.struct("id", "node")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("bucket", F.col("hub.node").alias("hub")))
-    buckets = written(member.join(sizes, "bucket").select("bucket", "node", "hub"))
+    sizes = written(member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    shared = written(member.join(sizes, "bucket").select("bucket", "node", "size"))
+    central = shared.groupBy("node").agg(F.sum("size").alias("c"))
+    buckets = written(shared.join(central, "node").select("bucket", "node", "c"))
+    hubs = written(buckets.groupBy("bucket").agg(F.max(F.struct("c", "node")).alias("hub")).select("bucket", F.col("hub.node").alias("hub")))
     facts = reps.select("node", "n", "sketch")
 
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        hashes = reps.join(nodes, "node", "left_semi").select("node", "text_hash")
+        bodies = base.select("text", F.xxhash64("text").alias("text_hash")).join(hashes, "text_hash")
+        return written(bodies.groupBy("node").agg(F.min("text").cast("binary").alias("text")))
+
     def linked(pairs: DataFrame) -> DataFrame:
         a, b = (facts.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
         alike = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
         near = written(_near(pairs.join(b, "b").join(a, "a").where(alike), percent / 100))
         nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-        hashes = reps.join(nodes, "node", "left_semi").select("node", "text_hash")
-        bodies = base.select("text", F.xxhash64("text").alias("text_hash")).join(hashes, "text_hash")
-        texts = written(bodies.groupBy("node").agg(F.min("text").cast("binary").alias("text")))
-        return written(verified(near, texts, shingle, percent))
-
-    links = linked(buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    root = written(components(links))
-    placed = buckets.join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    groups = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    split = written(groups.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("bucket", F.col("top.root").alias("top")))
-    rest = written(placed.join(split, "bucket"))
-    minor = rest.where("root <> top").select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    other = rest.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"), (F.col("root") == F.col("top")).alias("main"))
-    pairs = minor.join(other, "bucket").where("root_a <> root_b and (main or a < b)").select("a", "b").distinct()
-    links = links.unionByName(linked(pairs))
-
+        return written(verified(near, texts_of(nodes), shingle, percent))
+
+    def left(root: DataFrame, r: int) -> DataFrame:
+        """bucket, node, root of the members of buckets with several components, with the largest one's root (top) and the
+        member of it (pivot) that the others are compared with in round ``r``."""
+        placed = buckets.join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), (F.col("c") if r == 1 else F.xxhash64("node", F.lit(r))).alias("c"))
+        groups = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.max(F.struct("c", "node")).alias("best"))
+        split = groups.groupBy("bucket").agg(F.max(F.struct("n", "root", "best")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+        split = written(split.select("bucket", F.col("top.root").alias("top"), F.col("top.best.node").alias("pivot")))
+        return written(placed.join(split, "bucket").drop("c"))
+
+    done = written(buckets.join(hubs, "bucket").where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
+    links = linked(done)
     root = written(components(links))
+    for r in range(1, PIVOTS + 1):
+        rest = left(root, r)
+        pairs = rest.where("root <> top").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+        pairs = written(pairs.join(done, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        new = linked(pairs)
+        done = done.unionByName(pairs)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            root = written(components(links))
+    rest = left(root, PIVOTS + 1)
+    main = F.col("root") == F.col("top")
+    work = written(rest.groupBy("bucket").agg(F.count_if(~main).alias("minors"), F.count("*").alias("size")))
+    few = written(rest.join(work.where(F.col("minors") * F.col("size") <= FEW).select("bucket"), "bucket"))
+    many = rest.join(work.where(F.col("minors") * F.col("size") > FEW).select("bucket"), "bucket")
+    nodes = written(many.groupBy("node").agg(F.min("root").alias("root"), F.max(~main).alias("minor")))
+    kept = prefixes(texts_of(nodes.select("node")), shingle, percent).join(nodes, "node")
+    both = few.select(F.col("bucket").alias("key"), "node", "root", (~main).alias("minor")).unionByName(kept.select(F.col("token").alias("key"), "node", "root", "minor"))
+    both = written(both.join(facts.select("node", "n"), "node"))
+    x = both.where("minor").select("key", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_x"))
+    y = both.select("key", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("n").alias("n_y"), "minor")
+    alike = f"least(n_x, n_y) * 100 >= greatest(n_x, n_y) * {percent}"
+    pairs = x.join(y, (x["key"] == y["key"]) & F.expr(f"root_x <> root_y and (not minor or x < y) and {alike}")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    new = linked(pairs.join(done, ["a", "b"], "left_anti"))
+    if not new.isEmpty():
+        root = written(components(links.unionByName(new)))
     owned = written(reps.join(root, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")))
     least = written(owned.groupBy("root").agg(F.min("id").alias("component")))
     classes = owned.join(least, "root").select(F.col("node").alias("class"), "component")
