@@ -67,8 +67,10 @@ def linked(texts, k, percent):
     return sets, [find(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
-def test_near_duplicates(documents, texts, k, percent):
+@pytest.mark.parametrize(("k", "percent", "few"), [(3, 85, 64), (5, 80, 64), (3, 85, 0), (3, 40, 0)])
+def test_near_duplicates(documents, texts, k, percent, few, monkeypatch):
+    monkeypatch.setattr(near_dup, "FEW", few)
+    monkeypatch.setattr(near_dup, "PIVOTS", 1 if few else 0)
     sets, root = linked(texts, k, percent)
     got = {r.doc_id: r for r in near_dup.near_duplicates(documents, k, percent).collect()}
     assert [(got[i].n_shingles, got[i].component_id, got[i].kept) for i in range(len(texts))] == [(len(s), r, r == i) for i, (s, r) in enumerate(zip(sets, root, strict=True))]
