@@ -11,7 +11,7 @@ from ..vocabulary import GAME_STATUSES, REPORT_COLUMNS
 
 def report_lines(documents: DataFrame) -> DataFrame:
     """document_id, line_no, line of the lines that aren't blank."""
-    lines = F.posexplode(F.split("text", "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85  ]"))
+    lines = F.posexplode(F.split("text", "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"))
     return documents.select("document_id", lines.alias("line_no", "raw")).withColumn("line", strip(F.col("raw"))).where("line <> ''").drop("raw")
 
 

@@ -12,6 +12,9 @@ from ..functions.text import query_terms, tokens
 from ..vocabulary import CANDIDATES, RRF_K, TOP_K
 from .bitemporal import as_of as known_at
 
+#: Query vectors that are compared with the chunks in one pass.
+QUERY_BLOCK = 512
+
 
 def validate(query: str | None = None, limit: int = TOP_K, candidates: int = CANDIDATES, mode: str = "hybrid") -> None:
     """Parameters within their bounds, before a plan is made."""
@@ -48,16 +51,20 @@ def lexical(index: DataFrame, questions: DataFrame, limit: int = CANDIDATES) ->
 
 
 def dense(chunks: DataFrame, queries: DataFrame, limit: int = CANDIDATES, version: str | None = None) -> DataFrame:
-    """question_id, chunk_id, distance, rank by exact cosine distance; ``queries``: question_id, vector (few rows).
+    """question_id, chunk_id, distance, rank by exact cosine distance; ``queries``: question_id, vector.
 
-    One pass over the chunks for a block of queries, whose vectors travel as one array; each task keeps its own
-    nearest before they meet.
+    One pass over the chunks for each block of about ``QUERY_BLOCK`` queries, whose vectors travel to all tasks as one array.
     """
     has = chunks.where(F.col("embedding").isNotNull())
     if version is not None:
         has = has.where(F.col("embedding_version") == version)
-    block = queries.agg(F.collect_list(F.struct("question_id", "vector")).alias("qs"))
-    pairs = has.select("chunk_id", "embedding").join(F.broadcast(block)).select("chunk_id", "embedding", F.explode("qs").alias("q"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    part = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
+    pairs = None
+    for b in range(blocks):
+        block = queries.where(part == b).agg(F.collect_list(F.struct("question_id", "vector")).alias("qs"))
+        one = has.select("chunk_id", "embedding").join(F.broadcast(block)).select("chunk_id", "embedding", F.explode("qs").alias("q"))
+        pairs = one if pairs is None else pairs.unionByName(one)
     scored = pairs.select("q.question_id", "chunk_id", F.round(cosine_distance(F.col("embedding"), F.col("q.vector")), 9).alias("distance")).where("distance is not null")
     return _top(scored, [F.asc("distance"), F.asc("chunk_id")], limit)
 

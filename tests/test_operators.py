@@ -121,3 +121,14 @@ def test_a_stream_run_twice_adds_nothing(spark, tmp_path):
         stream = spark.readStream.schema(rows.schema).parquet(src)
         incremental.run_available(stream, lambda b: b, out, str(tmp_path / f"check{k}"), ["id"]).awaitTermination(60)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_embeddings_are_kept_by_version(spark):
+    from pointintime.operators import embed
+
+    chunks = spark.createDataFrame([(1, "alpha beta"), (2, "beta alpha"), (3, "gamma")], "chunk_id int, text string")
+    old = spark.createDataFrame([(1, "v1"), (2, "v0")], "chunk_id int, embedding_version string")
+    rows = {r.chunk_id: r for r in embed.embed_pending(chunks, old, "v1", "hash", embed.hashing_embedder(16), F.lit(T0)).collect()}
+    assert set(rows) == {2, 3} and len(rows[2].embedding) == 16 and sum(map(abs, rows[2].embedding)) == 2
+    nearest = search.dense(chunks.withColumn("embedding", embed.hashing_embedder(16)(F.col("text"))), spark.createDataFrame([(9, "beta alpha")], "question_id int, text string").select("question_id", embed.hashing_embedder(16)(F.col("text")).alias("vector")))
+    assert [r.chunk_id for r in nearest.orderBy("rank").collect()][:2] == [1, 2]
