@@ -17,6 +17,8 @@ size of the benchmark. Null and empty texts, empty tables: no overlap. Repeated
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -107,15 +109,13 @@ class SeedIndex:
         return [(d, k, at, n, same) for same, _, d, k, at, n in sorted(best.values(), key=lambda r: (r[2], r[3]))]
 
 
-def seed_indexes(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> list[SeedIndex]:
+def seed_indexes(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[SeedIndex]:
     """One index for each block of the benchmark; a block is all that is in the driver at a time."""
     blocks = max(1, -(-benchmark.count() // (block_items // 2)))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    out = []
     for b in range(blocks):
         rows = benchmark.where(part == b).select("item_id", "text").collect()
-        out.append(SeedIndex([r[0] for r in rows], [r[1] for r in rows]))
-    return out
+        yield SeedIndex([r[0] for r in rows], [r[1] for r in rows])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ def test_benchmark_overlaps(spark):
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(frame, bench).collect()}
     assert set(got) == {(1, 1), (2, 1), (4, 1), (8, 2)} and got[2, 1].n_equal == 38 and got[1, 1].first_word == 80
     assert {r.doc_id for r in decontaminate.decontaminated(frame, bench).collect()} == {3, 5, 6, 7}
-    parts = decontaminate.seed_indexes(bench, block_items=2)
+    parts = list(decontaminate.seed_indexes(bench, block_items=2))
     assert len(parts) == 5 and sum(len(p.ids) for p in parts) == 5
 
 
