@@ -34,7 +34,7 @@ REGISTERS = 240
 BASE_B = 1.02
 RATE_A = 20.0
 LIMIT = 1022
-PIVOTS = 4
+PIVOTS = 6
 SLACK = 0.15
 #: Buckets with more pairs than this left after the stars are compared by prefixes.
 FEW = 64
@@ -203,10 +203,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """node, token: the rarest n - ceil(n * percent / 100) + 1 shingles of each set (``texts``: node, text).
+    """node, token, place: the rarest n - ceil(n * percent / 100) + 1 shingles of each set (``texts``: node, text), in order.
 
-    Two sets of the similarity have at least one such shingle in common, whatever fixed order decides what is rare. The
-    order is by counts of ``_SLOTS`` hash slots, a table of fixed size, then by hash.
+    Two sets of the similarity have at least one such shingle in common, whatever fixed order decides what is rare; before
+    the first one they share nothing, so what is left of both sets from there on bounds their intersection. The order is by counts of ``_SLOTS`` hash slots, a table of fixed size, then by hash.
     """
 
     def sets(batch):
@@ -226,15 +226,16 @@ def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
 
     def rarest(batches):
         for batch in batches:
-            nodes, tokens = [], [np.zeros(0, np.uint64)]
+            nodes, tokens, places = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for node, own in zip(batch.column(0).to_pylist(), sets(batch), strict=True):
                 n = len(own) - (len(own) * percent + 99) // 100 + 1
                 order = np.lexsort((own, sent.value[(own & np.uint64(_SLOTS - 1)).astype(np.int64)]))
                 tokens.append(own[order[:n]])
                 nodes.append(np.full(min(n, len(own)), node, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *nodes])), pa.array(signed(np.concatenate(tokens)))], names=["node", "token"])
+                places.append(np.arange(min(n, len(own))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *nodes])), pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(places))], names=["node", "token", "place"])
 
-    return texts.mapInArrow(rarest, "node long, token long")
+    return texts.mapInArrow(rarest, "node long, token long, place long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -294,11 +295,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     many = rest.join(work.where(F.col("minors") * F.col("size") > FEW).select("bucket"), "bucket")
     nodes = written(many.groupBy("node").agg(F.min("root").alias("root"), F.max(~main).alias("minor")))
     kept = prefixes(texts_of(nodes.select("node")), shingle, percent).join(nodes, "node")
-    both = few.select(F.col("bucket").alias("key"), "node", "root", (~main).alias("minor")).unionByName(kept.select(F.col("token").alias("key"), "node", "root", "minor"))
+    both = few.select(F.col("bucket").alias("key"), "node", "root", (~main).alias("minor"), F.lit(0).cast("long").alias("place")).unionByName(kept.select(F.col("token").alias("key"), "node", "root", "minor", "place"))
     both = written(both.join(facts.select("node", "n"), "node"))
-    x = both.where("minor").select("key", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_x"))
-    y = both.select("key", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("n").alias("n_y"), "minor")
-    alike = f"least(n_x, n_y) * 100 >= greatest(n_x, n_y) * {percent}"
+    x = both.where("minor").select("key", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_x"), (F.col("n") - F.col("place")).alias("left_x"))
+    y = both.select("key", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("n").alias("n_y"), (F.col("n") - F.col("place")).alias("left_y"), "minor")
+    alike = f"least(n_x, n_y) * 100 >= greatest(n_x, n_y) * {percent} and least(left_x, left_y) * {100 + percent} >= (n_x + n_y) * {percent}"
     pairs = x.join(y, (x["key"] == y["key"]) & F.expr(f"root_x <> root_y and (not minor or x < y) and {alike}")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     new = linked(pairs.join(done, ["a", "b"], "left_anti"))
     if not new.isEmpty():
