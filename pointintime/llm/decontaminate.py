@@ -2,12 +2,12 @@
 
 A seed is a fixed mask over consecutive words: the words at its selected places are hashed, the others
 may differ. Hashes of the benchmark's windows and of the documents' windows meet; around every hit the
-two texts are laid side by side on that diagonal and the run of words with the best score (1 for an
-equal word, -4 for another) is taken. An overlap counts when it has ``MIN_WORDS`` words, or the whole
-item if that is shorter, of which four fifths are equal.
+two texts are laid side by side on that diagonal. An overlap counts when it has ``MIN_WORDS`` words, or the
+whole item if that is shorter, of which four fifths are equal: of all runs of that many words or more, the one
+with the best score (1 for an equal word, -4 for another) is taken, and it counts from a score of 0.
 
 Words are runs of letters, digits and non-ASCII characters with A-Z lower-cased, so punctuation, case
-and white space don't matter. Items shorter than a mask are sought as a whole by a mask of their own
+and white space don't matter. Items shorter than ``MIN_WORDS`` are sought as a whole by masks for their
 length; items of fewer than ``LEAST_ITEM`` words are too common to be evidence and match nothing.
 
 The benchmark goes to the executors in blocks of at most ``BLOCK_ITEMS`` items; each block is compared
@@ -26,21 +26,49 @@ from pyspark.sql import functions as F
 
 from .common import WORDED, mapped, mix, pieces, table, word_hashes
 
-#: Fixed masks: 8 of 11 or 12 places count. Two substituted words anywhere leave some window of a
-#: 13-word overlap whole under at least one of them.
-MASKS = ("11101101101", "110110010111", "101011110011")
+#: Every run of 13 words or more with four fifths equal words holds a window that is equal under one of
+#: these (runs of 26 or more hold a shorter one; a test enumerates the others).
+MASKS = ("1111011", "11010001011", "1010001000111")
+#: The same for whole items of fewer words, by their number of words.
+SHORT_MASKS = {
+    5: ("1111", "10111", "11011", "11101"),
+    6: ("11111", "101111", "110111", "111011", "111101"),
+    7: ("111111", "1011111", "1101111", "1110111", "1111011", "1111101"),
+    8: ("1111111", "10111111", "11011111", "11101111", "11110111", "11111011", "11111101"),
+    9: ("11111111", "101111111", "110111111", "111011111", "111101111", "111110111", "111111011", "111111101"),
+    10: ("1101111", "11110011", "110011011", "10101111", "11110101"),
+    11: ("11011111", "111101011", "101110111", "1101011011", "1110110011", "110011111", "1111100101"),
+    12: ("110111111", "1111101011", "1011110111", "11001101111", "11010111011", "111100011011", "1111110011", "111100110101"),
+}
 MIN_WORDS = 13
 LEAST_ITEM = 5
-MATCH_SHARE = 0.8
 BLOCK_ITEMS = 20_000
+#: A run of words scores 0 or more when four fifths of them are equal.
 _PENALTY = 4
 _TABLE_BITS = 22
+#: Hits that are expanded, and words that are laid side by side, at a time.
+_HITS = 1 << 18
+_CELLS = 1 << 18
 
 
 def _places(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
 
+def _masks(n: int) -> tuple[str, ...]:
+    """The masks for an item of ``n`` words."""
+    return MASKS if n >= MIN_WORDS else SHORT_MASKS.get(n, ())
+
+
+def _different(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different rows of some columns."""
+    order = np.lexsort(columns)
+    columns = tuple(c[order] for c in columns)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return tuple(c[new] for c in columns)
+
+
 def _seeds(h: np.ndarray, places: list[int], n: int) -> np.ndarray:
     out = np.full(n, len(places) + 1000 * places[-1], np.uint64)
     for k, p in enumerate(places):
@@ -58,12 +86,13 @@ class SeedIndex:
         for text in items:
             data = np.frombuffer((text or "").encode(), np.uint8)
             self.words.append(word_hashes(data, np.array([0, len(data)]), WORDED)[0])
+        self.size = np.array([len(w) for w in self.words], int)
+        self.begin = np.cumsum(self.size) - self.size
+        self.all = np.concatenate([*self.words, np.zeros(1, np.uint64)])
         hashes, item, at = [], [], []
-        shortest = min(len(m) for m in MASKS)
-        self.masks = [_places(m) for m in MASKS] + [list(range(n)) for n in sorted({len(w) for w in self.words if LEAST_ITEM <= len(w) < shortest})]
+        self.masks = [_places(m) for m in sorted({m for n in set(self.size.tolist()) for m in _masks(n)})]
         for k, w in enumerate(self.words):
-            own = [list(range(len(w)))] if len(w) < shortest else [_places(m) for m in MASKS]
-            for places in own if len(w) >= LEAST_ITEM else []:
+            for places in map(_places, _masks(len(w))):
                 n = len(w) - places[-1]
                 if n > 0:
                     hashes.append(_seeds(w, places, n))
@@ -81,7 +110,9 @@ class SeedIndex:
         """(document, item, first word in the document, words, equal words): the best of each pair."""
         if not len(self.hashes) or not len(h):
             return []
-        found = set()
+        bounds = np.searchsorted(doc, np.arange(n_docs + 1))
+        best: dict[tuple[int, int], tuple] = {}
+        found, n_found = [], 0
         for places in self.masks:
             n = len(h) - places[-1]
             if n <= 0:
@@ -90,24 +121,55 @@ class SeedIndex:
             hit = np.flatnonzero(self.bits[(s >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
             hit = hit[doc[hit] == doc[hit + places[-1]]]
             lo, hi = np.searchsorted(self.hashes, s[hit], "left"), np.searchsorted(self.hashes, s[hit], "right")
-            for i, a, b in zip(hit[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                found.update((i - int(self.at[j]), int(self.item[j]), int(doc[i])) for j in range(a, b))
-        bounds = np.searchsorted(doc, np.arange(n_docs + 1))
-        best: dict[tuple[int, int], tuple] = {}
-        for diagonal, k, d in found:
-            w = self.words[k]
-            first, last = max(0, bounds[d] - diagonal), min(len(w), bounds[d + 1] - diagonal)
-            equal = h[diagonal + first : diagonal + last] == w[first:last]
-            gain = np.concatenate([[0], np.cumsum(np.where(equal, 1, -_PENALTY))])
-            low = np.minimum.accumulate(gain)
-            end = int(np.argmax(gain - low))
-            begin = int(np.argmin(gain[: end + 1]))
-            same, n = int(equal[begin:end].sum()), end - begin
-            if n >= min(MIN_WORDS, len(w)) and same >= MATCH_SHARE * n:
-                row = (same, -int(diagonal), d, k, int(diagonal + first + begin - bounds[d]), n)
-                best[d, k] = max(best.get((d, k), row), row)
+            hit, lo, many = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            total, first = np.cumsum(many), 0
+            while first < len(hit):
+                last = max(first + 1, int(np.searchsorted(total, total[first] - many[first] + _HITS, "right")))
+                k = many[first:last]
+                j = np.repeat(lo[first:last] - np.cumsum(k) + k, k) + np.arange(k.sum())
+                i = np.repeat(hit[first:last], k)
+                found.append(_different(i - self.at[j], self.item[j], doc[i]))
+                n_found += len(found[-1][0])
+                if n_found > 4 * _HITS:
+                    self._settle(found, h, bounds, best)
+                    found, n_found = [], 0
+                first = last
+        if found:
+            self._settle(found, h, bounds, best)
         return [(d, k, at, n, same) for same, _, d, k, at, n in sorted(best.values(), key=lambda r: (r[2], r[3]))]
 
+    def _settle(self, found: list, h: np.ndarray, bounds: np.ndarray, best: dict[tuple[int, int], tuple]) -> None:
+        """Lays items and documents side by side on the diagonals found; what overlaps goes to ``best``."""
+        diagonal, item, doc = _different(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        order = np.argsort(self.size[item], kind="stable")
+        size = self.size[item[order]]
+        first = 0
+        while first < len(order):
+            least = min(MIN_WORDS, int(size[first]))
+            last = int(np.searchsorted(size, least, "right")) if least < MIN_WORDS else len(order)
+            last = min(last, first + max(1, _CELLS // int(size[first])))
+            last = first + max(1, min(last - first, _CELLS // int(size[last - 1])))
+            rows = order[first:last]
+            first = last
+            d, k, g = doc[rows], item[rows], diagonal[rows]
+            place = np.arange(int(self.size[k].max()))
+            at = g[:, None] + place
+            inside = (place < self.size[k][:, None]) & (at >= bounds[d][:, None]) & (at < bounds[d + 1][:, None])
+            equal = h[at.clip(0, len(h) - 1)] == self.all[(self.begin[k][:, None] + place).clip(0, len(self.all) - 1)]
+            gain = np.zeros((len(rows), len(place) + 1), np.int64)
+            np.cumsum(np.where(inside, np.where(equal, 1, -_PENALTY), -(1 << 30)), 1, out=gain[:, 1:])
+            low = np.minimum.accumulate(gain, 1)[:, : len(place) + 1 - least]
+            score = gain[:, least:] - low
+            end, each = score.argmax(1), np.arange(len(rows))
+            begin = (gain == low[each, end][:, None]).argmax(1)
+            n = end + least - begin
+            score = score[each, end]
+            same = (score + _PENALTY * n) // (1 + _PENALTY)
+            for x in np.flatnonzero(score >= 0)[np.lexsort((g[score >= 0], -same[score >= 0]))].tolist():
+                pair = int(d[x]), int(k[x])
+                row = (int(same[x]), -int(g[x]), *pair, int(g[x] + begin[x] - bounds[d[x]]), int(n[x]))
+                best[pair] = max(best.get(pair, row), row)
+
 
 def seed_indexes(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[SeedIndex]:
     """One index for each block of the benchmark; a block is all that is in the driver at a time."""

@@ -1,6 +1,7 @@
 """Operators against brute force, and every operator and stage on awkward rows."""
 
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -268,3 +269,33 @@ def test_pipeline_stages(spark, documents, tmp_path):
     empty = documents.where("false")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, empty, d).columns == documents.columns, name
+
+
+def test_benchmark_overlaps_meet_the_rule():
+    def qualifies(equal):
+        gain = np.concatenate([[0], np.cumsum(np.where(equal, 1, -4))])
+        least = min(13, len(equal))
+        return any(gain[b] >= gain[a] for a in range(len(equal)) for b in range(a + least, len(equal) + 1))
+
+    for n in range(5, 26):
+        miss = np.array(list(itertools.combinations(range(n), n // 5)))
+        equal = np.ones((len(miss), n), bool)
+        equal[np.arange(len(miss))[:, None], miss] = False
+        found = np.zeros(len(miss), bool)
+        for mask in decontaminate.MASKS if n >= 13 else decontaminate.SHORT_MASKS[n]:
+            places = [i for i, c in enumerate(mask) if c == "1"]
+            for at in range(n - places[-1]):
+                found |= equal[:, [at + p for p in places]].all(1)
+        assert found.all(), n
+
+    words = prose(21, 60).split()
+    rng = np.random.default_rng(0)
+    for n in (5, 9, 10, 12, 13, 15, 20, 25, 40):
+        index = decontaminate.SeedIndex([7], [" ".join(words[:n])])
+        sent = [np.isin(np.arange(n), rng.choice(n, k, replace=False), invert=True) for k in range(n // 4 + 2) for _ in range(20)] + [np.arange(n) % 5 != r for r in range(5)]
+        docs = [" ".join(w if e else f"zz{i}" for i, (w, e) in enumerate(zip(words[:n], equal, strict=True))).encode() for equal in sent]
+        offsets = np.cumsum([0, *map(len, docs)])
+        got = {d: rest for d, _, *rest in index.overlaps(*decontaminate.word_hashes(np.frombuffer(b"".join(docs), np.uint8), offsets, decontaminate.WORDED), len(docs))}
+        assert set(got) == {d for d, equal in enumerate(sent) if qualifies(equal)}
+        for d, (at, k, same) in got.items():
+            assert k >= min(13, n) and same == sent[d][at : at + k].sum() >= 0.8 * k
