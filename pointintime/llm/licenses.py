@@ -1,7 +1,8 @@
 """License detection by ordered signature rules.
 
-Rules are regular expressions over normalised words (lower-cased, one blank between words). A keyword
-gates each rule: a rule runs only in texts that contain its keyword, which one search a keyword decides.
+Rules are regular expressions over normalised words (lower-cased, one blank between words). Keywords
+gate each rule: a rule runs only in texts that contain one of its keywords, which one search a keyword decides.
+Whatever matches a rule contains one of its keywords, so gates change nothing but the time.
 Detections that overlap are resolved by the rules' priority and by containment: a detection that lies
 within another of the same or a higher priority is dropped, and a weaker one that overlaps a stronger
 one goes as well. The three base phrases are always reported, whatever else is found.
@@ -23,16 +24,17 @@ from .common import WORDED, mapped, texts
 #: Fixed phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Licenses: label, keyword that gates its rules, names, identifiers (both as normalised words).
+#: Licenses: label, keywords that gate its rules (one entry for all names or one for each, alternatives
+#: separated by |), names, identifiers (both as normalised words).
 LICENSES = (
-    ("mit", "mit", (r"mit(?: x11)?", r"expat"), ("mit",)),
+    ("mit", ("mit", "expat"), (r"mit(?: x11)?", r"expat"), ("mit",)),
     ("apache-2", "apache", (r"apache(?: software)?(?: license)? (?:version |v )?2(?: 0)?", r"apache2"), ("apache 2 0",)),
     ("apache-1.1", "apache", (r"apache(?: software)?(?: license)? (?:version |v )?1 1",), ("apache 1 1",)),
-    ("gpl-2", "2", (r"(?:gnu )?(?:general public license|gpl)(?: gpl)? (?:version |v )?2(?: 0)?", r"gplv2"), ("gpl 2 0 only", "gpl 2 0 or later", "gpl 2 0")),
-    ("gpl-3", "3", (r"(?:gnu )?(?:general public license|gpl)(?: gpl)? (?:version |v )?3(?: 0)?", r"gplv3"), ("gpl 3 0 only", "gpl 3 0 or later", "gpl 3 0")),
-    ("lgpl-2.1", "2", (r"(?:gnu )?(?:(?:lesser|library) general public license|lgpl) (?:version |v )?2(?: [01])?", r"lgplv2(?: 1)?"), ("lgpl 2 1 only", "lgpl 2 1 or later", "lgpl 2 1")),
-    ("lgpl-3", "3", (r"(?:gnu )?(?:lesser general public license|lgpl) (?:version |v )?3(?: 0)?", r"lgplv3"), ("lgpl 3 0 only", "lgpl 3 0 or later", "lgpl 3 0")),
-    ("agpl-3", "3", (r"(?:gnu )?(?:affero general public license|agpl) (?:version |v )?3(?: 0)?", r"agplv3"), ("agpl 3 0 only", "agpl 3 0 or later", "agpl 3 0")),
+    ("gpl-2", ("general public license|gpl", "gplv2"), (r"(?:gnu )?(?:general public license|gpl)(?: gpl)? (?:version |v )?2(?: 0)?", r"gplv2"), ("gpl 2 0 only", "gpl 2 0 or later", "gpl 2 0")),
+    ("gpl-3", ("general public license|gpl", "gplv3"), (r"(?:gnu )?(?:general public license|gpl)(?: gpl)? (?:version |v )?3(?: 0)?", r"gplv3"), ("gpl 3 0 only", "gpl 3 0 or later", "gpl 3 0")),
+    ("lgpl-2.1", ("lesser general public|library general public|lgpl", "lgplv2"), (r"(?:gnu )?(?:(?:lesser|library) general public license|lgpl) (?:version |v )?2(?: [01])?", r"lgplv2(?: 1)?"), ("lgpl 2 1 only", "lgpl 2 1 or later", "lgpl 2 1")),
+    ("lgpl-3", ("lesser general public|lgpl", "lgplv3"), (r"(?:gnu )?(?:lesser general public license|lgpl) (?:version |v )?3(?: 0)?", r"lgplv3"), ("lgpl 3 0 only", "lgpl 3 0 or later", "lgpl 3 0")),
+    ("agpl-3", ("affero|agpl", "agplv3"), (r"(?:gnu )?(?:affero general public license|agpl) (?:version |v )?3(?: 0)?", r"agplv3"), ("agpl 3 0 only", "agpl 3 0 or later", "agpl 3 0")),
     ("gfdl", "free documentation", (r"(?:gnu )?free documentation license",), ("gfdl 1 3",)),
     ("bsd-2-clause", "bsd", (r"(?:simplified|freebsd|2 clause|two clause) bsd", r"bsd (?:2|two) clause"), ("bsd 2 clause",)),
     ("bsd-3-clause", "bsd", (r"(?:new|modified|revised|3 clause|three clause) bsd", r"bsd (?:3|three) clause"), ("bsd 3 clause",)),
@@ -43,14 +45,14 @@ LICENSES = (
     ("mpl-1.1", "mozilla", (r"mozilla public license(?: mpl)? (?:version |v )?1 1",), ("mpl 1 1",)),
     ("epl-1", "eclipse", (r"eclipse public license (?:version |v )?1(?: 0)?",), ("epl 1 0",)),
     ("epl-2", "eclipse", (r"eclipse public license (?:version |v )?2(?: 0)?",), ("epl 2 0",)),
-    ("cddl-1", "cddl", (r"common development and distribution license(?: cddl)?", r"cddl"), ("cddl 1 0", "cddl 1 1")),
+    ("cddl-1", ("common development", "cddl"), (r"common development and distribution license(?: cddl)?", r"cddl"), ("cddl 1 0", "cddl 1 1")),
     ("eupl", "european union", (r"european union public licen[cs]e",), ("eupl 1 2",)),
     ("artistic-2", "artistic", (r"artistic license (?:version |v )?2(?: 0)?",), ("artistic 2 0",)),
     ("artistic-1", "artistic", (r"(?:perl )?artistic license(?: (?:version |v )?1(?: 0)?)?",), ("artistic 1 0",)),
     ("zlib", "zlib", (r"zlib(?: libpng)?",), ("zlib",)),
     ("boost-1", "boost", (r"boost software license(?: (?:version |v )?1(?: 0)?)?",), ("bsl 1 0",)),
     ("unlicense", "unlicense", (r"the unlicense",), ("unlicense",)),
-    ("wtfpl", "wtfpl", (r"wtfpl", r"do what the fuck you want to public license"), ("wtfpl",)),
+    ("wtfpl", ("wtfpl", "what the fuck"), (r"wtfpl", r"do what the fuck you want to public license"), ("wtfpl",)),
     ("psf-2", "python", (r"python software foundation license(?: (?:version |v )?2)?",), ("psf 2 0", "python 2 0")),
     ("openssl", "openssl", (r"openssl license",), ("openssl",)),
     ("postgresql", "postgresql", (r"postgresql licen[cs]e",), ("postgresql",)),
@@ -60,15 +62,15 @@ LICENSES = (
     ("ncsa", "ncsa", (r"(?:university of illinois )?ncsa(?: open source)?",), ("ncsa",)),
     ("odbl", "open database", (r"open database license",), ("odbl 1 0",)),
     ("pddl", "public domain dedication", (r"public domain dedication and license",), ("pddl 1 0",)),
-    ("cc0", "cc0", (r"cc0(?: 1 0)?(?: universal)?", r"creative commons zero"), ("cc0 1 0",)),
-    ("cc-by-nc-nd", "nc", (r"cc by nc nd(?: [1-4] 0)?", r"creative commons attribution noncommercial no ?derivat(?:ive)?s(?: works)?(?: [1-4] 0)?"), ("cc by nc nd 4 0",)),
-    ("cc-by-nc-sa", "nc", (r"cc by nc sa(?: [1-4] 0)?", r"creative commons attribution noncommercial share ?alike(?: [1-4] 0)?"), ("cc by nc sa 4 0",)),
-    ("cc-by-nc", "nc", (r"cc by nc(?: [1-4] 0)?", r"creative commons attribution non ?commercial(?: [1-4] 0)?"), ("cc by nc 4 0",)),
-    ("cc-by-sa", "sa", (r"cc by sa(?: [1-4] 0)?", r"creative commons attribution share ?alike(?: [1-4] 0)?"), ("cc by sa 4 0",)),
-    ("cc-by-nd", "nd", (r"cc by nd(?: [1-4] 0)?", r"creative commons attribution no ?derivat(?:ive)?s(?: [1-4] 0)?"), ("cc by nd 4 0",)),
+    ("cc0", ("cc0", "creative commons zero"), (r"cc0(?: 1 0)?(?: universal)?", r"creative commons zero"), ("cc0 1 0",)),
+    ("cc-by-nc-nd", ("cc by nc nd", "derivat"), (r"cc by nc nd(?: [1-4] 0)?", r"creative commons attribution non ?commercial no ?derivat(?:ive)?s(?: works)?(?: [1-4] 0)?"), ("cc by nc nd 4 0",)),
+    ("cc-by-nc-sa", ("cc by nc sa", "alike"), (r"cc by nc sa(?: [1-4] 0)?", r"creative commons attribution non ?commercial share ?alike(?: [1-4] 0)?"), ("cc by nc sa 4 0",)),
+    ("cc-by-nc", ("cc by nc", "commercial"), (r"cc by nc(?: [1-4] 0)?", r"creative commons attribution non ?commercial(?: [1-4] 0)?"), ("cc by nc 4 0",)),
+    ("cc-by-sa", ("cc by sa", "alike"), (r"cc by sa(?: [1-4] 0)?", r"creative commons attribution share ?alike(?: [1-4] 0)?"), ("cc by sa 4 0",)),
+    ("cc-by-nd", ("cc by nd", "derivat"), (r"cc by nd(?: [1-4] 0)?", r"creative commons attribution no ?derivat(?:ive)?s(?: [1-4] 0)?"), ("cc by nd 4 0",)),
     ("cc-by", "cc by", (r"cc by(?: [1-4] 0)?",), ("cc by 4 0",)),
     ("cc-by", "creative commons", (r"creative commons attribution(?: [1-4] 0)?",), ("cc by 3 0",)),
-    ("gpl", "general public license", (r"(?:the )?gnu general public license", r"gnu gpl"), ("gpl",)),
+    ("gpl", ("gnu general public license", "gnu gpl"), (r"(?:the )?gnu general public license", r"gnu gpl"), ("gpl",)),
     ("lgpl", "lesser general public", (r"(?:the )?(?:gnu )?lesser general public license",), ("lgpl",)),
     ("agpl", "affero", (r"(?:the )?(?:gnu )?affero general public license",), ("agpl",)),
     ("bsd", "bsd", (r"bsd(?: style)?",), ("bsd",)),
@@ -111,11 +113,11 @@ _PLAIN = {"mit", "isc", "bsd", "apache", "zlib", "ncsa", "creative-commons", "mp
 
 
 @lru_cache(maxsize=1)
-def rules() -> tuple[tuple[int, str, bytes, re.Pattern, float], ...]:
-    """(priority, label, keyword, expression, strength) in order; a smaller priority is stronger."""
+def rules() -> tuple[tuple[int, str, tuple[bytes, ...], re.Pattern, float], ...]:
+    """(priority, label, keywords, expression, strength) in order; a smaller priority is stronger."""
     found = []
-    for order, (label, keyword, names, ids) in enumerate(LICENSES):
-        for name in names:
+    for order, (label, keywords, names, ids) in enumerate(LICENSES):
+        for name, keyword in zip(names, [keywords] * len(names) if isinstance(keywords, str) else keywords, strict=True):
             for form, strength, rank in FORMS:
                 found.append((rank, order, label, keyword, form.format(name=f"(?:{name})"), strength))
             if label not in _PLAIN:
@@ -124,12 +126,12 @@ def rules() -> tuple[tuple[int, str, bytes, re.Pattern, float], ...]:
             found.append((0, order, label, "spdx", rf"spdx license identifier {i}", 0.9))
     found += [(0 if s > 0.8 else 2 if s > 0.5 else 4, 100 + k, label, word, x, s) for k, (label, word, x, s) in enumerate(SINGLE)]
     found.sort(key=lambda r: (r[0], r[1], r[4]))
-    return tuple((rank * 1000 + order, label, word.encode(), re.compile(rf"(?<= )(?:{x})(?= )".encode()), s) for rank, order, label, word, x, s in found)
+    return tuple((rank * 1000 + order, label, tuple(word.encode().split(b"|")), re.compile(rf"(?<= )(?:{x})(?= )".encode()), s) for rank, order, label, word, x, s in found)
 
 
 @lru_cache(maxsize=1)
-def _gates() -> tuple[tuple[bytes, tuple], ...]:
-    by: dict[bytes, list] = {}
+def _gates() -> tuple[tuple[tuple[bytes, ...], tuple], ...]:
+    by: dict[tuple[bytes, ...], list] = {}
     for r in rules():
         by.setdefault(r[2], []).append(r)
     return tuple((k, tuple(v)) for k, v in by.items())
@@ -138,8 +140,8 @@ def _gates() -> tuple[tuple[bytes, tuple], ...]:
 def detections(text: bytes) -> list[tuple[int, int, str, float]]:
     """Start, end, label and strength of what is kept in a normalised text (padded with blanks)."""
     hits = []
-    for keyword, gated in _gates():
-        if keyword in text:
+    for keywords, gated in _gates():
+        if any(k in text for k in keywords):
             hits += [(priority, m.start() - m.end(), m.start(), m.end(), label, s) for priority, label, _, x, s in gated for m in x.finditer(text)]
     kept: list[tuple[int, int, str, float]] = []
     for _, _, a, b, label, s in sorted(hits):

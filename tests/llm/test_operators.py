@@ -299,3 +299,31 @@ def test_benchmark_overlaps_meet_the_rule():
         assert set(got) == {d for d, equal in enumerate(sent) if qualifies(equal)}
         for d, (at, k, same) in got.items():
             assert k >= min(13, n) and same == sent[d][at : at + k].sum() >= 0.8 * k
+
+
+def test_license_gates_change_nothing(monkeypatch):
+    def spelled(x, at=0):
+        """All strings of an expression of literals, classes, groups and optional parts."""
+        if at == len(x):
+            return [""]
+        kind, value = x[at]
+        name = str(kind)
+        if name == "LITERAL":
+            heads = [chr(value)]
+        elif name == "IN":
+            heads = [chr(c) for k, v in value for c in ([v] if str(k) == "LITERAL" else range(v[0], v[1] + 1))]
+        elif name == "BRANCH":
+            heads = [y for part in value[1] for y in spelled(part)]
+        elif name == "SUBPATTERN":
+            heads = spelled(value[-1])
+        else:
+            assert name == "MAX_REPEAT" and tuple(value[:2]) == (0, 1)
+            heads = ["", *spelled(value[2])]
+        return [a + b for b in spelled(x, at + 1) for a in heads]
+
+    texts = [form.format(x) for _, _, names, _ in licenses.LICENSES for name in names for x in spelled(re._parser.parse(name)) for form in ("licensed under {}", "{} license")]
+    gated = [licenses.scan(x.encode()) for x in texts]
+    found = {x: licenses.scan(x.encode())[5] for x in ("released under the GNU GPL", "licensed under Creative Commons Attribution-ShareAlike 4.0 International", "licensed under Creative Commons Attribution-Non-Commercial 4.0", "licensed under Creative Commons Attribution-Non-Commercial-ShareAlike 4.0", "released under Creative Commons Zero", "under the Common Development and Distribution License", "Expat License")}
+    assert list(found.values()) == ["gpl", "cc-by-sa", "cc-by-nc", "cc-by-nc-sa", "cc0", "cddl-1", "mit"]
+    monkeypatch.setattr(licenses, "_gates", lambda: (((b"",), licenses.rules()),))
+    assert all(labels for *_, labels, _ in gated) and gated == [licenses.scan(x.encode()) for x in texts]
