@@ -305,7 +305,7 @@ SELECT conv_id, turn, grounded FROM p""")
 def grounding_overlap(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("said"))
-    return c.join(before, ["conv_id", "turn"]).select("conv_id", "turn", X.is_grounded(F.substring(F.col("text"), 1, 40), F.col("said")).alias("grounded"))
+    return c.join(before, ["conv_id", "turn"]).select("conv_id", "turn", X.is_grounded(F.col("text"), F.col("said")).alias("grounded"))
 
 
 # -- retrieval -------------------------------------------------------------------------------------

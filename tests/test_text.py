@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from pointintime.functions import text as X
 from pointintime.operators import chunks, report
+from pointintime.plans.queries import grounding_overlap
 
 
 def values(spark, rows, fn, kind="string"):
@@ -77,3 +78,10 @@ def test_report_state(spark):
     assert got == [("Bears", "Monday", "Cal Roe", None, "OUT"), ("Lions", "Monday", "Eve Gee", "LIMITED", None)]
     tables = report.report_tables(docs).collect()[0].tables
     assert tables[0].rows[0][0] == "Team" and len(tables[0].rows) == 3
+
+
+def test_grounding_looks_at_whole_turns(spark, tmp_path):
+    rows = [("a", 0, "We met our goalkeeper"), ("a", 1, "It was raining again, and nobody could say who the goalkeeper was"), ("a", 2, "Hello")]
+    spark.createDataFrame(rows, "conv_id string, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = grounding_overlap(spark, str(tmp_path)).collect()
+    assert {(r.turn, r.grounded) for r in got} == {(1, True), (2, False)}
