@@ -11,7 +11,9 @@ Strings are the words of a sentence, after punctuation within them is taken out
 ("i d i o t") are joined; a sentence's margin is the largest of its words', a text's that of its sentences.
 Training sentences come from labelled documents: all sentences of a clean document are negative; a
 sentence of a toxic document is positive where it holds a string that marks toxic documents (by the
-likelihood ratio of its document counts). Negatives are drawn at random, then once more among the strings
+likelihood ratio of its document counts, corrected for the number of strings that could pass at all). They are
+found in rounds: strings much weaker than the strongest of a round often just stand beside it, so they are judged
+again by the toxic documents that hold no string found so far, until none is significant. Negatives are drawn at random, then once more among the strings
 of clean documents with the largest margins. A logistic fit turns margins into probabilities.
 
 Fitting takes a bounded sample of about ``MAX_SAMPLE`` labelled documents; scores use all rows and
@@ -21,6 +23,7 @@ the largest counts; without toxic labels every score is 0.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -37,6 +40,10 @@ DECAY = 0.7
 SPAN = 6
 LENGTH = 18
 LANDMARKS = 128
+#: Where there are more positive strings than landmarks for them, so many of them are landmarks at most.
+POSITIVE_LANDMARKS = 1_024
+#: The chance that any string without a link to toxic documents becomes positive.
+ERROR = 0.05
 MAX_STRINGS = 3_000
 RIDGE = 0.05
 _MARKS = bytes(i for i in range(33, 128) if not (48 <= i <= 57 or 65 <= i <= 90 or 97 <= i <= 122))
@@ -146,7 +153,8 @@ class SubsequenceSVM:
         strings_ = positive + spread + negative
         x = coded([s[:LENGTH] for s in strings_])[0][: len(strings_)]
         y = np.where(np.arange(len(strings_)) < len(positive) + len(spread), 1.0, -1.0)
-        marks = [*range(min(len(positive), LANDMARKS * 3 // 4)), *(len(positive) + len(spread) + np.arange(min(len(negative), LANDMARKS // 4)))]
+        n_marks = min(len(positive), POSITIVE_LANDMARKS)
+        marks = [*(np.arange(n_marks) * len(positive) // max(1, n_marks)), *(len(positive) + len(spread) + np.arange(min(len(negative), LANDMARKS // 4)))]
         z = table_of(x[marks])
         gram = kernels(x[marks], z)
         value, vector = np.linalg.eigh((gram + gram.T) / 2)
@@ -221,6 +229,19 @@ def _margins(column: pa.Array, model: SubsequenceSVM, seen: dict[bytes, float])
     return np.array([max(map(seen.__getitem__, s), default=least) for s in each])
 
 
+def least_ratio(found: dict[int, int], toxic_share: float) -> float:
+    """The likelihood ratio above which a string is significant, by Bonferroni's correction over the strings that
+    could reach it (Tarone): ``found`` has the number of strings by the number of their documents. A string of n
+    documents reaches 2 n ln(1 / share) at most; a ratio of g has a chance below exp(-g / 2)."""
+    left, most = sum(found.values()), 2 * math.log(1 / toxic_share) if toxic_share < 1 else 0.0
+    for n in sorted(found):
+        least = 2 * math.log(max(1, left) / ERROR)
+        if most * n >= least:
+            return least
+        left -= found[n]
+    return 2 * math.log(max(1, left) / ERROR)
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, max_sample: int, seed: int) -> DataFrame:
     named = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = named.count()
@@ -235,36 +256,59 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAM
     if not n_toxic:
         return None
 
-    def run(batches):
-        for batch in batches:
-            data, offsets = texts(batch.column(0))
-            whole = memoryview(data)
-            words, toxic = [], []
-            for a, b, t in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column(1).to_pylist(), strict=True):
-                own = {w.decode(errors="ignore") for w in strings(bytes(whole[a:b])) if 3 < len(w) <= LENGTH}
-                own |= {w[:k] for w in own for k in range(4, min(len(w), 9))}
-                words += own
-                toxic += [t] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int64())], names=["s", "toxic"])
-
-    counts = written(sample.select("text", F.col("toxic").cast("long")).mapInArrow(run, "s string, toxic long").groupBy("s").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
-    t, c = F.col("t").cast("double"), F.col("c").cast("double")
-    expected = (t + c) * F.lit(n_toxic / (n_toxic + n_clean))
-    ratio = 2 * (t * F.log(t / expected) + F.when(c > 0, c * F.log(c / ((t + c) - expected))).otherwise(0.0))
-    strong = counts.where((t >= 2) & (t > expected) & (c <= t / 10)).select("s", "t", "c", ratio.alias("g")).where("g > 11").orderBy(F.col("g").desc(), F.length("s").desc(), "s").limit(LANDMARKS * 20).collect()
-    kept: list[str] = []
-    strong = [r for r in strong if r[3] >= 0.1 * strong[0][3]]  # among millions of strings some are strong by chance
-    for s, _, _, _ in strong:
-        if not any(k.startswith(s) or s.startswith(k) for k in kept):
-            kept.append(s)
-    positive = [s.encode() for s in kept[: LANDMARKS * 3 // 4]]
+    def counted(kept: dict[str, bool]) -> DataFrame:
+        """Toxic documents without a string of ``kept`` and clean ones, of each string and ("") in all."""
+
+        def run(batches):
+            for batch in batches:
+                data, offsets = texts(batch.column(0))
+                whole = memoryview(data)
+                words, toxic = [], []
+                for a, b, t in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column(1).to_pylist(), strict=True):
+                    own = {w.decode(errors="ignore") for w in strings(bytes(whole[a:b])) if 2 < len(w) <= LENGTH}
+                    own |= {w[:k] for w in own for k in range(4, min(len(w), 9))}
+                    if t == 1 and not kept.keys().isdisjoint(own):
+                        continue
+                    words += ["", *(own - {""})]
+                    toxic += [t] * (len(words) - len(toxic))
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int64())], names=["s", "toxic"])
+
+        return written(sample.select("text", (F.col("toxic") == 1).cast("long").alias("toxic")).mapInArrow(run, "s string, toxic long").groupBy("s").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
+
+    kept, begun, strong, first_counts = {}, set(), [], None
+    while True:
+        counts = counted(kept)
+        first_counts = first_counts or counts
+        left = counts.where("s = ''").select("t", "c").first()
+        if not left or not left[0]:
+            break
+        base, t, c = left[0] / (left[0] + left[1]), F.col("t").cast("double"), F.col("c").cast("double")
+        expected = (t + c) * F.lit(base)
+        ratio = 2 * (t * F.log(t / expected) + F.when(c > 0, c * F.log(c / ((t + c) - expected))).otherwise(0.0))
+        counts = counts.where("s <> ''")
+        documents = F.least(F.col("t") + F.col("c"), F.lit(1_000))
+        least = least_ratio({r[0]: r[1] for r in counts.groupBy(documents.alias("n")).count().collect()}, base)
+        found = counts.where((t > expected) & (c <= t / 10)).select("s", ratio.alias("g")).where(F.col("g") > least).orderBy(F.col("g").desc(), F.length("s").desc(), "s").collect()
+        found = [s for s, g in found if g >= 0.1 * found[0][1]]
+        if not found:
+            break
+        strong += found
+        for s in found:
+            heads = [s[:k] for k in range(1, len(s) + 1)]
+            if s not in begun and not any(x in kept for x in heads):
+                kept[s] = True
+                begun.update(heads)
+        if kept.keys().isdisjoint(found):
+            break
+    counts = first_counts.where("s <> ''")
+    positive = [s.encode() for s in kept]
     if not positive:
         return None
-    more = [s.encode() for s, *_ in strong if s not in kept and any(s.startswith(k) for k in kept[: LANDMARKS * 3 // 4])]
+    more = [s.encode() for s in dict.fromkeys(strong) if s not in kept and any(s[:k] in kept for k in range(1, len(s)))]
     clean = counts.where("t = 0 and c > 0").select("s")
     kinds = clean.count()
     drawn = [r[0].encode() for r in clean.where(share(F.col("s"), f"n{seed}") < MAX_STRINGS / max(1, kinds)).collect()]
-    first = SubsequenceSVM(positive + more[:400], drawn or [b"the"], seed)
+    first = SubsequenceSVM(positive + more, drawn or [b"the"], seed)
 
     def hard(batches):
         for batch in batches:
@@ -274,7 +318,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAM
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(near)), pa.array(m[near])], names=["s", "m"])
 
     worst = [r[0].encode() for r in clean.mapInArrow(hard, "s string, m double").orderBy(F.desc("m"), "s").limit(MAX_STRINGS // 2).collect()]
-    model = SubsequenceSVM(positive + more[:400], worst + drawn or [b"the"], seed)
+    model = SubsequenceSVM(positive + more, worst + drawn or [b"the"], seed)
 
     def scored(batches):
         seen: dict[bytes, float] = {}

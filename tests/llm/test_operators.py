@@ -327,3 +327,19 @@ def test_license_gates_change_nothing(monkeypatch):
     assert list(found.values()) == ["gpl", "cc-by-sa", "cc-by-nc", "cc-by-nc-sa", "cc0", "cddl-1", "mit"]
     monkeypatch.setattr(licenses, "_gates", lambda: (((b"",), licenses.rules()),))
     assert all(labels for *_, labels, _ in gated) and gated == [licenses.scan(x.encode()) for x in texts]
+
+
+def test_toxicity_learns_rare_short_and_many_strings(spark):
+    found = {1: 100_000, 2: 5_000, 3: 400, 30: 3}
+    assert toxicity.least_ratio(found, 0.1) == pytest.approx(2 * math.log(3 / 0.05))
+    rng = np.random.default_rng(5)
+    insults = ["grobian"] * 170 + ["zuk"] * 12 + ["wyvvox"] * 12
+    rude = [(1000 + i, f"{prose(2000 + i, 30)} {x} {prose(5000 + i, 10)}") for i, x in enumerate(insults)]
+    docs = spark.createDataFrame([(i, prose(9000 + i, 40)) for i in range(500)] + rude, "doc_id long, text string")
+    model = toxicity.train_toxicity(docs, docs.selectExpr("doc_id", "cast(doc_id >= 1000 as int) as toxic"))
+    assert (model.margins([b"grobian", b"zuk", b"wyvvox"]) > model.margins([b"table"])[0] + 0.5).all()
+    many = [("".join(rng.choice(list("bdfgkpqvwxyz"), 7)),) for _ in range(150)]
+    rude = [(1000 + 6 * i + k, f"{prose(2000 + 6 * i + k, 15)} {x}") for i, (x,) in enumerate(many) for k in range(6)]
+    docs = spark.createDataFrame([(1_000_000 + i, prose(90_000 + i, 20)) for i in range(5000)] + rude, "doc_id long, text string")
+    model = toxicity.train_toxicity(docs, docs.selectExpr("doc_id", "cast(doc_id < 1000000 as int) as toxic"))
+    assert (model.margins([x.encode() for x, in many]) > model.margins([b"table"])[0] + 0.5).mean() > 0.98
