@@ -9,7 +9,9 @@ divisor at least 1. Densities of a node's children are summed; the subtree with
 The threshold is the least density on the path from that node up to the body: children with a lower density
 go, unless they are blocks of text without links. Elements that are never article text (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, comments of readers), by name, role, class or id, are
-cut from the tree beforehand, save for the headings and header of the article itself.
+cut from the tree beforehand, save for the headings and header of the article itself. A class or id is only a
+hint: names that negate or wrap ("no-sidebar", "content-with-sidebar") say nothing, and an element with the
+article in it, or without one elsewhere most of the body's text outside links, stays for the densities to decide.
 
 Text: character references decoded, white space within a block as one blank, blocks joined by an empty
 line in page order. Null and empty pages, pages without text: an empty string. Unclosed and stray tags are
@@ -37,28 +39,50 @@ _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
 _SCOPE = frozenset("ul ol dl table tr tbody thead div article section body html td th blockquote".split())
 _ENDS_P = _BLOCK - {"html", "body"}
 _NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar side-bar rail footer foot masthead topbar toolbar header site-header cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget comment comments commentlist disqus respond reply replies discussion pagination pager skip-link hidden sr-only".split())
+_WRAPPER_WORDS = frozenset("no not non has have with without is under elementor".split())
+_CONTENT_WORDS = frozenset("content free article main post entry title layout".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _SPLIT = re.compile(r"[\s_]+|(?<=[a-z])(?=[A-Z])")
 _WS = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "noise", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "noise", "article", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise, self.children = tag, parent, noise, []
+    def __init__(self, tag: str, parent: Node | None, noise: int = False, article: bool = False):
+        self.tag, self.parent, self.noise, self.article, self.children = tag, parent, noise, article, []
 
 
-def _noisy(tag: str, attributes: str, parent: Node) -> bool:
+#: What ``Node.noise`` is where only a class or id says so.
+_HINT = 2
+
+
+def _noise_name(name: str, inside: bool) -> bool:
+    """Does a word of a class or id name what is never text? ``inside``: within an article or main."""
+    parts = name.split("-")
+    if not _WRAPPER_WORDS.isdisjoint(parts) or parts[-1] in _CONTENT_WORDS or parts[-1] == "header" and (inside or not _CONTENT_WORDS.isdisjoint(parts)):
+        return False
+    return name in _NOISE_WORDS or parts[0] in _NOISE_WORDS or parts[-1] in _NOISE_WORDS
+
+
+def _within(node: Node | None) -> bool:
+    """Is the node an article or main, or below one?"""
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
+def _named(attributes: str, parent: Node) -> bool:
+    found = ((name.lower(), value.strip("\"'")) for name, value in _ATTRIBUTE.findall(attributes))
+    words = [word.lower() for name, value in found if name in ("class", "id") for word in _SPLIT.split(value)]
+    return bool(words) and any(_noise_name(word, _within(parent)) for word in words)
+
+
+def _noisy(tag: str, attributes: str, parent: Node) -> int:
     if tag in _NEVER:
         return True
     if tag == "header":
-        up = parent
-        while up is not None:
-            if up.tag in ("article", "main"):
-                return False
-            up = up.parent
-        return True
+        return not _within(parent)
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").strip()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -67,12 +91,26 @@ def _noisy(tag: str, attributes: str, parent: Node) -> bool:
             return True
         if name == "role" and value.lower() in _NOISE_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            for word in _SPLIT.split(value):
-                word = word.lower()
-                if word in _NOISE_WORDS or any(part in _NOISE_WORDS for part in word.split("-")):
-                    return True
-    return False
+    return _HINT if tag not in ("html", "body", "article", "main") and _named(attributes, parent) else False
+
+
+def _keep_text(root: Node) -> None:
+    """Takes the hints back from elements that hold the page's text."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, link = stack.pop()
+        order.append((node, link))
+        stack += [(c, link or c.tag == "a") for c in node.children if isinstance(c, Node) and (not c.noise or c.noise == _HINT)]
+    if all(node.noise != _HINT for node, _ in order):
+        return
+    for node, link in reversed(order):
+        inner = [c for c in node.children if isinstance(c, Node) and (not c.noise or c.noise == _HINT)]
+        node.chars = sum(c.chars for c in inner) + (0 if link else sum(len("".join(c.split())) for c in node.children if isinstance(c, str)))
+        node.tags = node.tag in ("article", "main") and node.article or any(c.tags for c in inner)
+    body = next((x for x, _ in order if x.tag == "body"), root)
+    for node, _ in order:
+        if node.noise == _HINT and (node.tags or not root.tags and 2 * node.chars > body.chars):
+            node.noise = False
 
 
 def tree(page: str) -> Node:
@@ -114,10 +152,11 @@ def tree(page: str) -> Node:
                 up = up.parent
             if up is not None and up.tag in closes and up.parent is not None:
                 here = up.parent
-        node = Node(tag, here, _noisy(tag, m[3] or "", here))
+        node = Node(tag, here, _noisy(tag, m[3] or "", here), tag in ("article", "main") and not _named(m[3] or "", here))
         here.children.append(node)
         if tag not in _VOID and not (m[3] or "").endswith("/"):
             here = node
+    _keep_text(root)
     return root
 
 

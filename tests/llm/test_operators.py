@@ -343,3 +343,11 @@ def test_toxicity_learns_rare_short_and_many_strings(spark):
     docs = spark.createDataFrame([(1_000_000 + i, prose(90_000 + i, 20)) for i in range(5000)] + rude, "doc_id long, text string")
     model = toxicity.train_toxicity(docs, docs.selectExpr("doc_id", "cast(doc_id < 1000000 as int) as toxic"))
     assert (model.margins([x.encode() for x, in many]) > model.margins([b"table"])[0] + 0.5).mean() > 0.98
+
+
+def test_html_wrappers_stay():
+    article = "<article><div class='entry-header'><h1>Title</h1></div><p>Some words of the text.</article>"
+    for name in ("no-sidebar", "has-sidebar", "content-with-sidebar", "ad-free", "elementor-widget-theme-post-content", "sidebar"):
+        assert html_text.main_text(f"<body><nav>x</nav><div class='{name}'>{article}</div><div class='ad'>buy</div></body>") == "Title\n\nSome words of the text."
+    assert html_text.main_text("<body><div class='widget'><p>Most of the words of a page.</div><div class='sidebar'>Other</div></body>") == "Most of the words of a page."
+    assert html_text.main_text(f"<body>{article}<div id='comments'><article class='comment-body'>{prose(1, 90)}</article></div><div class='sidebar-left ad-slot'>{prose(2, 90)}</div></body>") == "Title\n\nSome words of the text."
