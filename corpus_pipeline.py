@@ -52,7 +52,8 @@ def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mix takes words, with how many (mix_taken)."""
+    """Documents of which the mix takes words, with how many (mix_taken). That is the decision only: each row stands
+    once with its whole text, and ``mixing.repeated`` builds the repetitions and runs of words from it."""
     return mix_sources(docs).where("mix_taken > 0")
 
 
