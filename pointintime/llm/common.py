@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -25,20 +24,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none."""
+    """The folder that all executors share, ``spark.checkpoint.dir``. Where the session names none it is a folder of the
+    warehouse, which executors share as well; where that is on the driver's own disk, all must run on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        home = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") and (home.startswith("file:") or "://" not in home):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        named = f"{home.rstrip('/')}/scratch"
     return named.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, safe when executors are lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Tables(df.sparkSession).write(df)
+
+
+class Tables:
+    """Parquet tables that one job writes to the shared folder, and removes when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/tables", {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path, out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm = self.spark._jvm
+        for table_ in tables:
+            path, _ = self.paths.pop(id(table_))
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:

@@ -11,24 +11,27 @@ locality-sensitive: the chance that one agrees grows with the Jaccard similarity
    a probability under 1e-8. Buckets with one representative go away.
 3. Stars: in every bucket each member is paired with the member that shares most buckets with others, the likeliest centre of
    a group of copies. Pairs whose jointly estimated similarity is far below the threshold go; the others are verified on
-   full sets. Verified links are closed transitively. ``PIVOTS`` more rounds pair what stays outside a bucket's largest component
-   with other members of that component.
+   full sets. Verified links are closed transitively. What stays outside a bucket's largest component is then paired
+   with ``PIVOTS`` members of that component at once.
 4. What the stars leave are members outside their bucket's largest component. Where a bucket has few of them they are
    paired with the members of its other components; in the others, members are paired that have one of
    their rarest shingles in common, which loses no link (prefix filter). Members of one component are never paired.
 
-Null and empty texts have an empty set, no link, and are their own component. A null id counts as the
-largest id that a long can hold. Repeated rows are copies like any others.
+The text of each representative that has a bucket in common with another is written once, with its sketch, and all rounds
+verify from that table; tables of a round are removed when the next one is written.
+
+Null and empty texts have an empty set, no link, and are their own component. A null id comes after all others: a
+component of such rows only has a null component_id, and all of them are kept. Repeated rows are copies like any others.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, mix, pieces, signed, table, word_hashes, written
+from .common import Tables, mix, pieces, signed, table, word_hashes
 
 REGISTERS = 240
 BASE_B = 1.02
@@ -157,8 +160,8 @@ def _near(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union; ``texts``: node, text."""
+def verified(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union; ``bodies``: node, text."""
 
     def run(batches):
         for batch in batches:
@@ -176,30 +179,29 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                 keep[i] = 100 * shared >= percent * (len(sets[0]) + len(sets[1]) - shared)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    rows = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    rows = rows.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    rows = pairs.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    rows = rows.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, root (the smallest node that it reaches) of all nodes of ``links`` (a, b).
+def components(links: DataFrame, tables: Tables) -> DataFrame:
+    """x, y: all nodes of ``links`` (a, b) with the smallest node that each reaches, but for those smallest ones.
 
-    Alternates large and small stars; each round is a written table, and rounds grow with the logarithm of
+    Alternates large and small stars until every node has one edge and no root has any; rounds grow with the logarithm of
     the longest path. What is joined is written first, so that Spark can split the hub of a large star.
     """
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct())
-    seen = None
+    edges = tables.write(links.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct())
     while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            return edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("root"))
-        seen = state
+        ends = edges.select(F.col("x").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("y").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty():
+            return edges
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = written(both.groupBy("x").agg(F.least(F.min("y"), F.min("x")).alias("m")))
-        large = written(edges.select(F.col("y").alias("x"), F.col("x").alias("y")).join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct())
-        low = written(large.groupBy("x").agg(F.min("y").alias("m")))
+        least = tables.write(both.groupBy("x").agg(F.least(F.min("y"), F.min("x")).alias("m")))
+        large = tables.write(edges.select(F.col("y").alias("x"), F.col("x").alias("y")).join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct())
+        low = tables.write(large.groupBy("x").agg(F.min("y").alias("m")))
         star = large.join(low, "x").select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("x"), F.col("m").alias("y"))
-        edges = written(star.where("x <> y").distinct())
+        old, edges = edges, tables.write(star.where("x <> y").distinct())
+        tables.drop(old, least, large, low)
 
 
 def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -239,78 +241,93 @@ def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text)."""
-    none = F.lit((1 << 63) - 1)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), "text")
-    known = written(sketched(base, shingle, rows_of(percent)))
-    one = known.where("n > 0").groupBy("node").agg(F.min_by(F.struct("id", "n", "text_hash", "sketch", "bands"), "id").alias("r"))
-    reps = written(one.select("node", "r.*"))
-    member = reps.select("node", "id", F.explode("bands").alias("bucket"))
-    sizes = written(member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    shared = written(member.join(sizes, "bucket").select("bucket", "node", "size"))
-    central = shared.groupBy("node").agg(F.sum("size").alias("c"))
-    buckets = written(shared.join(central, "node").select("bucket", "node", "c"))
-    hubs = written(buckets.groupBy("bucket").agg(F.max(F.struct("c", "node")).alias("hub")).select("bucket", F.col("hub.node").alias("hub")))
-    facts = reps.select("node", "n", "sketch")
-
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        hashes = reps.join(nodes, "node", "left_semi").select("node", "text_hash")
-        bodies = base.select("text", F.xxhash64("text").alias("text_hash")).join(hashes, "text_hash")
-        return written(bodies.groupBy("node").agg(F.min("text").cast("binary").alias("text")))
+    """doc_id, n_shingles, component_id, kept, text_hash of each row of ``docs`` (doc_id, text)."""
+    tables = Tables(docs.sparkSession)
+    write, drop = tables.write, tables.drop
+    base = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    known = write(sketched(base, shingle, rows_of(percent)))
+    who = F.struct(F.col("id").isNull().alias("none"), "id")
+    reps = write(known.where("n > 0").groupBy("node").agg(F.min(who).alias("who"), F.min("text_hash").alias("text_hash"), F.any_value(F.struct("n", "sketch", "bands")).alias("r")).select("node", "who", "text_hash", "r.*"))
+    member = reps.select("node", F.explode("bands").alias("bucket"))
+    sizes = write(member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    shared = write(member.join(sizes, "bucket").select("bucket", "node", "size"))
+    central = write(shared.groupBy("node").agg(F.sum("size").alias("c")))
+    buckets = write(shared.join(central, "node").select("bucket", "node", "c"))
+    hubs = write(buckets.groupBy("bucket").agg(F.max(F.struct("c", "node")).alias("hub")).select("bucket", F.col("hub.node").alias("hub")))
+    texts = base.groupBy(F.xxhash64("text").alias("text_hash")).agg(F.any_value("text").cast("binary").alias("text"))
+    bodies = write(texts.join(reps.join(central, "node", "left_semi").select("node", "text_hash", "n", "sketch"), "text_hash").drop("text_hash"))
+    drop(sizes, shared, central)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        a, b = (facts.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+        a, b = (bodies.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
         alike = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-        near = written(_near(pairs.join(b, "b").join(a, "a").where(alike), percent / 100))
-        nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-        return written(verified(near, texts_of(nodes), shingle, percent))
-
-    def left(root: DataFrame, r: int) -> DataFrame:
-        """bucket, node, root of the members of buckets with several components, with the largest one's root (top) and the
-        member of it (pivot) that the others are compared with in round ``r``."""
-        placed = buckets.join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), (F.col("c") if r == 1 else F.xxhash64("node", F.lit(r))).alias("c"))
-        groups = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.max(F.struct("c", "node")).alias("best"))
-        split = groups.groupBy("bucket").agg(F.max(F.struct("n", "root", "best")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
-        split = written(split.select("bucket", F.col("top.root").alias("top"), F.col("top.best.node").alias("pivot")))
-        return written(placed.join(split, "bucket").drop("c"))
-
-    done = written(buckets.join(hubs, "bucket").where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
+        near = write(_near(pairs.join(b, "b").join(a, "a").where(alike), percent / 100))
+        found = write(verified(near, bodies, shingle, percent))
+        drop(near)
+        return found
+
+    def joined(root: DataFrame, links: DataFrame) -> DataFrame:
+        """``root`` (x, y: a node and its root) with the components that ``links`` connect as one."""
+        for c in "ab":
+            of = root.select(F.col("x").alias(c), F.col("y").alias(f"root_{c}"))
+            links = links.join(of, c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+        met = components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), tables)
+        top = met.select(F.col("x").alias("y"), F.col("y").alias("top"))
+        out = write(root.join(top, "y", "left").select("x", F.coalesce("top", "y").alias("y")).unionByName(met))
+        drop(root, met)
+        return out
+
+    def left(root: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """bucket, node, root of the members of buckets with several components, with the largest one's root (top); and by
+        bucket the members of that component (pivots) that the others are compared with."""
+        placed = buckets.join(root, buckets["node"] == root["x"], "left").select("bucket", "node", F.coalesce("y", "node").alias("root"), "c")
+        pivots = [F.max(F.struct("c", "node")).alias("p0"), *(F.max(F.struct(F.xxhash64("node", F.lit(r)).alias("c"), "node")).alias(f"p{r}") for r in range(1, PIVOTS))]
+        groups = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), *pivots)
+        best = F.struct("n", "root", F.array(*(F.col(f"p{r}.node") for r in range(PIVOTS))).alias("pivots"))
+        split = groups.groupBy("bucket").agg(F.max(best).alias("best"), F.count("*").alias("kinds")).where("kinds > 1")
+        split = write(split.select("bucket", F.col("best.root").alias("top"), F.col("best.pivots").alias("pivots")))
+        return write(placed.join(split, "bucket").drop("c", "pivots")), split
+
+    done = write(buckets.join(hubs, "bucket").where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
     links = linked(done)
-    root = written(components(links))
-    for r in range(1, PIVOTS + 1):
-        rest = left(root, r)
-        pairs = rest.where("root <> top").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        pairs = written(pairs.join(done, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        new = linked(pairs)
-        done = done.unionByName(pairs)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            root = written(components(links))
-    rest = left(root, PIVOTS + 1)
+    root = components(links, tables)
+    drop(hubs, links)
+    rest, split = left(root)
+    outer = rest.where("root <> top").join(split.select("bucket", F.explode("pivots").alias("pivot")), "bucket")
+    outer = outer.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+    pairs = write(outer.join(done, ["a", "b"], "left_anti"))
+    drop(rest, split)
+    links = linked(pairs)
+    root = joined(root, links)
+    drop(links)
+    done = done.unionByName(pairs)
+
+    rest, _ = left(root)
     main = F.col("root") == F.col("top")
-    work = written(rest.groupBy("bucket").agg(F.count_if(~main).alias("minors"), F.count("*").alias("size")))
-    few = written(rest.join(work.where(F.col("minors") * F.col("size") <= FEW).select("bucket"), "bucket"))
+    work = write(rest.groupBy("bucket").agg(F.count_if(~main).alias("minors"), F.count("*").alias("size")))
+    few = rest.join(work.where(F.col("minors") * F.col("size") <= FEW).select("bucket"), "bucket")
     many = rest.join(work.where(F.col("minors") * F.col("size") > FEW).select("bucket"), "bucket")
-    nodes = written(many.groupBy("node").agg(F.min("root").alias("root"), F.max(~main).alias("minor")))
-    kept = prefixes(texts_of(nodes.select("node")), shingle, percent).join(nodes, "node")
+    nodes = write(many.groupBy("node").agg(F.min("root").alias("root"), F.max(~main).alias("minor")))
+    kept = prefixes(bodies.join(nodes, "node", "left_semi").select("node", "text"), shingle, percent).join(nodes, "node")
     both = few.select(F.col("bucket").alias("key"), "node", "root", (~main).alias("minor"), F.lit(0).cast("long").alias("place")).unionByName(kept.select(F.col("token").alias("key"), "node", "root", "minor", "place"))
-    both = written(both.join(facts.select("node", "n"), "node"))
+    both = write(both.join(bodies.select("node", "n"), "node"))
+    drop(rest, work, nodes)
     x = both.where("minor").select("key", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_x"), (F.col("n") - F.col("place")).alias("left_x"))
     y = both.select("key", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("n").alias("n_y"), (F.col("n") - F.col("place")).alias("left_y"), "minor")
     alike = f"least(n_x, n_y) * 100 >= greatest(n_x, n_y) * {percent} and least(left_x, left_y) * {100 + percent} >= (n_x + n_y) * {percent}"
     pairs = x.join(y, (x["key"] == y["key"]) & F.expr(f"root_x <> root_y and (not minor or x < y) and {alike}")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    new = linked(pairs.join(done, ["a", "b"], "left_anti"))
-    if not new.isEmpty():
-        root = written(components(links.unionByName(new)))
-    owned = written(reps.join(root, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")))
-    least = written(owned.groupBy("root").agg(F.min("id").alias("component")))
-    classes = owned.join(least, "root").select(F.col("node").alias("class"), "component")
-    out = known.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(classes, F.col("node") == F.col("class"), "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.nullif(F.col("id"), none).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, none).alias("component_id"), (F.col("id") == component).alias("kept"))
+    links = linked(pairs.join(done, ["a", "b"], "left_anti"))
+    root = joined(root, links)
+    drop(both, links, buckets, bodies)
+
+    owned = write(reps.join(root, reps["node"] == root["x"], "left").select("node", "who", F.coalesce("y", "node").alias("root")))
+    least = write(owned.groupBy("root").agg(F.min("who").alias("component")))
+    classes = write(owned.join(least, "root").select(F.col("node").alias("class"), F.col("component.id").alias("component")))
+    drop(reps, root, owned, least)
+    out = known.select("id", "n", "text_hash", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(classes, F.col("node") == F.col("class"), "left")
+    component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "text_hash")
 
 
 def op9_setsketch_near_dup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("text_hash")
