@@ -17,7 +17,8 @@ again by the toxic documents that hold no string found so far, until none is sig
 of clean documents with the largest margins. A logistic fit turns margins into probabilities.
 
 Fitting takes a bounded sample of about ``MAX_SAMPLE`` labelled documents; scores use all rows and
-whole texts. Null and empty texts have no string and get the lowest score; of several labels of one id
+whole texts, long ones a stretch at a time. Null and empty texts have no string and get the lowest score; repeated rows
+get a score each; of several labels of one id
 the largest counts; without toxic labels every score is 0.
 """
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, appended, remainder, share, table, texts, written
+from .common import SPACED, appended, pieces, remainder, share, table, texts, written
 
 MAX_SAMPLE = 8_000
 THRESHOLD = 0.3
@@ -46,6 +48,10 @@ POSITIVE_LANDMARKS = 1_024
 ERROR = 0.05
 MAX_STRINGS = 3_000
 RIDGE = 0.05
+#: Strings that get their margins at a time, bytes of text whose strings are found at a time, and margins that a task remembers.
+SLICE, STRETCH, REMEMBERED = 2_048, 1 << 18, 50_000
+#: Bytes that two stretches of a long text have in common.
+OVERLAP = 256
 _MARKS = bytes(i for i in range(33, 128) if not (48 <= i <= 57 or 65 <= i <= 90 or 97 <= i <= 122))
 _LOWER = bytes(SPACED)
 _SINGLES = re.compile(rb"(?:(?<= )|^)(?:[a-z0-9] +){3,}[a-z0-9](?= |$)")
@@ -178,8 +184,8 @@ class SubsequenceSVM:
     def margins(self, many: list[bytes]) -> np.ndarray:
         """The margin of each string."""
         out = np.full(len(many), self.bias - 1.0)
-        for at in range(0, len(many), 20_000):
-            x, owner = coded_fast(many[at : at + 20_000])
+        for at in range(0, len(many), SLICE):
+            x, owner = coded_fast(many[at : at + SLICE])
             total = np.zeros(len(x), np.float32)
             square = np.zeros(len(x), np.float32)
             for i in range(LENGTH - 2):
@@ -217,16 +223,37 @@ class SubsequenceSVM:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
 
+def stretches(text: memoryview) -> Iterator[bytes]:
+    """A text a stretch at a time; stretches of a long one begin and end between words where they can."""
+    at, n = 0, len(text)
+    while n - at > 2 * STRETCH:
+        part = bytes(text[at : at + STRETCH])
+        end = max(part.rfind(b" "), part.rfind(b"\n"))
+        end = end if end > STRETCH // 2 else STRETCH
+        yield part[:end]
+        back = part.find(b" ", end - OVERLAP, end)
+        at += back if back > 0 else end - OVERLAP
+    yield bytes(text[at:])
+
+
 def _margins(column: pa.Array, model: SubsequenceSVM, seen: dict[bytes, float]) -> np.ndarray:
-    data, offsets = texts(column)
-    whole = memoryview(data)
-    each = [strings(bytes(whole[a:b])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    if len(seen) > 400_000:
-        seen.clear()
-    new = list(set().union(*each).difference(seen)) if each else []
-    seen.update(zip(new, model.margins(new).tolist(), strict=True))
-    least = model.bias - 1.0
-    return np.array([max(map(seen.__getitem__, s), default=least) for s in each])
+    """The largest margin of each text's strings; what is held at a time doesn't grow with the batch."""
+    out = np.full(len(column), model.bias - 1.0)
+    for first, last, data, offsets in pieces(column, STRETCH):
+        whole = memoryview(data)
+        each = [(k, strings(part)) for k in range(first, last) for part in stretches(whole[offsets[k - first] : offsets[k - first + 1]])]
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        new = list(set().union(*(s for _, s in each)).difference(seen))
+        values = dict(zip(new, model.margins(new).tolist(), strict=True))
+        if len(new) <= REMEMBERED:
+            seen.update(values)
+            values = seen
+        else:
+            values = seen | values
+        for k, own in each:
+            out[k] = max(out[k], max(map(values.__getitem__, own), default=out[k]))
+    return out
 
 
 def least_ratio(found: dict[int, int], toxic_share: float) -> float:
@@ -330,15 +357,27 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAM
     return model
 
 
-def toxicity_scores(docs: DataFrame, model: SubsequenceSVM | None, threshold: float | None = None) -> DataFrame:
-    """``docs`` with toxic_score; with a threshold only the rows below it."""
-    place = docs.columns.index("text")
+def toxicity_scores(docs: DataFrame, model: SubsequenceSVM | None) -> DataFrame:
+    """``docs`` with toxic_score (a column of that name is replaced)."""
     seen: dict[bytes, float] = {}
 
     def run(batch):
-        return [np.zeros(batch.num_rows) if model is None else model.probability(_margins(batch.column(place), model, seen))]
+        return [np.zeros(batch.num_rows) if model is None else model.probability(_margins(batch.column("text"), model, seen))]
+
+    return appended(docs, [("toxic_score", T.DoubleType(), pa.float64())], run)
+
+
+def without_toxic(docs: DataFrame, model: SubsequenceSVM | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with a score under the threshold; its columns stay as they are."""
+    if model is None:
+        return docs
+
+    def run(batches):
+        seen: dict[bytes, float] = {}
+        for batch in batches:
+            yield batch.filter(pa.array(model.probability(_margins(batch.column("text"), model, seen)) < threshold))
 
-    return appended(docs, [("toxic_score", T.DoubleType(), pa.float64())], run, None if threshold is None else lambda v: v[0] < threshold)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def train_held_in(spark, sf_dir: str) -> SubsequenceSVM | None:
