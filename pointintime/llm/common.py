@@ -94,16 +94,16 @@ def mapped(df: DataFrame, fields: str, fn: Callable[[Iterator[pa.RecordBatch]],
     return df.mapInArrow(fn, fields)
 
 
-def appended(df: DataFrame, fields: list[tuple[str, T.DataType, pa.DataType]], fn: Callable[[pa.RecordBatch], list], keep: Callable[[list], np.ndarray] | None = None) -> DataFrame:
-    """All columns of ``df`` and those that ``fn`` computes for each batch; ``keep`` picks rows from them."""
+def appended(df: DataFrame, fields: list[tuple[str, T.DataType, pa.DataType]], fn: Callable[[pa.RecordBatch], list]) -> DataFrame:
+    """All columns of ``df`` and those that ``fn`` computes for each batch (a column of ``df`` with such a name is replaced)."""
+    df = df.drop(*(name for name, _, _ in fields))
     schema = T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind, _ in fields)])
 
     def run(batches):
         for batch in batches:
             values = fn(batch)
             arrays = [pa.array(v, kind) for v, (_, _, kind) in zip(values, fields, strict=True)]
-            out = pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *(f[0] for f in fields)])
-            yield out if keep is None else out.filter(pa.array(keep(values)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *(f[0] for f in fields)])
 
     return df.mapInArrow(run, schema)
 

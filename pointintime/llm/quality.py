@@ -164,12 +164,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMP
 
 def quality_scores(docs: DataFrame, model: PUModel | None) -> DataFrame:
     """``docs`` with quality_score, the probability that the text is good."""
-    place = docs.columns.index("text")
 
     def run(batch):
         if model is None:
             return [np.full(batch.num_rows, 0.5)]
-        return [np.concatenate([np.zeros(0), *(model(features(data, offsets).astype(float)) for _, _, data, offsets in pieces(batch.column(place)))])]
+        return [np.concatenate([np.zeros(0), *(model(features(data, offsets).astype(float)) for _, _, data, offsets in pieces(batch.column("text")))])]
 
     return appended(docs, [("quality_score", T.DoubleType(), pa.float64())], run)
 
