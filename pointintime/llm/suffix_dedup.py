@@ -231,23 +231,27 @@ def cut(docs: DataFrame, fields: str, fn) -> DataFrame:
     runs = repeated_runs(docs)
     sent = docs.sparkSession.sparkContext.broadcast(_bitmap(runs, "text_hash"))
     place, names = docs.columns.index("text"), docs.columns
-    keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # the row as one column: so no column of the user's can have the name of one of ours
+    keyed = docs.select(F.struct(*names).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+
+    def row(batch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(batch.column(0).flatten(), names=names)
 
     def whole(batches):
         for batch in batches:
-            b = batch.filter(pa.array(~_in(sent.value, batch.column("__hash").to_numpy())))
+            b = row(batch.filter(pa.array(~_in(sent.value, batch.column(1).to_numpy()))))
             yield fn(b, [(t or "").encode() for t in b.column(place).to_pylist()], [[]] * b.num_rows)
 
     def picked(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_in(sent.value, batch.column("__hash").to_numpy())))
+            yield batch.filter(pa.array(_in(sent.value, batch.column(1).to_numpy())))
 
     def parts(batches):
         for batch in batches:
-            yield fn(batch, [(t or "").encode() for t in batch.column(place).to_pylist()], [merged([(r["x"], r["y"]) for r in x or []]) for x in batch.column(len(names) + 1).to_pylist()])
+            b = row(batch)
+            yield fn(b, [(t or "").encode() for t in b.column(place).to_pylist()], [merged([(r["x"], r["y"]) for r in x or []]) for x in batch.column(2).to_pylist()])
 
-    some = keyed.mapInArrow(picked, keyed.schema)
-    some = some.join(runs, some["__hash"] == runs["text_hash"], "left").select(*(some[c] for c in names), some["__hash"], "runs")
+    some = keyed.mapInArrow(picked, keyed.schema).join(runs.withColumnRenamed("text_hash", "hash"), "hash", "left").select("doc", "hash", "runs")
     return keyed.mapInArrow(whole, fields).unionByName(some.mapInArrow(parts, fields))
 
 
