@@ -11,10 +11,10 @@ word count is rounded by a seeded number. So each source comes within a word a d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import share
+from .common import share, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,18 +41,35 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: int = 3, seed: int = 0) -> DataFrame:
-    """All columns of ``docs`` and ``mix_size, mix_source_size, mix_target, mix_taken``.
+    """All columns of ``docs`` and ``mix_size, mix_source_size, mix_target, mix_taken`` (columns of these names are replaced).
 
-    A null text has size 0, a null source is a source of its own (the last), a null doc_id is drawn as an
-    empty one. Equal rows take as many words each. Empty tables give empty tables.
+    A null text has size 0, a null source is a source of its own (the last). Each row has a draw of its own: by its
+    doc_id, and where several rows have it (or have none) by the text and a number among the equal ones, too.
+    Empty tables give empty tables.
     """
-    sized = docs.withColumn("mix_size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
-    per_source = sized.groupBy("source").agg(F.sum("mix_size").alias("source_size"))
-    level = targets(per_source, weights, max_epochs).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    rows = sized.join(level, sized["source"].eqNullSafe(level["mix_source"])).drop("mix_source")
-    wanted = F.col("mix_target") / F.col("mix_source_size") * F.col("mix_size") + share(F.col("doc_id"), f"mix{seed}")
-    taken = F.when(F.col("mix_size") == 0, F.lit(0)).otherwise(F.least(F.floor(wanted), F.col("mix_size") * max_epochs)).cast("long")
-    return rows.withColumn("mix_taken", taken)
+    names = [c for c in docs.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_taken")]
+    docs = docs.select(names)
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("mix_size")
+    level = targets(docs.select("source", size).groupBy("source").agg(F.sum("mix_size").alias("source_size")), weights, max_epochs)
+    level = level.select(F.struct("source", "source_size", "target").alias("level"))
+    several = written(docs.groupBy("doc_id").count().where("count > 1").select(F.struct("doc_id").alias("id")))
+
+    def decided(rows: DataFrame, draw: Column) -> DataFrame:
+        rows = rows.select(*names, size, draw.alias("mix_taken"))
+        rows = rows.join(level, rows["source"].eqNullSafe(level["level"]["source"]))
+        of = level["level"]
+        wanted = of["target"] / of["source_size"] * F.col("mix_size") + F.col("mix_taken")
+        taken = F.when(F.col("mix_size") == 0, F.lit(0)).otherwise(F.least(F.floor(wanted), F.col("mix_size") * max_epochs)).cast("long")
+        return rows.select(*names, "mix_size", of["source_size"].alias("mix_source_size"), of["target"].alias("mix_target"), taken.alias("mix_taken"))
+
+    own = share(F.col("doc_id"), f"mix{seed}")
+    if several.isEmpty():
+        return decided(docs, own)
+    same = docs["doc_id"].eqNullSafe(several["id"]["doc_id"])
+    text = F.md5(F.coalesce("text", F.lit("")))
+    number = F.row_number().over(Window.partitionBy("doc_id", text).orderBy(F.lit(0)))
+    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text, number)
+    return decided(docs.join(several, same, "left_anti"), own).unionByName(decided(docs.join(several, same, "left_semi"), share(key, f"mix{seed}")))
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
@@ -77,7 +94,9 @@ def op4_source_mix(spark, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CASE WHEN count(*) OVER (PARTITION BY doc_id) > 1
+              THEN '|' || md5(coalesce(text, '')) || '|' || row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) ELSE '' END AS among
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -99,6 +118,6 @@ WITH d AS (
 )
 SELECT d.doc_id, d.size, t.source_size, t.target,
        CASE WHEN d.size = 0 THEN 0 ELSE least(CAST(floor(t.target / t.source_size * d.size
-         + CAST('0x' || substr(md5('mix0|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE) AS BIGINT), d.size * 3) END AS taken
+         + CAST('0x' || substr(md5('mix0|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || d.among), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE) AS BIGINT), d.size * 3) END AS taken
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 """
