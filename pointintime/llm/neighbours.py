@@ -8,8 +8,8 @@ Distances of results are Euclidean, in double precision on the original vectors;
 
 All valid rows are indexed, equal vectors as one node that carries all their ids. Vectors that are null,
 empty, zero or hold null or non-finite components take no part; vectors of different lengths are never
-compared. Repeated rows (same id, same vector) count once. A shard of at most ``EXACT`` vectors is searched
-exactly. With ``SEARCH`` candidates the measured recall is in the README.
+compared. Every other row is a candidate, repeated rows and rows without an id too (these come last in a tie); only
+the query's own row, one of its id and vector, is not among its results. With ``SEARCH`` candidates the measured recall is in the README.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ SHARD = 8_192
 LINKS = 12
 BUILD = 56
 SEARCH = 128
-EXACT = 256
-BLOCK = 512
+#: Queries that meet a shard at a time: so many that they weigh about as much as the shard.
+BLOCK = 8_192
 
 
 class Graph:
@@ -130,7 +130,7 @@ class Graph:
 def _valid(vectors: DataFrame) -> DataFrame:
     e = F.col("embedding")
     sound = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(e.isNotNull() & F.coalesce(sound, F.lit(False)) & F.exists(e, lambda x: x != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("v")).where("vec_id is not null").dropDuplicates(["vec_id"])
+    return vectors.where(e.isNotNull() & F.coalesce(sound, F.lit(False)) & F.exists(e, lambda x: x != 0)).select(F.coalesce(F.col("vec_id").cast("long"), F.lit(0)).alias("vec_id"), F.col("vec_id").isNull().alias("nil"), e.cast("array<double>").alias("v"))
 
 
 def index(vectors: DataFrame, shard_size: int = SHARD) -> tuple[DataFrame, int]:
@@ -139,66 +139,77 @@ def index(vectors: DataFrame, shard_size: int = SHARD) -> tuple[DataFrame, int]:
     shards = max(1, -(-valid.count() // shard_size))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        ids = pdf["vec_id"].to_numpy(np.int64)
+        pdf = pdf.sort_values(["nil", "vec_id"])
+        ids, nil = pdf["vec_id"].to_numpy(np.int64), pdf["nil"].to_numpy(bool)
         v, node = np.unique(np.array(pdf["v"].tolist(), float), axis=0, return_inverse=True)
         order = np.argsort(node.ravel(), kind="stable")
         begins = np.searchsorted(node.ravel()[order], np.arange(len(v) + 1))
         rng = np.random.default_rng(len(v))
         mixed = rng.permutation(len(v))  # sorted vectors would be linked in one direction
-        ids_of = [ids[order[begins[m] : begins[m + 1]]] for m in mixed]
+        rows = [order[begins[m] : begins[m + 1]] for m in mixed]
         v = v[mixed]
         levels = np.minimum(np.floor(-np.log(rng.random(len(v))) / np.log(LINKS)), 6).astype(np.int64)
-        g = Graph.build(v, levels) if len(v) > EXACT else Graph(v)
+        g = Graph.build(v, levels)
         row = {
             "dim": v.shape[1], "shard": int(pdf["shard"].iloc[0]), "n": len(v), "entry": g.entry, "vectors": v.tobytes(),
-            "ids": np.concatenate(ids_of).tobytes(), "ends": np.cumsum([len(x) for x in ids_of]).astype(np.int64).tobytes(), "near": [x.tobytes() for x in g.near],
+            "ids": ids[np.concatenate(rows)].tobytes(), "nil": nil[np.concatenate(rows)].tobytes(), "ends": np.cumsum([len(x) for x in rows]).astype(np.int64).tobytes(), "near": [x.tobytes() for x in g.near],
         }
         return pd.DataFrame([row])
 
-    dealt = valid.withColumn("dim", F.size("v").cast("long")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    graphs = dealt.groupBy("dim", "shard").applyInPandas(build, "dim long, shard long, n long, entry long, vectors binary, ids binary, ends binary, near array<binary>")
+    dealt = valid.withColumn("dim", F.size("v").cast("long")).withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)))
+    graphs = dealt.groupBy("dim", "shard").applyInPandas(build, "dim long, shard long, n long, entry long, vectors binary, ids binary, nil binary, ends binary, near array<binary>")
     return written(graphs), shards
 
 
 def search(graphs: DataFrame, shards: int, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest other vectors of each row of ``queries`` (vec_id, embedding)."""
-    valid = _valid(queries).withColumn("dim", F.size("v").cast("long"))
+    valid = _valid(queries).withColumn("dim", F.size("v").cast("long")).withColumn("query", F.monotonically_increasing_id())
+    valid = written(valid)  # rows are numbered once: the merge at the end tells them by their number
     blocks = max(1, -(-valid.count() // BLOCK))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        return pd.DataFrame([{"dim": int(pdf["dim"].iloc[0]), "ids": pdf["vec_id"].to_numpy(np.int64).tobytes(), "vectors": np.array(pdf["v"].tolist(), float).tobytes()}])
+        row = {"dim": int(pdf["dim"].iloc[0]), "q_rows": pdf["query"].to_numpy(np.int64).tobytes(), "q_ids": pdf["vec_id"].to_numpy(np.int64).tobytes(), "q_nil": pdf["nil"].to_numpy(bool).tobytes(), "q_vectors": np.array(pdf["v"].tolist(), float).tobytes()}
+        return pd.DataFrame([row])
 
-    packed = valid.withColumn("block", F.pmod(F.xxhash64(F.col("vec_id") + 1), F.lit(blocks))).groupBy("dim", "block").applyInPandas(pack, "dim long, ids binary, vectors binary")
-    visits = packed.select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    packed = valid.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))).groupBy("dim", "block").applyInPandas(pack, "dim long, q_rows binary, q_ids binary, q_nil binary, q_vectors binary")
+    visits = packed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
 
     def answer(batches):
+        graph: tuple = (None, None)
         for batch in batches:
             for row in batch.to_pylist():
                 dim = row["dim"]
-                v = np.frombuffer(row["vectors"]).reshape(-1, dim)
-                near = [np.frombuffer(x, np.int32).reshape(len(v), -1) for x in row["near"]]
-                g = Graph(v, near, row["entry"])
-                ids, ends = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
+                if graph[0] != (dim, row["shard"]):
+                    v = np.frombuffer(row["vectors"]).reshape(-1, dim)
+                    graph = (dim, row["shard"]), Graph(v, [np.frombuffer(x, np.int32).reshape(len(v), -1) for x in row["near"]], row["entry"])
+                g = graph[1]
+                v = g.v
+                ids, nil, ends = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nil"], bool), np.frombuffer(row["ends"], np.int64)
+                asked = zip(np.frombuffer(row["q_rows"], np.int64).tolist(), np.frombuffer(row["q_ids"], np.int64).tolist(), np.frombuffer(row["q_nil"], bool).tolist(), np.frombuffer(row["q_vectors"]).reshape(-1, dim), strict=True)
                 out = []
-                for q_id, q in zip(np.frombuffer(row["q_ids"], np.int64).tolist(), np.frombuffer(row["q_vectors"]).reshape(-1, dim), strict=True):
-                    nodes = np.array([n for _, n in g.closest(q, g.descend(q, 0), SEARCH, 0)]) if near else np.arange(len(v))
+                for q_row, q_id, q_nil, q in asked:
+                    nodes = np.array([n for _, n in g.closest(q, g.descend(q, 0), SEARCH, 0)])
                     d = np.sqrt(((v[nodes] - q) ** 2).sum(1))
                     found = []
                     for j in np.argsort(d, kind="stable").tolist():
                         if len(found) > k and d[j] > found[k][0]:
                             break
                         n = int(nodes[j])
-                        begin = int(ends[n - 1]) if n else 0
-                        found += [(float(d[j]), i) for i in ids[begin : min(int(ends[n]), begin + k + 1)].tolist() if i != q_id]
-                        found.sort()
-                    out += [(q_id, i, x) for x, i in found[:k]]
-                columns = list(zip(*out, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
-
-    found = visits.join(graphs, ["dim", "shard"]).mapInArrow(answer, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+                        begin, end = int(ends[n - 1]) if n else 0, int(ends[n])
+                        rows = [(float(d[j]), none, i) for i, none in zip(ids[begin : min(end, begin + k + 1)].tolist(), nil[begin : min(end, begin + k + 1)].tolist(), strict=True)]
+                        own = (0.0, q_nil, q_id)
+                        if not d[j]:  # the query's own row is of this node
+                            if own in rows:
+                                rows.remove(own)
+                            elif end - begin > k:
+                                rows = rows[:k]
+                        found = sorted(found + rows)
+                    out += [(q_row, None if q_nil else q_id, None if none else i, x) for x, none, i in found[:k]]
+                columns = list(zip(*out, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query", "query_id", "vec_id", "score"])
+
+    found = visits.join(graphs, ["dim", "shard"]).mapInArrow(answer, "query long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query").orderBy("score", F.col("vec_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
