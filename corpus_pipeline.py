@@ -15,7 +15,7 @@ from pointintime.llm.decontaminate import decontaminated
 from pointintime.llm.mixing import mix_sources
 from pointintime.llm.near_dup import near_duplicates
 from pointintime.llm.suffix_dedup import cut_passages
-from pointintime.llm.toxicity import THRESHOLD, toxicity_scores, train_toxicity
+from pointintime.llm.toxicity import train_toxicity, without_toxic
 
 #: Some stages are beyond SQL: tests compare each with its operator's brute-force version.
 ORACLE_SQL = None
@@ -25,19 +25,21 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents under the toxicity threshold, by a model of the labelled rows whose remainder isn't 2."""
     training = remainder(F.col("doc_id"), 4) != 2
     model = train_toxicity(docs.where(training), table(spark, sf_dir, "labels").where(training))
-    return toxicity_scores(docs, model, THRESHOLD).drop("toxic_score")
+    return without_toxic(docs, model)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group whose five-word shingles are alike to 0.8 or more."""
+    """One row of each group whose five-word shingles are alike to 0.8 or more: that with the smallest id (rows without one
+    come last). Rows are told by id and text, so that null and repeated ids lose no other row."""
     found = written(near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80))
-    spare = found.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(spare, "doc_id", "left_anti")
-    again = written(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if again.isEmpty():
-        return left
-    rows = left.join(again, left["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(again, left["doc_id"].eqNullSafe(again["doc_id"]), "left_anti").unionByName(rows)
+    key = F.struct("doc_id", "text_hash")
+    groups = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), key.alias("key"))).alias("one"), F.count("*").alias("rows")).where("rows > 1")
+    groups = written(groups.select("component", "one.key"))
+    rows = written(found.join(groups, "component", "left_semi").select(key.alias("key")).distinct())
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key"))
+    others = packed.join(rows, packed["key"].eqNullSafe(rows["key"]), "left_anti")
+    chosen = packed.join(groups, packed["key"].eqNullSafe(groups["key"]), "left_semi").dropDuplicates(["key"])
+    return others.unionByName(chosen).select("doc.*")
 
 
 def uncopied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -241,7 +241,8 @@ def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, text_hash of each row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text), and what rows can be told by that have
+    no id or share one: text_hash, and component (the same for all rows of a component, null for empty sets)."""
     tables = Tables(docs.sparkSession)
     write, drop = tables.write, tables.drop
     base = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
@@ -322,12 +323,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     owned = write(reps.join(root, reps["node"] == root["x"], "left").select("node", "who", F.coalesce("y", "node").alias("root")))
     least = write(owned.groupBy("root").agg(F.min("who").alias("component")))
-    classes = write(owned.join(least, "root").select(F.col("node").alias("class"), F.col("component.id").alias("component")))
+    classes = write(owned.join(least, "root").select(F.col("node").alias("class"), F.col("root").alias("component"), F.col("component.id").alias("least")))
     drop(reps, root, owned, least)
     out = known.select("id", "n", "text_hash", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(classes, F.col("node") == F.col("class"), "left")
-    component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "text_hash")
+    least = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("least"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), least.alias("component_id"), F.col("id").eqNullSafe(least).alias("kept"), "text_hash", "component")
 
 
 def op9_setsketch_near_dup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("text_hash")
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("text_hash", "component")
