@@ -184,10 +184,47 @@ def words(data: np.ndarray, offsets: np.ndarray, to: np.ndarray = SPACED) -> tup
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, to: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
-    """The hash and the document of each word."""
+    """The hash and the document of each word. A long document (a piece of its own) is hashed a part at a time."""
+    if len(data) > 2 * PIECE and len(offsets) == 2:
+        found, at = [], 0
+        while at < len(data):
+            end = min(at + PIECE, len(data))
+            if end < len(data):
+                blank = np.flatnonzero(to[data[at:end]] == 32)
+                more = np.flatnonzero(to[data[end:]] == 32) if not len(blank) else blank
+                end = at + int(blank[-1]) + 1 if len(blank) else end + int(more[0]) if len(more) else len(data)
+            found.append(word_hashes(data[at:end], np.array([0, end - at]), to)[0] if end - at <= 2 * PIECE else _hashes(data[at:end], np.array([0, end - at]), to)[0])
+            at = end
+        h = np.concatenate(found)
+        return h, np.zeros(len(h), np.int64)
+    return _hashes(data, offsets, to)
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     norm, start, end, doc = words(data, offsets, to)
     return span_hash(prefix(norm), start, end), doc
 
 
+# -- bitmaps ----------------------------------------------------------------------------------
+
+#: A bitmap has 2**BITS bits whatever the input: 4 MB.
+BITS = 25
+
+
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """A bit for each value of a long column, by its lowest ``BITS`` bits."""
+    low = f"({column} & {(1 << BITS) - 1})"
+    rows = df.groupBy(F.expr(f"cast(shiftright({low}, 5) as int)").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({low} & 31 as int)))").alias("bits")).toPandas()
+    out = np.zeros(1 << (BITS - 5), np.uint32)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
+    return out
+
+
+def among(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values may have been in the column of ``bitmap``."""
+    low = values.view(np.uint64) & np.uint64((1 << BITS) - 1)
+    return (bits[(low >> np.uint64(5)).astype(np.int64)] >> (low & np.uint64(31)).astype(np.uint32)) & 1 == 1
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)

@@ -5,7 +5,7 @@ Suffixes are sorted one bucket at a time; long ties are settled by ranks of a di
 1. Buckets. A window of LENGTH bytes belongs to the bucket of its smallest ``GRAM``-byte gram (by hash), so equal
    windows fall into one bucket wherever they stand. Consecutive windows of one bucket form a block, about
    85 windows long. Blocks whose gram occurs once in the corpus hold no repeated window: they are most of
-   the text and end here. A bitmap of fixed size (``BITS``) of the repeated grams spares them the second pass.
+   the text and end here. A bitmap of fixed size of the repeated grams spares them the second pass.
 2. Blocks. Blocks with equal text (by hash) are one class. Where a class has two members, all its windows
    repeat: so copies and the inside of shared passages are settled without being compared.
 3. Suffix sort. What is left are the ends of shared passages. Of each such bucket the different blocks
@@ -30,10 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, prefix, signed, span_hash, table, written
+from .common import among, bitmap, mix, pieces, prefix, signed, span_hash, table, written
 
 LENGTH, GRAM = 200, 32
-BITS = 25
 COVER = 31
 #: A perfect difference set: every residue modulo 31 is a difference of two of its members.
 _COVER_SET = (0, 1, 3, 8, 12, 18)
@@ -71,20 +70,6 @@ def blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return least[begin], whole, doc[begin], first - offsets[doc[begin]], count, within
 
 
-def _bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """A bit for each value of a long column, by its lowest ``BITS`` bits: of fixed size, whatever the input."""
-    low = f"({column} & {(1 << BITS) - 1})"
-    rows = df.groupBy(F.expr(f"cast(shiftright({low}, 5) as int)").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({low} & 31 as int)))").alias("bits")).toPandas()
-    out = np.zeros(1 << (BITS - 5), np.uint32)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
-    return out
-
-
-def _in(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    low = values.view(np.uint64) & np.uint64((1 << BITS) - 1)
-    return (bitmap[(low >> np.uint64(5)).astype(np.int64)] >> (low & np.uint64(31)).astype(np.uint32)) & 1 == 1
-
-
 def _away(sums: np.ndarray, gram: np.ndarray, begins: np.ndarray, at: np.ndarray) -> np.ndarray:
     """How far from each window the first gram of its bucket is; ``gram``: of each segment."""
     p = np.arange(len(sums) - GRAM)
@@ -137,14 +122,14 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(within + 1)], names=["a", "k"])
 
     counted = keyed.select("text").mapInArrow(grams, "a long, k long").groupBy("a").agg(F.sum("k").alias("count"))
-    sent = spark.sparkContext.broadcast(_bitmap(counted.where("count > 1"), "a"))
+    sent = spark.sparkContext.broadcast(bitmap(counted.where("count > 1"), "a"))
 
     def candidates(batches):
         for batch in batches:
             keys = batch.column(1).to_numpy()
             for first, _, data, offsets in pieces(batch.column(0)):
                 a, whole, doc, at, count, within = blocks(data, offsets)
-                use = _in(sent.value, a)
+                use = among(sent.value, a)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(a[use]), signed(whole[use]), keys[first + doc[use]], at[use], count[use], within[use])], names=["a", "bh", "dk", "s", "m", "k"])
 
     found = keyed.select("text", "dk").mapInArrow(candidates, "a long, bh long, dk long, s long, m long, k long")
@@ -154,11 +139,11 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     mixed = written(buckets.where("total > 1 and least = 1").select("a", "kinds"))
     wanted = classes.join(mixed, "a").select("a", "bh", "n", "m", "kinds", F.col("one.dk").alias("dk"), F.col("one.s").alias("s"))
     asked = written(wanted.groupBy("dk").agg(F.collect_list(F.struct("a", "bh", "n", "m", "kinds", "s")).alias("blocks")))
-    docs_sent = spark.sparkContext.broadcast(_bitmap(asked, "dk"))
+    docs_sent = spark.sparkContext.broadcast(bitmap(asked, "dk"))
 
     def asked_for(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_in(docs_sent.value, batch.column(1).to_numpy())))
+            yield batch.filter(pa.array(among(docs_sent.value, batch.column(1).to_numpy())))
 
     texts = keyed.select("text", "dk").mapInArrow(asked_for, "text string, dk long").groupBy("dk").agg(F.any_value("text").alias("text")).join(asked, "dk")
 
@@ -229,7 +214,7 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def cut(docs: DataFrame, fields: str, fn) -> DataFrame:
     """``fn(batch, texts as bytes, maximal runs)`` for all rows of ``docs``; only texts with a run are shuffled."""
     runs = repeated_runs(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(runs, "text_hash"))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(runs, "text_hash"))
     place, names = docs.columns.index("text"), docs.columns
     # the row as one column: so no column of the user's can have the name of one of ours
     keyed = docs.select(F.struct(*names).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
@@ -239,12 +224,12 @@ def cut(docs: DataFrame, fields: str, fn) -> DataFrame:
 
     def whole(batches):
         for batch in batches:
-            b = row(batch.filter(pa.array(~_in(sent.value, batch.column(1).to_numpy()))))
+            b = row(batch.filter(pa.array(~among(sent.value, batch.column(1).to_numpy()))))
             yield fn(b, [(t or "").encode() for t in b.column(place).to_pylist()], [[]] * b.num_rows)
 
     def picked(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_in(sent.value, batch.column(1).to_numpy())))
+            yield batch.filter(pa.array(among(sent.value, batch.column(1).to_numpy())))
 
     def parts(batches):
         for batch in batches:

@@ -141,8 +141,6 @@ def test_benchmark_overlaps(spark):
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(frame, bench).collect()}
     assert set(got) == {(1, 1), (2, 1), (4, 1), (8, 2)} and got[2, 1].n_equal == 38 and got[1, 1].first_word == 80
     assert {r.doc_id for r in decontaminate.decontaminated(frame, bench).collect()} == {3, 5, 6, 7}
-    parts = list(decontaminate.seed_indexes(bench, block_items=2))
-    assert len(parts) == 5 and sum(len(p.ids) for p in parts) == 5
 
 
 def test_html():
@@ -271,14 +269,14 @@ def test_pipeline_stages(spark, documents, tmp_path):
         assert stage(spark, empty, d).columns == documents.columns, name
 
 
-def test_benchmark_overlaps_meet_the_rule():
+def test_benchmark_overlaps_meet_the_rule(spark):
     def qualifies(equal):
         gain = np.concatenate([[0], np.cumsum(np.where(equal, 1, -4))])
         least = min(13, len(equal))
         return any(gain[b] >= gain[a] for a in range(len(equal)) for b in range(a + least, len(equal) + 1))
 
-    for n in range(5, 26):
-        miss = np.array(list(itertools.combinations(range(n), n // 5)))
+    for n in range(1, 26):
+        miss = np.array(list(itertools.combinations(range(n), n // 5)), int).reshape(math.comb(n, n // 5), n // 5)
         equal = np.ones((len(miss), n), bool)
         equal[np.arange(len(miss))[:, None], miss] = False
         found = np.zeros(len(miss), bool)
@@ -288,17 +286,26 @@ def test_benchmark_overlaps_meet_the_rule():
                 found |= equal[:, [at + p for p in places]].all(1)
         assert found.all(), n
 
-    words = prose(21, 60).split()
+    words = prose(21, 600).split()
     rng = np.random.default_rng(0)
-    for n in (5, 9, 10, 12, 13, 15, 20, 25, 40):
-        index = decontaminate.SeedIndex([7], [" ".join(words[:n])])
-        sent = [np.isin(np.arange(n), rng.choice(n, k, replace=False), invert=True) for k in range(n // 4 + 2) for _ in range(20)] + [np.arange(n) % 5 != r for r in range(5)]
-        docs = [" ".join(w if e else f"zz{i}" for i, (w, e) in enumerate(zip(words[:n], equal, strict=True))).encode() for equal in sent]
-        offsets = np.cumsum([0, *map(len, docs)])
-        got = {d: rest for d, _, *rest in index.overlaps(*decontaminate.word_hashes(np.frombuffer(b"".join(docs), np.uint8), offsets, decontaminate.WORDED), len(docs))}
-        assert set(got) == {d for d, equal in enumerate(sent) if qualifies(equal)}
-        for d, (at, k, same) in got.items():
-            assert k >= min(13, n) and same == sent[d][at : at + k].sum() >= 0.8 * k
+    items, docs, expected = [], [], {}
+    for n in (1, 2, 4, 5, 9, 10, 12, 13, 15, 20, 25, 40):
+        own = [f"{w}{n}" for w in words[sum(items) : sum(items) + n]]
+        items.append(n)
+        sent = [np.isin(np.arange(n), rng.choice(n, k, replace=False), invert=True) for k in range(n // 4 + 2) if k <= n for _ in range(20)] + [np.arange(n) % 5 != r for r in range(5)]
+        sent += [np.isin(np.arange(13), pair, invert=True) for pair in itertools.combinations(range(13), 2)] if n == 13 else []
+        for equal in sent:
+            expected[len(docs)] = (n, equal, " ".join(own))
+            docs.append((len(docs), " ".join(w if e else f"zz{i}" for i, (w, e) in enumerate(zip(own, equal, strict=True)))))
+    bench = spark.createDataFrame(sorted({(n, text) for n, _, text in expected.values()}), "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {d for d, (_, equal, _) in expected.items() if qualifies(equal)}
+    for d, r in got.items():
+        n, equal, _ = expected[d]
+        assert r.item_id == n and r.n_words >= min(13, n) and r.n_equal == equal[r.first_word : r.first_word + r.n_words].sum() >= 0.8 * r.n_words
+    same = spark.createDataFrame([(1, "word " * 8000), (2, "Word " * 12)], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contaminated(same, spark.createDataFrame([(1, "word " * 300)], "item_id long, text string")).collect()}
+    assert set(got) == {1} and got[1].n_equal == 300
 
 
 def test_license_gates_change_nothing(monkeypatch):
