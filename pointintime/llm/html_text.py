@@ -5,16 +5,18 @@ Each page becomes a tree. A node's composite density is
     C/T * log_b( C/LC * T/LT ),   b = ln( C/nLC * LC + LC_body/C_body * C + e ),
 
 C being the characters below the node, T its tags, LC and LT those within links, nLC = C - LC, with every
-divisor at least 1. Densities of a node's children are summed; the subtree with the largest sum is taken.
-The threshold is the least density on the path from that node up to the body: children with a lower density
-go, unless they are blocks of text without links. Elements that are never article text (menus, headers, footers,
+divisor at least 1. Densities of a node's children are summed; the subtree with the largest sum is the core of the text.
+The threshold is the least density on the path from that node up to the body. The core's blocks are taken, without
+those under the threshold that are mostly links; of what stands around it up to the body, blocks that reach the threshold, and
+headings. Where an article or main around the core holds most of the body's text outside links, its blocks are taken
+as the core's are, and nothing around it. Elements that are never article text (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, comments of readers), by name, role, class or id, are
 cut from the tree beforehand, save for the headings and header of the article itself. A class or id is only a
 hint: names that negate or wrap ("no-sidebar", "content-with-sidebar") say nothing, and an element with the
 article in it, or without one elsewhere most of the body's text outside links, stays for the densities to decide.
 
 Text: character references decoded, white space within a block as one blank, blocks joined by an empty
-line in page order. Null and empty pages, pages without text: an empty string. Unclosed and stray tags are
+line in page order. Null and empty pages, pages without text: an empty string; a page that is repeated has a text each, an empty table none. Unclosed and stray tags are
 closed as browsers do for the common cases (p, li, td, tr, dt, dd, option).
 """
 
@@ -31,10 +33,10 @@ from .common import mapped, table
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _RAW = {k: re.compile(rf"</{k}\b[^>]*>", re.I) for k in ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math")}
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-_NEVER = frozenset("nav aside footer form button select option input textarea fieldset label script style noscript template iframe svg math object embed canvas audio video dialog menu head title".split())
+_NEVER = frozenset("nav aside footer form button select option input textarea fieldset script style noscript template iframe svg math object embed canvas audio video dialog menu head title".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table tr tbody thead div article section body html td th blockquote".split())
 _ENDS_P = _BLOCK - {"html", "body"}
@@ -46,11 +48,14 @@ _SPLIT = re.compile(r"[\s_]+|(?<=[a-z])(?=[A-Z])")
 _WS = re.compile(r"\s+")
 
 
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+
+
 class Node:
-    __slots__ = ("tag", "noise", "article", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("path", "tag", "noise", "article", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, noise: int = False, article: bool = False):
-        self.tag, self.parent, self.noise, self.article, self.children = tag, parent, noise, article, []
+        self.tag, self.parent, self.noise, self.article, self.children, self.path = tag, parent, noise, article, [], False
 
 
 #: What ``Node.noise`` is where only a class or id says so.
@@ -72,9 +77,13 @@ def _within(node: Node | None) -> bool:
     return node is not None
 
 
+def _attributes(text: str) -> list[tuple[str, str]]:
+    """Names (lower case) and values of a tag's attributes; what stands within a value is no attribute."""
+    return [(name.lower(), value.strip("\"'").strip()) for name, value in _ATTRIBUTE.findall(text)]
+
+
 def _named(attributes: str, parent: Node) -> bool:
-    found = ((name.lower(), value.strip("\"'")) for name, value in _ATTRIBUTE.findall(attributes))
-    words = [word.lower() for name, value in found if name in ("class", "id") for word in _SPLIT.split(value)]
+    words = [word.lower() for name, value in _attributes(attributes) if name in ("class", "id") for word in _SPLIT.split(value)]
     return bool(words) and any(_noise_name(word, _within(parent)) for word in words)
 
 
@@ -83,8 +92,7 @@ def _noisy(tag: str, attributes: str, parent: Node) -> int:
         return True
     if tag == "header":
         return not _within(parent)
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").strip()
+    for name, value in _attributes(attributes):
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -189,9 +197,23 @@ def _count(root: Node) -> None:
         node.total = sum(x.density for x in node.children if isinstance(x, Node) and not x.noise)
 
 
-def _blocks(top: Node, threshold: float) -> list[str]:
-    """The text of the blocks below a node; inner blocks under the threshold that are mostly links go."""
+def _heading(node: Node) -> bool:
+    """Is at least half of the node's text a heading?"""
+    if node.tag in _HEADINGS or node.tag == "header":
+        return True
+    found, stack = 0, [node]
+    while stack:
+        x = stack.pop()
+        found += x.chars if x.tag in _HEADINGS else 0
+        stack += [c for c in x.children if isinstance(c, Node) and not c.noise and x.tag not in _HEADINGS]
+    return 2 * found >= node.chars
+
+
+def _blocks(top: Node, best: Node, threshold: float) -> list[str]:
+    """The text of the blocks below a node. Under the threshold, inner blocks that are mostly links go; around
+    ``best``, the densest subtree, other blocks under it go as well, but for headings, unless an element names the article."""
     out, line = [], []
+    named = top.tag in ("article", "main")
 
     def flush() -> None:
         text = _WS.sub(" ", html.unescape("".join(line))).strip()
@@ -199,6 +221,11 @@ def _blocks(top: Node, threshold: float) -> list[str]:
         if text:
             out.append(text)
 
+    def thin(x: Node) -> bool:
+        if x.path or x.tag not in _BLOCK or not x.chars or x.density >= threshold:
+            return False
+        return 2 * x.link_chars > x.chars or not named and x.parent.path and x.parent is not best and not _heading(x)
+
     stack: list = [top]
     while stack:
         x = stack.pop()
@@ -206,7 +233,7 @@ def _blocks(top: Node, threshold: float) -> list[str]:
             flush()
         elif isinstance(x, str):
             line.append(x)
-        elif x.noise or x is not top and x.tag in _BLOCK and x.density < threshold and x.chars and 2 * x.link_chars > x.chars:
+        elif x.noise or thin(x):
             if x.tag in _BLOCK:
                 flush()
         elif x.tag == "br":
@@ -231,20 +258,18 @@ def main_text(page: str | None) -> str:
         if best is None or node.total > best.total or node.total == best.total and node.density > best.density:
             best = node
         stack += [c for c in node.children if isinstance(c, Node) and not c.noise]
-    # a node that is itself the text (a block without inner blocks) is taken with what stands around it
-    while best.parent is not None and best.tag not in ("article", "main", "body", "html") and (best.tag not in _BLOCK or best.tag in ("p", "ul", "ol", "li", "tbody", "thead", "tr", "td", "table", "blockquote")):
-        best = best.parent
-    up = best
-    while up.parent is not None:
-        up = up.parent
-        if up.tag in ("article", "main"):
-            best = up
-            break
-    threshold, up = best.density, best
-    while up is not None and up.tag != "html":
-        threshold = min(threshold, up.density)
+    threshold, body, up = best.density, root, best
+    while up is not None:
+        up.path = True
+        if up.tag != "html":
+            threshold = min(threshold, up.density)
+            body = up
         up = up.parent
-    return "\n\n".join(_blocks(best, threshold))
+    # around the densest subtree, an article or main with most of the page's text outside links names where the article ends
+    top = best
+    while top is not body and top is not root and not (top.tag in ("article", "main") and 2 * (top.chars - top.link_chars) >= body.chars - body.link_chars):
+        top = top.parent
+    return "\n\n".join(_blocks(root if top is body and body.tag != "article" and body.tag != "main" else top, best, threshold))
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

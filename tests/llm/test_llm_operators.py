@@ -358,3 +358,40 @@ def test_html_wrappers_stay():
         assert html_text.main_text(f"<body><nav>x</nav><div class='{name}'>{article}</div><div class='ad'>buy</div></body>") == "Title\n\nSome words of the text."
     assert html_text.main_text("<body><div class='widget'><p>Most of the words of a page.</div><div class='sidebar'>Other</div></body>") == "Most of the words of a page."
     assert html_text.main_text(f"<body>{article}<div id='comments'><article class='comment-body'>{prose(1, 90)}</article></div><div class='sidebar-left ad-slot'>{prose(2, 90)}</div></body>") == "Title\n\nSome words of the text."
+
+
+def test_html_density_decides():
+    text = [prose(k, 40) for k in range(3)]
+    links = "".join(f"<li><a href={k}>{w}</a></li>" for k, w in enumerate(prose(9, 12).split()))
+    body = "".join(f"<p>{t}</p>" for t in text)
+    for page in (
+        f"<body><div><ul>{links}</ul></div><div><h1>Title</h1></div><div><div>{body}</div></div><div><ul>{links}</ul></div><div>Imprint <a href=x>Contact us</a></div></body>",
+        f"<body><article><div><ul>{links}</ul></div></article><h1>Title</h1><section>{body}</section></body>",
+    ):
+        assert html_text.main_text(page) == "\n\n".join(["Title", *text])
+    for head in ('<p title="the hidden gem">', '<p data-hidden="false">', "<p title='a role=navigation' data-role=\"menu\">", "<p class=x title=\"style='display:none'\">"):
+        assert html_text.main_text(f"<article>{head}Kept.</p>{body}</article>") == "\n\n".join(["Kept.", *text])
+    assert html_text.main_text(f"<article><p hidden>Gone.</p><p><label>Kept</label></p><form><label>Gone</label></form>{body}</article>") == "\n\n".join(["Kept", *text])
+    rng = np.random.default_rng(0)
+
+    def grown(depth):
+        return "".join(f"<{t}>{prose(int(rng.integers(1 << 30)), int(rng.integers(0, 9)))}{grown(depth - 1) if depth else ''}</{t}>" for t in rng.choice(["div", "a", "b", "section"], int(rng.integers(1, 4))))
+
+    for _ in range(20):  # the densities against their definition
+        root = html_text.tree(f"<body>{grown(3)}</body>")
+        html_text._count(root)
+        nodes, stack = [], [(root, False)]
+        while stack:
+            x, link = stack.pop()
+            nodes.append((x, link or x.tag == "a"))
+            stack += [(c, link or x.tag == "a") for c in x.children if isinstance(c, html_text.Node)]
+        inner = {}
+        for x, link in reversed(nodes):
+            own = sum(len(c.replace(" ", "")) for c in x.children if isinstance(c, str))
+            below = [c for c in x.children if isinstance(c, html_text.Node)]
+            inner[x] = (own + sum(inner[c][0] for c in below), sum(inner[c][1] + 1 for c in below), (own if link else 0) + sum(inner[c][2] for c in below), sum(inner[c][3] + (c.tag == "a") for c in below))
+        whole = inner[next(x for x, _ in nodes if x.tag == "body")]
+        for x, _ in nodes:
+            c, t, lc, lt = inner[x]
+            base = math.log(c / max(1, c - lc) * lc + whole[2] / max(1, whole[0]) * c + math.e)
+            assert math.isclose(x.density, c / max(1, t) * math.log(max(1, c / max(1, lc) * max(1, t) / max(1, lt))) / base if c else 0, abs_tol=1e-9)
