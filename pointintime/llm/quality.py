@@ -5,13 +5,14 @@ the risk of a scorer g is  pi * R_P(g, +) + max(0, R_U(g, -) - pi * R_P(g, -)),
 unbiased risk. The scorer is a small network over statistics of a whole text (bytes, words, repeated
 words, word runs and lines); the loss is logistic, so its output is a probability.
 
-The class prior is the share of positives among the labelled training rows, where there are negatives;
-else it is estimated from the scorer as the mean score of the unlabelled over that of the positives.
+The class prior is estimated from positives and unlabelled rows alone (labels other than positive are never read): a first scorer is
+trained on one half of the sample; on the other half, the share of unlabelled rows above a score divided by the share of positives above it
+is at least the prior, whatever the score, so the least of these ratios is taken, with an allowance for the sizes of the samples.
 
 Fitting takes a bounded sample: about ``MAX_SAMPLE`` positives and as many unlabelled rows, drawn by a
-hash of the id. Scores are computed for all rows, whole texts. Null and empty texts are scored by their
-(all zero) statistics; a null label is no label; of several labels of one id the largest counts. With
-no positive at all every score is 0.5.
+hash of the id, twice as many at the very most (where an id is repeated). Scores are computed for all rows, whole texts. Null and empty texts are scored by their
+(all zero) statistics; a null label is no label; of several labels of one id the largest counts; repeated rows get a
+score each. With no positive at all every score is 0.5.
 """
 
 from __future__ import annotations
@@ -92,6 +93,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def risk_and_gradient(w: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, list[np.ndarray]]:
+    """The non-negative risk of the network ``w`` on positives and unlabelled rows, and the gradient that is followed: where the
+    negative part has been fitted below nothing, that of the part with its sign turned."""
+    x = np.concatenate([p, u])
+    hidden = np.tanh(x @ w[0] + w[1])
+    g = hidden @ w[2] + w[3]
+    s, n = _sigmoid(g), len(p)
+    loss = np.logaddexp(0, g)  # of calling a row negative; -g + loss is that of calling it positive
+    negative = loss[n:].mean() - prior * loss[:n].mean()
+    d = np.zeros(len(x))
+    if negative >= 0:
+        d[:n] = -prior * (1 - s[:n]) / n - prior * s[:n] / n
+        d[n:] = s[n:] / len(u)
+    else:
+        d[:n] = prior * s[:n] / n
+        d[n:] = -s[n:] / len(u)
+    back = np.outer(d, w[2]) * (1 - hidden**2)
+    return float(prior * (loss[:n] - g[:n]).mean() + max(0.0, negative)), [x.T @ back, back.sum(0), hidden.T @ d, d.sum()]
+
+
 class PUModel:
     """One hidden layer, trained on the non-negative unbiased risk with Adam."""
 
@@ -104,21 +125,8 @@ class PUModel:
         w = [rng.normal(0, k**-0.5, (k, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.array(np.log(prior / (1 - prior)))]
         m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
         for t in range(1, steps + 1):
-            x = np.concatenate([p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)]])
-            hidden = np.tanh(x @ w[0] + w[1])
-            g = hidden @ w[2] + w[3]
-            s = _sigmoid(g)
-            softplus = np.logaddexp(0, g)
-            negative = softplus[batch:].mean() - prior * softplus[:batch].mean()
-            d = np.zeros(2 * batch)
-            if negative >= 0:
-                d[:batch] = -prior * (1 - s[:batch]) / batch - prior * s[:batch] / batch
-                d[batch:] = s[batch:] / batch
-            else:  # the negative part has been fitted below nothing: step back on it
-                d[:batch] = prior * s[:batch] / batch
-                d[batch:] = -s[batch:] / batch
-            back = np.outer(d, w[2]) * (1 - hidden**2)
-            grads = [x.T @ back + 1e-4 * w[0], back.sum(0), hidden.T @ d + 1e-4 * w[2], d.sum()]
+            _, grads = risk_and_gradient(w, p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)], prior)
+            grads = [grads[0] + 1e-4 * w[0], grads[1], grads[2] + 1e-4 * w[2], grads[3]]
             rate = 0.01 * min(1, 3 * (1 - t / (steps + 1)))
             for i, q in enumerate(grads):
                 m[i] = 0.9 * m[i] + 0.1 * q
@@ -131,6 +139,23 @@ class PUModel:
         return _sigmoid(np.tanh(x @ self.w[0] + self.w[1]) @ self.w[2] + self.w[3])
 
 
+def class_prior(positives: np.ndarray, unlabelled: np.ndarray, seed: int = 0) -> float:
+    """The share of positives among the unlabelled rows, from the features of both."""
+    rng = np.random.default_rng(seed)
+    halves = [(x[order[::2]], x[order[1::2]]) for x, order in ((x, rng.permutation(len(x))) for x in (positives, unlabelled))]
+    if min(len(h) for pair in halves for h in pair) == 0:
+        return 0.5
+    first = PUModel(halves[0][0], halves[1][0], 0.5, seed)
+    p, u = np.sort(first(halves[0][1])), np.sort(first(halves[1][1]))
+    score = np.concatenate([p, u])
+    above_p = 1 - np.searchsorted(p, score, "left") / len(p)
+    above_u = 1 - np.searchsorted(u, score, "left") / len(u)
+    slack = np.sqrt(np.log(4 / 0.1) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
+    use = above_p > 0
+    best = np.argmin((above_u[use] + slack) / above_p[use])
+    return float(np.clip(above_u[use][best] / above_p[use][best], 0.01, 0.99))
+
+
 def _features_of(docs: DataFrame) -> np.ndarray:
     """The statistics of a bounded sample, in the driver."""
 
@@ -146,20 +171,16 @@ def _features_of(docs: DataFrame) -> np.ndarray:
 
 def train_quality(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, seed: int = 0) -> PUModel | None:
     """``labels``: doc_id, quality (1 is a trusted positive). Uses no row of which the id is not given."""
-    named = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n, good = named.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0))).first()
-    total = docs.count()
+    named = labels.where(F.col("doc_id").isNotNull() & (F.col("quality") == 1)).select("doc_id").distinct()
+    good, total = named.count(), docs.count()
     if not good or not total:
         return None
-    picked = named.where((F.col("quality") == 1) & (share(F.col("doc_id"), f"p{seed}") < max_sample / good)).select("doc_id")
-    positives = _features_of(docs.join(picked, "doc_id", "left_semi"))
-    unlabelled = _features_of(docs.where(share(F.col("doc_id"), f"u{seed}") < max_sample / total))
+    picked = named.where(share(F.col("doc_id"), f"p{seed}") < max_sample / good)
+    positives = _features_of(docs.join(picked, "doc_id", "left_semi").limit(2 * max_sample))
+    unlabelled = _features_of(docs.where(share(F.col("doc_id"), f"u{seed}") < max_sample / total).limit(2 * max_sample))
     if not len(positives) or not len(unlabelled):
         return None
-    if good < n:
-        return PUModel(positives, unlabelled, min(0.99, max(0.01, good / n)), seed)
-    first = PUModel(positives, unlabelled, 0.5, seed)
-    return PUModel(positives, unlabelled, min(0.95, max(0.05, first(unlabelled).mean() / max(first(positives).mean(), 1e-6))), seed)
+    return PUModel(positives, unlabelled, class_prior(positives, unlabelled, seed), seed)
 
 
 def quality_scores(docs: DataFrame, model: PUModel | None) -> DataFrame:
