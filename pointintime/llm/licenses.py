@@ -3,9 +3,10 @@
 Rules are regular expressions over normalised words (lower-cased, one blank between words). Keywords
 gate each rule: a rule runs only in texts that contain one of its keywords, which one search a keyword decides.
 Whatever matches a rule contains one of its keywords, so gates change nothing but the time.
-Detections that overlap are resolved by the rules' priority and by containment: a detection that lies
-within another of the same or a higher priority is dropped, and a weaker one that overlaps a stronger
-one goes as well. The three base phrases are always reported, whatever else is found.
+Detections that overlap are resolved by the rules' priority and by containment: a detection that overlaps one of a
+higher priority is dropped; of one priority, the longer one stays, so what lies within another goes (of equal ones, the
+rule that comes first). The three base phrases are always reported, whatever else is found. Repeated rows have a
+result each, empty tables none.
 
 The score is 1 - the product of (1 - strength) over the detections kept: 0.9 for a full grant or an
 identifier, 0.6 for a license's name, 0.3 for a mere hint.
@@ -14,6 +15,7 @@ identifier, 0.6 for a license's name, 0.3 for a mere hint.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -27,7 +29,7 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 #: Licenses: label, keywords that gate its rules (one entry for all names or one for each, alternatives
 #: separated by |), names, identifiers (both as normalised words).
 LICENSES = (
-    ("mit", ("mit", "expat"), (r"mit(?: x11)?", r"expat"), ("mit",)),
+    ("mit", (" mit ", " expat "), (r"mit(?: x11)?", r"expat"), ("mit",)),
     ("apache-2", "apache", (r"apache(?: software)?(?: license)? (?:version |v )?2(?: 0)?", r"apache2"), ("apache 2 0",)),
     ("apache-1.1", "apache", (r"apache(?: software)?(?: license)? (?:version |v )?1 1",), ("apache 1 1",)),
     ("gpl-2", ("general public license|gpl", "gplv2"), (r"(?:gnu )?(?:general public license|gpl)(?: gpl)? (?:version |v )?2(?: 0)?", r"gplv2"), ("gpl 2 0 only", "gpl 2 0 or later", "gpl 2 0")),
@@ -36,11 +38,11 @@ LICENSES = (
     ("lgpl-3", ("lesser general public|lgpl", "lgplv3"), (r"(?:gnu )?(?:lesser general public license|lgpl) (?:version |v )?3(?: 0)?", r"lgplv3"), ("lgpl 3 0 only", "lgpl 3 0 or later", "lgpl 3 0")),
     ("agpl-3", ("affero|agpl", "agplv3"), (r"(?:gnu )?(?:affero general public license|agpl) (?:version |v )?3(?: 0)?", r"agplv3"), ("agpl 3 0 only", "agpl 3 0 or later", "agpl 3 0")),
     ("gfdl", "free documentation", (r"(?:gnu )?free documentation license",), ("gfdl 1 3",)),
-    ("bsd-2-clause", "bsd", (r"(?:simplified|freebsd|2 clause|two clause) bsd", r"bsd (?:2|two) clause"), ("bsd 2 clause",)),
-    ("bsd-3-clause", "bsd", (r"(?:new|modified|revised|3 clause|three clause) bsd", r"bsd (?:3|three) clause"), ("bsd 3 clause",)),
-    ("bsd-4-clause", "bsd", (r"(?:original|4 clause|four clause) bsd", r"bsd (?:4|four) clause"), ("bsd 4 clause",)),
-    ("0bsd", "bsd", (r"(?:zero clause|0 clause) bsd",), ("0bsd",)),
-    ("isc", "isc", (r"isc",), ("isc",)),
+    ("bsd-2-clause", " bsd ", (r"(?:simplified|freebsd|2 clause|two clause) bsd", r"bsd (?:2|two) clause"), ("bsd 2 clause",)),
+    ("bsd-3-clause", " bsd ", (r"(?:new|modified|revised|3 clause|three clause) bsd", r"bsd (?:3|three) clause"), ("bsd 3 clause",)),
+    ("bsd-4-clause", " bsd ", (r"(?:original|4 clause|four clause) bsd", r"bsd (?:4|four) clause"), ("bsd 4 clause",)),
+    ("0bsd", " bsd ", (r"(?:zero clause|0 clause) bsd",), ("0bsd",)),
+    ("isc", " isc ", (r"isc",), ("isc",)),
     ("mpl-2", "mozilla", (r"mozilla public license(?: mpl)? (?:version |v )?2(?: 0)?",), ("mpl 2 0",)),
     ("mpl-1.1", "mozilla", (r"mozilla public license(?: mpl)? (?:version |v )?1 1",), ("mpl 1 1",)),
     ("epl-1", "eclipse", (r"eclipse public license (?:version |v )?1(?: 0)?",), ("epl 1 0",)),
@@ -49,7 +51,7 @@ LICENSES = (
     ("eupl", "european union", (r"european union public licen[cs]e",), ("eupl 1 2",)),
     ("artistic-2", "artistic", (r"artistic license (?:version |v )?2(?: 0)?",), ("artistic 2 0",)),
     ("artistic-1", "artistic", (r"(?:perl )?artistic license(?: (?:version |v )?1(?: 0)?)?",), ("artistic 1 0",)),
-    ("zlib", "zlib", (r"zlib(?: libpng)?",), ("zlib",)),
+    ("zlib", " zlib ", (r"zlib(?: libpng)?",), ("zlib",)),
     ("boost-1", "boost", (r"boost software license(?: (?:version |v )?1(?: 0)?)?",), ("bsl 1 0",)),
     ("unlicense", "unlicense", (r"the unlicense",), ("unlicense",)),
     ("wtfpl", ("wtfpl", "what the fuck"), (r"wtfpl", r"do what the fuck you want to public license"), ("wtfpl",)),
@@ -59,7 +61,7 @@ LICENSES = (
     ("ofl-1.1", "open font", (r"(?:sil )?open font license(?: (?:version |v )?1 1)?",), ("ofl 1 1",)),
     ("ms-pl", "microsoft", (r"microsoft public license",), ("ms pl",)),
     ("ms-rl", "microsoft", (r"microsoft reciprocal license",), ("ms rl",)),
-    ("ncsa", "ncsa", (r"(?:university of illinois )?ncsa(?: open source)?",), ("ncsa",)),
+    ("ncsa", " ncsa ", (r"(?:university of illinois )?ncsa(?: open source)?",), ("ncsa",)),
     ("odbl", "open database", (r"open database license",), ("odbl 1 0",)),
     ("pddl", "public domain dedication", (r"public domain dedication and license",), ("pddl 1 0",)),
     ("cc0", ("cc0", "creative commons zero"), (r"cc0(?: 1 0)?(?: universal)?", r"creative commons zero"), ("cc0 1 0",)),
@@ -73,7 +75,7 @@ LICENSES = (
     ("gpl", ("gnu general public license", "gnu gpl"), (r"(?:the )?gnu general public license", r"gnu gpl"), ("gpl",)),
     ("lgpl", "lesser general public", (r"(?:the )?(?:gnu )?lesser general public license",), ("lgpl",)),
     ("agpl", "affero", (r"(?:the )?(?:gnu )?affero general public license",), ("agpl",)),
-    ("bsd", "bsd", (r"bsd(?: style)?",), ("bsd",)),
+    ("bsd", " bsd ", (r"bsd(?: style)?",), ("bsd",)),
     ("apache", "apache", (r"apache(?: software)?(?: foundation)?",), ("apache",)),
     ("mpl", "mozilla", (r"mozilla public",), ("mpl",)),
     ("creative-commons", "creative commons", (r"(?:a )?creative commons",), ("cc",)),
@@ -89,7 +91,7 @@ FORMS = (
 SINGLE = (
     ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software", 0.9),
     ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0.9),
-    ("bsd-3-clause", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted.{0,900}?neither the name", 0.9),
+    ("bsd-3-clause", "neither the name", r"neither the name of .{1,120}? may be used to endorse or promote products derived from this software", 0.9),
     ("bsd-2-clause", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 0.6),
     ("zlib", "altered source", r"altered source versions must be plainly marked as such", 0.9),
     ("boost-1", "boost software", r"boost software license version 1 0", 0.9),
@@ -142,13 +144,17 @@ def detections(text: bytes) -> list[tuple[int, int, str, float]]:
     hits = []
     for keywords, gated in _gates():
         if any(k in text for k in keywords):
-            hits += [(priority, m.start() - m.end(), m.start(), m.end(), label, s) for priority, label, _, x, s in gated for m in x.finditer(text)]
+            hits += [(priority // 1000, m.start() - m.end(), priority, m.start(), m.end(), label, s) for priority, label, _, x, s in gated for m in x.finditer(text)]
+    starts: list[int] = []
     kept: list[tuple[int, int, str, float]] = []
-    for _, _, a, b, label, s in sorted(hits):
-        if all(b <= x or y <= a or a <= x and y <= b and b - a > y - x for x, y, _, _ in kept):
-            kept = [k for k in kept if not (a <= k[0] and k[1] <= b)]
-            kept.append((a, b, label, s))
-    return sorted(kept)
+    for *_, a, b, label, s in sorted(hits):  # kept ones never overlap, so only the neighbours can overlap another
+        at = bisect_left(starts, a)
+        if (at == len(kept) or b <= starts[at]) and (not at or kept[at - 1][1] <= a):
+            starts.insert(at, a)
+            kept.insert(at, (a, b, label, s))
+    # the permission of a license with three clauses is that of one with two, followed by a clause more
+    more = [k for k, (here, after) in enumerate(zip(kept, kept[1:])) if here[2] == "bsd-2-clause" and after[2] == "bsd-3-clause" and text.startswith(b"redistribution", here[0])]
+    return [k for i, k in enumerate(kept) if i not in set(more)] if more else kept
 
 
 def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
@@ -160,10 +166,11 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float
     normal = b" " + b" ".join(tokens) + b" "
     base, starts = set(), []
     for phrase, label in BASE:
-        needle, at = f" {phrase} ".encode(), -1
+        needle, at, counted, word = f" {phrase} ".encode(), -1, 0, 0
         while (at := normal.find(needle, at + 1)) >= 0:
             base.add(label)
-            starts.append(normal.count(b" ", 0, at))
+            word, counted = word + normal.count(b" ", counted, at), at
+            starts.append(word)
     kept = detections(normal)
     doubt = 1.0
     for *_, s in kept:
