@@ -6,31 +6,34 @@ Suffixes are sorted one bucket at a time; long ties are settled by ranks of a di
    windows fall into one bucket wherever they stand. Consecutive windows of one bucket form a block, about
    85 windows long. Blocks whose gram occurs once in the corpus hold no repeated window: they are most of
    the text and end here. A bitmap of fixed size of the repeated grams spares them the second pass.
-2. Blocks. Blocks with equal text (by hash) are one class. Where a class has two members, all its windows
+2. Blocks. Blocks with equal text (gram and digest, 128 bits) are one class. Where a class has two members, all its windows
    repeat: so copies and the inside of shared passages are settled without being compared.
 3. Suffix sort. What is left are the ends of shared passages. Of each such bucket the different blocks
-   are laid out, and the suffixes at their windows are sorted: by bucket and place, by their first COVER bytes,
-   then by the rank of the cover sample that follows within COVER bytes, last by their last bytes. The sample's
-   positions lie in a difference cover modulo 31 counted from the bucket's gram, so equal windows meet the same
-   sample; its ranks are computed once for a bucket. Neighbours with a common prefix of LENGTH bytes repeat.
-   A bucket with many different blocks is dealt to ``PARTS`` tasks by the windows' distance from the gram.
+   are laid out, and the suffixes at their windows are sorted in the order of their letters: by bucket and distance from its gram, by
+   their first COVER bytes, then by the rank of the cover sample that follows within COVER bytes, last by their last bytes. The
+   sample's positions lie in a difference cover modulo 31 counted from the bucket's gram, so equal windows meet the same
+   sample; its ranks are computed once for a bucket, for suffixes that have a long tie. What has a common prefix of LENGTH bytes repeats.
+   A bucket with many different blocks is dealt by the windows' distance from the gram, and by the bytes that all windows
+   of such distances share: the more blocks, the fewer distances a part has. Equal segments within a part are held once.
 4. Verdicts go back to all blocks of the class, become byte runs of each text, and the runs are cut.
 
 Null texts are empty; texts under LENGTH bytes lose nothing; copies of one text (repeated rows too) lose all
-their bytes if they have LENGTH; a repeat within one text counts. Equality rests on 64-bit hashes of blocks and
-texts. Only texts with a run are shuffled; others are passed on as they are.
+their bytes if they have LENGTH; a repeat within one text counts. Windows are compared by their bytes; equality of whole blocks
+and of whole texts rests on digests. Only texts with a run are shuffled; others are passed on as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, bitmap, mix, pieces, prefix, signed, span_hash, table, written
+from .common import PIECE, among, bitmap, pieces, prefix, signed, span_hash, table, written
 
 LENGTH, GRAM = 200, 32
 COVER = 31
@@ -41,14 +44,13 @@ _STEP = np.array([next(d for d in range(COVER) if (r + d) % COVER in _COVER_SET)
 
 
 def blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Gram hash, block hash, document, first window (from the document's beginning), windows, and whether windows of
+    """Gram hash, first window, document, first window from the document's beginning, windows, and whether windows of
     the block may equal each other (then its gram stands at the beginning of one that isn't the last)."""
     n, w = len(data), LENGTH - GRAM + 1
     if n < LENGTH:
         return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)))
-    sums = prefix(data)
     at = np.arange(n - GRAM + 1)
-    grams = span_hash(sums, at, at + GRAM)
+    grams = span_hash(prefix(data), at, at + GRAM)
     least, size = grams, 1
     while 2 * size <= w:
         least = np.minimum(least[:-size], least[size:])
@@ -62,12 +64,23 @@ def blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     begin = np.flatnonzero(new)
     count = np.diff(np.append(begin, len(inside)))
     first = inside[begin]
-    whole = span_hash(sums, first, first + count - 1 + LENGTH)
     starts = own == least
     starts[begin[1:] - 1] = False
     starts[-1:] = False
     within = np.maximum.reduceat(starts, begin).astype(np.int64) if len(begin) else count
-    return least[begin], whole, doc[begin], first - offsets[doc[begin]], count, within
+    return least[begin], first, doc[begin], first - offsets[doc[begin]], count, within
+
+
+def parts_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``pieces``: first document, byte of it that the piece begins with, bytes, offsets. A long document is several pieces,
+    each with the first windows of the next; a block that is cut there is two blocks."""
+    for first, _, data, offsets in pieces(column, PIECE):
+        if len(data) <= 2 * PIECE:
+            yield first, 0, data, offsets
+        else:
+            for at in range(0, len(data), PIECE):
+                part = data[at : at + PIECE + LENGTH - 1]
+                yield first, at, part, np.array([0, len(part)])
 
 
 def _away(sums: np.ndarray, gram: np.ndarray, begins: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -78,29 +91,65 @@ def _away(sums: np.ndarray, gram: np.ndarray, begins: np.ndarray, at: np.ndarray
     return stands[np.searchsorted(stands, at)] - at
 
 
+def _columns(text: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
+    """The ``size`` bytes from each place as numbers of up to eight bytes whose order is that of the letters."""
+    out = []
+    for k in range(0, size, 8):
+        value = np.zeros(len(at), np.uint64)
+        for j in range(k, min(k + 8, size)):
+            value = (value << np.uint64(8)) | text[at + j]
+        out.append(value)
+    return out
+
+
+def _sorted_by(group: np.ndarray, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts by (group, key, key, ...): the order, and where in it a new value begins."""
+    order = np.lexsort((*keys[::-1], group))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in (group, *keys)], axis=0)
+    return order, new
+
+
+def cover_ranks(text: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The rank in letter order of the LENGTH - COVER bytes from each sample position; equal strings have one rank."""
+    out = np.zeros(len(places), np.int64)
+    if len(places):
+        rows = np.lib.stride_tricks.sliding_window_view(text, LENGTH - COVER)[places]
+        _, out = np.unique(np.ascontiguousarray(rows).view(f"S{LENGTH - COVER}").ravel(), return_inverse=True)
+    return out
+
+
 def repeated_windows(bucket: np.ndarray, text: np.ndarray, begins: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """Which windows occur twice. Segment i is text[begins[i]:begins[i + 1]], its windows begin at 0..windows[i] - 1, and
-    ``bucket`` is the gram that they share."""
+    ``bucket`` is the gram that they share.
+
+    The suffixes at the windows are sorted by bucket and distance from its gram, by their first COVER bytes, by the rank of the
+    cover sample that follows, and by their last COVER bytes; whatever is alone after a step is not compared further."""
     owner = np.repeat(np.arange(len(windows)), windows)
     at = begins[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    sums = prefix(text)
-    away = _away(sums, bucket, begins, at)
-    sample = at + _STEP[(-away) % COVER]
-    # ranks of the cover sample: one for each different string of LENGTH - COVER bytes
-    places, place = np.unique(sample, return_inverse=True)
-    _, rank = np.unique(span_hash(sums, places, places + LENGTH - COVER), return_inverse=True)
-    head = span_hash(sums, at, at + COVER)
-    tail = span_hash(sums, at + LENGTH - COVER, at + LENGTH)
-    order = np.lexsort((tail, rank[place], head, away, bucket[owner]))
-    keys = [k[order] for k in (bucket[owner], away, head, rank[place], tail)]
-    same = np.ones(max(0, len(order) - 1), bool)
-    for k in keys:
-        same &= k[1:] == k[:-1]
-    twice = np.zeros(len(order), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    out = np.zeros(len(order), bool)
-    out[order] = twice
+    away = _away(prefix(text), bucket, begins, at)
+    out = np.zeros(len(at), bool)
+    live = np.arange(len(at))
+    group = np.zeros(len(at), np.int64)
+    steps = (
+        lambda i: [bucket[owner[i]], away[i]],
+        lambda i: _columns(text, at[i], COVER),
+        None,
+        lambda i: _columns(text, at[i] + LENGTH - COVER, COVER),
+    )
+    for step in steps:
+        if step is None:
+            places, place = np.unique(at[live] + _STEP[(-away[live]) % COVER], return_inverse=True)
+            keys = [cover_ranks(text, places)[place]]
+        else:
+            keys = step(live)
+        order, new = _sorted_by(group, keys)
+        number = np.cumsum(new) - 1
+        several = (np.bincount(number) > 1)[number]
+        live, group = live[order][several], number[several]
+        if not len(live):
+            return out
+    out[live] = True
     return out
 
 
@@ -117,7 +166,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
     def grams(batches):
         for batch in batches:
-            for _, _, data, offsets in pieces(batch.column(0)):
+            for _, _, data, offsets in parts_of(batch.column(0)):
                 a, _, _, _, _, within = blocks(data, offsets)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(within + 1)], names=["a", "k"])
 
@@ -127,10 +176,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     def candidates(batches):
         for batch in batches:
             keys = batch.column(1).to_numpy()
-            for first, _, data, offsets in pieces(batch.column(0)):
-                a, whole, doc, at, count, within = blocks(data, offsets)
+            for first, base, data, offsets in parts_of(batch.column(0)):
+                a, begin, doc, at, count, within = blocks(data, offsets)
                 use = among(sent.value, a)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(a[use]), signed(whole[use]), keys[first + doc[use]], at[use], count[use], within[use])], names=["a", "bh", "dk", "s", "m", "k"])
+                whole = memoryview(np.ascontiguousarray(data))
+                digest = np.array([xxhash.xxh3_64_intdigest(whole[x : x + m - 1 + LENGTH]) for x, m in zip(begin[use].tolist(), count[use].tolist(), strict=True)], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(a[use]), signed(digest), keys[first + doc[use]], base + at[use], count[use], within[use])], names=["a", "bh", "dk", "s", "m", "k"])
 
     found = keyed.select("text", "dk").mapInArrow(candidates, "a long, bh long, dk long, s long, m long, k long")
     rows = written(found.groupBy("a", "bh", "dk", "s", "m").agg(F.count("*").alias("c"), F.max("k").alias("k")))
@@ -155,46 +206,70 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
                 raw = text.encode()
                 for b in wants:
                     s, m = b["s"], b["m"]
-                    body = np.frombuffer(raw[s : s + m - 1 + LENGTH], np.uint8)
-                    step = -(-(LENGTH - GRAM + 1) // PARTS) if b["kinds"] > MANY else LENGTH
-                    # windows of one distance from the gram go to one part
-                    part = _away(prefix(body), np.array([b["a"]]).view(np.uint64), np.array([0, len(body)]), np.arange(m)) // step
-                    edge = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), m]
+                    block = raw[s : s + m - 1 + LENGTH]
+                    if b["kinds"] <= MANY:
+                        out.append((b["a"], 0, 0, b["bh"], b["n"], 0, m, block))
+                        continue
+                    # windows of some distances from the gram go to one part, with those that have the same bytes where
+                    # all windows of these distances overlap
+                    step = max(1, (LENGTH - GRAM + 1) // (PARTS * -(-b["kinds"] // max(1, MANY))))
+                    body = np.frombuffer(block, np.uint8)
+                    away = _away(prefix(body), np.array([b["a"]]).view(np.uint64), np.array([0, len(body)]), np.arange(m))
+                    part = away // step
+                    edge = [0, *(np.flatnonzero((np.diff(part) != 0) | (np.diff(away) != -1)) + 1).tolist(), m]
                     for x, y in zip(edge[:-1], edge[1:], strict=True):
-                        out.append((b["a"], int(part[x]), b["bh"], b["n"], x, y - x, raw[s + x : s + y - 1 + LENGTH]))
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 6 + [pa.binary()], strict=True)], names=["a", "part", "bh", "n", "skip", "m", "body"])
+                        p = int(part[x])
+                        gram = x + int(away[x])
+                        core = xxhash.xxh3_64_intdigest(block[gram - p * step : gram - (p + 1) * step + 1 + LENGTH])
+                        out.append((b["a"], p, core - (1 << 63), b["bh"], b["n"], x, y - x, block[x : y - 1 + LENGTH]))
+            columns = list(zip(*out, strict=True)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 7 + [pa.binary()], strict=True)], names=["a", "part", "core", "bh", "n", "skip", "m", "body"])
 
-    laid = texts.select("text", "blocks").mapInArrow(segments, "a long, part long, bh long, n long, skip long, m long, body binary")
+    laid = texts.select("text", "blocks").mapInArrow(segments, "a long, part long, core long, bh long, n long, skip long, m long, body binary")
 
     def settle(batches):
-        """Bucket after bucket; a bucket is complete within its task."""
+        """Bucket after bucket; a bucket is complete within its task, equal segments follow each other. All windows of equal
+        segments repeat, which is said at once; one of them is held for the others."""
         held: list = []
+        out: list = []
 
-        def done(rows: list) -> pa.RecordBatch:
-            a, part, bh, n, skip, m, body = (np.array(c) if k < 6 else c for k, c in enumerate(zip(*rows, strict=True)))
+        def done() -> list:
+            a, bh, n, skip, m, body = (np.array(c) if k < 5 else c for k, c in enumerate(zip(*((r[0], *r[3:]) for r in held), strict=True)))
             begins = np.concatenate([[0], np.cumsum([len(x) for x in body])])
             flags = repeated_windows(a.view(np.uint64), np.frombuffer(b"".join(body), np.uint8), begins, m)
-            out, at = [], 0
+            found, at = [], 0
             for i in range(len(m)):
                 if n[i] == 1:
-                    out += [(int(a[i]), int(bh[i]), int(skip[i]) + x, int(skip[i]) + y) for x, y in _runs(flags[at : at + m[i]])]
+                    found += [(int(a[i]), int(bh[i]), int(skip[i]) + x, int(skip[i]) + y) for x, y in _runs(flags[at : at + m[i]])]
                 at += m[i]
+            return found
+
+        def sent() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) or [[]] * 4
+            out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "bh", "x", "y"])
 
         size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > 1 << 20 and row[:2] != held[-1][:2]:
-                    yield done(held)
+                if held and row[:3] == held[-1][:3] and row[7] == held[-1][7]:
+                    for r in (held[-1], row):
+                        if r[4] == 1:
+                            out.append((r[0], r[3], r[5], r[5] + r[6]))
+                    held[-1] = (*held[-1][:4], 2, *held[-1][5:])
+                    continue
+                if size > 1 << 20 and row[:3] != held[-1][:3]:
+                    out += done()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[6])
+                size += len(row[7])
+            yield sent()
         if held:
-            yield done(held)
+            out += done()
+            yield sent()
 
-    settled = laid.repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(settle, "a long, bh long, x long, y long")
+    keys = ("a", "part", "core")
+    settled = laid.repartition(*keys).sortWithinPartitions(*keys, "body").mapInArrow(settle, "a long, bh long, x long, y long")
     verdicts = written(classes.where("n > 1").select("a", "bh", F.lit(0).cast("long").alias("x"), F.col("m").alias("y")).unionByName(settled))
     runs = rows.join(verdicts, ["a", "bh"]).select("dk", (F.col("s") + F.col("x")).alias("x"), (F.col("s") + F.col("y") - 1 + LENGTH).alias("y"))
     return written(runs.groupBy("dk").agg(F.collect_list(F.struct("x", "y")).alias("runs"))).withColumnRenamed("dk", "text_hash")
