@@ -56,11 +56,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), m
 
     def decided(rows: DataFrame, draw: Column) -> DataFrame:
         rows = rows.select(*names, size, draw.alias("mix_taken"))
-        rows = rows.join(level, rows["source"].eqNullSafe(level["level"]["source"]))
-        of = level["level"]
-        wanted = of["target"] / of["source_size"] * F.col("mix_size") + F.col("mix_taken")
-        taken = F.when(F.col("mix_size") == 0, F.lit(0)).otherwise(F.least(F.floor(wanted), F.col("mix_size") * max_epochs)).cast("long")
-        return rows.select(*names, "mix_size", of["source_size"].alias("mix_source_size"), of["target"].alias("mix_target"), taken.alias("mix_taken"))
+        both, of = rows.join(level, rows["source"].eqNullSafe(level["level"]["source"])), level["level"]
+        wanted = of["target"] / of["source_size"] * rows["mix_size"] + rows["mix_taken"]
+        taken = F.when(rows["mix_size"] == 0, F.lit(0)).otherwise(F.least(F.floor(wanted), rows["mix_size"] * max_epochs)).cast("long")
+        return both.select(*(rows[c] for c in names), rows["mix_size"], of["source_size"].alias("mix_source_size"), of["target"].alias("mix_target"), taken.alias("mix_taken"))
 
     own = share(F.col("doc_id"), f"mix{seed}")
     if several.isEmpty():

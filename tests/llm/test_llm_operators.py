@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pointintime.llm import context_tree, decontaminate, html_text, licenses, mixing, near_dup, neighbours, quality, suffix_dedup, toxicity
 from pointintime.llm.common import remainder
@@ -395,3 +396,144 @@ def test_html_density_decides():
             c, t, lc, lt = inner[x]
             base = math.log(c / max(1, c - lc) * lc + whole[2] / max(1, whole[0]) * c + math.e)
             assert math.isclose(x.density, c / max(1, t) * math.log(max(1, c / max(1, lc) * max(1, t) / max(1, lt))) / base if c else 0, abs_tol=1e-9)
+
+
+def test_quality_risk_and_prior():
+    rng = np.random.default_rng(1)
+    w = [rng.normal(size=(4, quality.HIDDEN)), rng.normal(size=quality.HIDDEN), rng.normal(size=quality.HIDDEN), np.array(0.3)]
+    p, u = rng.normal(1, 1, (9, 4)), rng.normal(0, 1, (13, 4))
+
+    def score(x):
+        return [sum(math.tanh(sum(a * w[0][i, j] for i, a in enumerate(row)) + w[1][j]) * w[2][j] for j in range(quality.HIDDEN)) + float(w[3]) for row in x]
+
+    def plain(prior):
+        good, bad = (lambda g: math.log1p(math.exp(-g))), (lambda g: math.log1p(math.exp(g)))
+        mean = lambda f, x: sum(map(f, score(x))) / len(x)
+        return prior * mean(good, p) + max(0.0, mean(bad, u) - prior * mean(bad, p)), mean(bad, u) - prior * mean(bad, p)
+
+    for prior in (0.2, 0.99):
+        risk, grads = quality.risk_and_gradient(w, p, u, prior)
+        want, negative = plain(prior)
+        assert math.isclose(risk, want, rel_tol=1e-9)
+        if negative < 0:
+            continue
+        for k in range(4):
+            at = tuple(0 for _ in w[k].shape)
+            old = w[k].copy()
+            w[k] = old.copy()
+            w[k][at] += 1e-6
+            up = plain(prior)[0]
+            w[k] = old
+            assert math.isclose((up - want) / 1e-6, np.asarray(grads[k])[at], rel_tol=1e-3, abs_tol=1e-5)
+    good, bad = rng.normal(2, 1, (4000, 6)), rng.normal(-2, 1, (4000, 6))
+    for prior in (0.25, 0.7):
+        mixed = np.concatenate([good[2000 : 2000 + int(2000 * prior)], bad[: 2000 - int(2000 * prior)]])
+        assert abs(quality.class_prior(good[:2000], mixed) - prior) < 0.06
+
+
+def test_subsequence_kernel():
+    words = [b"clown", b"clovwn", b"idiot", b"aaaaaaa", b"th", b"reed"]
+
+    def counted(s):
+        s = [31] + [c - 96 for c in s]
+        out = Counter()
+        for i, j, k in itertools.combinations(range(len(s)), 3):
+            if k - i < toxicity.SPAN:
+                out[s[i], s[j], s[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    dot = lambda f, g: sum(v * g[c] for c, v in f.items())
+    x = toxicity.coded(words)[0]
+    got = toxicity.kernels(x, toxicity.table_of(x))
+    for i, a in enumerate(map(counted, words)):
+        for j, b in enumerate(map(counted, words)):
+            assert math.isclose(got[i, j], dot(a, b) / math.sqrt(dot(a, a) * dot(b, b)), rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_long_texts(spark, documents, texts, monkeypatch):
+    """Long texts are taken a part at a time, with the same results."""
+    from pointintime.llm import common
+
+    model = toxicity.SubsequenceSVM([b"grobian"], [b"the", b"table", b"groan", b"being"])
+    long = prose(1, 30_000) + " you grobian " + prose(2, 20_000)
+    column = toxicity.pa.array([long, None, "grobian", ""])
+    got = toxicity._margins(column, model, {})
+    monkeypatch.setattr(toxicity, "STRETCH", 1 << 12)
+    assert np.array_equal(got, toxicity._margins(column, model, {})) and got[0] == got[2] > got[1] == got[3]
+    data = np.frombuffer((long * 8).encode(), np.uint8)
+    whole = common._hashes(data, np.array([0, len(data)]), common.SPACED)[0]
+    monkeypatch.setattr(common, "PIECE", 1 << 12)
+    assert np.array_equal(whole, common.word_hashes(data, np.array([0, len(data)]))[0])
+    begun = [b["text"] for b in documents.select("text").collect() if b["text"]]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 300)
+    flat = toxicity.pa.array([*begun, None])
+    seen = [[] for _ in range(len(flat))]
+    for first, base, data, offsets in suffix_dedup.parts_of(flat):
+        for _, _, doc, at, count, _ in zip(*suffix_dedup.blocks(data, offsets), strict=True):
+            seen[first + doc] += range(base + at, base + at + count)
+    assert all(s == list(range(max(0, len((t or "").encode()) - suffix_dedup.LENGTH + 1))) for s, t in zip(seen, flat.to_pylist(), strict=True))
+
+
+def test_equal_is_equal_by_bytes(spark):
+    """Two different strings that have one polynomial hash modulo 2**64."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    got = suffix_dedup.suffix_digest(spark.createDataFrame([(1, a[:1024]), (2, b[:1024]), (3, prose(5, 90)), (4, prose(5, 90)[:250])], "doc_id long, text string")).collect()
+    raw = [x[:1024].encode() for x in (a, b)]
+    raw += [prose(5, 90).encode(), prose(5, 90)[:250].encode()]
+    count = Counter(t[p : p + 200] for t in raw for p in range(len(t) - 199))
+    for r in got:
+        t, gone = raw[r.doc_id - 1], set()
+        for p in range(len(t) - 199):
+            gone |= set(range(p, p + 200)) if count[t[p : p + 200]] > 1 else set()
+        assert r.n_removed == len(gone)
+
+
+def test_draws_and_candidates_of_equal_rows(spark):
+    rows = spark.range(1000).selectExpr("cast(null as long) as doc_id", "'word' as text", "if(id < 500, 'a', 'b') as source", "id as mix_size", "'x' as level", "id as number")
+    got = mixing.mix_sources(rows)
+    assert set(got.columns) == {*rows.columns, "mix_source_size", "mix_target", "mix_taken"}
+    sums = got.groupBy("source").agg(F.count("*"), F.sum("mix_taken"), F.max("mix_target")).collect()
+    assert len(sums) == 2 and all(n == 500 and abs(taken - target) < 60 for _, n, taken, target in sums)
+    frame = spark.createDataFrame([(1, [1.0, 0.0]), (1, [9.0, 9.0]), (None, [1.0, 0.5]), (2, [1.0, 0.0]), (1, [1.0, 0.0]), (3, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    found = neighbours.search(*neighbours.index(frame), frame.where("vec_id = 1 and embedding[0] = 1").limit(1)).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 3)) for r in found] == [(1, 0.0), (2, 0.0), (None, 0.5), (1, 12.042)]
+
+
+def test_stages_with_clashing_columns(spark, documents, tmp_path):
+    import corpus_pipeline
+
+    d = str(tmp_path)
+    labelled(spark, documents).write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, prose(7, 2000)[:300])], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    more = documents.selectExpr("*", "1 as runs", "2 as `__hash`", "0.5 as toxic_score", "0.5 as quality_score", "3L as mix_size", "4 as doc", "5 as hash", "6 as dk", "7 as key", "8 as component", "9 as level")
+    nulls = more.selectExpr("cast(null as long) as doc_id", *[f"`{c}`" for c in more.columns[1:]])
+    rows = more.unionByName(more).unionByName(nulls)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for frame in (rows, rows.where("false")):
+            out = stage(spark, frame, d)
+            assert out.columns == rows.columns and len(out.collect()) <= frame.count(), name
+    for frame in (rows, rows.where("false")):
+        assert corpus_pipeline.mixed(spark, frame, d).where("mix_taken <= 0").count() == 0
+    one = corpus_pipeline.one_of_each(spark, rows, d).where("text is not null and text <> ''").collect()
+    _, root = linked([r.text for r in documents.orderBy("doc_id").collect()], 5, 80)
+    sets = [t for t in {r.text for r in one} if tokens(t)]
+    kept = [r for r in one if tokens(r.text)]
+    assert len(kept) == len({root[r.doc_id] for r in kept}) == len(sets)
+    quality.quality_scores(rows, None).select("quality_score").collect()
+
+
+def test_license_base_against_plain_counts(spark):
+    rng = np.random.default_rng(2)
+    bits = ["under", "the", "MIT", "license", "Apache", "version", "2", "cc", "by", "nc", "x", "é", "under the MIT license", "Apache License, Version 2", "CC-BY-NC"]
+    docs = [(i, " ".join(rng.choice(bits, int(rng.integers(0, 60)))).replace(" x ", rng.choice([". ", "\n", " ", " _"]))) for i in range(80)]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, t in docs:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
+        starts = [(k, label) for phrase, label in licenses.BASE for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        places = [k for k, _ in starts]
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word) == (len(w), len(starts), min(places, default=None), max(places, default=None))
+        assert got[i].base_labels == ",".join(sorted({x for _, x in starts})) and set(got[i].base_labels.split(",")) - {""} <= set(got[i].labels.split(","))
+    three = "Redistribution and use in source and binary forms, with or without modification, are permitted " + "provided " * 400 + "Neither the name of the owner nor the names of its contributors may be used to endorse or promote products derived from this software"
+    assert licenses.scan(three.encode())[5] == "bsd-3-clause" and licenses.scan(three[:200].encode())[5] == "bsd-2-clause"
