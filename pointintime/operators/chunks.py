@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import looks_like_header, row_sentence, strip
 from ..vocabulary import OVERLAP_CHARS, TABULAR_KINDS, WINDOW_CHARS
@@ -28,44 +30,48 @@ def table_chunks(documents: DataFrame) -> DataFrame:
     return rows.select("document_id", (F.row_number().over(order) - 1).alias("ordinal"), "text", path.alias("section_path"))
 
 
-def window_spans(text: Column) -> Column:
-    """Array of struct(s, e): the windows of a text, as offsets.
+_WINDOW = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("chunk", T.StringType())]))
+#: What ends of windows are stripped of: all Unicode white space.
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-    A fold over a bounded sequence: every step moves on by 401 characters at least, so n / 401 steps are enough.
-    """
-    n = F.length(text)
-    half = WINDOW_CHARS // 2
 
-    def end_of(start: Column) -> Column:
-        limit = F.least(start + WINDOW_CHARS, n)
-        tail = F.substring(text, start + half + 1, limit - start - half)
-        found = lambda sep: F.locate(sep[::-1], F.reverse(tail))
-        after = lambda sep: start + half + F.length(tail) - found(sep) + 1
-        back = F.when(found("\n\n") > 0, after("\n\n")).when(found("\n") > 0, after("\n")).when(found(". ") > 0, after(". ")).otherwise(limit)
-        return F.when(limit < n, back).otherwise(limit).cast("int")
+def _windows(text: str | None) -> list[tuple[int, int, str]]:
+    """Begin, end and stripped text of each window: it ends behind the last empty line, line or sentence of its second half."""
+    out, at, n = [], 0, len(text or "")
+    while at < n:
+        end = limit = min(at + WINDOW_CHARS, n)
+        if limit < n:
+            for sep in ("\n\n", "\n", ". "):
+                found = text.rfind(sep, at + WINDOW_CHARS // 2, limit)
+                if found >= 0:
+                    end = found + len(sep)
+                    break
+        out.append((at, end, text[at:end].strip(_BLANKS)))
+        if end >= n:
+            break
+        at = max(end - OVERLAP_CHARS, at + 1)
+    return out
 
-    span = "array<struct<s:int,e:int>>"
-    start_state = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
 
-    def step(state: Column, _: Column) -> Column:
-        at = state["at"]
-        end = end_of(at)
-        nxt = F.when(end >= n, F.lit(-1)).otherwise(F.greatest(end - OVERLAP_CHARS, at + 1)).cast("int")
-        grown = F.concat(state["out"], F.array(F.struct(at.alias("s"), end.alias("e"))))
-        return F.when(at < 0, state).otherwise(F.struct(nxt.alias("at"), grown.alias("out")))
+@F.pandas_udf(_WINDOW)
+def windows(text: pd.Series) -> pd.Series:
+    """Array of struct(s, e, chunk) of each text, in one pass over it."""
+    return text.map(_windows, na_action=None)
 
-    steps = F.sequence(F.lit(0), F.ceil(n / F.lit(WINDOW_CHARS - half - OVERLAP_CHARS + 1)).cast("int"))
-    folded = F.aggregate(steps, start_state, step)["out"]
-    return F.when(n > 0, folded).otherwise(F.array().cast(span))
+
+def window_spans(text: Column) -> Column:
+    """Array of struct(s, e): the windows of a text, as offsets."""
+    return F.transform(windows(text), lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e")))
 
 
 def prose_chunks(documents: DataFrame) -> DataFrame:
-    """document_id, ordinal, text, section_path, span_start, span_end; ``documents``: document_id, doc_type, text."""
-    spans = documents.select("document_id", "doc_type", "text", F.posexplode(window_spans(F.col("text"))).alias("k", "w"))
-    cut = spans.withColumn("chunk", strip(F.substring(F.col("text"), F.col("w.s") + 1, F.col("w.e") - F.col("w.s")))).where("chunk <> ''")
-    order = Window.partitionBy("document_id").orderBy("k")
+    """document_id, ordinal, text, section_path, span_start, span_end; ``documents``: document_id, doc_type, text.
+
+    A document is one row, so windows are numbered where they are made: no shuffle."""
+    spans = documents.select("document_id", "doc_type", windows(F.col("text")).alias("windows"))
+    cut = spans.select("document_id", "doc_type", F.posexplode(F.filter("windows", lambda w: w["chunk"] != "")).alias("ordinal", "w"))
     path = F.concat(F.col("doc_type"), F.lit(" > text > chars "), F.col("w.s").cast("string"), F.lit("-"), F.col("w.e").cast("string"))
-    return cut.select("document_id", (F.row_number().over(order) - 1).alias("ordinal"), F.col("chunk").alias("text"), path.alias("section_path"), F.col("w.s").alias("span_start"), F.col("w.e").alias("span_end"))
+    return cut.select("document_id", "ordinal", F.col("w.chunk").alias("text"), path.alias("section_path"), F.col("w.s").alias("span_start"), F.col("w.e").alias("span_end"))
 
 
 def chunk_documents(documents: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,20 +67,30 @@ def discovery_counts(links: DataFrame, seen: DataFrame) -> DataFrame:
 def rate_limited(hits: DataFrame, window: int = RATE_WINDOW_SECONDS, most: int = RATE_LIMIT) -> DataFrame:
     """caller, ts, n, rejected: windows open at a caller's first request and anew at the first one ``window`` seconds later.
 
-    Each window depends on the one before, so a caller's requests are folded in order: the state is one start and one count,
-    carried from batch to batch of a sorted partition, whatever the number of requests.
+    Each window depends on the one before, so a caller's requests are taken in order: the state is one start and one count,
+    carried from batch to batch of a sorted partition, whatever the number of requests. Within a batch it goes from window to
+    window by binary search.
     """
+    span = int(window * 1_000_000)
 
     def fold(batches):
-        caller = start = n = None
+        caller = start = None
+        n = 0
         for pdf in batches:
-            count = []
-            for c, t in zip(pdf["caller"], pdf["ts"], strict=True):
-                if c != caller or (t - start).total_seconds() >= window:
-                    caller, start, n = c, t, 0
-                n += 1
-                count.append(n)
-            yield pd.DataFrame({"caller": pdf["caller"], "ts": pdf["ts"], "n": count, "rejected": [x > most for x in count]})
+            times = pdf["ts"].astype("datetime64[us]").to_numpy().astype("int64")
+            who = pdf["caller"].to_numpy()
+            edges = [0, *(np.flatnonzero(who[1:] != who[:-1]) + 1).tolist(), len(who)]
+            count = np.zeros(len(who), np.int64)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a < b and who[a] != caller:
+                    caller, start, n = who[a], times[a], 0
+                while a < b:
+                    if times[a] - start >= span:
+                        start, n = times[a], 0
+                    end = a + int(np.searchsorted(times[a:b], start + span))
+                    count[a:end] = n + 1 + np.arange(end - a)
+                    n, a = n + end - a, end
+            yield pd.DataFrame({"caller": pdf["caller"], "ts": pdf["ts"], "n": count, "rejected": count > most})
 
     kind = hits.schema["ts"].dataType.simpleString()
     dealt = hits.select("caller", "ts").repartition("caller").sortWithinPartitions("caller", "ts")

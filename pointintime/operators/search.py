@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.retrieval import cosine_distance, found_by, lexical_score, rrf
+from ..functions.retrieval import found_by, lexical_score, rrf
 from ..functions.text import query_terms, tokens
 from ..vocabulary import CANDIDATES, RRF_K, TOP_K
 from .bitemporal import as_of as known_at
 
 #: Query vectors that are compared with the chunks in one pass.
-QUERY_BLOCK = 512
+QUERY_BLOCK = 4_096
 
 
 def validate(query: str | None = None, limit: int = TOP_K, candidates: int = CANDIDATES, mode: str = "hybrid") -> None:
@@ -35,9 +39,18 @@ def _top(scored: DataFrame, order: list, limit: int, by: str = "question_id") ->
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, tf: write it once, bucketed by term, and searches read only the terms they ask for."""
-    return chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+def asked_terms(questions: DataFrame) -> DataFrame:
+    """question_id, term: the different terms of each question (question_id, question)."""
+    return questions.select("question_id", F.explode(F.array_distinct(F.transform(query_terms(F.col("question")), F.lower))).alias("term"))
+
+
+def postings(chunks: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """term, chunk_id, tf: write it once, bucketed by term, and searches read only the terms they ask for. With ``questions``
+    only their terms are counted: the others go before anything is shuffled."""
+    terms = chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("term"))
+    if questions is not None:
+        terms = terms.join(asked_terms(questions).select("term").distinct(), "term", "left_semi")
+    return terms.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
 
 
 def lexical(index: DataFrame, questions: DataFrame, limit: int = CANDIDATES) -> DataFrame:
@@ -45,28 +58,63 @@ def lexical(index: DataFrame, questions: DataFrame, limit: int = CANDIDATES) ->
 
     A question without terms has no hit. Ties go to the smaller chunk_id.
     """
-    asked = questions.select("question_id", F.explode(F.array_distinct(F.transform(query_terms(F.col("question")), F.lower))).alias("term"))
-    hits = index.join(asked, "term").groupBy("question_id", "chunk_id").agg(F.round(F.sum(lexical_score(F.col("tf"))), 6).alias("score"))
+    hits = index.join(asked_terms(questions), "term").groupBy("question_id", "chunk_id").agg(F.round(F.sum(lexical_score(F.col("tf"))), 6).alias("score"))
     return _top(hits, [F.desc("score"), F.asc("chunk_id")], limit)
 
 
+def _unit(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: which of the vectors have it (those of length 0, with a null or a component that isn't finite don't count), as unit vectors."""
+    by: dict[int, list] = {}
+    for k, v in enumerate(rows):
+        if v is not None and len(v) and not any(x is None for x in v):
+            by.setdefault(len(v), []).append(k)
+    out = {}
+    for n, which in by.items():
+        v = np.array([rows[k] for k in which], float)
+        norm = np.sqrt((v * v).sum(1))
+        use = (norm > 0) & np.isfinite(norm)
+        out[n] = np.array(which)[use], v[use] / norm[use, None]
+    return out
+
+
 def dense(chunks: DataFrame, queries: DataFrame, limit: int = CANDIDATES, version: str | None = None) -> DataFrame:
     """question_id, chunk_id, distance, rank by exact cosine distance; ``queries``: question_id, vector.
 
-    One pass over the chunks for each block of about ``QUERY_BLOCK`` queries, whose vectors travel to all tasks as one array.
+    One pass over the chunks for each block of about ``QUERY_BLOCK`` queries, whose unit vectors travel to all tasks as one
+    array. A batch of chunks meets them in one matrix product and passes on the ``limit`` nearest of each query only.
     """
     has = chunks.where(F.col("embedding").isNotNull())
     if version is not None:
         has = has.where(F.col("embedding_version") == version)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     part = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
-    pairs = None
+    fields = T.StructType([T.StructField("query", T.LongType()), T.StructField("chunk_id", chunks.schema["chunk_id"].dataType), T.StructField("distance", T.DoubleType())])
+    found = None
     for b in range(blocks):
-        block = queries.where(part == b).agg(F.collect_list(F.struct("question_id", "vector")).alias("qs"))
-        one = has.select("chunk_id", "embedding").join(F.broadcast(block)).select("chunk_id", "embedding", F.explode("qs").alias("q"))
-        pairs = one if pairs is None else pairs.unionByName(one)
-    scored = pairs.select("q.question_id", "chunk_id", F.round(cosine_distance(F.col("embedding"), F.col("q.vector")), 9).alias("distance")).where("distance is not null")
-    return _top(scored, [F.asc("distance"), F.asc("chunk_id")], limit)
+        block = queries.where(part == b).select("question_id", "vector").collect()
+        sent = chunks.sparkSession.sparkContext.broadcast(_unit([r.vector for r in block]))
+
+        def nearest(batches, sent=sent):
+            for batch in batches:
+                order = pc.rank(batch.column(0), tiebreaker="first").to_numpy() if batch.num_rows else None
+                for n, (rows, v) in _unit(batch.column(1).to_pylist()).items():
+                    which, q = sent.value.get(n, (np.zeros(0, int), None))
+                    if not len(which) or not len(rows):
+                        continue
+                    distance = np.floor((1 - q @ v.T) * 1e9 + 0.5) / 1e9
+                    most = min(limit, len(rows))
+                    bound = np.partition(distance, most - 1, 1)[:, most - 1]
+                    row, col = np.nonzero(distance <= bound[:, None])
+                    sort = np.lexsort((order[rows[col]], distance[row, col], row))
+                    row, col = row[sort], col[sort]
+                    keep = np.arange(len(row)) - np.searchsorted(row, row) < limit
+                    row, col = row[keep], col[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(which[row].astype(np.int64)), batch.column(0).take(pa.array(rows[col])), pa.array(distance[row, col])], names=["query", "chunk_id", "distance"])
+
+        ids = chunks.sparkSession.createDataFrame([(k, r.question_id) for k, r in enumerate(block)], T.StructType([T.StructField("query", T.LongType()), queries.schema["question_id"]]))
+        one = has.select("chunk_id", "embedding").mapInArrow(nearest, fields).join(F.broadcast(ids), "query").select("question_id", "chunk_id", "distance")
+        found = one if found is None else found.unionByName(one)
+    return _top(found, [F.asc("distance"), F.asc("chunk_id")], limit)
 
 
 def fuse(rankings: dict[str, DataFrame], k: int = RRF_K, limit: int = TOP_K) -> DataFrame:

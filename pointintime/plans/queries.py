@@ -316,7 +316,7 @@ def _questions(spark, sf_dir) -> DataFrame:
 
 
 def _index(spark, sf_dir) -> DataFrame:
-    return search.postings(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return search.postings(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), _questions(spark, sf_dir))
 
 
 _LEXICAL = """
