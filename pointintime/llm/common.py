@@ -16,7 +16,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
 #: Bytes of text that are turned into arrays at one time; a longer document is its own piece.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,12 @@ def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.
         first = last
 
 
+def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, for what copies its texts."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def mapped(df: DataFrame, fields: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """``df`` through ``fn`` batch by batch; the result has the columns of ``fields``."""
     return df.mapInArrow(fn, fields)

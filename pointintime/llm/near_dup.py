@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, mix, pieces, signed, table, word_hashes
+from .common import Tables, mix, pieces, signed, slices, table, word_hashes
 
 REGISTERS = 240
 BASE_B = 1.02
@@ -122,7 +122,7 @@ def sketched(docs: DataFrame, k: int, rows: int) -> DataFrame:
     """id, n (set size), node (hash of the whole set), text_hash, sketch and bands; ``docs``: id, text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, 2048)):
             n_set, code, sketch, bands = [], [], [], []
             for first, last, data, offsets in pieces(batch.column(1)):
                 v, begin = shingles(data, offsets, k)
@@ -149,10 +149,8 @@ def _near(pairs: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b, n_a, n_b, sketch_a, sketch_b) whose estimated similarity may reach ``least``."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             n = batch.num_rows
-            if not n:
-                continue
             sketch = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int16).reshape(n, REGISTERS) for c in (4, 5)]
             j = similarity(*sketch, batch.column(2).to_numpy().astype(float), batch.column(3).to_numpy().astype(float))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(j >= least - SLACK))
@@ -164,7 +162,7 @@ def verified(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataF
     """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union; ``bodies``: node, text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             keep = np.zeros(batch.num_rows, bool)
             last: dict[bytes, np.ndarray] = {}
             for i, both in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
@@ -216,7 +214,7 @@ def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
             yield shingles(np.frombuffer(t, np.uint8), np.array([0, len(t)]), k)[0]
 
     def slots(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             found = np.concatenate([np.zeros(0, np.uint64), *sets(batch)]) & np.uint64(_SLOTS - 1)
             slot, n = np.unique(found.astype(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], names=["slot", "n"])
@@ -227,7 +225,7 @@ def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(counts)
 
     def rarest(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             nodes, tokens, places = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for node, own in zip(batch.column(0).to_pylist(), sets(batch), strict=True):
                 n = len(own) - (len(own) * percent + 99) // 100 + 1

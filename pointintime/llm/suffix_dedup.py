@@ -33,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE, among, bitmap, pieces, prefix, signed, span_hash, table, written
+from .common import PIECE, among, bitmap, pieces, prefix, signed, slices, span_hash, table, written
 
 LENGTH, GRAM = 200, 32
 COVER = 31
 #: A perfect difference set: every residue modulo 31 is a difference of two of its members.
 _COVER_SET = (0, 1, 3, 8, 12, 18)
 MANY, PARTS = 256, 8
+#: Bytes of blocks after which a task sorts the buckets that it holds.
+HELD = 1 << 18
 _STEP = np.array([next(d for d in range(COVER) if (r + d) % COVER in _COVER_SET) for r in range(COVER)])
 
 
@@ -200,7 +202,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
     def segments(batches):
         """Each block's text, in parts where the bucket has many blocks."""
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, 128)):
             out = []
             for text, wants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = text.encode()
@@ -250,7 +252,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "bh", "x", "y"])
 
         size = 0
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and row[:3] == held[-1][:3] and row[7] == held[-1][7]:
                     for r in (held[-1], row):
@@ -258,7 +260,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
                             out.append((r[0], r[3], r[5], r[5] + r[6]))
                     held[-1] = (*held[-1][:4], 2, *held[-1][5:])
                     continue
-                if size > 1 << 20 and row[:3] != held[-1][:3]:
+                if size > HELD and row[:3] != held[-1][:3]:
                     out += done()
                     held, size = [], 0
                 held.append(row)
@@ -299,8 +301,8 @@ def cut(docs: DataFrame, fields: str, fn) -> DataFrame:
 
     def whole(batches):
         for batch in batches:
-            b = row(batch.filter(pa.array(~among(sent.value, batch.column(1).to_numpy()))))
-            yield fn(b, [(t or "").encode() for t in b.column(place).to_pylist()], [[]] * b.num_rows)
+            for b in slices(row(batch.filter(pa.array(~among(sent.value, batch.column(1).to_numpy()))))):
+                yield fn(b, [(t or "").encode() for t in b.column(place).to_pylist()], [[]] * b.num_rows)
 
     def picked(batches):
         for batch in batches:
@@ -308,8 +310,9 @@ def cut(docs: DataFrame, fields: str, fn) -> DataFrame:
 
     def parts(batches):
         for batch in batches:
-            b = row(batch)
-            yield fn(b, [(t or "").encode() for t in b.column(place).to_pylist()], [merged([(r["x"], r["y"]) for r in x or []]) for x in batch.column(2).to_pylist()])
+            for part in slices(batch):
+                b = row(part)
+                yield fn(b, [(t or "").encode() for t in b.column(place).to_pylist()], [merged([(r["x"], r["y"]) for r in x or []]) for x in part.column(2).to_pylist()])
 
     some = keyed.mapInArrow(picked, keyed.schema).join(runs.withColumnRenamed("text_hash", "hash"), "hash", "left").select("doc", "hash", "runs")
     return keyed.mapInArrow(whole, fields).unionByName(some.mapInArrow(parts, fields))

@@ -49,7 +49,7 @@ ERROR = 0.05
 MAX_STRINGS = 3_000
 RIDGE = 0.05
 #: Strings that get their margins at a time, bytes of text whose strings are found at a time, and margins that a task remembers.
-SLICE, STRETCH, REMEMBERED = 2_048, 1 << 18, 50_000
+SLICE, STRETCH, REMEMBERED = 2_048, 1 << 17, 50_000
 #: Bytes that two stretches of a long text have in common.
 OVERLAP = 256
 _MARKS = bytes(i for i in range(33, 128) if not (48 <= i <= 57 or 65 <= i <= 90 or 97 <= i <= 122))
@@ -298,6 +298,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAM
                         continue
                     words += ["", *(own - {""})]
                     toxic += [t] * (len(words) - len(toxic))
+                    if len(words) > REMEMBERED:
+                        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int64())], names=["s", "toxic"])
+                        words, toxic = [], []
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int64())], names=["s", "toxic"])
 
         return written(sample.select("text", (F.col("toxic") == 1).cast("long").alias("toxic")).mapInArrow(run, "s string, toxic long").groupBy("s").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
