@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,27 @@ def append_changed(store: DataFrame, batch: DataFrame, key: str = "source_id", f
     return changes(both, key, fingerprint, tie).where(~F.col("__old")).drop("__old")
 
 
+def parse_as_of(value: str | None) -> dt.datetime | None:
+    """An instant as a caller writes it: Z or an offset, UTC where there is neither; None stays None, anything else raises."""
+    if value is None:
+        return None
+    try:
+        when = dt.datetime.fromisoformat(value.strip().replace("Z", "+00:00"))
+    except ValueError:
+        raise ValueError(f"not an instant: {value!r}") from None
+    return when if when.tzinfo else when.replace(tzinfo=dt.timezone.utc)
+
+
+def lookup(documents: DataFrame, sources: DataFrame, name: str, when: str | dt.datetime, preview: int = 400) -> DataFrame:
+    """What was known of the source of a name at an instant: name, document_id, knowledge_time, text_hash, raw_ref and the text's
+    beginning; a source that said nothing yet is a row of nulls, a name that no source has is no row."""
+    when = parse_as_of(when) if isinstance(when, str) else when
+    named = sources.where(F.col("name") == name).select("source_id", "name")
+    known = latest(documents.join(named.select("source_id"), "source_id", "left_semi"), when=when, tie="document_id")
+    text = F.concat(F.substring("text", 1, preview), F.when(F.length("text") > preview, "...").otherwise(""))
+    return named.join(known, "source_id", "left").select("name", "document_id", "knowledge_time", "text_hash", "raw_ref", text.alias("preview"))
+
+
 def unseen(batch: DataFrame, store: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """Rows of ``batch`` whose key was never stored; of equal keys in the batch the first."""
     fresh = batch.join(store.select(*keys), keys, "left_anti")
@@ -91,6 +114,11 @@ def knowledge_state(sources: DataFrame, teams: DataFrame, now: Column, historica
     return rows.withColumn("knowledge", state)
 
 
+def fetch_flags(status: Column, content: Column) -> tuple[Column, Column]:
+    """Is a response unchanged (304), and is it one with content (200)?"""
+    return F.coalesce(status == 304, F.lit(False)).alias("not_modified"), F.coalesce((status == 200) & content.isNotNull(), F.lit(False)).alias("ok")
+
+
 def fetch_outcome(status: Column, content: Column, text: Column, fingerprint: Column, last: Column) -> Column:
     """FAIL, 304, EMPTY, SAME or NEW."""
     blank = text.isNull() | (F.trim(F.regexp_replace(text, r"(?U)\s+", " ")) == "")

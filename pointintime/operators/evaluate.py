@@ -35,3 +35,17 @@ def recall_at(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
 
 def misses(found: DataFrame) -> DataFrame:
     return found.where(F.col("first_position").isNull()).select("question_id")
+
+
+def by_mode(rankings: dict[str, DataFrame], gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> tuple[DataFrame, DataFrame]:
+    """The metrics of several search modes over one gold set, a row a mode; and mode, question_id of the questions that each
+    missed. ``rankings``: question_id, rank, text by mode; a question without any hit counts in every mode."""
+    hits = None
+    for mode, ranked in rankings.items():
+        one = ranked.select("question_id", "rank", "text", F.lit(mode).alias("mode"))
+        hits = one if hits is None else hits.unionByName(one)
+    asked = gold.withColumn("mode", F.explode(F.array(*map(F.lit, rankings))))
+    asked = asked.select(F.struct("mode", "question_id").alias("question_id"), "must_contain")
+    found = positions(hits.withColumn("question_id", F.struct("mode", "question_id")).drop("mode"), asked)
+    found = found.select(F.col("question_id.mode").alias("mode"), F.col("question_id.question_id").alias("question_id"), *(c for c in found.columns if c != "question_id"))
+    return report(found, ks, ["mode"]), found.where(F.col("first_position").isNull()).select("mode", "question_id")

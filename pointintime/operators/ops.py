@@ -37,6 +37,30 @@ def sweep_totals(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("job_name").agg(F.count("*").alias("attempted"), F.count_if("failed").alias("failed"), F.coalesce(F.sum("created"), F.lit(0)).alias("created"))
 
 
+def status_lines(outcomes: DataFrame) -> DataFrame:
+    """line, n: what a console says of each polled source in the order of names, and the totals; nothing polled: one line.
+
+    ``outcomes``: name, outcome (FAIL, 304, EMPTY, SAME, NEW), detail, created.
+    """
+    said = {"304": "unchanged", "SAME": "identical content, no new row"}
+    detail = F.coalesce(*(F.when(F.col("outcome") == k, F.lit(v)) for k, v in said.items()), F.col("detail"), F.lit(""))
+    each = outcomes.select(F.lit(0).alias("part"), "name", F.concat(F.rpad("outcome", 7, " "), "name", F.lit(": "), detail).alias("line"))
+    failed = F.count_if(F.col("outcome").isin("FAIL", "EMPTY"))
+    total = F.format_string("-- attempted %d, failed %d, created %d", F.count("*"), failed, F.coalesce(F.sum("created"), F.lit(0)).cast("long"))
+    last = outcomes.agg(F.when(F.count("*") == 0, F.lit("nothing due")).otherwise(total).alias("line")).select(F.lit(1).alias("part"), F.lit("").alias("name"), "line")
+    return each.unionByName(last).orderBy("part", "name").select("line")
+
+
+def job_run(outcomes: DataFrame, job_name: str, started_at, finished_at, error: str | None = None) -> DataFrame:
+    """The row that a finished run appends: job_name, started_at, finished_at, ok, error, attempted, failed, created.
+
+    ``outcomes``: failed, created, a row for each source that was tried; append the row in the same batch as its documents.
+    """
+    totals = outcomes.agg(F.count("*").alias("attempted"), F.count_if("failed").alias("failed"), F.coalesce(F.sum("created"), F.lit(0)).cast("long").alias("created"))
+    run = [F.lit(job_name).alias("job_name"), F.lit(started_at).cast("timestamp").alias("started_at"), F.lit(finished_at).cast("timestamp").alias("finished_at"), F.lit(error is None).alias("ok"), F.lit(error).cast("string").alias("error")]
+    return totals.select(*run, "attempted", "failed", "created")
+
+
 def health(sources: DataFrame, runs: DataFrame, now, stale) -> DataFrame:
     """ok: no enabled source is stale and the newest run succeeded (or there is none)."""
     s = sources.where("enabled").agg(F.coalesce(F.bool_and(~stale(now)), F.lit(True)).alias("fresh"))

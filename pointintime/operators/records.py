@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,11 +70,17 @@ def persist(valid: DataFrame, chunks: DataFrame, documents: DataFrame, stored: D
     return rows.withColumn("team", F.coalesce("team", "document_team")).withColumn("extractor_version", F.lit(version)).drop("document_team")
 
 
-def record_query(records: DataFrame, team: str, when=None, since=None, limit: int = 100, version: str = EXTRACTOR_VERSION) -> DataFrame:
-    """A team's records of the current version, newest first."""
+def of_player(records: DataFrame, part: str) -> DataFrame:
+    """Records whose player's name holds ``part``, whatever the case; % and _ in it are wildcards."""
+    return records.where(F.ilike("player_name", F.lit(f"%{part.strip()}%")))
+
+
+def record_query(records: DataFrame, team: str, when=None, since=None, limit: int = 100, version: str = EXTRACTOR_VERSION, player: str | None = None) -> DataFrame:
+    """A team's records of the current version (of one player, if asked for), newest first."""
     if not 2 <= len(team) <= 4 or not 1 <= limit <= 500:
         raise ValueError("team of 2-4 letters, limit 1-500")
     rows = records.where((F.col("team") == team.strip().upper()) & (F.col("extractor_version") == version))
+    rows = rows if player is None else of_player(rows, player)
     rows = rows if when is None else rows.where(F.col("knowledge_time") <= F.lit(when))
     rows = rows if since is None else rows.where(F.col("knowledge_time") > F.lit(since))
     return rows.orderBy(F.desc("knowledge_time"), "id").limit(limit)
@@ -114,6 +123,41 @@ def prompt(chunk: Column, team: Column, published: Column) -> Column:
     return F.concat(hint, date, F.lit("\n"), chunk)
 
 
+def extracted(chunks: DataFrame, extract: Callable[[str], str] | None) -> DataFrame:
+    """chunk_id, response, error of each row of ``chunks`` (chunk_id, text, and team and published for the prompt, if there are any).
+
+    ``extract`` takes a prompt and returns a raw response; what it raises is the error of that chunk, which stays pending,
+    and costs no other. Without an extractor nothing is extracted.
+    """
+    none = F.lit(None).cast("string")
+    optional = lambda c, kind: F.col(c) if c in chunks.columns else F.lit(None).cast(kind)
+    asked = chunks.select("chunk_id", prompt(F.col("text"), optional("team", "string"), optional("published", "timestamp")).alias("prompt"))
+    if extract is None:
+        return asked.select("chunk_id", none.alias("response"), none.alias("error")).where("false")
+
+    def call(batches):
+        for batch in batches:
+            out = []
+            for text in batch["prompt"]:
+                try:
+                    out.append((extract(text), None))
+                except Exception as problem:  # noqa: BLE001 - whatever goes wrong is this chunk's result
+                    out.append((None, repr(problem)))
+            yield pd.DataFrame({"chunk_id": batch["chunk_id"], "response": [r for r, _ in out], "error": [e for _, e in out]})
+
+    return asked.mapInPandas(call, f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, response string, error string")
+
+
+def extraction_pass(responses: DataFrame, chunks: DataFrame, teams: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From ``extracted``: the valid records; the chunks to stamp as done (also those without a record); those that failed, by
+    the extractor's error or by a response that isn't JSON, with the reason: they stay pending."""
+    bad = parse_failures(responses.where("error is null").fillna("", ["response"])).select("chunk_id", F.lit("not JSON").alias("error"))
+    failed = responses.where("error is not null").select("chunk_id", "error").unionByName(bad)
+    done = responses.select("chunk_id").join(failed.select("chunk_id"), "chunk_id", "left_anti")
+    drafts = parse_responses(responses.join(done, "chunk_id", "left_semi"), ["chunk_id"]).join(chunks.select("chunk_id", F.col("text").alias("chunk_text")), "chunk_id")
+    return validate(drafts, teams), done, failed
+
+
 def extraction_batch(chunks: DataFrame, documents: DataFrame, version: str = EXTRACTOR_VERSION, limit: int = 50) -> DataFrame:
     """The next chunks to extract: injury reports first, then by id."""
     todo = chunks.where(~F.col("extracted_version").eqNullSafe(F.lit(version))).join(documents.select("document_id", "doc_type"), "document_id")

@@ -299,7 +299,7 @@ def iso_parse(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT conv_id, turn, list_transform(list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z''’.\\-]*'), lambda x: length(x) > 1), lambda x: lower(x)) AS ws, list_transform(list_filter(regexp_extract_all(substr(text, 1, 40), '[A-Za-z][A-Za-z''’.\\-]*'), lambda x: length(x) > 1), lambda x: lower(x)) AS name FROM conversations),
+WITH w AS (SELECT conv_id, turn, list_transform(list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z''’.\\-]*'), lambda x: length(x) > 1), lambda x: lower(x)) AS ws, ws AS name FROM conversations),
 p AS (SELECT a.conv_id, a.turn, coalesce(list_has_any(a.name, b.ws), false) AS grounded FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)
 SELECT conv_id, turn, grounded FROM p""")
 def grounding_overlap(spark, sf_dir):
@@ -578,11 +578,95 @@ def seed_sources(spark, sf_dir):
     return S.seeds(spark).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(r"""
+WITH a AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS base, unnest(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS title,
+  unnest(range(len(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')))) AS pos FROM pages),
+l AS (SELECT page_id, pos, base || regexp_extract(href, '^([^#]*)', 1) AS link, title FROM a WHERE regexp_matches(title, '[A-Za-z0-9_]{3}') AND NOT regexp_matches(regexp_extract(href, '^([^?#]*)', 1), '(?i)/(video|photos|audio|podcast|team)/')),
+f AS (SELECT page_id, min(pos) AS pos, link, arg_min(title, pos) AS title FROM l GROUP BY page_id, link)
+SELECT page_id, pos, link, title FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM f) WHERE n <= 200""")
 def link_discovery(spark, sf_dir):
     return P.discovered_links(read(spark, sf_dir, "pages"), r"(?i)\w{3}")
 
 
-@query("SELECT page_id, false AS published FROM pages")
+@query("""
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN -1 ELSE epoch_us(TIMESTAMP '2024-01-01 06:30:00' + INTERVAL 1 DAY * (page_id % 28) - CASE page_id % 5 WHEN 2 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END) END AS us FROM pages""")
 def page_published(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", P.published_time(F.col("html")).isNotNull().alias("published"))
+    day = F.lpad(((F.col("page_id") % 28) + 1).cast("string"), 2, "0")
+    at = lambda before, zone, after: F.concat(F.lit(before + "2024-01-"), day, F.lit("T06:30:00" + zone + after))
+    head = [
+        F.lit('<meta property="og:published_time" content="soon">'),
+        at('<meta property="article:published_time" content="', "Z", '"><time datetime="2020-01-01T00:00:00Z">'),
+        at('<script type="application/ld+json">{"@type": "NewsArticle", "datePublished": "', "+02:00", '"}</script>'),
+        at('<time datetime="', "", '">'),
+        at('<meta name="pubdate" content="never"><script type="application/ld+json">{"dateCreated": "', "Z", '"}</script>'),
+    ]
+    pages = read(spark, sf_dir, "pages").withColumn("html", F.concat(F.element_at(F.array(*head), ((F.col("page_id") % 5) + 1).cast("int")), "html"))
+    return pages.select("page_id", F.coalesce(F.unix_micros(P.published_time(F.col("html"))), F.lit(-1)).alias("us"))
+
+
+@query(f"WITH {_RECORDS} SELECT id, user_id, game_status FROM r WHERE team = 'T3' AND 'Player ' || user_id || ' Jr.' ILIKE '%LAYER _3%' ORDER BY knowledge_time DESC, id LIMIT 500")
+def player_records(spark, sf_dir):
+    rows = _records(spark, sf_dir).withColumn("player_name", F.concat(F.lit("Player "), F.col("user_id").cast("string"), F.lit(" Jr.")))
+    return records.record_query(rows, "t3", limit=500, player=" LAYER _3 ").select("id", "user_id", "game_status")
+
+
+@query("""
+SELECT '7' AS name, event_id AS document_id, epoch_us(ts) AS known_us, event_type AS text_hash, repeat(props, 40)[:400] || CASE WHEN length(repeat(props, 40)) > 400 THEN '...' ELSE '' END AS preview
+FROM events WHERE user_id = 7 AND ts <= TIMESTAMP '2024-01-15 10:00:00' ORDER BY ts DESC, event_id DESC LIMIT 1""")
+def asof_lookup(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    text = F.repeat("props", F.lit(40))
+    docs = e.select(F.col("user_id").alias("source_id"), F.col("event_id").alias("document_id"), F.col("ts").cast("timestamp").alias("knowledge_time"), F.col("event_type").alias("text_hash"), text.alias("text"), F.lit(None).cast("string").alias("raw_ref"))
+    sources = e.select(F.col("user_id").alias("source_id"), F.col("user_id").cast("string").alias("name")).distinct()
+    found = bitemporal.lookup(docs, sources, "7", "2024-01-15T12:00:00+02:00")
+    return found.select("name", "document_id", F.unix_micros("knowledge_time").alias("known_us"), "text_hash", "preview")
+
+
+@query("""
+SELECT 'nightly' AS job_name, epoch_us(TIMESTAMP '2024-01-31 00:00:00') AS started_us, true AS ok, count(*) AS attempted, count(*) FILTER (lang = 'de') AS failed, CAST(sum(n_chars) AS BIGINT) AS created FROM documents""")
+def job_run(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select((F.col("lang") == "de").alias("failed"), F.col("n_chars").alias("created"))
+    return ops.job_run(d, "nightly", NOW, "2024-01-31 00:10:00").select("job_name", F.unix_micros("started_at").alias("started_us"), "ok", "attempted", "failed", "created")
+
+
+@query("""
+WITH o AS (SELECT CAST(doc_id AS VARCHAR) AS name, ['FAIL', '304', 'EMPTY', 'SAME', 'NEW'][doc_id % 5 + 1] AS outcome, lang AS detail, CASE WHEN doc_id % 5 = 4 THEN 1 ELSE 0 END AS created FROM documents)
+SELECT rpad(outcome, 7, ' ') || name || ': ' || CASE outcome WHEN '304' THEN 'unchanged' WHEN 'SAME' THEN 'identical content, no new row' ELSE coalesce(detail, '') END AS line FROM o
+UNION ALL SELECT '-- attempted ' || count(*) || ', failed ' || count(*) FILTER (outcome IN ('FAIL', 'EMPTY')) || ', created ' || CAST(sum(created) AS BIGINT) FROM o""")
+def status_lines(spark, sf_dir):
+    kinds = F.array(*map(F.lit, ("FAIL", "304", "EMPTY", "SAME", "NEW")))
+    d = read(spark, sf_dir, "documents")
+    return ops.status_lines(d.select(F.col("doc_id").cast("string").alias("name"), F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")).alias("outcome"), F.col("lang").alias("detail"), F.when(F.col("doc_id") % 5 == 4, 1).otherwise(0).alias("created")))
+
+
+@query(f"""WITH {_LEXICAL}, {_DENSE.format(where="vec_id IN (SELECT item_id FROM benchmark)")}, {_FUSED},
+h AS (SELECT 'lexical' AS mode, question_id, chunk_id, rank FROM lexical WHERE rank <= 10 UNION ALL SELECT 'dense', question_id, chunk_id, rank FROM dense WHERE rank <= 10 UNION ALL SELECT 'hybrid', question_id, chunk_id, rank FROM hybrid),
+r AS (SELECT m.mode, b.item_id AS question_id, min(CASE WHEN contains(lower(d.text), lower(b.text)) THEN h.rank END) AS first FROM benchmark b CROSS JOIN (VALUES ('lexical'), ('dense'), ('hybrid')) m(mode)
+  LEFT JOIN h ON h.mode = m.mode AND h.question_id = b.item_id LEFT JOIN documents d ON d.doc_id = h.chunk_id GROUP BY 1, 2)
+SELECT mode, count(*) AS n, avg(CASE WHEN first IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) AS hit_rate, avg(CASE WHEN first <= 1 THEN 1.0::DOUBLE ELSE 0 END) AS hit_at_1, avg(CASE WHEN first <= 3 THEN 1.0::DOUBLE ELSE 0 END) AS hit_at_3,
+  avg(CASE WHEN first <= 5 THEN 1.0::DOUBLE ELSE 0 END) AS hit_at_5, avg(CASE WHEN first <= 10 THEN 1.0::DOUBLE ELSE 0 END) AS hit_at_10, round(avg(coalesce(1.0::DOUBLE / first, 0)), 9) AS mrr FROM r GROUP BY 1""")
+def mode_comparison(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    embed = lambda q: q.join(e.select(F.col("chunk_id").alias("question_id"), F.col("embedding").alias("vector")), "question_id").select("question_id", "vector")
+    q, texts = _questions(spark, sf_dir), read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    ranked = {"lexical": search.lexical(_index(spark, sf_dir), q, 10), "dense": search.dense(e, embed(q), 10), "hybrid": search.hybrid(e, _index(spark, sf_dir), q, embed)}
+    metrics, _ = evaluate.by_mode({m: r.join(texts, "chunk_id") for m, r in ranked.items()}, q.select("question_id", F.array("question").alias("must_contain")))
+    return metrics.withColumn("mrr", F.round("mrr", 9))
+
+
+@query("SELECT doc_id AS chunk_id, CASE WHEN doc_id % 7 = 0 THEN 'failed' WHEN doc_id % 7 = 1 THEN 'not JSON' ELSE 'done' END AS state, CAST(CASE WHEN doc_id % 7 = 2 THEN 1 ELSE 0 END AS BIGINT) AS records FROM documents")
+def extraction_states(spark, sf_dir):
+    """An extractor that fails for some chunks and says nonsense for others costs these chunks only."""
+    number = F.col("doc_id") % 7
+    c = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("Roe "), number.cast("string")).alias("text"))
+
+    def extract(prompt):
+        k = int(prompt.strip()[-1])
+        if k == 0:
+            raise RuntimeError("no answer")
+        return "nonsense" if k == 1 else '{"records": [{"player_name": "Roe", "injury": "knee"}]}' if k == 2 else '{"records": []}'
+
+    valid, done, failed = records.extraction_pass(records.extracted(c, extract), c, ("SEA",))
+    n = valid.groupBy("chunk_id").agg(F.count("*").alias("records"))
+    states = done.select("chunk_id", F.lit("done").alias("state")).unionByName(failed.select("chunk_id", F.when(F.col("error") == "not JSON", "not JSON").otherwise("failed").alias("state")))
+    return states.join(n, "chunk_id", "left").fillna(0, ["records"])

@@ -28,3 +28,13 @@ def upserted(sources: DataFrame, fresh: DataFrame, legacy_path: str = "%/team/in
     legacy = (F.col("kind") == "injury_report") & F.coalesce(F.col("url").like(legacy_path), F.lit(False))
     why = F.coalesce(F.col("__why"), F.when(legacy, F.lit("rendered by the client, nothing to parse")))
     return both.withColumn("last_error", F.coalesce(why, "last_error")).withColumn("enabled", F.col("enabled") & why.isNull()).drop("__why")
+
+
+def added(sources: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of ``new`` to append to ``sources``: those with a name that no source has, enabled, one a name."""
+    return new.dropDuplicates(["name"]).join(sources.select("name"), "name", "left_anti").withColumn("enabled", F.lit(True))
+
+
+def named(sources: DataFrame, name: str) -> DataFrame:
+    """The one source of a name, to be ingested by itself whatever its cadence; none: an empty table."""
+    return sources.where(F.col("name") == name).orderBy("source_id").limit(1)

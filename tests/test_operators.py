@@ -132,3 +132,69 @@ def test_embeddings_are_kept_by_version(spark):
     assert set(rows) == {2, 3} and len(rows[2].embedding) == 16 and sum(map(abs, rows[2].embedding)) == 2
     nearest = search.dense(chunks.withColumn("embedding", embed.hashing_embedder(16)(F.col("text"))), spark.createDataFrame([(9, "beta alpha")], "question_id int, text string").select("question_id", embed.hashing_embedder(16)(F.col("text")).alias("vector")))
     assert [r.chunk_id for r in nearest.orderBy("rank").collect()][:2] == [1, 2]
+
+
+INDEX = """<html><body><a href="/news/a-injury-report">Hawks at Owls Injury Report</a> <a href='/news/b-inactives#top'>Owls Inactives</a> <a href="/news/a-injury-report">Again the Injury Reports</a>
+<a href="/video/c">Video of the injury report</a> <a href="/photos/d">Photos: practice report</a> <a href="/news/e">6 things</a> <a href="https://other.example/f">Game Status</a> <a href="#x">Injury report</a>
+<a href="/news/g" title="Roster moves"><img src=x></a></body></html>"""
+
+
+def test_links_of_reports(spark):
+    rows = spark.createDataFrame([(1, "https://club.example/team/injury-report/", INDEX)], "page_id long, url string, html string")
+    got = [(r.link, r.title) for r in pages.discovered_links(rows).orderBy("pos").collect()]
+    host = "https://club.example/news/"
+    assert got == [(host + "a-injury-report", "Hawks at Owls Injury Report"), (host + "b-inactives", "Owls Inactives"), (host + "g", "Roster moves")]
+
+
+def test_page_text_and_its_fallback(spark):
+    html = "<head><title>t</title></head><nav>menu</nav><article><h1>A &amp; B</h1><p>first <b>line</b><br>second<script>x()</script></article><table><tr><td>c<td>d</tr></table><footer>end</footer>"
+    rows = spark.createDataFrame([(1, html), (2, "<nav>only a menu</nav>"), (3, None), (4, "")], "id int, html string")
+    got = {r.id: r for r in pages.parsed_pages(rows).collect()}
+    assert got[1].text == "A & B\nfirst line\nsecond\ncd" and got[1].warning is None and got[1].tables[0].rows == [["c", "d"]]
+    assert got[2].text == "only a menu" and got[2].warning and got[3].text == got[4].text == ""
+
+
+def test_lookup_by_name(spark):
+    docs = spark.createDataFrame([(1, 5, at(1), "h", "r", "x" * 500), (1, 6, at(3), "i", "s", "short")], "source_id int, document_id int, knowledge_time timestamp, text_hash string, raw_ref string, text string")
+    names = spark.createDataFrame([(1, "one"), (2, "two")], "source_id int, name string")
+    first = bitemporal.lookup(docs, names, "one", "2024-01-01T01:00:00Z").collect()
+    assert len(first) == 1 and first[0].document_id == 5 and first[0].preview == "x" * 400 + "..."
+    assert bitemporal.lookup(docs, names, "one", "2024-01-01 05:00:00").collect()[0].preview == "short"
+    assert bitemporal.lookup(docs, names, "two", "2024-01-01T01:00:00Z").collect()[0].document_id is None and not bitemporal.lookup(docs, names, "none", at(9)).collect()
+    assert bitemporal.parse_as_of(None) is None and bitemporal.parse_as_of("2024-01-01T02:00:00+02:00") == bitemporal.parse_as_of("2024-01-01")
+    with pytest.raises(ValueError, match="instant"):
+        bitemporal.parse_as_of("soon")
+
+
+def test_one_bad_chunk_costs_one_chunk(spark):
+    chunks = spark.createDataFrame([(1, "Roe out", "SEA"), (2, "bad", None), (3, "odd", None)], "chunk_id int, text string, team string")
+
+    def extract(prompt):
+        if "bad" in prompt:
+            raise RuntimeError("boom")
+        return "no" if "odd" in prompt else '[{"player_name": "Roe", "game_status": "OUT"}]' if prompt.startswith("Team: SEA") else "[]"
+
+    valid, done, failed = records.extraction_pass(records.extracted(chunks, extract), chunks, ("SEA",))
+    assert [(r.chunk_id, r.player_name) for r in valid.collect()] == [(1, "Roe")] and [r.chunk_id for r in done.collect()] == [1]
+    assert {r.chunk_id: r.error for r in failed.collect()} == {2: "RuntimeError('boom')", 3: "not JSON"}
+    assert records.extracted(chunks, None).count() == 0
+
+
+def test_runs_sources_and_flags(spark):
+    none = spark.createDataFrame([], "name string, outcome string, detail string, created int, failed boolean")
+    assert [r.line for r in ops.status_lines(none).collect()] == ["nothing due"]
+    run = ops.job_run(none, "job", T0, at(1), "boom").collect()[0]
+    assert (run.ok, run.error, run.attempted, run.failed, run.created) == (False, "boom", 0, 0, 0)
+    have = spark.createDataFrame([(1, "a")], "source_id int, name string")
+    new = seeds.added(have, spark.createDataFrame([("a",), ("b",), ("b",)], "name string")).collect()
+    assert [(r.name, r.enabled) for r in new] == [("b", True)] and seeds.named(have, "a").count() == 1 and seeds.named(have, "z").count() == 0
+    flags = spark.createDataFrame([(304, None), (200, "x"), (200, None), (500, "x"), (None, None)], "status int, content string").select(*bitemporal.fetch_flags(F.col("status"), F.col("content"))).collect()
+    assert [tuple(f) for f in flags] == [(True, False), (False, True), (False, False), (False, False), (False, False)]
+
+
+def test_modes_over_one_gold_set(spark):
+    gold = spark.createDataFrame([(1, ["x"]), (2, ["y"])], "question_id int, must_contain array<string>")
+    a = spark.createDataFrame([(1, 1, "an x"), (2, 1, "z"), (2, 2, "y")], "question_id int, rank int, text string")
+    metrics, missed = evaluate.by_mode({"lexical": a, "dense": a.where("question_id = 1")}, gold)
+    got = {r["mode"]: (r.n, r.hit_at_1, r.hit_at_3, r.mrr) for r in metrics.collect()}
+    assert got == {"lexical": (2, 0.5, 1.0, 0.75), "dense": (2, 0.5, 0.5, 0.5)} and [tuple(r) for r in missed.collect()] == [("dense", 2)]
