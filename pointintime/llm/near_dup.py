@@ -330,3 +330,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 def op9_setsketch_near_dup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("text_hash", "component")
+
+
+#: The same rows, from all pairs of sets with a shingle in common.
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT row, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS shingles FROM d
+), k AS (
+  SELECT row, doc_id, CAST(len(shingles) AS BIGINT) AS n, md5(array_to_string(list_sort(shingles), chr(10))) AS class, shingles FROM s
+), c AS (
+  SELECT class, min(doc_id) AS id, any_value(n) AS n, any_value(shingles) AS shingles FROM k WHERE n > 0 GROUP BY class
+), e AS (
+  SELECT class, n, unnest(shingles) AS x FROM c
+), p AS (
+  SELECT a.class AS a, b.class AS b FROM e a JOIN e b ON a.x = b.x AND a.class < b.class AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 85
+  GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), l AS (
+  SELECT a, b FROM p UNION SELECT b, a FROM p
+), r AS (
+  SELECT class AS a, class AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b
+), g AS (
+  SELECT r.a AS class, min(c.id) AS component_id FROM r JOIN c ON c.class = r.b GROUP BY r.a
+)
+SELECT k.doc_id, k.n AS n_shingles, CASE WHEN k.n > 0 THEN g.component_id ELSE k.doc_id END AS component_id,
+       k.n = 0 OR k.doc_id IS NOT DISTINCT FROM g.component_id AS kept
+FROM k LEFT JOIN g ON k.n > 0 AND g.class = k.class
+"""

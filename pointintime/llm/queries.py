@@ -5,10 +5,10 @@ from .decontaminate import op6_benchmark_overlaps
 from .html_text import op7_html_text
 from .licenses import op5_license_scan
 from .mixing import OP4_SQL, op4_source_mix
-from .near_dup import op9_setsketch_near_dup
+from .near_dup import OP9_SQL, op9_setsketch_near_dup
 from .neighbours import op10_hnsw_search
 from .quality import op1_quality_pu
-from .suffix_dedup import op3_suffix_dedup
+from .suffix_dedup import OP3_SQL, op3_suffix_dedup
 from .toxicity import op2_toxicity_ssk
 
 QUERIES = {
@@ -24,4 +24,4 @@ QUERIES = {
     "op10_hnsw_search": op10_hnsw_search,
 }
 
-ORACLE = {"op4_source_mix": OP4_SQL}
+ORACLE = {"op3_suffix_dedup": OP3_SQL, "op4_source_mix": OP4_SQL, "op9_setsketch_near_dup": OP9_SQL}

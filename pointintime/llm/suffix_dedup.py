@@ -353,3 +353,30 @@ def cut_passages(docs: DataFrame) -> DataFrame:
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return suffix_digest(table(spark, sf_dir, "documents"))
+
+
+#: The same rows, from every window of every text.
+OP3_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT row, p, hash(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT row, h, unnest(range(length(h) // 2 - 199)) AS p FROM d WHERE length(h) >= 400)
+), r AS (
+  SELECT row, p FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)
+), n AS (
+  SELECT row, p, CASE WHEN p <= lag(p) OVER (PARTITION BY row ORDER BY p) + 200 THEN 0 ELSE 1 END AS new FROM r
+), g AS (
+  SELECT row, p, sum(new) OVER (PARTITION BY row ORDER BY p) AS run FROM n
+), b AS (
+  SELECT row, run, min(p) AS a, max(p) + 200 AS z FROM g GROUP BY row, run
+), c AS (
+  SELECT b.row, b.a, b.z, coalesce(lag(b.z) OVER o, 0) AS before, row_number() OVER (PARTITION BY b.row ORDER BY b.a DESC) = 1 AS last FROM b WINDOW o AS (PARTITION BY b.row ORDER BY b.a)
+), t AS (
+  SELECT c.row, CAST(sum(c.z - c.a) AS BIGINT) AS n_removed, count(*) AS n_spans,
+         string_agg(substr(d.h, 2 * c.before + 1, 2 * (c.a - c.before)) || CASE WHEN c.last THEN substr(d.h, 2 * c.z + 1) ELSE '' END, '' ORDER BY c.a) AS kept
+  FROM c JOIN d USING (row) GROUP BY c.row
+)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(t.n_removed, 0) AS n_removed, coalesce(t.n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(t.kept, d.h))) AS kept_sha256
+FROM d LEFT JOIN t USING (row)
+"""
