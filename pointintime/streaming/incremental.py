@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ def new_rows(batch: DataFrame, store: DataFrame | None, keys: list[str]) -> Data
 
 
 def run_available(stream: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, keys: list[str]):
-    """Works off what has arrived and stops: ``work`` on each micro-batch, new rows appended to ``path``."""
+    """Works off what has arrived and stops: ``work`` on each micro-batch, new rows appended to ``path``. Of the rows stored
+    only the keys are read; they, not the number of the batch, make it exact once, so a new checkpoint adds nothing twice."""
 
     def each(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
@@ -35,23 +37,25 @@ def run_available(stream: DataFrame, work: Callable[[DataFrame], DataFrame], pat
 
 
 def limited(requests: DataFrame, window: int = RATE_WINDOW_SECONDS, most: int = RATE_LIMIT) -> DataFrame:
-    """caller, ts, rejected for a stream of requests: the state of a caller is the start of its window and a count."""
+    """caller, ts, rejected for a stream of requests: the state of a caller is the start of its window and a count. Of a
+    micro-batch only its times are held, and windows are found by binary search."""
+    span = int(window * 1_000_000)
 
     def each(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, n = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values("ts")
-        out = []
-        for t in rows["ts"]:
-            at = t.timestamp()
-            if start is None or at - start >= window:
-                start, n = at, 0
-            n += 1
-            out.append(n > most)
+        times = np.sort(np.concatenate([pdf["ts"].to_numpy().astype("datetime64[us]").astype("int64") for pdf in batches]))
+        count, a = np.zeros(len(times), np.int64), 0
+        while a < len(times):
+            if start is None or times[a] - start >= span:
+                start, n = int(times[a]), 0
+            end = a + int(np.searchsorted(times[a:], start + span))
+            count[a:end] = n + 1 + np.arange(end - a)
+            n, a = n + end - a, end
         state.update((start, n))
-        yield pd.DataFrame({"caller": key[0], "ts": rows["ts"], "rejected": out})
+        yield pd.DataFrame({"caller": key[0], "ts": pd.to_datetime(times, unit="us"), "rejected": count > most})
 
     kind = requests.schema["caller"].dataType.simpleString()
-    return requests.groupBy("caller").applyInPandasWithState(each, f"caller {kind}, ts timestamp, rejected boolean", "start double, n long", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("caller").applyInPandasWithState(each, f"caller {kind}, ts timestamp, rejected boolean", "start long, n long", "append", GroupStateTimeout.NoTimeout)
 
 
 def late(documents: DataFrame) -> DataFrame:

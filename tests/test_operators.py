@@ -198,3 +198,24 @@ def test_modes_over_one_gold_set(spark):
     metrics, missed = evaluate.by_mode({"lexical": a, "dense": a.where("question_id = 1")}, gold)
     got = {r["mode"]: (r.n, r.hit_at_1, r.hit_at_3, r.mrr) for r in metrics.collect()}
     assert got == {"lexical": (2, 0.5, 1.0, 0.75), "dense": (2, 0.5, 0.5, 0.5)} and [tuple(r) for r in missed.collect()] == [("dense", 2)]
+
+
+def test_limited_stream(spark, tmp_path):
+    for k, seconds in enumerate(([0, 10, 20, 50], [30, 70, 200], [140])):
+        rows = spark.createDataFrame([("a", T0 + dt.timedelta(seconds=x)) for x in seconds] + [("b", T0)], "caller string, ts timestamp")
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        done = incremental.limited(stream, 60, 3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        done.awaitTermination(60)
+    got = {((r.ts - T0).total_seconds(), r.caller): r.rejected for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert [got[x, "a"] for x in (0, 10, 20, 50)] == [False, False, False, True] and got[70, "a"] is False and got[0, "b"] is False
+
+
+def test_late_rows_and_reports_of_runs(spark):
+    docs = spark.createDataFrame([(1, at(1), at(2)), (2, at(3), at(3)), (3, None, at(3))], "id int, published_time timestamp, knowledge_time timestamp")
+    assert [r.id for r in incremental.late(docs).collect()] == [1]
+    runs = spark.createDataFrame([(1, at(1), at(2), True), (2, at(5), at(5), False)], "id int, started_at timestamp, finished_at timestamp, ok boolean")
+    assert [(r.id, r.duration_seconds) for r in ops.recent_runs(runs, 1).collect()] == [(2, 0.0)]
+    sources = spark.createDataFrame([(True, 3600, at(0))], "enabled boolean, cadence_seconds int, last_success_at timestamp")
+    got = [ops.health(sources, runs.where(f"id <= {k}"), F.lit(at(1)), bitemporal.is_stale).collect()[0] for k in (0, 1, 2)]
+    assert [(g.ok, g.fresh, g.last_ok) for g in got] == [(True, True, True), (True, True, True), (False, True, False)]
