@@ -79,14 +79,16 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of documents of about ``limit`` bytes: first, last, their bytes, their offsets therein."""
-    data, offsets = texts(column)
-    first, n = 0, len(offsets) - 1
-    while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
-        yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-        first = last
+def pieces(column: pa.Array, limit: int = PIECE, rows: int = 512) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of documents of about ``limit`` bytes and at most ``rows``: first, last, their bytes, their offsets therein. Only
+    those are copied, not the batch."""
+    for at in range(0, len(column), rows):
+        data, offsets = texts(column.slice(at, rows))
+        first, n = 0, len(offsets) - 1
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
+            yield at + first, at + last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+            first = last
 
 
 def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:

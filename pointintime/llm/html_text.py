@@ -29,7 +29,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mapped, table
+from .common import mapped, slices, table
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _RAW = {k: re.compile(rf"</{k}\b[^>]*>", re.I) for k in ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math")}
@@ -276,7 +276,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages`` (page_id, url, html)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             found = [main_text(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -21,7 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WORDED, mapped, texts
+from .common import WORDED, mapped, slices, texts
 
 #: Fixed phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -185,7 +185,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             data, offsets = texts(batch.column(1))
             whole = memoryview(data)
             rows = [scan(bytes(whole[a:b])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]

@@ -314,7 +314,8 @@ def cut(docs: DataFrame, fields: str, fn) -> DataFrame:
                 b = row(part)
                 yield fn(b, [(t or "").encode() for t in b.column(place).to_pylist()], [merged([(r["x"], r["y"]) for r in x or []]) for x in part.column(2).to_pylist()])
 
-    some = keyed.mapInArrow(picked, keyed.schema).join(runs.withColumnRenamed("text_hash", "hash"), "hash", "left").select("doc", "hash", "runs")
+    # written, so that no task runs two Python workers, one before and one after the join
+    some = written(keyed.mapInArrow(picked, keyed.schema)).join(runs.withColumnRenamed("text_hash", "hash"), "hash", "left").select("doc", "hash", "runs")
     return keyed.mapInArrow(whole, fields).unionByName(some.mapInArrow(parts, fields))
 
 

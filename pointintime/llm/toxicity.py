@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, appended, pieces, remainder, share, table, texts, written
+from .common import SPACED, appended, pieces, remainder, share, slices, table, texts, written
 
 MAX_SAMPLE = 8_000
 THRESHOLD = 0.3
@@ -287,7 +287,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAM
         """Toxic documents without a string of ``kept`` and clean ones, of each string and ("") in all."""
 
         def run(batches):
-            for batch in batches:
+            for batch in (part for batch in batches for part in slices(batch)):
                 data, offsets = texts(batch.column(0))
                 whole = memoryview(data)
                 words, toxic = [], []
