@@ -14,7 +14,7 @@ Suffixes are sorted one bucket at a time; long ties are settled by ranks of a di
    sample's positions lie in a difference cover modulo 31 counted from the bucket's gram, so equal windows meet the same
    sample; its ranks are computed once for a bucket, for suffixes that have a long tie. What has a common prefix of LENGTH bytes repeats.
    A bucket with many different blocks is dealt by the windows' distance from the gram, and by the bytes that all windows
-   of such distances share: the more blocks, the fewer distances a part has. Equal segments within a part are held once.
+   of such distances share: the more blocks, the fewer distances a part has. Of equal segments within a part one is sorted.
 4. Verdicts go back to all blocks of the class, become byte runs of each text, and the runs are cut.
 
 Null texts are empty; texts under LENGTH bytes lose nothing; copies of one text (repeated rows too) lose all
@@ -210,7 +210,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
                     s, m = b["s"], b["m"]
                     block = raw[s : s + m - 1 + LENGTH]
                     if b["kinds"] <= MANY:
-                        out.append((b["a"], 0, 0, b["bh"], b["n"], 0, m, block))
+                        out.append((b["a"], 0, 0, None, b["bh"], b["n"], 0, m, block))
                         continue
                     # windows of some distances from the gram go to one part, with those that have the same bytes where
                     # all windows of these distances overlap
@@ -223,55 +223,50 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
                         p = int(part[x])
                         gram = x + int(away[x])
                         core = xxhash.xxh3_64_intdigest(block[gram - p * step : gram - (p + 1) * step + 1 + LENGTH])
-                        out.append((b["a"], p, core - (1 << 63), b["bh"], b["n"], x, y - x, block[x : y - 1 + LENGTH]))
-            columns = list(zip(*out, strict=True)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 7 + [pa.binary()], strict=True)], names=["a", "part", "core", "bh", "n", "skip", "m", "body"])
-
-    laid = texts.select("text", "blocks").mapInArrow(segments, "a long, part long, core long, bh long, n long, skip long, m long, body binary")
+                        own = block[x : y - 1 + LENGTH]
+                        out.append((b["a"], p, core - (1 << 63), xxhash.xxh3_64_intdigest(own) - (1 << 63), b["bh"], b["n"], x, y - x, own))
+            columns = list(zip(*out, strict=True)) or [[]] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 8 + [pa.binary()], strict=True)], names=["a", "part", "core", "seg", "bh", "n", "skip", "m", "body"])
+
+    laid = written(texts.select("text", "blocks").mapInArrow(segments, "a long, part long, core long, seg long, bh long, n long, skip long, m long, body binary"))
+    # of equal segments of a crowded bucket one is sorted; where there are two, all their windows repeat
+    crowd = laid.where("seg is not null")
+    keys = ("a", "part", "core")
+    one = written(crowd.groupBy(*keys, "seg").agg(F.sum("n").alias("n"), F.min("m").alias("m"), F.any_value("body").alias("body")))
+    sorted_ = laid.where("seg is null").select(*keys, F.col("bh").alias("id"), "n", "m", "body", F.lit(False).alias("crowded")).unionByName(one.select(*keys, F.col("seg").alias("id"), "n", "m", "body", F.lit(True).alias("crowded")))
 
     def settle(batches):
-        """Bucket after bucket; a bucket is complete within its task, equal segments follow each other. All windows of equal
-        segments repeat, which is said at once; one of them is held for the others."""
+        """Bucket after bucket; a bucket is complete within its task."""
         held: list = []
-        out: list = []
 
-        def done() -> list:
-            a, bh, n, skip, m, body = (np.array(c) if k < 5 else c for k, c in enumerate(zip(*((r[0], *r[3:]) for r in held), strict=True)))
+        def done() -> pa.RecordBatch:
+            a, ids, n, m, body, crowded = (np.array(c) if k != 4 else c for k, c in enumerate(zip(*((r[0], *r[3:]) for r in held), strict=True)))
             begins = np.concatenate([[0], np.cumsum([len(x) for x in body])])
             flags = repeated_windows(a.view(np.uint64), np.frombuffer(b"".join(body), np.uint8), begins, m)
-            found, at = [], 0
+            out, at = [], 0
             for i in range(len(m)):
                 if n[i] == 1:
-                    found += [(int(a[i]), int(bh[i]), int(skip[i]) + x, int(skip[i]) + y) for x, y in _runs(flags[at : at + m[i]])]
+                    out += [(int(a[i]), int(ids[i]), x, y, bool(crowded[i])) for x, y in _runs(flags[at : at + m[i]])]
                 at += m[i]
-            return found
-
-        def sent() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "bh", "x", "y"])
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.bool_()], strict=True)], names=["a", "id", "x", "y", "crowded"])
 
         size = 0
         for batch in (part for batch in batches for part in slices(batch)):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:3] == held[-1][:3] and row[7] == held[-1][7]:
-                    for r in (held[-1], row):
-                        if r[4] == 1:
-                            out.append((r[0], r[3], r[5], r[5] + r[6]))
-                    held[-1] = (*held[-1][:4], 2, *held[-1][5:])
-                    continue
                 if size > HELD and row[:3] != held[-1][:3]:
-                    out += done()
+                    yield done()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[7])
-            yield sent()
+                size += len(row[6])
         if held:
-            out += done()
-            yield sent()
+            yield done()
 
-    keys = ("a", "part", "core")
-    settled = laid.repartition(*keys).sortWithinPartitions(*keys, "body").mapInArrow(settle, "a long, bh long, x long, y long")
+    settled = written(sorted_.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(settle, "a long, id long, x long, y long, crowded boolean"))
+    same = one.where("n > 1").select("a", F.col("seg").alias("id"), F.lit(0).cast("long").alias("x"), F.col("m").alias("y")).unionByName(settled.where("crowded").drop("crowded"))
+    back = crowd.where("n = 1").select("a", F.col("seg").alias("id"), "bh", "skip").join(same, ["a", "id"]).select("a", "bh", (F.col("skip") + F.col("x")).alias("x"), (F.col("skip") + F.col("y")).alias("y"))
+    plain = settled.where("not crowded").select("a", F.col("id").alias("bh"), "x", "y")
+    settled = plain.unionByName(back)
     verdicts = written(classes.where("n > 1").select("a", "bh", F.lit(0).cast("long").alias("x"), F.col("m").alias("y")).unionByName(settled))
     runs = rows.join(verdicts, ["a", "bh"]).select("dk", (F.col("s") + F.col("x")).alias("x"), (F.col("s") + F.col("y") - 1 + LENGTH).alias("y"))
     return written(runs.groupBy("dk").agg(F.collect_list(F.struct("x", "y")).alias("runs"))).withColumnRenamed("dk", "text_hash")
