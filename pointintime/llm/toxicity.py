@@ -49,7 +49,7 @@ ERROR = 0.05
 MAX_STRINGS = 3_000
 RIDGE = 0.05
 #: Strings that get their margins at a time, bytes of text whose strings are found at a time, and margins that a task remembers.
-SLICE, STRETCH, REMEMBERED = 2_048, 1 << 17, 50_000
+SLICE, STRETCH, REMEMBERED = 4_096, 1 << 18, 100_000
 #: Bytes that two stretches of a long text have in common.
 OVERLAP = 256
 _MARKS = bytes(i for i in range(33, 128) if not (48 <= i <= 57 or 65 <= i <= 90 or 97 <= i <= 122))
@@ -236,21 +236,23 @@ def stretches(text: memoryview) -> Iterator[bytes]:
     yield bytes(text[at:])
 
 
-def _margins(column: pa.Array, model: SubsequenceSVM, seen: dict[bytes, float]) -> np.ndarray:
-    """The largest margin of each text's strings; what is held at a time doesn't grow with the batch."""
+def _margins(column: pa.Array, model: SubsequenceSVM, seen: dict[int, dict[bytes, float]]) -> np.ndarray:
+    """The largest margin of each text's strings; what is held at a time doesn't grow with the batch.
+
+    ``seen`` remembers margins from batch to batch: those of the last ``REMEMBERED`` strings or so (0), and of as many before
+    them (1), from which a string that comes again moves back; so frequent ones stay."""
     out = np.full(len(column), model.bias - 1.0)
     for first, last, data, offsets in pieces(column, STRETCH):
         whole = memoryview(data)
         each = [(k, strings(part)) for k in range(first, last) for part in stretches(whole[offsets[k - first] : offsets[k - first + 1]])]
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        new = list(set().union(*(s for _, s in each)).difference(seen))
-        values = dict(zip(new, model.margins(new).tolist(), strict=True))
-        if len(new) <= REMEMBERED:
-            seen.update(values)
-            values = seen
-        else:
-            values = seen | values
+        if len(seen.setdefault(0, {})) > REMEMBERED:
+            seen[0], seen[1] = {}, seen[0]
+        values, old = seen[0], seen.setdefault(1, {})
+        new = set().union(*(s for _, s in each)).difference(values)
+        again = new.intersection(old)
+        values.update((s, old[s]) for s in again)
+        new = list(new.difference(again))
+        values.update(zip(new, model.margins(new).tolist(), strict=True))
         for k, own in each:
             out[k] = max(out[k], max(map(values.__getitem__, own), default=out[k]))
     return out
@@ -351,7 +353,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAM
     model = SubsequenceSVM(positive + more, worst + drawn or [b"the"], seed)
 
     def scored(batches):
-        seen: dict[bytes, float] = {}
+        seen: dict[int, dict[bytes, float]] = {}
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_margins(batch.column(0), model, seen)), batch.column(1)], names=["m", "toxic"])
 
@@ -362,7 +364,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAM
 
 def toxicity_scores(docs: DataFrame, model: SubsequenceSVM | None) -> DataFrame:
     """``docs`` with toxic_score (a column of that name is replaced)."""
-    seen: dict[bytes, float] = {}
+    seen: dict[int, dict[bytes, float]] = {}
 
     def run(batch):
         return [np.zeros(batch.num_rows) if model is None else model.probability(_margins(batch.column("text"), model, seen))]
@@ -376,7 +378,7 @@ def without_toxic(docs: DataFrame, model: SubsequenceSVM | None, threshold: floa
         return docs
 
     def run(batches):
-        seen: dict[bytes, float] = {}
+        seen: dict[int, dict[bytes, float]] = {}
         for batch in batches:
             yield batch.filter(pa.array(model.probability(_margins(batch.column("text"), model, seen)) < threshold))
 
