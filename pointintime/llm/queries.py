@@ -2,7 +2,9 @@
 
 from .context_tree import op8_context_tree
 from .decontaminate import op6_benchmark_overlaps
+from .divergence import OP11_SQL, op11_source_divergence
 from .html_text import op7_html_text
+from .lexical import OP13_SQL, op13_lexical_search
 from .licenses import op5_license_scan
 from .mixing import OP4_SQL, op4_source_mix
 from .near_dup import OP9_SQL, op9_setsketch_near_dup
@@ -22,6 +24,8 @@ QUERIES = {
     "op8_context_tree": op8_context_tree,
     "op9_setsketch_near_dup": op9_setsketch_near_dup,
     "op10_hnsw_search": op10_hnsw_search,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_lexical_search": op13_lexical_search,
 }
 
-ORACLE = {"op3_suffix_dedup": OP3_SQL, "op4_source_mix": OP4_SQL, "op9_setsketch_near_dup": OP9_SQL}
+ORACLE = {"op3_suffix_dedup": OP3_SQL, "op4_source_mix": OP4_SQL, "op9_setsketch_near_dup": OP9_SQL, "op11_source_divergence": OP11_SQL, "op13_lexical_search": OP13_SQL}
