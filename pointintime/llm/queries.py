@@ -1,5 +1,6 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
+from .bpe import op12_bpe_round_trip
 from .context_tree import op8_context_tree
 from .decontaminate import op6_benchmark_overlaps
 from .divergence import OP11_SQL, op11_source_divergence
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_setsketch_near_dup": op9_setsketch_near_dup,
     "op10_hnsw_search": op10_hnsw_search,
     "op11_source_divergence": op11_source_divergence,
+    "op12_bpe_round_trip": op12_bpe_round_trip,
     "op13_lexical_search": op13_lexical_search,
 }
 

@@ -40,11 +40,11 @@ def word_stretches(column: pa.Array, to: np.ndarray, limit: int = PIECE) -> Iter
 
 def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     """The spans as an Arrow array of strings."""
-    at, offsets = _gather(start, end)
+    at, offsets = gather(start, end)
     return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[at])))
 
 
-def _gather(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gather(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places of all bytes of the spans one after another, and where each span begins among them."""
     offsets = np.zeros(len(start) + 1, np.int64)
     np.cumsum(end - start, out=offsets[1:])
@@ -62,8 +62,8 @@ def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     other = np.flatnonzero((end - start) != (end - start)[rep])
     same = np.ones(len(start), bool)
     same[other] = False
-    at, offsets = _gather(start[same], end[same])
-    twin, _ = _gather(start[rep[same]], end[rep[same]])
+    at, offsets = gather(start[same], end[same])
+    twin, _ = gather(start[rep[same]], end[rep[same]])
     unequal = data[at] != data[twin]
     if unequal.any():
         same[np.flatnonzero(same)[np.unique(np.searchsorted(offsets, np.flatnonzero(unequal), "right") - 1)]] = False
