@@ -5,16 +5,16 @@ DECAY to the power of the letters that it spans in both; spans over ``SPAN`` let
 gaps and inserted letters cost weight, but don't hide a word. Kernels are normalised to 1 for equal
 strings. Landmarks z give the map phi(s) = K_zz^(-1/2) k_z(s), and a linear machine with squared hinge
 loss on phi is trained. Its margin is linear in k_z(s), hence in the weighted subsequences of s: scoring a
-string is a sum over its letter triples of one table of 32**3 weights, divided by the string's norm.
+string is a sum over its letter triples of one table of ``ALPHABET``**3 weights, divided by the string's norm.
 
 Strings are the words of a sentence, after punctuation within them is taken out and single letters in a row
 ("i d i o t") are joined; a sentence's margin is the largest of its words', a text's that of its sentences.
 Training sentences come from labelled documents: all sentences of a clean document are negative; a
 sentence of a toxic document is positive where it holds a string that marks toxic documents (by the
 likelihood ratio of its document counts, corrected for the number of strings that could pass at all). They are
-found in rounds: strings much weaker than the strongest of a round often just stand beside it, so they are judged
-again by the toxic documents that hold no string found so far, until none is significant. Negatives are drawn at random, then once more among the strings
-of clean documents with the largest margins. A logistic fit turns margins into probabilities.
+found in rounds, each among the toxic documents that hold none found so far (``marking``). Nothing depends on how rows are dealt
+to tasks. Negatives are drawn at random, then once more among the strings
+of clean documents with the largest margins. The toxic shares of labelled texts, made monotone, turn margins into probabilities.
 
 Fitting takes a bounded sample of about ``MAX_SAMPLE`` labelled documents; scores use all rows and
 whole texts, long ones a stretch at a time. Null and empty texts have no string and get the lowest score; repeated rows
@@ -46,6 +46,9 @@ LANDMARKS = 128
 POSITIVE_LANDMARKS = 1_024
 #: The chance that any string without a link to toxic documents becomes positive.
 ERROR = 0.05
+#: Strings under this share of the strongest one's likelihood ratio are judged again in the next round.
+BESIDE = 0.2
+#: Strings of clean documents that are drawn as negatives; half as many are the worst of all.
 MAX_STRINGS = 3_000
 RIDGE = 0.05
 #: Strings that get their margins at a time, bytes of text whose strings are found at a time, and margins that a task remembers.
@@ -55,10 +58,33 @@ OVERLAP = 256
 _MARKS = bytes(i for i in range(33, 128) if not (48 <= i <= 57 or 65 <= i <= 90 or 97 <= i <= 122))
 _LOWER = bytes(SPACED)
 _SINGLES = re.compile(rb"(?:(?<= )|^)(?:[a-z0-9] +){3,}[a-z0-9](?= |$)")
-_CODE = np.zeros(256, np.int64)
-_CODE[97:123] = np.arange(1, 27)
-_CODE[48:58] = 27
-_CODE[128:192] = 28 + np.arange(64) % 4
+#: Letters are numbers below this: 1 to 26 for a to z, 27 for digits, the last for a string's beginning, and the rest for other
+#: characters by their code points.
+ALPHABET = 64
+_BEGIN = ALPHABET - 1
+
+
+def _codes() -> np.ndarray:
+    """The letter of every code point, 0 for marks. Neighbours in Unicode, as the letters of one script are, differ."""
+    low = np.arange(0x110000)
+    for c in (*range(0xC0, 0x590), *range(0x10A0, 0x10FF), *range(0x1E00, 0x2000), *range(0xFF21, 0xFF3B)):
+        low[c] = ord(chr(c).lower()[0])
+    out = 28 + low % (_BEGIN - 28)
+    out[:128] = 0
+    out[48:58] = 27
+    out[65:91] = out[97:123] = np.arange(1, 27)
+    return out
+
+
+_CODE = _codes()
+
+
+def _letters(many: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of all strings one after another, and how many each has (characters that are none are left out)."""
+    data = np.frombuffer(b"".join(many), np.uint8)
+    owner = np.repeat(np.arange(len(many)), [len(s) for s in many])[(data & 0xC0) != 0x80]
+    c = _CODE[np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)]
+    return c[c > 0], np.bincount(owner[c > 0], minlength=len(many))
 _TRIPLES = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 
@@ -72,11 +98,12 @@ def strings(text: bytes) -> set[bytes]:
 
 def coded(many: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Letters as numbers, a row for each ``LENGTH`` letters (rows of a long string overlap by half), and
-    the string of each row. 31 marks a string's beginning, 0 stands for nothing."""
+    the string of each row. ``_BEGIN`` marks a string's beginning, 0 stands for nothing."""
     parts, owner = [], []
-    for k, s in enumerate(many):
-        c = _CODE[np.frombuffer(s, np.uint8)]
-        c = np.concatenate([[31], c[c > 0]])
+    letters, size = _letters(many)
+    ends = np.cumsum(size)
+    for k, (a, b) in enumerate(zip((ends - size).tolist(), ends.tolist(), strict=True)):
+        c = np.concatenate([[_BEGIN], letters[a:b]])
         for at in range(0, max(1, len(c) - LENGTH // 2), LENGTH // 2) if len(c) > LENGTH else (0,):
             parts.append(c[at : at + LENGTH])
             owner.append(k)
@@ -88,18 +115,13 @@ def coded(many: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def coded_fast(many: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """``coded`` for many strings at once."""
-    data = np.frombuffer(b"".join(many), np.uint8)
-    size = np.array([len(s) for s in many], int)
-    c = _CODE[data]
-    owner = np.repeat(np.arange(len(many)), size)
-    use = c > 0
-    c, owner = c[use], owner[use]
-    n = np.bincount(owner, minlength=len(many)) + 1
+    c, size = _letters(many)
+    owner, n = np.repeat(np.arange(len(many)), size), size + 1
     long = np.flatnonzero(n > LENGTH)
     begin = np.concatenate([[0], np.cumsum(n - 1)])[:-1]
     at = np.arange(len(c)) - begin[owner] + 1
     out = np.zeros((len(many), LENGTH + SPAN), np.int64)
-    out[:, 0] = 31
+    out[:, 0] = _BEGIN
     short = at < LENGTH
     out[owner[short], at[short]] = c[short]
     if len(long):
@@ -115,7 +137,7 @@ def _triples(x: np.ndarray):
         one = x[:, i]
         for a, b in _TRIPLES:
             two, three = x[:, i + a], x[:, i + b]
-            yield (one * 32 + two) * 32 + three, three > 0, DECAY ** (b + 1)
+            yield (one * ALPHABET + two) * ALPHABET + three, three > 0, DECAY ** (b + 1)
 
 
 def norms(x: np.ndarray) -> np.ndarray:
@@ -135,7 +157,7 @@ def norms(x: np.ndarray) -> np.ndarray:
 
 def table_of(x: np.ndarray) -> np.ndarray:
     """The normalised weights of all triples, a column for each string."""
-    out = np.zeros((32**3, len(x)), np.float32)
+    out = np.zeros((ALPHABET**3, len(x)), np.float32)
     for code, ok, w in _triples(x):
         rows = np.flatnonzero(ok)
         np.add.at(out, (code[rows], rows), w)
@@ -151,22 +173,25 @@ def kernels(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
 
 
 class SubsequenceSVM:
-    """The trained machine: one weight for each triple, a bias, and the logistic fit."""
+    """The trained machine: one weight for each triple, a bias, and the curve from margins to probabilities."""
 
     def __init__(self, positive: list[bytes], negative: list[bytes], seed: int = 0):
         rng = np.random.default_rng(seed)
-        spread = [s[: (k := int(rng.integers(1, len(s)))) ] + bytes([int(rng.integers(97, 123))]) + s[k:] for s in positive if len(s) > 3 for _ in range(2)]
+        words = [s.decode() for s in positive]
+        spread = [(s[: (k := int(rng.integers(1, len(s))))] + chr(int(rng.integers(97, 123))) + s[k:]).encode() for s in words if len(s) > 3 for _ in range(2)]
         strings_ = positive + spread + negative
-        x = coded([s[:LENGTH] for s in strings_])[0][: len(strings_)]
-        y = np.where(np.arange(len(strings_)) < len(positive) + len(spread), 1.0, -1.0)
-        n_marks = min(len(positive), POSITIVE_LANDMARKS)
-        marks = [*(np.arange(n_marks) * len(positive) // max(1, n_marks)), *(len(positive) + len(spread) + np.arange(min(len(negative), LANDMARKS // 4)))]
-        z = table_of(x[marks])
-        gram = kernels(x[marks], z)
+        x, owner = coded(strings_)
+        y = np.where(owner < len(positive) + len(spread), 1.0, -1.0)
+        own = np.flatnonzero(owner < len(positive))
+        n_marks = min(len(own), POSITIVE_LANDMARKS)
+        marks = np.concatenate([own[np.arange(n_marks) * len(own) // max(1, n_marks)], np.flatnonzero(y < 0)[: LANDMARKS // 4]])
+        blocks = [marks[at : at + LANDMARKS] for at in range(0, len(marks), LANDMARKS)]
+        against = lambda rows: np.concatenate([kernels(rows, table_of(x[b])) for b in blocks], 1)
+        gram = against(x[marks])
         value, vector = np.linalg.eigh((gram + gram.T) / 2)
         use = value > 1e-6 * value.max()
         root = vector[:, use] / np.sqrt(value[use])
-        phi = kernels(x, z) @ root
+        phi = against(x) @ root
         phi = np.concatenate([phi, np.ones((len(phi), 1))], 1)
         cost = np.where(y > 0, (y < 0).sum() / max(1, (y > 0).sum()), 1.0).clip(0.1, 20)
         w = np.zeros(phi.shape[1])
@@ -177,9 +202,10 @@ class SubsequenceSVM:
             if np.allclose(new, w, atol=1e-7):
                 break
             w = new
-        self.weights = (z @ (root @ w[:-1])).astype(np.float32)
+        each = root @ w[:-1]
+        self.weights = sum(table_of(x[b]) @ each[at * LANDMARKS : (at + 1) * LANDMARKS] for at, b in enumerate(blocks)).astype(np.float32)
         self.bias = float(w[-1])
-        self.slope, self.shift = 4.0, 0.0
+        self.knots, self.shares = np.array([-1.0, 1.0]), np.array([0.0, 1.0])
 
     def margins(self, many: list[bytes]) -> np.ndarray:
         """The margin of each string."""
@@ -193,11 +219,11 @@ class SubsequenceSVM:
                 if not len(live):
                     break
                 y = x[live]
-                one = y[:, i] * 32
+                one = y[:, i] * ALPHABET
                 for a, b in _TRIPLES:
                     three = y[:, i + b]
                     ok = three > 0
-                    total[live] += self.weights[(one + y[:, i + a]) * 32 + three] * (ok * np.float32(DECAY ** (b + 1)))
+                    total[live] += self.weights[(one + y[:, i + a]) * ALPHABET + three] * (ok * np.float32(DECAY ** (b + 1)))
                     square[live] += ok * np.float32(DECAY ** (2 * b + 2))
             # the norm is the least where no triple repeats: strings that could matter get the exact one
             exact = np.flatnonzero(total > 0)
@@ -208,19 +234,20 @@ class SubsequenceSVM:
         return out
 
     def fit_probability(self, margin: np.ndarray, toxic: np.ndarray) -> None:
-        """A logistic curve through the margins of labelled texts."""
-        w = np.array([4.0, 0.0])
-        x = np.stack([margin, np.ones_like(margin)], 1)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-            grad = x.T @ (p - toxic) + 0.01 * w
-            hess = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2)
-            step = np.linalg.solve(hess, grad)
-            w = w - step * min(1, 3 / max(1e-9, np.abs(step).max()))
-        self.slope, self.shift = float(max(w[0], 1e-3)), float(w[1])
+        """A curve that never falls through the margins of labelled texts: neighbours whose toxic shares fall are pooled until none do."""
+        order = np.lexsort((toxic, margin))
+        pools: list[list[float]] = []  # toxic texts, texts, sum of margins
+        for m, t in zip(margin[order].tolist(), toxic[order].tolist(), strict=True):
+            pools.append([t, 1.0, m])
+            while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+                last = pools.pop()
+                pools[-1] = [x + y for x, y in zip(pools[-1], last, strict=True)]
+        self.knots = np.array([m / n for _, n, m in pools])
+        self.shares = np.array([(t + 0.1) / (n + 0.2) for t, n, _ in pools])
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
+        """Between the pools' means along straight lines; a small part rises with the margin everywhere."""
+        return 0.99 * np.interp(margin, self.knots, np.maximum.accumulate(self.shares)) + 0.01 / (1 + np.exp(-np.clip(4 * margin, -40, 40)))
 
 
 def stretches(text: memoryview) -> Iterator[bytes]:
@@ -271,6 +298,45 @@ def least_ratio(found: dict[int, int], toxic_share: float) -> float:
     return 2 * math.log(max(1, left) / ERROR)
 
 
+def marking(held: dict[str, tuple[int, list[int]]], often: dict[int, int], n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
+    """The strings that mark toxic documents, and all that would at first.
+
+    ``held`` has for each string its clean documents and the rows of its toxic ones. A round takes the significant strings of which most
+    documents are toxic and whose likelihood ratio is ``BESIDE`` of the strongest one's or more: weaker ones often just stand beside it.
+    All others are judged again by the toxic documents that hold none of those, so that a rare string is judged among few
+    documents; rounds end when none is significant.
+    """
+    names = sorted(held)
+    c = np.array([held[s][0] for s in names], float)
+    number: dict[int, int] = {}
+    row = np.array([number.setdefault(r, len(number)) for s in names for r in held[s][1]], int)
+    owner = np.repeat(np.arange(len(names)), [len(held[s][1]) for s in names])
+    size = np.array([len(s) for s in names])
+    open_, left = np.ones(len(row), bool), n_toxic
+    kept: list[str] = []
+    strong: list[str] = []
+    while len(names) and left:
+        t, base = np.bincount(owner[open_], minlength=len(names)).astype(float), left / (left + n_clean)
+        expected = (t + c) * base
+        with np.errstate(divide="ignore", invalid="ignore"):
+            g = np.round(2 * (np.where(t > 0, t * np.log(t / expected), 0) + np.where(c > 0, c * np.log(c / (t + c - expected)), 0)), 6)
+        ok = (t > expected) & (t > c) & (g > least_ratio(often, base))
+        found = np.flatnonzero(ok & (g >= BESIDE * g[ok].max(initial=0)))
+        found = found[np.lexsort((found, -size[found], -g[found]))]
+        before = len(kept)
+        for k in found.tolist():
+            if not any(names[k].startswith(x) or x.startswith(names[k]) for x in kept):
+                kept.append(names[k])
+        strong = strong or [names[k] for k in found.tolist()]
+        if len(kept) == before:
+            break
+        gone = np.zeros(len(number), bool)
+        gone[row[open_ & np.isin(owner, found)]] = True
+        open_ &= ~gone[row]
+        left -= int(gone.sum())
+    return kept, strong
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, max_sample: int, seed: int) -> DataFrame:
     named = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = named.count()
@@ -280,74 +346,49 @@ def _labelled(docs: DataFrame, labels: DataFrame, max_sample: int, seed: int) ->
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, seed: int = 0) -> SubsequenceSVM | None:
     """``labels``: doc_id, toxic (1 or 0); only rows with a label are learned from."""
-    sample = written(_labelled(docs, labels, max_sample, seed))
-    n_toxic, n_clean = (sample.groupBy().agg(F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("toxic") != 1).cast("long")), F.lit(0)))).first()
+    sample = written(_labelled(docs, labels, max_sample, seed).select("text", (F.col("toxic") == 1).cast("long").alias("toxic"), F.monotonically_increasing_id().alias("row")))
+    n_toxic, n_clean = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     if not n_toxic:
         return None
 
-    def counted(kept: dict[str, bool]) -> DataFrame:
-        """Toxic documents without a string of ``kept`` and clean ones, of each string and ("") in all."""
-
-        def run(batches):
-            for batch in (part for batch in batches for part in slices(batch)):
-                data, offsets = texts(batch.column(0))
-                whole = memoryview(data)
-                words, toxic = [], []
-                for a, b, t in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column(1).to_pylist(), strict=True):
-                    own = {w.decode(errors="ignore") for w in strings(bytes(whole[a:b])) if 2 < len(w) <= LENGTH}
-                    own |= {w[:k] for w in own for k in range(4, min(len(w), 9))}
-                    if t == 1 and not kept.keys().isdisjoint(own):
-                        continue
-                    words += ["", *(own - {""})]
-                    toxic += [t] * (len(words) - len(toxic))
-                    if len(words) > REMEMBERED:
-                        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int64())], names=["s", "toxic"])
-                        words, toxic = [], []
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int64())], names=["s", "toxic"])
-
-        return written(sample.select("text", (F.col("toxic") == 1).cast("long").alias("toxic")).mapInArrow(run, "s string, toxic long").groupBy("s").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
-
-    kept, begun, strong, first_counts = {}, set(), [], None
-    while True:
-        counts = counted(kept)
-        first_counts = first_counts or counts
-        left = counts.where("s = ''").select("t", "c").first()
-        if not left or not left[0]:
-            break
-        base, t, c = left[0] / (left[0] + left[1]), F.col("t").cast("double"), F.col("c").cast("double")
-        expected = (t + c) * F.lit(base)
-        ratio = 2 * (t * F.log(t / expected) + F.when(c > 0, c * F.log(c / ((t + c) - expected))).otherwise(0.0))
-        counts = counts.where("s <> ''")
-        documents = F.least(F.col("t") + F.col("c"), F.lit(1_000))
-        least = least_ratio({r[0]: r[1] for r in counts.groupBy(documents.alias("n")).count().collect()}, base)
-        found = counts.where((t > expected) & (c <= t / 10)).select("s", ratio.alias("g")).where(F.col("g") > least).orderBy(F.col("g").desc(), F.length("s").desc(), "s").collect()
-        found = [s for s, g in found if g >= 0.1 * found[0][1]]
-        if not found:
-            break
-        strong += found
-        for s in found:
-            heads = [s[:k] for k in range(1, len(s) + 1)]
-            if s not in begun and not any(x in kept for x in heads):
-                kept[s] = True
-                begun.update(heads)
-        if kept.keys().isdisjoint(found):
-            break
-    counts = first_counts.where("s <> ''")
+    def held(batches):
+        """Row, label and each of the row's strings, with their beginnings of four letters on."""
+        for batch in (part for batch in batches for part in slices(batch)):
+            data, offsets = texts(batch.column(0))
+            whole = memoryview(data)
+            rows, toxic, words = [], [], []
+            for a, b, row, t in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own = {w for w in (w.decode() for w in strings(bytes(whole[a:b]))) if len(w) > 2}
+                own |= {w[:k] for w in own for k in range(4, min(len(w), 9))}
+                words += own
+                rows += [row] * len(own)
+                toxic += [t] * len(own)
+                if len(words) > REMEMBERED:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(toxic, pa.int64()), pa.array(words, pa.string())], names=["row", "toxic", "s"])
+                    rows, toxic, words = [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(toxic, pa.int64()), pa.array(words, pa.string())], names=["row", "toxic", "s"])
+
+    pairs = sample.select("text", "row", "toxic").mapInArrow(held, "row long, toxic long, s string")
+    counts = written(pairs.groupBy("s").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
+    often = {r[0]: r[1] for r in counts.groupBy(F.least(F.col("t") + F.col("c"), F.lit(1_000)).alias("n")).count().collect()}
+    likely = counts.where("t > c and t > 1")
+    marks = pairs.where("toxic = 1").join(likely, "s").groupBy("s").agg(F.first("c").alias("c"), F.sort_array(F.collect_list("row")).alias("rows"))
+    kept, strong = marking({r.s: (r.c, r.rows) for r in marks.orderBy("s").collect()}, often, n_toxic, n_clean)
     positive = [s.encode() for s in kept]
     if not positive:
         return None
-    more = [s.encode() for s in dict.fromkeys(strong) if s not in kept and any(s[:k] in kept for k in range(1, len(s)))]
+    more = [s.encode() for s in strong if s not in kept and s.startswith(tuple(kept))]
     clean = counts.where("t = 0 and c > 0").select("s")
     kinds = clean.count()
-    drawn = [r[0].encode() for r in clean.where(share(F.col("s"), f"n{seed}") < MAX_STRINGS / max(1, kinds)).collect()]
+    drawn = sorted(r[0].encode() for r in clean.where(share(F.col("s"), f"n{seed}") < MAX_STRINGS / max(1, kinds)).collect())
+    drawn = [drawn[k] for k in np.random.default_rng(seed).permutation(len(drawn))]
     first = SubsequenceSVM(positive + more, drawn or [b"the"], seed)
 
     def hard(batches):
         for batch in batches:
             words = [w.encode() for w in batch.column(0).to_pylist()]
             m = first.margins(words)
-            near = np.argsort(-m)[:300]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(near)), pa.array(m[near])], names=["s", "m"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m)], names=["s", "m"])
 
     worst = [r[0].encode() for r in clean.mapInArrow(hard, "s string, m double").orderBy(F.desc("m"), "s").limit(MAX_STRINGS // 2).collect()]
     model = SubsequenceSVM(positive + more, worst + drawn or [b"the"], seed)
@@ -357,7 +398,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAM
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_margins(batch.column(0), model, seen)), batch.column(1)], names=["m", "toxic"])
 
-    fit = np.array([tuple(r) for r in sample.select("text", F.col("toxic").cast("long")).mapInArrow(scored, "m double, toxic long").collect()], float)
+    fit = np.array(sorted(tuple(r) for r in sample.select("text", F.col("toxic").cast("long")).mapInArrow(scored, "m double, toxic long").collect()), float)
     model.fit_probability(fit[:, 0], fit[:, 1])
     return model
 

@@ -537,3 +537,30 @@ def test_license_base_against_plain_counts(spark):
         assert got[i].base_labels == ",".join(sorted({x for _, x in starts})) and set(got[i].base_labels.split(",")) - {""} <= set(got[i].labels.split(","))
     three = "Redistribution and use in source and binary forms, with or without modification, are permitted " + "provided " * 400 + "Neither the name of the owner nor the names of its contributors may be used to endorse or promote products derived from this software"
     assert licenses.scan(three.encode())[5] == "bsd-3-clause" and licenses.scan(three[:200].encode())[5] == "bsd-2-clause"
+
+
+def test_toxicity_is_the_same_on_every_layout(spark):
+    mean = ["grobian", "dumbbell", "lowlife", "дурак"]
+    rows = [(i, prose(i, 40)) for i in range(80)] + [(200 + i, f"{prose(200 + i, 30)} {mean[i % 4]} {prose(300 + i, 10)}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id >= 200 as int) as toxic")
+    found = []
+    for parts in (1, 7):
+        model = toxicity.train_toxicity(docs.repartition(parts), labels.repartition(parts))
+        found.append(sorted((r.doc_id, r.toxic_score) for r in toxicity.toxicity_scores(docs.repartition(parts), model).collect()))
+    assert found[0] == found[1]
+
+
+def test_toxicity_tells_letters_of_other_scripts():
+    clean = ["фурор", "парад", "город", "дорога", "курорт", "парус", "доклад", "рукав"]
+    model = toxicity.SubsequenceSVM([w.encode() for w in ("дурак", "идиот")], [w.encode() for w in clean])
+    margin = dict(zip(["дурак", "ду-рак", *clean], model.margins([w.encode() for w in ("дурак", "дуурак", *clean)]), strict=True))
+    assert min(margin["дурак"], margin["ду-рак"]) > 0.5 + max(margin[w] for w in clean)
+
+
+def test_toxicity_rounds():
+    """Strings beside stronger ones are judged without those' documents; most of a string's documents must be toxic."""
+    rows = list(range(120))
+    held = {"grobian": (0, rows[:100]), "beside": (3, rows[:14]), "rarely": (1, rows[100:]), "common": (90, rows[:80])}
+    kept, strong = toxicity.marking(held, {1: 2_000, 100: 2}, 120, 2_000)
+    assert kept == ["grobian", "rarely"] and strong == ["grobian"]
