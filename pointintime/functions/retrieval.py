@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..vocabulary import COST_INPUT_TOKENS, COST_INPUT_USD, COST_OUTPUT_TOKENS, COST_OUTPUT_USD, RRF_K
+from ..vocabulary import COST_INPUT_TOKENS, COST_INPUT_USD, COST_OUTPUT_TOKENS, COST_OUTPUT_USD, RANK_LIMIT, RANK_POSITIONS, RANK_WEIGHT, RRF_K
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -45,3 +45,12 @@ def extraction_cost(n_chunks: Column) -> Column:
 def lexical_score(times: Column) -> Column:
     """The weight of one query term that stands ``times`` times in a text: saturating."""
     return times / (times + F.lit(1.0))
+
+
+def term_rank(places: Column) -> Column:
+    """The weight of one query term with so many places in a text: the sum of 1/k**2, in units of its limit."""
+    sums, total = [0.0], 0.0
+    for k in range(1, RANK_POSITIONS + 1):
+        total += 1.0 / (k * k)
+        sums.append(total * RANK_WEIGHT / RANK_LIMIT)
+    return F.element_at(F.array(*map(F.lit, sums)), F.least(places, F.lit(RANK_POSITIONS)) + 1)

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.retrieval import found_by, lexical_score, rrf
+from ..functions.retrieval import found_by, lexical_score, rrf, term_rank
+from ..functions.stem import stemmed, stop_word
 from ..functions.text import query_terms, tokens
-from ..vocabulary import CANDIDATES, RRF_K, TOP_K
+from ..vocabulary import CANDIDATES, LAST_POSITION, RANK_POSITIONS, RRF_K, TOP_K
 from .bitemporal import as_of as known_at
 
 #: Query vectors that are compared with the chunks in one pass.
@@ -39,9 +40,60 @@ def _top(scored: DataFrame, order: list, limit: int, by: str = "question_id") ->
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-def asked_terms(questions: DataFrame) -> DataFrame:
-    """question_id, term: the different terms of each question (question_id, question)."""
-    return questions.select("question_id", F.explode(F.array_distinct(F.transform(query_terms(F.col("question")), F.lower))).alias("term"))
+def asked_terms(questions: DataFrame, english: bool = False) -> DataFrame:
+    """question_id, term: the different terms of each question (question_id, question). ``english``: words are split at whatever
+    isn't a letter or digit, stop words go, and what is left is stemmed."""
+    asked = questions.select("question_id", F.explode(F.array_distinct(F.transform(query_terms(F.col("question")), F.lower))).alias("term"))
+    if not english:
+        return asked
+    parts = asked.select("question_id", F.explode(F.regexp_extract_all("term", F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
+    return _stems(parts.where(~stop_word(F.col("term")))).select("question_id", F.col("stem").alias("term")).distinct()
+
+
+def _stems(words: DataFrame) -> DataFrame:
+    """``words`` with the stems of ``term``, each different word stemmed once."""
+    return words.join(stemmed(words.select("term").distinct()), "term")
+
+
+def positions(chunks: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """stem, chunk_id, positions, length: English postings with the places of each stem in ascending order (from 1, stop words count
+    as places and aren't kept), and how many words of the chunk are kept.
+
+    The last place that is told apart is ``LAST_POSITION`` and a stem has ``RANK_POSITIONS`` places at most, as in the text search whose
+    rank this serves. With ``questions`` only the stems they ask for are kept; words that can't have one go before the shuffle.
+    """
+    words = F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w, k: F.struct(w.alias("term"), F.least(k + 1, F.lit(LAST_POSITION)).alias("place")))
+    kept = F.filter(words, lambda w: ~stop_word(w["term"]))
+    each = chunks.select("chunk_id", kept.alias("kept")).select("chunk_id", F.size("kept").alias("length"), F.explode("kept").alias("w")).select("chunk_id", "length", "w.term", "w.place")
+    vocabulary = stemmed(each.select("term").distinct())
+    if questions is not None:
+        vocabulary = vocabulary.join(asked_terms(questions, english=True).select(F.col("term").alias("stem")).distinct(), "stem", "left_semi")
+    places = F.slice(F.array_sort(F.collect_set("place")), 1, RANK_POSITIONS)
+    return each.join(vocabulary, "term").groupBy("stem", "chunk_id").agg(places.alias("positions"), F.first("length").alias("length"))
+
+
+def ranked(index: DataFrame, questions: DataFrame, limit: int = CANDIDATES, normalise: str | None = None, closeness: float = 0.0) -> DataFrame:
+    """question_id, chunk_id, score, rank: chunks with any stem of the question by the text search rank over ``positions``.
+
+    A stem of n places gives the sum of 1/k**2 for k up to n, the sum over the question's stems is divided by their number, so that
+    more matched stems weigh more than repeats. ``normalise``: "log" divides by 1 + ln(length), "length" by the length. ``closeness``
+    adds, times this factor, 1/distance of the nearest places of each two stems that follow one another in the alphabet. Questions whose
+    words are all stop words have no hit; ties go to the smaller chunk_id.
+    """
+    asked = asked_terms(questions, english=True).withColumnRenamed("term", "stem")
+    n = asked.groupBy("question_id").agg(F.count("*").alias("stems"))
+    hits = index.join(asked, "stem").groupBy("question_id", "chunk_id").agg(
+        F.sum(term_rank(F.size("positions"))).alias("weight"), F.first("length").alias("length"), *([F.array_sort(F.collect_list(F.struct("stem", "positions"))).alias("found")] if closeness else [])
+    )
+    score = F.col("weight") / F.col("stems")
+    if normalise:
+        score = score / {"log": 1 + F.log(F.col("length").cast("double")), "length": F.col("length").cast("double")}[normalise]
+    if closeness:
+        near = lambda a, b: F.array_min(F.transform(a, lambda x: F.array_min(F.transform(b, lambda y: F.abs(x - y)))))
+        pairs = F.zip_with(F.slice("found", 1, F.greatest(F.size("found") - 1, F.lit(0))), F.slice("found", 2, F.size("found")), lambda a, b: F.lit(1.0) / F.greatest(near(a["positions"], b["positions"]), F.lit(1)))
+        score = score + F.lit(closeness) * F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
+    hits = hits.join(n, "question_id").select("question_id", "chunk_id", F.round(score, 9).alias("score"))
+    return _top(hits, [F.desc("score"), F.asc("chunk_id")], limit)
 
 
 def postings(chunks: DataFrame, questions: DataFrame | None = None) -> DataFrame:

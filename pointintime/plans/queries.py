@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import retrieval as R
 from ..functions import text as X
+from ..functions.stem import stem_sql, stemmed
 from ..operators import bitemporal, chunks, evaluate, ops, records, report, search
 from ..sources import pages as P
 from ..sources import seeds as S
-from ..vocabulary import REPORT_DAYS
+from ..vocabulary import REPORT_DAYS, STOP_WORDS
 
 NOW = "2024-01-31 00:00:00"
 QUERIES: dict = {}
@@ -341,6 +342,47 @@ def lexical_or_canary(spark, sf_dir):
     return hits.join(n, "question_id").groupBy("question_id").agg(F.count("*").alias("any_term"), F.count_if(F.col("n") == F.col("terms")).alias("all_terms"))
 
 
+_WORDS = """
+w AS (SELECT doc_id AS chunk_id, unnest(ws) AS term, unnest(range(1, len(ws) + 1)) AS place FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents)),
+kept AS (SELECT chunk_id, term, least(place, 16383) AS place FROM w WHERE term NOT IN (""" + ", ".join(f"'{x}'" for x in STOP_WORDS) + """)),
+asked AS (SELECT DISTINCT item_id AS question_id, unnest(regexp_extract_all(lower(term), '[a-z0-9]+')) AS term FROM
+  (SELECT item_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}][\\p{L}\\p{N}\'\'’.\\-]*')) AS term FROM benchmark) WHERE length(term) > 1),
+both_words AS (SELECT DISTINCT term FROM (SELECT term FROM kept UNION ALL SELECT term FROM asked)),
+""" + stem_sql("both_words", "stems") + """,
+q AS (SELECT DISTINCT question_id, stem FROM asked JOIN stems USING (term) WHERE term NOT IN (""" + ", ".join(f"'{x}'" for x in STOP_WORDS) + """)),
+n AS (SELECT question_id, count(*) AS stems FROM q GROUP BY 1),
+places AS (SELECT stem, chunk_id, list_sort(list_distinct(list(place)))[:255] AS ps FROM kept JOIN stems USING (term) WHERE stem IN (SELECT stem FROM q) GROUP BY 1, 2),
+size AS (SELECT chunk_id, count(*) AS length FROM kept GROUP BY 1),
+hits AS (SELECT question_id, chunk_id, sum(list_sum(list_transform(range(1, len(ps) + 1), lambda k: 1.0::DOUBLE / (k * k))) * 0.1::DOUBLE / 1.64493406685::DOUBLE) AS weight FROM places JOIN q USING (stem) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_WORDS[1:]}, s AS (SELECT question_id, chunk_id, round(weight / stems, 9) AS score FROM hits JOIN n USING (question_id)) "
+    "SELECT question_id, chunk_id, round(score, 7) AS score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) <= 10")
+def lexical_english_topk(spark, sf_dir):
+    chunks = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    q = _questions(spark, sf_dir)
+    return search.ranked(search.positions(chunks, q), q, 10).withColumn("score", F.round("score", 7))
+
+
+@query(f"""WITH {_WORDS[1:]},
+found AS (SELECT question_id, chunk_id, stem, ps, lead(ps) OVER (PARTITION BY question_id, chunk_id ORDER BY stem) AS following FROM places JOIN q USING (stem)),
+close AS (SELECT question_id, chunk_id, sum(CASE WHEN following IS NOT NULL THEN 1.0::DOUBLE / greatest(list_min(list_transform(ps, lambda x: list_min(list_transform(following, lambda y: abs(x - y))))), 1) ELSE 0 END) AS near FROM found GROUP BY 1, 2),
+s AS (SELECT question_id, chunk_id, round(weight / stems / (1 + ln(length::DOUBLE)) + 0.01::DOUBLE * near, 9) AS score FROM hits JOIN n USING (question_id) JOIN size USING (chunk_id) JOIN close USING (question_id, chunk_id))
+SELECT question_id, chunk_id, round(score, 7) AS score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) <= 10""")
+def lexical_closeness_topk(spark, sf_dir):
+    chunks = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    q = _questions(spark, sf_dir)
+    return search.ranked(search.positions(chunks, q), q, 10, normalise="log", closeness=0.01).withColumn("score", F.round("score", 7))
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
+{stem_sql("w", "stems")}
+SELECT stem, count(*) AS words, min(term) AS first_word FROM stems GROUP BY 1""")
+def word_stems(spark, sf_dir):
+    words = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term")).distinct()
+    return stemmed(words).groupBy("stem").agg(F.count("*").alias("words"), F.min("term").alias("first_word"))
+
+
 _DENSE = """
 qv AS (SELECT vec_id AS question_id, embedding::DOUBLE[] AS v FROM embeddings WHERE {where}),
 near AS (SELECT question_id, vec_id AS chunk_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], v), 9) AS distance FROM embeddings CROSS JOIN qv),

@@ -69,3 +69,18 @@ COST_INPUT_TOKENS, COST_OUTPUT_TOKENS, COST_INPUT_USD, COST_OUTPUT_USD = 600, 20
 RATE_WINDOW_SECONDS, RATE_LIMIT = 60, 30
 ARTICLES_PER_PASS, LINKS_PER_PAGE = 25, 200
 EXTRACT_CHUNKS_PER_RUN, CHUNK_DOCUMENTS_PER_RUN = 50, 500
+
+# The suffixes of the published English stemming rules, and the words that the English text search configuration leaves out.
+STEM_DERIVED = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
+    "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
+}
+STEM_SHORTENED = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEM_DROPPED = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+STOP_WORDS = tuple("""
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves
+what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at
+by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where
+why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now""".split())
+#: The default weight of a term's position, the sum of 1/n**2 over all n, and positions that count for one term and in one text.
+RANK_WEIGHT, RANK_LIMIT, RANK_POSITIONS, LAST_POSITION = 0.1, 1.64493406685, 255, 16_383
