@@ -6,14 +6,15 @@ Each page becomes a tree. A node's composite density is
 
 C being the characters below the node, T its tags, LC and LT those within links, nLC = C - LC, with every
 divisor at least 1. Densities of a node's children are summed; the subtree with the largest sum is the core of the text.
-The threshold is the least density on the path from that node up to the body. The core's blocks are taken, without
-those under the threshold that are mostly links; of what stands around it up to the body, blocks that reach the threshold, and
-headings. Where an article or main around the core holds most of the body's text outside links, its blocks are taken
-as the core's are, and nothing around it. Elements that are never article text (menus, headers, footers,
+The threshold is the least density on the path from that node up to the body. All of the core's blocks are taken; of what
+stands around it up to the body, blocks that reach the threshold, and those with text in paragraphs, headings, lists or tables that
+isn't mostly links. Where an article or main around the core holds most of the body's text outside links, all of its blocks are
+taken, and nothing around it but a first heading before it. Elements that are never article text (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, comments of readers), by name, role, class or id, are
-cut from the tree beforehand, save for the headings and header of the article itself. A class or id is only a
-hint: names that negate or wrap ("no-sidebar", "content-with-sidebar") say nothing, and an element with the
-article in it, or without one elsewhere most of the body's text outside links, stays for the densities to decide.
+cut from the tree beforehand, save for the headings, header and quotations of the article itself. A form, class or id is only a
+hint: names that negate or wrap ("no-sidebar", "content-with-sidebar") say nothing, names with another meaning ("share-price",
+"reply") only where they name a part of a page, and an element with the article in it, or without one elsewhere most of
+the body's text outside links, stays for the densities to decide.
 
 Text: character references decoded, white space within a block as one blank, blocks joined by an empty
 line in page order. Null and empty pages, pages without text: an empty string; a page that is repeated has a text each, an empty table none. Unclosed and stray tags are
@@ -36,11 +37,16 @@ _RAW = {k: re.compile(rf"</{k}\b[^>]*>", re.I) for k in ("script", "style", "nos
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-_NEVER = frozenset("nav aside footer form button select option input textarea fieldset script style noscript template iframe svg math object embed canvas audio video dialog menu head title".split())
+_NEVER = frozenset("nav aside footer button select option input textarea script style noscript template iframe svg math object embed canvas audio video dialog menu head title".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table tr tbody thead div article section body html td th blockquote".split())
 _ENDS_P = _BLOCK - {"html", "body"}
 _NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar side-bar rail footer foot masthead topbar toolbar header site-header cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget comment comments commentlist disqus respond reply replies discussion pagination pager skip-link hidden sr-only".split())
+#: Names with a meaning in articles as well: they count as a whole class or id of something other than a paragraph, or beside a part's name only.
+_AMBIGUOUS_WORDS = frozenset("reply replies respond share sharing rail notice notices alert discussion related header foot promotion subscription subscribe social menu banner login signup widget popup consent recommended".split())
+_PART_WORDS = frozenset("box bar list slot container wrapper wrap block button buttons link links section area unit posts articles stories items item widget message form tools icons count text label inner outer top bottom left right module panel thread body meta".split())
+_PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre q cite em strong".split())
+_TEXTS = _PARAGRAPHS | frozenset("li dd dt td th figcaption caption summary".split())
 _WRAPPER_WORDS = frozenset("no not non has have with without is under elementor".split())
 _CONTENT_WORDS = frozenset("content free article main post entry title layout".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -52,22 +58,30 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
 class Node:
-    __slots__ = ("path", "tag", "noise", "article", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("path", "tag", "noise", "article", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
 
     def __init__(self, tag: str, parent: Node | None, noise: int = False, article: bool = False):
         self.tag, self.parent, self.noise, self.article, self.children, self.path = tag, parent, noise, article, [], False
+        self.best = False
 
 
 #: What ``Node.noise`` is where only a class or id says so.
 _HINT = 2
 
 
-def _noise_name(name: str, inside: bool) -> bool:
-    """Does a word of a class or id name what is never text? ``inside``: within an article or main."""
+def _noise_name(name: str, tag: str, inside: bool) -> bool:
+    """Does a word of a class or id name what is never text? ``inside``: within an article or main, where a part of a name says so beside
+    the name of a page's part only."""
     parts = name.split("-")
     if not _WRAPPER_WORDS.isdisjoint(parts) or parts[-1] in _CONTENT_WORDS or parts[-1] == "header" and (inside or not _CONTENT_WORDS.isdisjoint(parts)):
         return False
-    return name in _NOISE_WORDS or parts[0] in _NOISE_WORDS or parts[-1] in _NOISE_WORDS
+    if name in _AMBIGUOUS_WORDS:
+        return tag not in _PARAGRAPHS
+    if name in _NOISE_WORDS:
+        return True
+    if not _NOISE_WORDS.isdisjoint(parts) and all(x in _NOISE_WORDS or x in _PART_WORDS or x.isdigit() for x in parts):
+        return True
+    return not inside and any(x in _NOISE_WORDS and x not in _AMBIGUOUS_WORDS for x in (parts[0], parts[-1]))
 
 
 def _within(node: Node | None) -> bool:
@@ -82,12 +96,19 @@ def _attributes(text: str) -> list[tuple[str, str]]:
     return [(name.lower(), value.strip("\"'").strip()) for name, value in _ATTRIBUTE.findall(text)]
 
 
-def _named(attributes: str, parent: Node) -> bool:
-    words = [word.lower() for name, value in _attributes(attributes) if name in ("class", "id") for word in _SPLIT.split(value)]
-    return bool(words) and any(_noise_name(word, _within(parent)) for word in words)
+def _words(attributes: str) -> list[str]:
+    """The words of classes and ids."""
+    return [word.lower() for name, value in _attributes(attributes) if name in ("class", "id") for word in _SPLIT.split(value) if word]
+
+
+def _named(tag: str, attributes: str, parent: Node) -> bool:
+    words = _words(attributes)
+    return bool(words) and any(_noise_name(word, tag, _within(parent)) for word in words)
 
 
 def _noisy(tag: str, attributes: str, parent: Node) -> int:
+    if tag == "aside" and _within(parent) and any("quote" in word for word in _words(attributes)):
+        return False
     if tag in _NEVER:
         return True
     if tag == "header":
@@ -99,7 +120,7 @@ def _noisy(tag: str, attributes: str, parent: Node) -> int:
             return True
         if name == "role" and value.lower() in _NOISE_ROLES:
             return True
-    return _HINT if tag not in ("html", "body", "article", "main") and _named(attributes, parent) else False
+    return _HINT if tag in ("form", "fieldset") or tag not in ("html", "body", "article", "main") and _named(tag, attributes, parent) else False
 
 
 def _keep_text(root: Node) -> None:
@@ -160,7 +181,7 @@ def tree(page: str) -> Node:
                 up = up.parent
             if up is not None and up.tag in closes and up.parent is not None:
                 here = up.parent
-        node = Node(tag, here, _noisy(tag, m[3] or "", here), tag in ("article", "main") and not _named(m[3] or "", here))
+        node = Node(tag, here, _noisy(tag, m[3] or "", here), tag in ("article", "main") and not _named(tag, m[3] or "", here))
         here.children.append(node)
         if tag not in _VOID and not (m[3] or "").endswith("/"):
             here = node
@@ -197,21 +218,20 @@ def _count(root: Node) -> None:
         node.total = sum(x.density for x in node.children if isinstance(x, Node) and not x.noise)
 
 
-def _heading(node: Node) -> bool:
-    """Is at least half of the node's text a heading?"""
-    if node.tag in _HEADINGS or node.tag == "header":
-        return True
-    found, stack = 0, [node]
+def _reads(node: Node) -> bool:
+    """Has the node words outside links in an element that holds text?"""
+    stack = [node]
     while stack:
         x = stack.pop()
-        found += x.chars if x.tag in _HEADINGS else 0
-        stack += [c for c in x.children if isinstance(c, Node) and not c.noise and x.tag not in _HEADINGS]
-    return 2 * found >= node.chars
+        if x.tag in _TEXTS and x.chars > x.link_chars:
+            return True
+        stack += [c for c in x.children if isinstance(c, Node) and not c.noise]
+    return False
 
 
-def _blocks(top: Node, best: Node, threshold: float) -> list[str]:
-    """The text of the blocks below a node. Under the threshold, inner blocks that are mostly links go; around
-    ``best``, the densest subtree, other blocks under it go as well, but for headings, unless an element names the article."""
+def _blocks(top: Node, threshold: float) -> list[str]:
+    """The text of the blocks below a node. On the way down to the densest subtree, what stands beside it under the threshold stays if
+    it is text, not mostly links; nothing goes within it, or where an element names the article."""
     out, line = [], []
     named = top.tag in ("article", "main")
 
@@ -222,9 +242,9 @@ def _blocks(top: Node, best: Node, threshold: float) -> list[str]:
             out.append(text)
 
     def thin(x: Node) -> bool:
-        if x.path or x.tag not in _BLOCK or not x.chars or x.density >= threshold:
+        if named or x.path or not x.parent.path or x.parent.best or x.tag not in _BLOCK or not x.chars or x.density >= threshold:
             return False
-        return 2 * x.link_chars > x.chars or not named and x.parent.path and x.parent is not best and not _heading(x)
+        return 2 * x.link_chars > x.chars or not _reads(x)
 
     stack: list = [top]
     while stack:
@@ -248,6 +268,26 @@ def _blocks(top: Node, best: Node, threshold: float) -> list[str]:
     return out
 
 
+def _headlines(root: Node, top: Node) -> list[str]:
+    """The first headings that stand before the article, where it has none of its own."""
+    found, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if x is top:
+            own = [x]
+            while own:
+                y = own.pop()
+                if y.tag == "h1":
+                    return []
+                own += [c for c in y.children if isinstance(c, Node) and not c.noise]
+            return [text for h in found for text in _blocks(h, 0.0)]
+        if x.tag == "h1":
+            found.append(x)
+            continue
+        stack += [c for c in reversed(x.children) if isinstance(c, Node) and not c.noise]
+    return []
+
+
 def main_text(page: str | None) -> str:
     """The article of a page as blocks with an empty line between them."""
     root = tree(page or "")
@@ -258,6 +298,7 @@ def main_text(page: str | None) -> str:
         if best is None or node.total > best.total or node.total == best.total and node.density > best.density:
             best = node
         stack += [c for c in node.children if isinstance(c, Node) and not c.noise]
+    best.best = True
     threshold, body, up = best.density, root, best
     while up is not None:
         up.path = True
@@ -269,7 +310,9 @@ def main_text(page: str | None) -> str:
     top = best
     while top is not body and top is not root and not (top.tag in ("article", "main") and 2 * (top.chars - top.link_chars) >= body.chars - body.link_chars):
         top = top.parent
-    return "\n\n".join(_blocks(root if top is body and body.tag != "article" and body.tag != "main" else top, best, threshold))
+    if top is body and body.tag not in ("article", "main"):
+        return "\n\n".join(_blocks(root, threshold))
+    return "\n\n".join([*_headlines(root, top), *_blocks(top, threshold)])
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -564,3 +564,51 @@ def test_toxicity_rounds():
     held = {"grobian": (0, rows[:100]), "beside": (3, rows[:14]), "rarely": (1, rows[100:]), "common": (90, rows[:80])}
     kept, strong = toxicity.marking(held, {1: 2_000, 100: 2}, 120, 2_000)
     assert kept == ["grobian", "rarely"] and strong == ["grobian"]
+
+
+_LONG = "<p>" + "Words of an article that goes on for a while, with commas and all. " * 3 + "</p>"
+_NAV, _FOOT = "<nav><a href=x>Home</a> <a href=y>News</a></nav>", "<footer>Copyright</footer>"
+
+
+@pytest.mark.parametrize(
+    ("page", "ends"),
+    [
+        (f"<form>{_NAV}<article><h1>Head</h1>{_LONG}</article><input value=q></form>", ["Head", "W"]),
+        (f"<form><div>{_LONG}{_LONG}</div><button>Go</button></form>", ["W", "W"]),
+        (f"{_NAV}<div><h1>T</h1><div>{_LONG * 2}</div><p>The closing words.</p></div>", ["T", "W", "W", "The closing words."]),
+        (f"{_NAV}<section>{_LONG * 2}</section><section><h2>Two</h2><p>A second one.</p></section>", ["W", "W", "Two", "A second one."]),
+        (f"<article>{_LONG}<p><a href=x>Mostly a link</a> x</p><ul><li><a href=y>One</a></li></ul>{_LONG}</article>", ["W", "Mostly a link x", "One", "W"]),
+        (f"<article>{_LONG}<p class='share-price'>Price.</p><div class='rail-strike'><p>Strike.</p></div><p class=reply>Reply.</p><p id='notice-period'>Period.</p><div class='share-buttons'>Tweet</div><div class=comments><p>reader</p></div></article>", ["W", "Price.", "Strike.", "Reply.", "Period."]),
+        (f"{_NAV}<h1>Headline</h1><article>{_LONG}</article>", ["Headline", "W"]),
+        (f"<article>{_LONG}<aside class='pull-quote'>Said so.</aside><aside>Read more</aside><form>Sign up</form></article>", ["W", "Said so."]),
+    ],
+)
+def test_html_keeps_the_article(page, ends):
+    text = html_text.main_text(f"<html><body>{page}{_FOOT}</body></html>")
+    said = " ".join(("Words of an article that goes on for a while, with commas and all. " * 3).split())
+    assert text.split("\n\n") == [said if e == "W" else e for e in ends]
+
+
+def test_html_generated_pages():
+    """Articles of known blocks in nested wrappers, with noise in between, come out block by block."""
+    rng = np.random.default_rng(11)
+    noise = ["<nav><ul><li><a href=a>A</a></li></ul></nav>", "<div class='ad'>BUY NOW</div>", "<aside>Related</aside>", "<script>var x = '<p>no</p>'</script>", "<form><input><label>Mail</label></form>", "<div class='cookie-banner'>We use cookies</div>", "<!-- <p>gone</p> -->"]
+    for k in range(120):
+        blocks, parts = [], []
+        for i in range(int(rng.integers(3, 9))):
+            words = prose(1000 * k + i, int(rng.integers(12, 60)))
+            kind = int(rng.integers(0, 5))
+            text, markup = {
+                0: (words, f"<p>{words}</p>"), 1: (f"{words} & co", f"<p>{words} &amp; <b>co</b></p>"), 2: (words, f"<blockquote>{words}</blockquote>"), 3: (words[:30].strip(), f"<h2>{words[:30]}</h2>"),
+                4: (words.replace(" ", "  ", 1).replace("  ", " "), f"<div class='para-{i}'><p>\n {words} </p></div>"),
+            }[kind]
+            blocks.append(text)
+            parts.append(markup)
+            if rng.random() < 0.3:
+                parts.append(noise[int(rng.integers(0, len(noise)))])
+        inner = "".join(parts)
+        for _ in range(int(rng.integers(0, 3))):
+            inner = f"<div class='wrap'>{inner}</div>"
+        tag = ["article", "main"][k % 2]
+        page = f"<html><head><title>t</title></head><body><header>Site</header>{noise[0]}<{tag}>{inner}</{tag}><div class='comments'><p>reader</p></div><footer>end</footer></body></html>"
+        assert html_text.main_text(page).split("\n\n") == blocks

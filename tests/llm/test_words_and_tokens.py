@@ -159,6 +159,7 @@ def test_bpe_round_trip(spark, library):
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert r.numbers == ids and bytes(r.ids) == np.array(ids, "<u4").tobytes() and r.decoded == library.decode(ids, skip_special_tokens=False) == (r.text or "")
     assert bpe.encode(rows.where("false"), PATH).count() == 0
+    assert [r.again for r in bpe.encode(rows, PATH, decoded="again").orderBy("doc_id").collect()] == [t or "" for t in texts]
     broken = spark.createDataFrame([(1, np.array([222, 100, 222], "<u4").tobytes())], "k int, ids binary")
     assert bpe.decode(broken, PATH).first().decoded == library.decode([222, 100, 222], skip_special_tokens=False)
 
