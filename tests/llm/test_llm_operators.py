@@ -612,3 +612,56 @@ def test_html_generated_pages():
         tag = ["article", "main"][k % 2]
         page = f"<html><head><title>t</title></head><body><header>Site</header>{noise[0]}<{tag}>{inner}</{tag}><div class='comments'><p>reader</p></div><footer>end</footer></body></html>"
         assert html_text.main_text(page).split("\n\n") == blocks
+
+
+_LICENSED = """Apache License 2.0 = apache-2 | Apache License, Version 2.0 = apache-2 | Apache-2.0 = apache-2 | the Apache License = apache | Apache License 1.1 = apache-1.1
+Mozilla Public License Version 2.0 = mpl-2 | Mozilla Public License 1.1 = mpl-1.1 | Mozilla Public License = mpl | MPL-2.0 = mpl-2 | MPL v2 = mpl-2
+GNU General Public License v3.0 = gpl-3 | GNU GPL v2 = gpl-2 | GNU General Public License version 2 = gpl-2 | GPLv3 = gpl-3 | GPL-2.0 = gpl-2 | GNU GPL = gpl | the GNU General Public License = gpl | GPL v3 or later = gpl-3
+GNU Lesser General Public License v2.1 = lgpl-2.1 | LGPL 3.0 = lgpl-3 | LGPLv3 = lgpl-3 | GNU Lesser General Public License = lgpl
+GNU Affero General Public License v3 = agpl-3 | AGPL-3.0 = agpl-3 | AGPLv3 = agpl-3 | GNU Affero General Public License = agpl
+dual licensed under GPL-2.0 or MIT = gpl-2,mit | licensed under MIT or Apache-2.0 = apache-2,mit | licensed under either MIT or Apache 2.0 = apache-2,mit | released under the ISC and MIT licenses = isc,mit | licensed under MIT, BSD and ISC = mit
+licensed under the MIT License = mit | MIT License = mit | Expat License = mit | mit is a school = | bsd daemon = | licensed under BSD = bsd | 2-clause BSD license = bsd-2-clause | New BSD License = bsd-3-clause | BSD 3-Clause License = bsd-3-clause | BSD 4-clause license = bsd-4-clause
+Eclipse Public License v2.0 = epl-2 | Eclipse Public License 1.0 = epl-1 | EPL-2.0 = epl-2 | European Union Public Licence = eupl | CDDL = cddl-1 | Artistic License 2.0 = artistic-2 | zlib license = zlib | Boost Software License 1.0 = boost-1
+CC BY-SA 4.0 = cc-by-sa | CC BY 4.0 = cc-by | CC BY-NC-ND 3.0 = cc-by-nc,cc-by-nc-nd | Creative Commons Attribution-ShareAlike 4.0 = cc-by-sa | Creative Commons Attribution Non-Commercial = cc-by-nc | a Creative Commons license = creative-commons | CC0 1.0 Universal = cc0
+SPDX-License-Identifier: GPL-3.0-or-later = gpl-3 | SPDX-License-Identifier: MIT = mit | All rights reserved = proprietary | released into the public domain = public-domain | Universal Permissive License v1.0 = upl-1 | Business Source License 1.1 = busl-1.1 | Server Side Public License = sspl-1
+the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License = gpl-3 | https://creativecommons.org/licenses/by/4.0 = cc-by | SIL Open Font License 1.1 = ofl-1.1"""
+
+
+def test_license_phrases():
+    cases = [c.rsplit(" =", 1) for line in _LICENSED.splitlines() for c in line.split(" | ")]
+    wrong = {}
+    for phrase, label in cases:
+        found = licenses.scan(f"This is a text. {phrase.strip()}. More text follows.".encode())[5]
+        if found != label.strip():
+            wrong[phrase] = found
+    assert len(cases) > 55 and wrong == {}
+
+
+def test_license_overlaps_against_plain_resolution():
+    """Of all matches in order of priority and length, each stays that overlaps none before it."""
+    rng = np.random.default_rng(4)
+    phrases = [c.rsplit(" =", 1)[0] for line in _LICENSED.splitlines() for c in line.split(" | ")]
+    for _ in range(60):
+        text = " ".join(phrases[int(k)] if rng.random() < 0.7 else "words" for k in rng.integers(0, len(phrases), 12))
+        normal = b" " + b" ".join(text.encode().translate(bytes(licenses.WORDED)).split()) + b" "
+        hits = [(priority // 1000, m.start() - m.end(), priority, m.start(), m.end(), label) for priority, label, _, x, _ in licenses.rules() for m in x.finditer(normal)]
+        kept = []
+        for *_, a, b, label in sorted(hits):
+            if all(b <= c or d <= a for c, d, _ in kept):
+                kept.append((a, b, label))
+        got = {(a, b, label) for a, b, label, _ in licenses.detections(normal)}
+        # BSD's clauses are joined and lists are followed after that; nothing else differs
+        assert {k for k in kept if k[2] != "bsd-2-clause"} <= got and all(k in kept or any(abs(k[0] - b) <= 5 or abs(a - k[1]) <= 9 for a, b, *_ in got - {k}) for k in got)
+
+
+def test_license_long_text_is_linear():
+    import time
+
+    text = b"neither the name of somebody " * 20_000 + b"licensed under mit or " * 20_000
+    took = []
+    for n in (1, 4):
+        began = time.process_time()
+        licenses.scan(text[: len(text) // 4] * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+    assert "bsd-3-clause" in licenses.scan(b"neither the name of " + b"x " * 500 + b"may be used to endorse or promote products derived from this software")[5]
