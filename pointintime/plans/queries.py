@@ -6,6 +6,9 @@ for parsed documents and chunks; conversations for table rows; benchmark for que
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ from ..functions.stem import stem_sql, stemmed
 from ..operators import bitemporal, chunks, evaluate, ops, records, report, search
 from ..sources import pages as P
 from ..sources import seeds as S
-from ..vocabulary import REPORT_DAYS, STOP_WORDS
+from ..vocabulary import CLUBS, REPORT_DAYS, STOP_WORDS
 
 NOW = "2024-01-31 00:00:00"
 QUERIES: dict = {}
@@ -41,15 +44,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-def _sql_values(rows: list[tuple]) -> str:
-    one = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-    return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + ")"
-
-
 def _polls(spark, sf_dir) -> DataFrame:
     e = read(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("source_id"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") != "error").alias("ok"), F.when(F.col("event_type") == "error", F.col("props")).alias("error"))
@@ -254,16 +248,21 @@ def field_coverage(spark, sf_dir):
 
 # -- scalars ---------------------------------------------------------------------------------------
 
-_CELLS = [("Full",), ("fp",), (" Limited Participation ",), ("LP.",), ("dnp",), ("Did Not Participate!",), ("Out",), ("q",), ("Rest",), ("",), (None,)]
+_CELLS = ("Full", "fp", "Limited Participation", "LP.", "dnp", "Did Not Participate!", "Out", "q", "Rest", "doubtful.", "")
 
 
 @query(f"""
-SELECT v, CASE regexp_replace(upper(trim(v)), '[^A-Z ]', '', 'g') WHEN 'FULL' THEN 'FULL' WHEN 'FP' THEN 'FULL' WHEN 'FULL PARTICIPATION' THEN 'FULL' WHEN 'LIMITED' THEN 'LIMITED' WHEN 'LP' THEN 'LIMITED'
+WITH c AS (SELECT CASE event_id % 3 WHEN 0 THEN cell WHEN 1 THEN upper(cell) ELSE '  ' || cell || ' ' END AS v FROM (SELECT event_id, {list(_CELLS)}[user_id % 11 + 1] AS cell FROM events)),
+n AS (SELECT v, trim(v) AS t FROM c)
+SELECT v, CASE regexp_replace(upper(t), '[^A-Z ]', '', 'g') WHEN 'FULL' THEN 'FULL' WHEN 'FP' THEN 'FULL' WHEN 'FULL PARTICIPATION' THEN 'FULL' WHEN 'LIMITED' THEN 'LIMITED' WHEN 'LP' THEN 'LIMITED'
   WHEN 'LIMITED PARTICIPATION' THEN 'LIMITED' WHEN 'DNP' THEN 'DNP' WHEN 'DID NOT PARTICIPATE' THEN 'DNP' END AS participation,
-  regexp_replace(upper(trim(v)), '[^A-Z]', '', 'g') IN ('OUT', 'DOUBTFUL', 'QUESTIONABLE', 'QUES', 'Q', 'D', 'O') AS game_status FROM {_sql_values(_CELLS)} t(v)""")
+  regexp_replace(upper(t), '[^A-Z]', '', 'g') IN ('OUT', 'DOUBTFUL', 'QUESTIONABLE', 'QUES', 'Q', 'D', 'O') AS game_status, count(*) AS n FROM n GROUP BY ALL""")
 def participation_norm(spark, sf_dir):
-    v = F.col("v")
-    return _values(spark, _CELLS, "v string").select(v, X.normalise_participation(v).alias("participation"), X.looks_like_game_status(v).alias("game_status"))
+    """Cells as report tables have them, one an event: each source spells in its own way."""
+    cell = F.element_at(F.array(*map(F.lit, _CELLS)), (F.col("user_id") % 11 + 1).cast("int"))
+    v = F.when(F.col("event_id") % 3 == 0, cell).when(F.col("event_id") % 3 == 1, F.upper(cell)).otherwise(F.concat(F.lit("  "), cell, F.lit(" ")))
+    cells = read(spark, sf_dir, "events").select(v.alias("v"))
+    return cells.groupBy("v", X.normalise_participation(F.col("v")).alias("participation"), X.looks_like_game_status(F.col("v")).alias("game_status")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type, CASE WHEN upper(event_type) IN ('CLICK', 'VIEW') THEN upper(event_type) END AS member, count(*) AS n FROM events GROUP BY 1, 2")
@@ -279,24 +278,23 @@ def tokenize_terms(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_terms"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
-_DATES = [("Dec 18, 2025 at 04:15 PM",), ("Posted Nov 3, 2024",), ("Jan 1, 2025 at 12:05 AM and Feb 2, 2026",), ("Feb 31, 2025",), ("no date",), ("Abc 3, 2024",)]
-
-
-@query(f"""
-WITH m AS (SELECT v, regexp_extract(v, '\\b([A-Z][a-z]{{2}})\\s+(\\d{{1,2}}),\\s+(\\d{{4}})(?:\\s+at\\s+(\\d{{1,2}}):(\\d{{2}})\\s*([AP]M))?', ['mon', 'd', 'y', 'h', 'mi', 'ap']) AS g FROM {_sql_values(_DATES)} t(v)),
-p AS (SELECT v, g, list_position(['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'], g.mon) AS mon FROM m)
-SELECT v, coalesce(epoch_us(try_strptime(g.y || '-' || mon || '-' || g.d || ' ' || CASE WHEN g.h = '' THEN '0' ELSE CAST(try_cast(g.h AS INT) % 12 + CASE WHEN g.ap = 'PM' THEN 12 ELSE 0 END AS VARCHAR) END || ':' || CASE WHEN g.mi = '' THEN '0' ELSE g.mi END, '%Y-%m-%d %H:%M')), -1) AS us
-FROM p""")
+@query("""
+SELECT event_id, coalesce(epoch_us(CASE event_id % 4 WHEN 0 THEN date_trunc('minute', ts) WHEN 1 THEN date_trunc('day', ts) END), -1) AS us FROM events""")
 def display_date_parse(spark, sf_dir):
-    return _values(spark, _DATES, "v string").select("v", F.coalesce(F.unix_micros(X.parse_display_date(F.col("v"))), F.lit(-1)).alias("us"))
+    """Each event's time as a page shows it, with and without the hour; days that don't exist and texts without a date."""
+    t, k = F.col("ts").cast("timestamp"), F.col("event_id") % 4
+    shown = F.when(k == 0, F.concat(F.lit("Posted "), F.date_format(t, "MMM d, yyyy 'at' h:mm a"), F.lit(" and Feb 2, 2026"))).when(k == 1, F.date_format(t, "MMM d, yyyy")).when(k == 2, F.concat(F.lit("Feb 31, "), F.date_format(t, "yyyy"))).otherwise(F.col("props"))
+    return read(spark, sf_dir, "events").select("event_id", F.coalesce(F.unix_micros(X.parse_display_date(shown)), F.lit(-1)).alias("us"))
 
 
-_ISO = [("2025-12-18T16:15:00Z",), ("2025-12-18T16:15:00+02:00",), ("2025-12-18 16:15:00",), ("2025-12-18",), ("soon",), ("",), ("2025-13-01",)]
-
-
-@query(f"SELECT v, coalesce(epoch_us(CASE WHEN v LIKE '20%' THEN CASE WHEN v LIKE '%:%Z' OR v LIKE '%+%' THEN CAST(try_cast(v AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS TIMESTAMP) ELSE try_cast(v AS TIMESTAMP) END END), -1) AS us FROM {_sql_values(_ISO)} t(v)")
+@query("""
+SELECT event_id, coalesce(epoch_us(CASE event_id % 5 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts) - INTERVAL 2 HOUR WHEN 2 THEN date_trunc('second', ts) WHEN 3 THEN date_trunc('day', ts) END), -1) AS us FROM events""")
 def iso_parse(spark, sf_dir):
-    return _values(spark, _ISO, "v string").select("v", F.coalesce(F.unix_micros(X.parse_iso(F.col("v"))), F.lit(-1)).alias("us"))
+    """Each event's time as an instant with Z, with an offset, without a zone, as a day; and texts that are none."""
+    t, k = F.col("ts").cast("timestamp"), F.col("event_id") % 5
+    at = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    shown = F.when(k == 0, F.concat(at, F.lit("Z"))).when(k == 1, F.concat(at, F.lit("+02:00"))).when(k == 2, F.date_format(t, "yyyy-MM-dd HH:mm:ss")).when(k == 3, F.date_format(t, "yyyy-MM-dd")).otherwise(F.col("props"))
+    return read(spark, sf_dir, "events").select("event_id", F.coalesce(F.unix_micros(X.parse_iso(shown)), F.lit(-1)).alias("us"))
 
 
 @query("""
@@ -509,67 +507,57 @@ def priority_batch(spark, sf_dir):
     return records.extraction_batch(c, d.select(F.col("doc_id").alias("document_id"), kind.alias("doc_type")), "v1").select("chunk_id", "doc_type")
 
 
-_DRAFTS = [
-    ("Ann Lee", "phi", "wr", " Knee ", "limited", "out", "wed", "x", "WR Ann Lee (Knee)"),
-    ("Bob Poe", "XYZ", "G/T", None, "full", None, "MON", None, "T Bob Poe practised"),
-    ("Cal Roe", "DAL", "quarterback", None, None, None, None, "said", "Cal Roe ran"),
-    ("Nobody Here", "DAL", "QB", None, "DNP", None, None, None, "another text"),
-    ("Dee", "DAL", "Q1", "k" * 65, "Limited participation", "Doubtful", "Sunday", None, "Dee was hurt"),
-    ("  ", "DAL", "QB", "arm", None, None, None, None, "QB arm"),
-]
-
-
 @query("""
-SELECT * FROM (VALUES ('Ann Lee', 'PHI', 'WR', 'Knee', 'LIMITED', 'OUT', 'WED', 'x'), ('Bob Poe', NULL, 'G/T', NULL, 'FULL', NULL, 'MON', NULL), ('Dee', 'DAL', NULL, NULL, NULL, 'DOUBTFUL', NULL, NULL))
-t(player_name, team, position, injury, practice_status, game_status, report_day, evidence)""")
+WITH d AS (SELECT c_custkey AS k, 'Roe ' || chr(65 + CAST(c_custkey % 26 AS INTEGER)) || 'ab' AS player_name, ['PHI', 'DAL', NULL][c_custkey % 3 + 1] AS team, ['WR', 'G/T', NULL, NULL][c_custkey % 4 + 1] AS position,
+  CASE WHEN c_custkey % 5 <> 0 THEN lower(c_mktsegment) END AS injury, CASE WHEN c_custkey % 6 = 0 THEN 'LIMITED' END AS practice_status, ['OUT', 'DOUBTFUL', NULL][c_custkey // 3 % 3 + 1] AS game_status,
+  CASE WHEN c_custkey % 8 = 0 THEN 'WED' END AS report_day, CASE WHEN c_custkey % 2 = 1 THEN c_name END AS evidence FROM customer WHERE c_custkey % 7 <> 0)
+SELECT * FROM d WHERE coalesce(practice_status, game_status, injury, position) IS NOT NULL""")
 def record_validation(spark, sf_dir):
-    fields = "player_name, team, position, injury, practice_status, game_status, report_day, evidence, chunk_text"
-    drafts = _values(spark, _DRAFTS, fields.replace(",", " string,") + " string")
+    """A draft for each customer; one in seven names someone that its text doesn't, others hold values of no vocabulary."""
+    k = F.col("c_custkey")
+    of = lambda values, n=k: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (n % len(values) + 1).cast("int"))
+    name = F.concat(F.lit("Roe "), F.char((65 + k % 26).cast("int")), F.lit("ab"))
+    drafts = read(spark, sf_dir, "customer").select(
+        k.alias("k"), F.concat(F.lit(" "), name).alias("player_name"), of(["phi", " Dal ", "XYZ"]).alias("team"), of([" wr", "g/t", "quarterback", "Q1"]).alias("position"),
+        F.when(k % 5 == 0, F.repeat(F.lit("k"), F.lit(65))).otherwise(F.concat(F.lower("c_mktsegment"), F.lit(" "))).alias("injury"), F.when(k % 6 == 0, "limited").otherwise("Limited participation").alias("practice_status"),
+        of(["out", "Doubtful", "maybe"], F.floor(k / 3)).alias("game_status"), F.when(k % 8 == 0, "wed").otherwise("Sunday").alias("report_day"), F.when(k % 2 == 1, F.col("c_name")).otherwise("").alias("evidence"),
+        F.when(k % 7 == 0, "Another text").otherwise(F.concat(F.lit("WR "), name, F.lit(" was hurt"))).alias("chunk_text"),
+    )
     return records.validate(drafts, ("PHI", "DAL")).drop("chunk_text")
 
 
-_RESPONSES = [
-    (1, '{"records": [{"player_name": "Ann Lee", "team": "PHI", "injury": "null", "position": 5}, {"player_name": " "}, 7]}'),
-    (2, '```json\n[{"player_name": "Bob Poe", "practice_status": "FULL", "evidence": " N/A "}]\n```'),
-    (3, "not json"),
-    (4, '{"records": [{"player_name": "Cut'),
-    (5, '{"records": []}'),
-    (6, '"text"'),
-]
-
-
-@query("SELECT id::BIGINT AS id, player_name, team, injury, position, practice_status FROM (VALUES (1, 'Ann Lee', 'PHI', NULL, NULL, NULL), (2, 'Bob Poe', NULL, NULL, NULL, 'FULL')) t(id, player_name, team, injury, position, practice_status)")
+@query("""
+SELECT c_custkey AS id, c_name AS player_name, CASE WHEN c_custkey % 6 = 0 THEN c_mktsegment END AS team, CAST(NULL AS VARCHAR) AS injury, CAST(NULL AS VARCHAR) AS position, CASE WHEN c_custkey % 6 = 1 THEN 'FULL' END AS practice_status
+FROM customer WHERE c_custkey % 6 < 2""")
 def llm_response_parse(spark, sf_dir):
-    return records.parse_responses(_values(spark, _RESPONSES, "id int, response string"), ["id"]).select("id", "player_name", "team", "injury", "position", "practice_status")
-
-
-ARTICLE = """Eagles at Commanders Injury Report
-Dec 18, 2025 at 04:15 PM
-Tuesday’s Injury Report
-Eagles Injury Report
-Did Not Participate
-DT Ann O'Neil (Shoulder)
-G/T Bob Poe III (Calf/Rest)
-Questionable
-TE Cal Roe
-Commanders Injury Report
-WR Dee Fox (Knee/Limited Participation)
-TE Cal Roe
-Wednesday Injury Report
-Full Participation
-QB Eve Gee (illness)
-Note: players listed above took part in a walk-through on the day.
-49ers Game Status Report
-Out
-CB Flo Hay (Ankle)"""
+    """A raw response for each customer: an object, a fenced list, prose, a truncated one, no record, a mere string."""
+    k, name = F.col("c_custkey"), F.to_json(F.struct(F.col("c_name").alias("player_name")))
+    open_name = F.expr("substr(to_json(named_struct('player_name', c_name)), 1, length(to_json(named_struct('player_name', c_name))) - 1)")
+    response = (
+        F.when(k % 6 == 0, F.concat(F.lit('{"records": ['), open_name, F.lit(', "team": "'), F.col("c_mktsegment"), F.lit('", "injury": "null", "position": 5}, {"player_name": " "}, 7]}')))
+        .when(k % 6 == 1, F.concat(F.lit("```json\n["), open_name, F.lit(', "practice_status": "FULL", "evidence": " N/A "}]\n```')))
+        .when(k % 6 == 2, F.col("c_name")).when(k % 6 == 3, F.concat(F.lit('{"records": ['), name)).when(k % 6 == 4, F.lit('{"records": []}')).otherwise(F.concat(F.lit('"'), F.col("c_name"), F.lit('"')))
+    )
+    responses = read(spark, sf_dir, "customer").select(k.alias("id"), response.alias("response"))
+    return records.parse_responses(responses, ["id"]).select("id", "player_name", "team", "injury", "position", "practice_status")
 
 
-@query("""
-SELECT * FROM (VALUES ('Eagles', 'Tuesday', 'DT', 'Ann O''Neil', 'Shoulder', 'DNP', NULL), ('Eagles', 'Tuesday', 'G/T', 'Bob Poe III', 'Calf/Rest', 'DNP', NULL), ('Eagles', 'Tuesday', 'TE', 'Cal Roe', NULL, NULL, 'QUESTIONABLE'),
-('Commanders', 'Tuesday', 'WR', 'Dee Fox', 'Knee', 'LIMITED', NULL), ('Commanders', 'Wednesday', 'QB', 'Eve Gee', 'illness', 'FULL', NULL), ('49ers', 'Wednesday', 'CB', 'Flo Hay', 'Ankle', NULL, 'OUT'))
-t(team, day, position, player, injury, participation, game_status)""")
+@query(f"""
+WITH c AS (SELECT *, {[c[1] for c in CLUBS]}[c_nationkey + 1] AS team, replace(c_name, '#', ' ') AS player FROM customer)
+SELECT team, 'Tuesday' AS day, 'DT' AS position, player, lower(c_mktsegment) AS injury, CASE WHEN c_custkey % 4 = 0 THEN 'LIMITED' ELSE 'DNP' END AS participation, CAST(NULL AS VARCHAR) AS game_status FROM c WHERE c_custkey % 2 = 0
+UNION ALL SELECT team, 'Wednesday', 'G/T', player, NULL, NULL, 'QUESTIONABLE' FROM c WHERE c_custkey % 2 = 1""")
 def report_rows_golden(spark, sf_dir):
-    return report.report_rows(_values(spark, [(1, ARTICLE)], "document_id int, text string")).drop("document_id", "line_no")
+    """Reports written from customers, about fifty of a nation in each, and read back: days, groups and teams carried forward."""
+    k, player = F.col("c_custkey"), F.replace("c_name", F.lit("#"), F.lit(" "))
+    team = F.element_at(F.array(*(F.lit(c[1]) for c in CLUBS)), (F.col("c_nationkey") + 1).cast("int"))
+    detail = F.concat(F.lower("c_mktsegment"), F.when(k % 4 == 0, "/Limited Participation").otherwise(""))
+    line = F.when(k % 2 == 0, F.concat(F.lit("DT "), player, F.lit(" ("), detail, F.lit(")"))).otherwise(F.concat(F.lit("G/T "), player))
+    lines = read(spark, sf_dir, "customer").select((F.col("c_nationkey").cast("long") * 1_000_000_000 + F.floor(k / 1250)).alias("document_id"), team.alias("team"), F.struct((k % 2).alias("odd"), k.alias("k"), line.alias("line")).alias("r"))
+    each = lines.groupBy("document_id", "team").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    of = lambda odd: F.array_join(F.transform(F.filter("r", lambda x: x["odd"] == odd), lambda x: x["line"]), "\n")
+    head = F.concat(F.lit("Report of the week\nDec 18, 2025 at 04:15 PM\nTuesday’s Injury Report\n"), "team", F.lit(" Injury Report\nDid Not Participate\n"))
+    text = F.concat(head, of(0), F.lit("\nWednesday Injury Report\n"), "team", F.lit(" Practice Report\nQuestionable\n"), of(1), F.lit("\nNote: players listed above took part in a walk-through on the day."))
+    return report.report_rows(each.select("document_id", text.alias("text"))).drop("document_id", "line_no")
 
 
 # -- operations ------------------------------------------------------------------------------------
@@ -615,9 +603,18 @@ def discovery_counts(spark, sf_dir):
     return ops.discovery_counts(d.select(*key).distinct(), seen)
 
 
-@query("SELECT kind, count(*) AS n FROM (SELECT unnest(['injury_index', 'transactions']) AS kind, i FROM range(32) r(i)) WHERE NOT (i = 0) GROUP BY 1")
+@query("""
+WITH s AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'injury_report' ELSE 'injury_index' END AS kind, s_suppkey % 3 <> 0 OR s_suppkey % 2 <> 0 AS enabled FROM supplier
+  UNION ALL SELECT kind, true FROM (SELECT unnest(['injury_index', 'transactions']) AS kind, i FROM range(32) r(i)) WHERE NOT (i = 0))
+SELECT kind, enabled, count(*) AS n, count(*) FILTER (NOT enabled) AS with_reason FROM s GROUP BY 1, 2""")
 def seed_sources(spark, sf_dir):
-    return S.seeds(spark).groupBy("kind").agg(F.count("*").alias("n"))
+    """The static list brought into a table of sources, of which the legacy widget pages are disabled."""
+    k = F.col("s_suppkey")
+    sources = read(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("name"), F.when(k % 3 == 0, "injury_report").otherwise("injury_index").alias("kind"), F.lit(True).alias("enabled"), F.lit(None).cast("string").alias("last_error"),
+        F.when(k % 2 == 0, F.concat(F.lit("https://www.example.com/team/injury-report/"), k.cast("string"))).alias("url"),
+    )
+    return S.upserted(sources, S.seeds(spark)).groupBy("kind", "enabled").agg(F.count("*").alias("n"), F.count_if(~F.col("enabled") & F.col("last_error").isNotNull()).alias("with_reason"))
 
 
 @query(r"""
@@ -631,10 +628,10 @@ def link_discovery(spark, sf_dir):
 
 
 @query("""
-SELECT page_id, CASE page_id % 5 WHEN 0 THEN -1 ELSE epoch_us(TIMESTAMP '2024-01-01 06:30:00' + INTERVAL 1 DAY * (page_id % 28) - CASE page_id % 5 WHEN 2 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END) END AS us FROM pages""")
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN -1 ELSE epoch_us(date_trunc('second', ts) - CASE page_id % 5 WHEN 2 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END) END AS us FROM pages JOIN events ON event_id = page_id""")
 def page_published(spark, sf_dir):
-    day = F.lpad(((F.col("page_id") % 28) + 1).cast("string"), 2, "0")
-    at = lambda before, zone, after: F.concat(F.lit(before + "2024-01-"), day, F.lit("T06:30:00" + zone + after))
+    """The pages with times of events in their heads, in the ways that pages say so."""
+    at = lambda before, zone, after: F.concat(F.lit(before), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(zone + after))
     head = [
         F.lit('<meta property="og:published_time" content="soon">'),
         at('<meta property="article:published_time" content="', "Z", '"><time datetime="2020-01-01T00:00:00Z">'),
@@ -642,7 +639,8 @@ def page_published(spark, sf_dir):
         at('<time datetime="', "", '">'),
         at('<meta name="pubdate" content="never"><script type="application/ld+json">{"dateCreated": "', "Z", '"}</script>'),
     ]
-    pages = read(spark, sf_dir, "pages").withColumn("html", F.concat(F.element_at(F.array(*head), ((F.col("page_id") % 5) + 1).cast("int")), "html"))
+    times = read(spark, sf_dir, "events").select(F.col("event_id").alias("page_id"), F.col("ts").cast("timestamp").alias("at"))
+    pages = read(spark, sf_dir, "pages").join(times, "page_id").withColumn("html", F.concat(F.element_at(F.array(*head), ((F.col("page_id") % 5) + 1).cast("int")), "html"))
     return pages.select("page_id", F.coalesce(F.unix_micros(P.published_time(F.col("html"))), F.lit(-1)).alias("us"))
 
 
@@ -696,17 +694,21 @@ def mode_comparison(spark, sf_dir):
     return metrics.withColumn("mrr", F.round("mrr", 9))
 
 
-@query("SELECT doc_id AS chunk_id, CASE WHEN doc_id % 7 = 0 THEN 'failed' WHEN doc_id % 7 = 1 THEN 'not JSON' ELSE 'done' END AS state, CAST(CASE WHEN doc_id % 7 = 2 THEN 1 ELSE 0 END AS BIGINT) AS records FROM documents")
+@query(r"""
+WITH w AS (SELECT doc_id, regexp_extract(text, '^([A-Z][a-z]+) ', 1) AS name FROM documents)
+SELECT doc_id AS chunk_id, CASE WHEN name = '' THEN 'failed' WHEN length(name) % 5 = 0 THEN 'not JSON' ELSE 'done' END AS state, CAST(CASE WHEN name <> '' AND length(name) % 5 <> 0 AND length(name) > 3 THEN 1 ELSE 0 END AS BIGINT) AS records FROM w""")
 def extraction_states(spark, sf_dir):
-    """An extractor that fails for some chunks and says nonsense for others costs these chunks only."""
-    number = F.col("doc_id") % 7
-    c = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("Roe "), number.cast("string")).alias("text"))
+    """An extractor by rules over whole texts: one that finds no name fails, and one that answers in prose costs its chunk only."""
+    c = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
 
     def extract(prompt):
-        k = int(prompt.strip()[-1])
-        if k == 0:
-            raise RuntimeError("no answer")
-        return "nonsense" if k == 1 else '{"records": [{"player_name": "Roe", "injury": "knee"}]}' if k == 2 else '{"records": []}'
+        found = re.match(r"\n([A-Z][a-z]+) ", prompt)
+        if not found:
+            raise ValueError("no name")
+        name = found[1]
+        if len(name) % 5 == 0:
+            return f"I found {name}."
+        return json.dumps({"records": [{"player_name": name, "injury": "knee"}] if len(name) > 3 else []})
 
     valid, done, failed = records.extraction_pass(records.extracted(c, extract), c, ("SEA",))
     n = valid.groupBy("chunk_id").agg(F.count("*").alias("records"))
