@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PIECE, pieces, table
+from .common import PIECE, pieces, slices, table
 from .terms import distinct, gather
 
 #: Different words, and bytes of them, that a task remembers; it starts anew beyond.
-KNOWN_WORDS, KNOWN_BYTES = 1 << 18, 8 << 20
+KNOWN_WORDS, KNOWN_BYTES = 1 << 17, 2 << 20
 #: Bytes of texts whose words are looked up together, and bytes of new words that are merged together at most.
-RUN_BYTES, NEW_BYTES = 32 << 20, 4 << 20
+RUN_BYTES, NEW_BYTES = 4 << 20, 2 << 20
+#: Rows that a task encodes or decodes before it passes them on.
+ROWS = 1_024
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 #: What follows an apostrophe in a pre-token of its own (fixed values of the vocabulary's pattern).
@@ -91,9 +93,9 @@ class Vocabulary:
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where there is none."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank_of[at], -1)
+        return np.where(self.keys[at] == key, self.rank_of[at], -1).astype(np.int32)
 
 
 def split(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -148,9 +150,9 @@ def merged(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tup
     second is taken from the left.
     """
     n = len(data)
-    symbol = np.append(vocabulary.byte_ids[data], -1)  # what stands after a word's last symbol
-    after = np.arange(1, n + 1)
-    ahead = np.arange(-1, n - 1)
+    symbol = np.append(vocabulary.byte_ids[data], -1).astype(np.int32)  # what stands after a word's last symbol
+    after = np.arange(1, n + 1, dtype=np.int32)
+    ahead = np.arange(-1, n - 1, dtype=np.int32)
     after[offsets[1:][offsets[1:] > 0] - 1] = n
     ahead[offsets[:-1][offsets[:-1] < n]] = -1
     places: dict[int, list[np.ndarray]] = {}
@@ -173,7 +175,8 @@ def merged(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tup
                 places[r] = [at[lo:hi]]
                 heapq.heappush(active, r)
 
-    listed(np.flatnonzero(after < n))
+    for lo in range(0, n, PIECE):
+        listed(lo + np.flatnonzero(after[lo : lo + PIECE] < n).astype(np.int32))
     lefts, rights = vocabulary.left, vocabulary.right
     while active:
         r = heapq.heappop(active)
@@ -344,35 +347,56 @@ def vocabulary(path: str) -> Vocabulary:
     return _TABLES[key]
 
 
-def encode(df: DataFrame, tokenizer: str, column: str = "text", out: str = "ids") -> DataFrame:
-    """All columns and ``out``, the text's token ids as little-endian 32-bit integers (``unpacked`` makes an array of them).
+def _packed(v: Vocabulary, known: _Known, column: pa.Array) -> pa.Array:
+    """The ids of a column of texts, packed."""
+    found: list[bytes] = [b""] * len(column)
+    parts: dict[int, list[bytes]] = {}
+    for first, last, ids, starts in encode_texts(v, column, known):
+        raw = ids.astype("<i4").tobytes()
+        for k in range(last - first):
+            piece = raw[4 * starts[k] : 4 * starts[k + 1]]
+            if last - first == 1:
+                parts.setdefault(first, []).append(piece)
+            else:
+                found[first + k] = piece
+    for k, pieces_ in parts.items():
+        found[k] = b"".join(pieces_)
+    return pa.array(found, pa.binary())
+
+
+def _read(v: Vocabulary, column: pa.Array) -> pa.Array:
+    """The texts of a column of packed ids."""
+    starts, found = np.concatenate([[0], v.ends[:-1]]), []
+    for packed in column:
+        raw, parts = np.frombuffer(packed.as_py() or b"", "<i4"), []
+        for a in range(0, len(raw), PIECE):
+            ids = raw[a : a + PIECE]
+            parts.append(v.bytes[gather(starts[ids], v.ends[ids])[0]].tobytes())
+        found.append(b"".join(parts).decode("utf-8", "replace"))
+    return pa.array(found, pa.string())
+
+
+def encode(df: DataFrame, tokenizer: str, column: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """All columns and ``out``, the text's token ids as little-endian 32-bit integers (``unpacked`` makes an array of them);
+    ``decoded`` names a column for the text that these ids decode to, made in the same pass.
 
     A null or empty text has no ids. White space alone, unknown characters, one word of any length and special strings of the vocabulary
-    encode as the tokenizer's own library does without adding special tokens. Repeated rows are encoded each; a column named ``out`` is
-    replaced; an empty table stays empty. A long text is taken in stretches that end where words do.
+    encode as the tokenizer's own library does without adding special tokens. Repeated rows are encoded each; columns named as the new ones
+    are replaced; an empty table stays empty. A long text is taken in stretches that end where words do.
     """
-    df = df.drop(out)
+    new = [T.StructField(out, T.BinaryType()), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    df = df.drop(*(f.name for f in new))
     place = df.columns.index(column)
     sent = df.sparkSession.sparkContext.broadcast(vocabulary(tokenizer))
 
     def run(batches):
         known = _Known(sent.value)
-        for batch in batches:
-            found: list[bytes] = [b""] * batch.num_rows
-            parts: dict[int, list[bytes]] = {}
-            for first, last, ids, starts in encode_texts(sent.value, batch.column(place), known):
-                raw = ids.astype("<i4").tobytes()
-                for k in range(last - first):
-                    piece = raw[4 * starts[k] : 4 * starts[k + 1]]
-                    if last - first == 1:
-                        parts.setdefault(first, []).append(piece)
-                    else:
-                        found[first + k] = piece
-            for k, pieces_ in parts.items():
-                found[k] = b"".join(pieces_)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, out])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
+        for batch in (part for batch in batches for part in slices(batch, ROWS)):
+            ids = _packed(sent.value, known, batch.column(place))
+            more = [ids, *([_read(sent.value, ids)] if decoded else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *(f.name for f in new)])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *new]))
 
 
 def unpacked(ids) -> F.Column:
@@ -392,18 +416,8 @@ def decode(df: DataFrame, tokenizer: str, column: str = "ids", out: str = "decod
     sent = df.sparkSession.sparkContext.broadcast(vocabulary(tokenizer))
 
     def run(batches):
-        v = sent.value
-        ends, starts = v.ends, np.concatenate([[0], v.ends[:-1]])
-        for batch in batches:
-            found = []
-            for first in range(0, batch.num_rows, 64):
-                for packed in batch.column(place).slice(first, 64).to_pylist():
-                    raw, parts = np.frombuffer(packed or b"", "<i4"), []
-                    for a in range(0, len(raw), PIECE):
-                        ids = raw[a : a + PIECE]
-                        parts.append(v.bytes[gather(starts[ids], ends[ids])[0]].tobytes())
-                    found.append(b"".join(parts).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, out])
+        for batch in (part for batch in batches for part in slices(batch, ROWS)):
+            yield pa.RecordBatch.from_arrays([*batch.columns, _read(sent.value, batch.column(place))], names=[*batch.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
@@ -414,6 +428,5 @@ def op12_bpe_round_trip(spark: SparkSession, sf_dir: str, tokenizer: str | None
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer).select("doc_id", "ids")
-    both = decode(ids, tokenizer)
+    both = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, decoded="decoded")
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
