@@ -27,15 +27,35 @@ def latest(documents: DataFrame, key: str = "source_id", tie: str = "id", when=N
     return newest.select("r.*")
 
 
-def changes(observations: DataFrame, key: str = "source_id", fingerprint: str = "text_hash", tie: str = "id") -> DataFrame:
+#: Ranges of time that one key's observations are compared in; the driver holds their bounds.
+RANGES = 64
+
+
+def _range(observations: DataFrame, ranges: int) -> Column:
+    """The number of each row's range of knowledge_time, by quantiles of all rows, so that ranges have about as many rows each."""
+    at = F.col("knowledge_time")
+    plain = at.cast("timestamp") if observations.schema["knowledge_time"].dataType.typeName().startswith("timestamp") else at
+    number = F.unix_micros(plain) if plain is not at else at.cast("long")
+    cuts = F.percentile_approx(number, [k / ranges for k in range(1, ranges)], 10_000)
+    bounds = sorted(set(observations.agg(cuts.alias("c")).first().c or []))
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < number)) if bounds else F.lit(0)
+
+
+def changes(observations: DataFrame, key: str = "source_id", fingerprint: str = "text_hash", tie: str = "id", ranges: int = RANGES) -> DataFrame:
     """The observations that an append-if-changed store keeps: the fingerprint differs from the one before.
 
     A run of equal fingerprints keeps its first row; a return to an old text is a change. A null fingerprint counts
-    as changed.
+    as changed. A key's rows are compared within ranges of time, and the last fingerprint of each range is carried to the next one: a hot
+    key is ``ranges`` tasks, of which one row each meets the others. The ranges' bounds take a pass over the times when this is called.
     """
-    order = Window.partitionBy(key).orderBy("knowledge_time", tie)
-    before = F.lag(fingerprint).over(order)
-    return observations.withColumn("__before", before).where(F.col("__before").isNull() | F.col(fingerprint).isNull() | (F.col("__before") != F.col(fingerprint))).drop("__before")
+    b, said = "__range", F.struct(F.col(fingerprint).alias("f"))
+    rows = observations.withColumn(b, F.when(F.col("knowledge_time").isNull(), -1).otherwise(_range(observations, ranges)))
+    ends = rows.groupBy(key, b).agg(F.max_by(said, F.struct("knowledge_time", tie)).alias("last"))
+    seams = ends.select(F.col(key).alias("__key"), F.col(b).alias("__seam"), F.lag("last").over(Window.partitionBy(key).orderBy(b)).alias("__carried"))
+    own = rows.withColumn("__own", F.lag(said).over(Window.partitionBy(key, b).orderBy("knowledge_time", tie)))
+    both = own.join(seams, F.col(key).eqNullSafe(F.col("__key")) & (F.col(b) == F.col("__seam")))
+    before = F.coalesce("__own", "__carried")["f"]
+    return both.where(before.isNull() | F.col(fingerprint).isNull() | (before != F.col(fingerprint))).select(*observations.columns)
 
 
 def append_changed(store: DataFrame, batch: DataFrame, key: str = "source_id", fingerprint: str = "text_hash", tie: str = "id") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import looks_like_header, row_sentence, strip
+from ..sources.store import Store
 from ..vocabulary import OVERLAP_CHARS, TABULAR_KINDS, WINDOW_CHARS
 
 
@@ -87,3 +88,22 @@ def rechunk(chunks: DataFrame, records: DataFrame, documents: DataFrame, doc_typ
     ids = chosen.select("document_id")
     kept = chunks.join(ids, "document_id", "left_anti")
     return kept.unionByName(chunk_documents(chosen), allowMissingColumns=True), records.join(ids, "document_id", "left_anti")
+
+
+def replace_chunks(store: Store, documents: DataFrame, doc_type: str | None = None) -> int:
+    """Makes the chunks of the selected documents anew in a store: the buckets of its tables ``chunks`` and ``records`` that these
+    documents stand in are written without their old chunks and the records that hung on them, with the new chunks, and both tables
+    change in one commit. A reader sees the old chunks with their records or the new ones, never a mixture."""
+    chosen = documents if doc_type is None else documents.where(F.col("doc_type") == doc_type)
+    touched = store.touched(chosen, ["document_id"])
+    number = store.number()
+    if not touched:
+        return number
+    old, records = store.read("chunks", touched, number), store.read("records", touched, number)
+    new = chunk_documents(chosen)
+    if old is not None:
+        new = old.join(chosen.select("document_id"), "document_id", "left_anti").unionByName(new, allowMissingColumns=True).select(*old.columns)
+    changes = {"chunks": ("replace", new, ["document_id"], touched)}
+    if records is not None:
+        changes["records"] = ("replace", records.join(chosen.select("document_id"), "document_id", "left_anti").select(*records.columns), ["document_id"], touched)
+    return store.commit(changes)

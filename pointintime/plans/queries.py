@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import retrieval as R
 from ..functions import text as X
 from ..functions.stem import stem_sql, stemmed
-from ..operators import bitemporal, chunks, evaluate, ops, records, report, search
+from ..operators import bitemporal, chunks, evaluate, ops, records, report, search, vector_index
 from ..sources import pages as P
 from ..sources import seeds as S
 from ..vocabulary import CLUBS, REPORT_DAYS, STOP_WORDS
@@ -393,6 +394,17 @@ def dense_topk(spark, sf_dir):
     return search.dense(e, e.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("question_id"), F.col("embedding").alias("vector")), 10).withColumn("distance", F.round("distance", 6))
 
 
+@query(f"WITH {_DENSE.format(where='vec_id % 20 = 0').replace('CROSS JOIN qv', 'CROSS JOIN qv WHERE label % 2 = 0')} SELECT question_id, chunk_id, round(distance, 6) AS distance, rank FROM dense WHERE rank <= 10")
+def vector_index_topk(spark, sf_dir):
+    """The index of all vectors, under a cut-off that hides the odd labels; all cells are probed, so that SQL gives the same rows."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", (F.col("label") % 2).alias("knowledge_time"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    path = f"{named.rstrip('/')}/vector_index/{uuid.uuid4().hex}"
+    vector_index.build(e, path, 16)
+    q = e.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("question_id"), F.col("embedding").alias("vector"))
+    return vector_index.search(spark, path, q, 10, probes=16, when=0).withColumn("distance", F.round("distance", 6))
+
+
 _FUSED = """
 parts AS (SELECT question_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS share, rank AS lexical_rank, NULL::BIGINT AS dense_rank FROM lexical UNION ALL SELECT question_id, chunk_id, 1.0::DOUBLE / (60 + rank), NULL, rank FROM dense),
 fused AS (SELECT question_id, chunk_id, round(sum(share), 9) AS score, min(dense_rank) AS dense_rank, min(lexical_rank) AS lexical_rank FROM parts GROUP BY 1, 2),
