@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import looks_like_header, row_sentence, strip
 from ..sources.store import Store
-from ..vocabulary import OVERLAP_CHARS, TABULAR_KINDS, WINDOW_CHARS
+from ..vocabulary import CHUNK_DOCUMENTS_PER_RUN, OVERLAP_CHARS, TABULAR_KINDS, WINDOW_CHARS
 
 
 def table_chunks(documents: DataFrame) -> DataFrame:
@@ -90,6 +90,11 @@ def rechunk(chunks: DataFrame, records: DataFrame, documents: DataFrame, doc_typ
     return kept.unionByName(chunk_documents(chosen), allowMissingColumns=True), records.join(ids, "document_id", "left_anti")
 
 
+def chunk_batch(documents: DataFrame, chunks: DataFrame, limit: int = CHUNK_DOCUMENTS_PER_RUN) -> DataFrame:
+    """The next documents to cut: those without a chunk, by id, so many in a run."""
+    return documents.join(chunks.select("document_id"), "document_id", "left_anti").orderBy("document_id").limit(limit)
+
+
 def replace_chunks(store: Store, documents: DataFrame, doc_type: str | None = None) -> int:
     """Makes the chunks of the selected documents anew in a store: the buckets of its tables ``chunks`` and ``records`` that these
     documents stand in are written without their old chunks and the records that hung on them, with the new chunks, and both tables

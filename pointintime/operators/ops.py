@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.retrieval import extraction_cost
-from ..vocabulary import RATE_LIMIT, RATE_WINDOW_SECONDS
+from ..vocabulary import ARTICLES_PER_PASS, RATE_LIMIT, RATE_WINDOW_SECONDS
 
 
 def corpus_status(chunks: DataFrame, version: str) -> DataFrame:
@@ -77,7 +77,7 @@ def cost(chunks: DataFrame) -> DataFrame:
     return chunks.agg(extraction_cost(F.count("*")).alias("usd"))
 
 
-def per_pass(links: DataFrame, key: str, order: list, limit: int) -> DataFrame:
+def per_pass(links: DataFrame, key: str, order: list, limit: int = ARTICLES_PER_PASS) -> DataFrame:
     """The first ``limit`` rows of each key."""
     return links.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__n") <= limit).drop("__n")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import in_vocabulary, is_grounded, null_spelling, strip
-from ..vocabulary import EXTRACTOR_VERSION, GAME_STATUSES, MAX_INJURY, MAX_PLAYER_NAME, PRACTICE_STATUSES, REPORT_DAYS
+from ..vocabulary import EXTRACT_CHUNKS_PER_RUN, EXTRACTOR_VERSION, GAME_STATUSES, MAX_INJURY, MAX_PLAYER_NAME, PRACTICE_STATUSES, REPORT_DAYS
 
 FIELDS = ("team", "position", "injury", "practice_status", "game_status", "report_day", "evidence")
 
@@ -158,7 +158,7 @@ def extraction_pass(responses: DataFrame, chunks: DataFrame, teams: tuple[str, .
     return validate(drafts, teams), done, failed
 
 
-def extraction_batch(chunks: DataFrame, documents: DataFrame, version: str = EXTRACTOR_VERSION, limit: int = 50) -> DataFrame:
+def extraction_batch(chunks: DataFrame, documents: DataFrame, version: str = EXTRACTOR_VERSION, limit: int = EXTRACT_CHUNKS_PER_RUN) -> DataFrame:
     """The next chunks to extract: injury reports first, then by id."""
     todo = chunks.where(~F.col("extracted_version").eqNullSafe(F.lit(version))).join(documents.select("document_id", "doc_type"), "document_id")
     return todo.orderBy(F.when(F.col("doc_type") == "injury_report", 0).otherwise(1), "chunk_id").limit(limit)

@@ -17,6 +17,7 @@ from ..functions import retrieval as R
 from ..functions import text as X
 from ..functions.stem import stem_sql, stemmed
 from ..operators import bitemporal, chunks, evaluate, ops, records, report, search, vector_index
+from ..sources import files
 from ..sources import pages as P
 from ..sources import seeds as S
 from ..vocabulary import CLUBS, REPORT_DAYS, STOP_WORDS
@@ -560,16 +561,74 @@ SELECT team, 'Tuesday' AS day, 'DT' AS position, player, lower(c_mktsegment) AS
 UNION ALL SELECT team, 'Wednesday', 'G/T', player, NULL, NULL, 'QUESTIONABLE' FROM c WHERE c_custkey % 2 = 1""")
 def report_rows_golden(spark, sf_dir):
     """Reports written from customers, about fifty of a nation in each, and read back: days, groups and teams carried forward."""
+    return report.report_rows(_reports(spark, sf_dir)).drop("document_id", "line_no")
+
+
+def _reports(spark, sf_dir, nameless: int = 0) -> DataFrame:
+    """document_id and text; nations whose number this divides have headings without a club."""
     k, player = F.col("c_custkey"), F.replace("c_name", F.lit("#"), F.lit(" "))
-    team = F.element_at(F.array(*(F.lit(c[1]) for c in CLUBS)), (F.col("c_nationkey") + 1).cast("int"))
+    team = F.element_at(F.array(*(F.lit(f"{c[1]} ") for c in CLUBS)), (F.col("c_nationkey") + 1).cast("int"))
+    team = F.when(F.col("c_nationkey") % nameless == 0, "").otherwise(team) if nameless else team
     detail = F.concat(F.lower("c_mktsegment"), F.when(k % 4 == 0, "/Limited Participation").otherwise(""))
     line = F.when(k % 2 == 0, F.concat(F.lit("DT "), player, F.lit(" ("), detail, F.lit(")"))).otherwise(F.concat(F.lit("G/T "), player))
     lines = read(spark, sf_dir, "customer").select((F.col("c_nationkey").cast("long") * 1_000_000_000 + F.floor(k / 1250)).alias("document_id"), team.alias("team"), F.struct((k % 2).alias("odd"), k.alias("k"), line.alias("line")).alias("r"))
     each = lines.groupBy("document_id", "team").agg(F.array_sort(F.collect_list("r")).alias("r"))
     of = lambda odd: F.array_join(F.transform(F.filter("r", lambda x: x["odd"] == odd), lambda x: x["line"]), "\n")
-    head = F.concat(F.lit("Report of the week\nDec 18, 2025 at 04:15 PM\nTuesday’s Injury Report\n"), "team", F.lit(" Injury Report\nDid Not Participate\n"))
-    text = F.concat(head, of(0), F.lit("\nWednesday Injury Report\n"), "team", F.lit(" Practice Report\nQuestionable\n"), of(1), F.lit("\nNote: players listed above took part in a walk-through on the day."))
-    return report.report_rows(each.select("document_id", text.alias("text"))).drop("document_id", "line_no")
+    head = F.concat(F.lit("Report of the week\nDec 18, 2025 at 04:15 PM\nTuesday’s Injury Report\n"), "team", F.lit("Injury Report\nDid Not Participate\n"))
+    text = F.concat(head, of(0), F.lit("\nWednesday Injury Report\n"), "team", F.lit("Practice Report\nQuestionable\n"), of(1), F.lit("\nNote: players listed above took part in a walk-through on the day."))
+    return each.select("document_id", text.alias("text"))
+
+
+_REPORTS = "r AS (SELECT c_nationkey::BIGINT * 1000000000 + c_custkey // 1250 AS document_id, c_nationkey, count(*) AS n, count(*) FILTER (c_custkey % 2 = 0) AS even FROM customer GROUP BY ALL)"
+
+
+@query(f"""WITH {_REPORTS},
+c AS (SELECT unnest(['DAY', 'GROUP', 'TEAM', 'PLAYER', '']) AS class, unnest([2, 2, 2, even, 3 + n - even]) AS n FROM r)
+SELECT class, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1""")
+def line_classes(spark, sf_dir):
+    return report.report_lines(_reports(spark, sf_dir)).groupBy(X.diagnostic_class(F.col("line")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_REPORTS} SELECT document_id, n AS n_rows, CASE WHEN c_nationkey % 5 = 0 THEN n ELSE 0 END AS teamless, CASE WHEN c_nationkey % 5 = 0 THEN 0 ELSE 1 END AS teams FROM r")
+def heading_audit(spark, sf_dir):
+    return report.heading_audit(report.report_rows(_reports(spark, sf_dir, nameless=5)))
+
+
+@query("""
+WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'A PRACTICE report. ' || text WHEN 1 THEN text || repeat('x', 4000) || ' Injury Report' ELSE text END AS text FROM documents)
+SELECT doc_id, regexp_matches(substr(text, 1, 4000), '(?i)injury report|practice report') AS report, CASE WHEN contains(lower(left(text, 200)), 'inactives') THEN 'inactives' ELSE 'injury_report' END AS doc_type,
+  CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 'pdf' ELSE 'html' END AS kind FROM t""")
+def document_gates(spark, sf_dir):
+    k = F.col("doc_id")
+    d = read(spark, sf_dir, "documents").withColumn("text", F.when(k % 4 == 0, F.concat(F.lit("A PRACTICE report. "), "text")).when(k % 4 == 1, F.concat("text", F.repeat(F.lit("x"), F.lit(4000)), F.lit(" Injury Report"))).otherwise(F.col("text")))
+    header = F.when(k % 5 == 0, "Application/PDF; charset=x").when(k % 3 == 0, "text/html")
+    content = F.concat(F.when(k % 7 == 0, "%PDF-1.7 ").otherwise(" "), "text").cast("binary")
+    return d.select("doc_id", X.looks_like_injury_report(F.col("text")).alias("report"), X.document_type(F.substring("text", 1, 200)).alias("doc_type"), X.parser_kind(header, content).alias("kind"))
+
+
+@query("""
+SELECT page_id, sha256(html) AS digest, 'pages/' || strftime(ts, '%Y/%m/%d') || '/p' || page_id || '-' || substr(sha256(html), 1, 12) AS path FROM pages JOIN events ON event_id = page_id""")
+def raw_paths(spark, sf_dir):
+    times = read(spark, sf_dir, "events").select(F.col("event_id").alias("page_id"), F.col("ts").cast("timestamp").alias("at"))
+    p = read(spark, sf_dir, "pages").join(times, "page_id").withColumn("digest", X.content_hash(F.col("html")))
+    return p.select("page_id", "digest", X.raw_path(F.lit("pages"), F.col("at"), F.concat(F.lit("p"), F.col("page_id").cast("string")), F.col("digest")).alias("path"))
+
+
+@query("SELECT page_id, page_id % 4 = 0 AS missing, page_id % 4 <> 0 AND (page_id % 3 = 0 OR page_id % 5 = 0) AS changed, sha256(html) AS text_hash FROM pages WHERE page_id % 4 <> 0 UNION ALL SELECT page_id, true, false, CASE WHEN page_id % 3 = 0 THEN 'old' ELSE sha256(html) END FROM pages WHERE page_id % 4 = 0")
+def reparse_changes(spark, sf_dir):
+    """Pages parsed anew from raw bytes, of which a fourth is lost; a third had another text, a fifth no table."""
+    k, digest = F.col("page_id"), X.content_hash(F.col("html"))
+    p = read(spark, sf_dir, "pages").withColumn("raw_ref", F.concat(F.lit("r"), k.cast("string")))
+    table = F.array(F.struct(F.lit(0).alias("index"), F.array(F.array(F.lit("a"))).alias("rows")))
+    stored = p.select("page_id", "raw_ref", F.col("html").alias("text"), F.when(k % 3 == 0, "old").otherwise(digest).alias("text_hash"), F.when(k % 5 == 0, F.slice(table, 1, 0)).otherwise(table).alias("tables"))
+    parse = lambda raw: raw.select("raw_ref", F.col("html").alias("text"), table.alias("tables"), digest.alias("text_hash"))
+    return files.reparsed(stored, p.where(k % 4 != 0).select("raw_ref", "html"), parse).select("page_id", "missing", "changed", "text_hash")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 500")
+def chunk_batch(spark, sf_dir):
+    d, done = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id")), read(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id"))
+    return chunks.chunk_batch(d, done).select(F.col("document_id").alias("doc_id"))
 
 
 # -- operations ------------------------------------------------------------------------------------

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash
+from ..functions.text import content_hash, parser_kind
 
 
 def raw_files(spark: SparkSession, path: str) -> DataFrame:
@@ -15,7 +17,7 @@ def raw_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", "true").text(path).select(F.col("value").alias("text"), F.input_file_name().alias("path"))
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.input_file_name().alias("path"))
 
 
 def gold_set(spark: SparkSession, path: str) -> DataFrame:
@@ -49,3 +51,15 @@ def reparsed(documents: DataFrame, raw: DataFrame, parse) -> DataFrame:
     for name in ("text", "tables"):
         out = out.withColumn(name, F.when(~missing, F.col(f"__{name}")).otherwise(F.col(name)))
     return out.withColumn("text_hash", F.coalesce("__hash", "text_hash")).drop("__text", "__tables", "__hash")
+
+
+def parsed(raw: DataFrame, parsers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """``raw`` (content_type, content) through the parser of its kind, "html" or "pdf": each adds the columns text, tables and warning.
+    A kind without a parser keeps its rows, without a text and with a warning."""
+    kinds = raw.withColumn("kind", parser_kind(F.col("content_type"), F.col("content")))
+    out = None
+    for kind, parse in parsers.items():
+        one = parse(kinds.where(F.col("kind") == kind))
+        out = one if out is None else out.unionByName(one)
+    rest = kinds.where(~F.col("kind").isin(*parsers)).withColumn("warning", F.concat(F.lit("no parser for "), "kind"))
+    return rest if out is None else out.unionByName(rest, allowMissingColumns=True)
