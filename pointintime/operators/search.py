@@ -96,12 +96,22 @@ def ranked(index: DataFrame, questions: DataFrame, limit: int = CANDIDATES, norm
     return _top(hits, [F.desc("score"), F.asc("chunk_id")], limit)
 
 
+#: Asked terms that are sent to all tasks at most; more are joined by a shuffle.
+SENT_TERMS = 20_000
+
+
 def postings(chunks: DataFrame, questions: DataFrame | None = None) -> DataFrame:
     """term, chunk_id, tf: write it once, bucketed by term, and searches read only the terms they ask for. With ``questions``
-    only their terms are counted: the others go before anything is shuffled."""
-    terms = chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("term"))
-    if questions is not None:
-        terms = terms.join(asked_terms(questions).select("term").distinct(), "term", "left_semi")
+    only their terms are counted: up to ``SENT_TERMS`` of them (a job that runs when this is called) pick the words of a text before
+    it is taken apart, more are joined, and the others go before anything is counted."""
+    words = tokens(F.col("text"))
+    asked = None if questions is None else asked_terms(questions).select("term").distinct()
+    sent = [] if asked is None else [r.term for r in asked.limit(SENT_TERMS + 1).collect()]
+    if asked is not None and len(sent) <= SENT_TERMS:
+        words = F.filter(words, lambda w: w.isin(sent))
+    terms = chunks.select("chunk_id", F.explode(words).alias("term"))
+    if len(sent) > SENT_TERMS:
+        terms = terms.join(asked, "term", "left_semi")
     return terms.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
 
 

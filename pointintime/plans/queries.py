@@ -760,7 +760,8 @@ def mode_comparison(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     embed = lambda q: q.join(e.select(F.col("chunk_id").alias("question_id"), F.col("embedding").alias("vector")), "question_id").select("question_id", "vector")
     q, texts = _questions(spark, sf_dir), read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    ranked = {"lexical": search.lexical(_index(spark, sf_dir), q, 10), "dense": search.dense(e, embed(q), 10), "hybrid": search.hybrid(e, _index(spark, sf_dir), q, embed)}
+    lists = {"lexical": search.lexical(_index(spark, sf_dir), q), "dense": search.dense(e, embed(q))}
+    ranked = {mode: found.where("rank <= 10") for mode, found in lists.items()} | {"hybrid": search.fuse(lists)}
     metrics, _ = evaluate.by_mode({m: r.join(texts, "chunk_id") for m, r in ranked.items()}, q.select("question_id", F.array("question").alias("must_contain")))
     return metrics.withColumn("mrr", F.round("mrr", 9))
 
