@@ -84,3 +84,15 @@ by for with about against between into through during before after above below t
 why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now""".split())
 #: The default weight of a term's position, the sum of 1/n**2 over all n, and positions that count for one term and in one text.
 RANK_WEIGHT, RANK_LIMIT, RANK_POSITIONS, LAST_POSITION = 0.1, 1.64493406685, 255, 16_383
+
+# Patterns that results depend on, of positions and names in report lines, headings, display dates, report links.
+POSITION_PATTERN = r"[A-Z]{1,3}(?:/[A-Z]{1,3})?"
+NAME_PATTERN = r"[A-Z0-9][\p{L}\p{N}_'’.\-]*(?:\s+[A-Z0-9][\p{L}\p{N}_'’.\-]*){0,3}"
+DETAIL_PATTERN = r"\(([^)]*)\)"
+DAY_HEADING_TAIL = r"['’]?s?\s+(?:Injury|Practice)\s+Report"
+TEAM_HEADING_PATTERN = r"(?i)(?:Injury|Practice|Game\s+Status)\s+Report"
+REPORT_GATE_PATTERN, REPORT_GATE_CHARS = "(?i)injury report|practice report", 4000
+HEADING_CHARS, BARE_LINE_CHARS = 120, 48
+DISPLAY_DATE_PATTERN = r"\b([A-Z][a-z]{2})\s+(\d{1,2}),\s+(\d{4})(?:\s+at\s+(\d{1,2}):(\d{2})\s*([AP]M))?"
+LINK_TITLE_PATTERN = r"(?i)\b(?:injury\s+report|inactives|practice\s+report|game\s+status|roster\s+moves?)"
+SKIPPED_PATH_PATTERN = r"(?i)/(?:video|photos|audio|podcast|team)/"
