@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, appended, pieces, remainder, share, slices, table, texts, written
+from .common import SPACED, appended, mix, pieces, remainder, share, signed, slices, table, texts, word_hashes, written
 
 MAX_SAMPLE = 8_000
 THRESHOLD = 0.3
@@ -337,6 +337,27 @@ def marking(held: dict[str, tuple[int, list[int]]], often: dict[int, int], n_tox
     return kept, strong
 
 
+def _families(sample: DataFrame) -> DataFrame:
+    """One row of each group of copies with one label: those whose smallest hash of three words in a row is the same. Copies share rare
+    words, which would mark toxic documents if each of them counted."""
+
+    def hashed(batches):
+        for batch in (part for batch in batches for part in slices(batch)):
+            least = np.zeros(batch.num_rows, np.uint64)
+            for first, last, data, offsets in pieces(batch.column(0)):
+                h, doc = word_hashes(data, offsets)
+                same = np.flatnonzero(doc[2:] == doc[:-2]) if len(doc) > 2 else np.zeros(0, int)
+                own = np.full(last - first, 0xFFFFFFFFFFFFFFFF, np.uint64)
+                np.minimum.at(own, doc[same], mix(h[same] + np.uint64(3) * h[same + 1] + np.uint64(7) * h[same + 2]))
+                few = np.flatnonzero(np.bincount(doc, minlength=last - first) < 3)
+                alone = np.isin(doc, few)
+                np.minimum.at(own, doc[alone], h[alone])
+                least[first:last] = own
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(least))], names=["text", "toxic", "family"])
+
+    return sample.mapInArrow(hashed, "text string, toxic long, family long").groupBy("family", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic")
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, max_sample: int, seed: int) -> DataFrame:
     named = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = named.count()
@@ -346,7 +367,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, max_sample: int, seed: int) ->
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, seed: int = 0) -> SubsequenceSVM | None:
     """``labels``: doc_id, toxic (1 or 0); only rows with a label are learned from."""
-    sample = written(_labelled(docs, labels, max_sample, seed).select("text", (F.col("toxic") == 1).cast("long").alias("toxic"), F.monotonically_increasing_id().alias("row")))
+    known = written(_families(_labelled(docs, labels, max_sample, seed).select("text", (F.col("toxic") == 1).cast("long").alias("toxic"))))
+    sample = written(known.withColumn("row", F.monotonically_increasing_id()))
     n_toxic, n_clean = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     if not n_toxic:
         return None
@@ -378,7 +400,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAM
     if not positive:
         return None
     more = [s.encode() for s in strong if s not in kept and s.startswith(tuple(kept))]
-    clean = counts.where("t = 0 and c > 0").select("s")
+    clean = counts.where("c > 0 and 2 * t <= c").select("s")
     kinds = clean.count()
     drawn = sorted(r[0].encode() for r in clean.where(share(F.col("s"), f"n{seed}") < MAX_STRINGS / max(1, kinds)).collect())
     drawn = [drawn[k] for k in np.random.default_rng(seed).permutation(len(drawn))]
