@@ -194,14 +194,18 @@ class SubsequenceSVM:
         phi = against(x) @ root
         phi = np.concatenate([phi, np.ones((len(phi), 1))], 1)
         cost = np.where(y > 0, (y < 0).sum() / max(1, (y > 0).sum()), 1.0).clip(0.1, 20)
+        loss = lambda v: RIDGE * v @ v + (cost * np.maximum(0, 1 - y * (phi @ v)) ** 2).sum()
         w = np.zeros(phi.shape[1])
-        for _ in range(30):  # Newton steps for the squared hinge loss
+        for _ in range(60):  # Newton steps for the squared hinge loss, halved until the loss falls
             on = y * (phi @ w) < 1
             a = phi[on] * cost[on, None]
-            new = np.linalg.solve(a.T @ phi[on] + RIDGE * np.eye(len(w)), a.T @ y[on])
-            if np.allclose(new, w, atol=1e-7):
+            step, now = np.linalg.solve(a.T @ phi[on] + RIDGE * np.eye(len(w)), a.T @ y[on]) - w, loss(w)
+            size = 1.0
+            while size > 1e-4 and loss(w + size * step) > now:
+                size /= 2
+            if size <= 1e-4 or np.abs(size * step).max() < 1e-7:
                 break
-            w = new
+            w = w + size * step
         each = root @ w[:-1]
         self.weights = sum(table_of(x[b]) @ each[at * LANDMARKS : (at + 1) * LANDMARKS] for at, b in enumerate(blocks)).astype(np.float32)
         self.bias = float(w[-1])
