@@ -13,8 +13,9 @@ Suffixes are sorted one bucket at a time; long ties are settled by ranks of a di
    their first COVER bytes, then by the rank of the cover sample that follows within COVER bytes, last by their last bytes. The
    sample's positions lie in a difference cover modulo 31 counted from the bucket's gram, so equal windows meet the same
    sample; its ranks are computed once for a bucket, for suffixes that have a long tie. What has a common prefix of LENGTH bytes repeats.
-   A bucket with many different blocks is dealt by the windows' distance from the gram, and by the bytes that all windows
-   of such distances share: the more blocks, the fewer distances a part has. Of equal segments within a part one is sorted.
+   A bucket with many different blocks is dealt by the windows' distance from the gram, in ``PARTS`` ranges of distances however many
+   blocks there are, and by the bytes that all windows of such a range share. Of equal segments within a part one is sorted; where
+   a part has more than ``MOST`` different segments, their windows are counted by digest instead, so that no task holds it.
 4. Verdicts go back to all blocks of the class, become byte runs of each text, and the runs are cut.
 
 Null texts are empty; texts under LENGTH bytes lose nothing; copies of one text (repeated rows too) lose all
@@ -39,7 +40,7 @@ LENGTH, GRAM = 200, 32
 COVER = 31
 #: A perfect difference set: every residue modulo 31 is a difference of two of its members.
 _COVER_SET = (0, 1, 3, 8, 12, 18)
-MANY, PARTS = 256, 8
+MANY, PARTS, MOST = 256, 8, 4_096
 #: Bytes of blocks after which a task sorts the buckets that it holds.
 HELD = 1 << 18
 _STEP = np.array([next(d for d in range(COVER) if (r + d) % COVER in _COVER_SET) for r in range(COVER)])
@@ -214,7 +215,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
                         continue
                     # windows of some distances from the gram go to one part, with those that have the same bytes where
                     # all windows of these distances overlap
-                    step = max(1, (LENGTH - GRAM + 1) // (PARTS * -(-b["kinds"] // max(1, MANY))))
+                    step = (LENGTH - GRAM + 1) // PARTS
                     body = np.frombuffer(block, np.uint8)
                     away = _away(prefix(body), np.array([b["a"]]).view(np.uint64), np.array([0, len(body)]), np.arange(m))
                     part = away // step
@@ -232,24 +233,39 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     # of equal segments of a crowded bucket one is sorted; where there are two, all their windows repeat
     crowd = laid.where("seg is not null")
     keys = ("a", "part", "core")
-    one = written(crowd.groupBy(*keys, "seg").agg(F.sum("n").alias("n"), F.min("m").alias("m"), F.any_value("body").alias("body")))
-    sorted_ = laid.where("seg is null").select(*keys, F.col("bh").alias("id"), "n", "m", "body", F.lit(False).alias("crowded")).unionByName(one.select(*keys, F.col("seg").alias("id"), "n", "m", "body", F.lit(True).alias("crowded")))
+    # a segment that occurs once has one block, which its row names: verdicts need not be joined back to it
+    one = written(crowd.groupBy(*keys, "seg").agg(F.sum("n").alias("n"), F.min("m").alias("m"), F.any_value("body").alias("body"), F.min(F.struct("bh", "skip")).alias("block")))
+    large = written(one.groupBy(*keys).agg(F.count("*").alias("segments")).where(F.col("segments") > MOST).select(*keys))
+    segment = [*keys, F.col("block.bh").alias("bh"), F.col("block.skip").alias("skip"), "n", "m", "body"]
+    sorted_ = laid.where("seg is null").select(*keys, "bh", "skip", "n", "m", "body").unionByName(one.join(large, [*keys], "left_anti").select(*segment))
+
+    def window_digests(batches):
+        for batch in (part for batch in batches for part in slices(batch)):
+            a, bh, skip, n, m = (batch.column(k).to_numpy() for k in range(5))
+            owner = np.repeat(np.arange(batch.num_rows), m)
+            digest = [xxhash.xxh3_64_intdigest(body[x : x + LENGTH]) for body, windows in zip(batch.column(5).to_pylist(), m.tolist(), strict=True) for x in range(windows)]
+            x = skip[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[owner], signed(np.array(digest, np.uint64)), bh[owner], x, n[owner])], names=["a", "w", "bh", "x", "n"])
+
+    apart = written(one.join(large, [*keys], "left_semi").select("a", F.col("block.bh").alias("bh"), F.col("block.skip").alias("skip"), "n", "m", "body").mapInArrow(window_digests, "a long, w long, bh long, x long, n long"))
+    twice = apart.groupBy("a", "w").agg(F.count("*").alias("c")).where("c > 1").select("a", "w")
+    counted_ = apart.where("n = 1").join(twice, ["a", "w"], "left_semi").select("a", "bh", "x", (F.col("x") + 1).alias("y"))
 
     def settle(batches):
         """Bucket after bucket; a bucket is complete within its task."""
         held: list = []
 
         def done() -> pa.RecordBatch:
-            a, ids, n, m, body, crowded = (np.array(c) if k != 4 else c for k, c in enumerate(zip(*((r[0], *r[3:]) for r in held), strict=True)))
+            a, bh, skip, n, m, body = (np.array(c) if k != 5 else c for k, c in enumerate(zip(*((r[0], *r[3:]) for r in held), strict=True)))
             begins = np.concatenate([[0], np.cumsum([len(x) for x in body])])
             flags = repeated_windows(a.view(np.uint64), np.frombuffer(b"".join(body), np.uint8), begins, m)
             out, at = [], 0
             for i in range(len(m)):
                 if n[i] == 1:
-                    out += [(int(a[i]), int(ids[i]), x, y, bool(crowded[i])) for x, y in _runs(flags[at : at + m[i]])]
+                    out += [(int(a[i]), int(bh[i]), int(skip[i]) + x, int(skip[i]) + y) for x, y in _runs(flags[at : at + m[i]])]
                 at += m[i]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.bool_()], strict=True)], names=["a", "id", "x", "y", "crowded"])
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "bh", "x", "y"])
 
         size = 0
         for batch in (part for batch in batches for part in slices(batch)):
@@ -258,15 +274,14 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
                     yield done()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[6])
+                size += len(row[7])
         if held:
             yield done()
 
-    settled = written(sorted_.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(settle, "a long, id long, x long, y long, crowded boolean"))
-    same = one.where("n > 1").select("a", F.col("seg").alias("id"), F.lit(0).cast("long").alias("x"), F.col("m").alias("y")).unionByName(settled.where("crowded").drop("crowded"))
-    back = crowd.where("n = 1").select("a", F.col("seg").alias("id"), "bh", "skip").join(same, ["a", "id"]).select("a", "bh", (F.col("skip") + F.col("x")).alias("x"), (F.col("skip") + F.col("y")).alias("y"))
-    plain = settled.where("not crowded").select("a", F.col("id").alias("bh"), "x", "y")
-    settled = plain.unionByName(back)
+    settled = written(sorted_.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(settle, "a long, bh long, x long, y long"))
+    same = one.where("n > 1").select(*keys, "seg")
+    shared = crowd.where("n = 1").select(*keys, "seg", "bh", "skip", "m").join(same, [*keys, "seg"], "left_semi").select("a", "bh", F.col("skip").alias("x"), (F.col("skip") + F.col("m")).alias("y"))
+    settled = settled.unionByName(counted_).unionByName(shared)
     verdicts = written(classes.where("n > 1").select("a", "bh", F.lit(0).cast("long").alias("x"), F.col("m").alias("y")).unionByName(settled))
     runs = rows.join(verdicts, ["a", "bh"]).select("dk", (F.col("s") + F.col("x")).alias("x"), (F.col("s") + F.col("y") - 1 + LENGTH).alias("y"))
     return written(runs.groupBy("dk").agg(F.collect_list(F.struct("x", "y")).alias("runs"))).withColumnRenamed("dk", "text_hash")

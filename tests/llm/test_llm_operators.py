@@ -94,6 +94,33 @@ def test_repeated_passages(documents, texts, many, monkeypatch):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(t), gone.sum(), spans, hashlib.sha256(kept).hexdigest()), i
 
 
+@pytest.mark.parametrize("most", [0, 4_096])
+def test_crowded_bucket_grows_with_its_blocks(spark, most, monkeypatch):
+    """Texts around one passage, each with its own ends: one bucket of as many blocks as texts. What is laid out is so many parts of
+    each block, whether the bucket has few blocks or many, and the passage goes to the byte."""
+    monkeypatch.setattr(suffix_dedup, "MANY", 2)
+    monkeypatch.setattr(suffix_dedup, "MOST", most)
+    laid, kept = [], suffix_dedup.written
+
+    def counted(df):
+        out = kept(df)
+        if {"seg", "skip"} <= set(out.columns):
+            laid.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "written", counted)
+    letters = np.random.default_rng(5).integers(97, 123, 230).astype(np.uint8).tobytes().decode()
+    for size in (20, 60):
+        ends = [np.random.default_rng(100 + i).integers(97, 123, 80).astype(np.uint8).tobytes().decode() for i in range(size)]
+        texts = [(i, e[:40] + "." + letters + "." + e[40:]) for i, e in enumerate(ends)] + [(size, None)]
+        got = {r.doc_id: r for r in suffix_dedup.suffix_digest(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+        seen = Counter(t[p : p + 200] for _, t in texts for p in range(len(t or "") - 199))
+        for i, t in texts:
+            gone = {q for p in range(len(t or "") - 199) if seen[t[p : p + 200]] > 1 for q in range(p, p + 200)}
+            assert got[i].n_removed == len(gone) and got[i].kept_sha256 == hashlib.sha256("".join(c for p, c in enumerate(t or "") if p not in gone).encode()).hexdigest(), i
+    assert laid[1] <= 3.3 * laid[0] + 1
+
+
 def test_mixing_reaches_targets(documents):
     rows = mixing.mix_sources(documents).collect()
     by = {}
