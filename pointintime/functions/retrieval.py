@@ -42,15 +42,10 @@ def extraction_cost(n_chunks: Column) -> Column:
     return n_chunks * F.lit(COST_INPUT_TOKENS * COST_INPUT_USD + COST_OUTPUT_TOKENS * COST_OUTPUT_USD) / F.lit(1e6)
 
 
-def lexical_score(times: Column) -> Column:
-    """The weight of one query term that stands ``times`` times in a text: saturating."""
-    return times / (times + F.lit(1.0))
-
-
-def term_rank(places: Column) -> Column:
-    """The weight of one query term with so many places in a text: the sum of 1/k**2, in units of its limit."""
+def place_weights() -> list[float]:
+    """The weight of a term by its number of places, up to ``RANK_POSITIONS``: the sum of 1/k**2, in units of its limit."""
     sums, total = [0.0], 0.0
     for k in range(1, RANK_POSITIONS + 1):
         total += 1.0 / (k * k)
         sums.append(total * RANK_WEIGHT / RANK_LIMIT)
-    return F.element_at(F.array(*map(F.lit, sums)), F.least(places, F.lit(RANK_POSITIONS)) + 1)
+    return sums

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.retrieval import found_by, lexical_score, rrf, term_rank
+from ..functions.retrieval import found_by, place_weights, rrf
 from ..functions.stem import stemmed, stop_word
 from ..functions.text import query_terms, tokens
 from ..vocabulary import CANDIDATES, LAST_POSITION, RANK_POSITIONS, RRF_K, TOP_K
+from . import scored
 from .bitemporal import as_of as known_at
 
 #: Query vectors that are compared with the chunks in one pass.
@@ -80,19 +81,8 @@ def ranked(index: DataFrame, questions: DataFrame, limit: int = CANDIDATES, norm
     adds, times this factor, 1/distance of the nearest places of each two stems that follow one another in the alphabet. Questions whose
     words are all stop words have no hit; ties go to the smaller chunk_id.
     """
-    asked = asked_terms(questions, english=True).withColumnRenamed("term", "stem")
-    n = asked.groupBy("question_id").agg(F.count("*").alias("stems"))
-    hits = index.join(asked, "stem").groupBy("question_id", "chunk_id").agg(
-        F.sum(term_rank(F.size("positions"))).alias("weight"), F.first("length").alias("length"), *([F.array_sort(F.collect_list(F.struct("stem", "positions"))).alias("found")] if closeness else [])
-    )
-    score = F.col("weight") / F.col("stems")
-    if normalise:
-        score = score / {"log": 1 + F.log(F.col("length").cast("double")), "length": F.col("length").cast("double")}[normalise]
-    if closeness:
-        near = lambda a, b: F.array_min(F.transform(a, lambda x: F.array_min(F.transform(b, lambda y: F.abs(x - y)))))
-        pairs = F.zip_with(F.slice("found", 1, F.greatest(F.size("found") - 1, F.lit(0))), F.slice("found", 2, F.size("found")), lambda a, b: F.lit(1.0) / F.greatest(near(a["positions"], b["positions"]), F.lit(1)))
-        score = score + F.lit(closeness) * F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
-    hits = hits.join(n, "question_id").select("question_id", "chunk_id", F.round(score, 9).alias("score"))
+    asked = asked_terms(questions, english=True)
+    hits = scored.best(index, asked, "stem", ["positions", "length"], scored.by_places(place_weights(), normalise, closeness), limit)
     return _top(hits, [F.desc("score"), F.asc("chunk_id")], limit)
 
 
@@ -100,30 +90,54 @@ def ranked(index: DataFrame, questions: DataFrame, limit: int = CANDIDATES, norm
 SENT_TERMS = 20_000
 
 
-def postings(chunks: DataFrame, questions: DataFrame | None = None) -> DataFrame:
-    """term, chunk_id, tf: write it once, bucketed by term, and searches read only the terms they ask for. With ``questions``
+def counts(chunks: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """term, chunk_id, tf: how often each row of ``chunks`` has each word; rows of one chunk_id aren't added up. With ``questions``
     only their terms are counted: up to ``SENT_TERMS`` of them (a job that runs when this is called) pick the words of a text before
-    it is taken apart, more are joined, and the others go before anything is counted."""
+    it is taken apart, more are joined. A text is counted where it stands: no shuffle."""
     words = tokens(F.col("text"))
     asked = None if questions is None else asked_terms(questions).select("term").distinct()
     sent = [] if asked is None else [r.term for r in asked.limit(SENT_TERMS + 1).collect()]
     if asked is not None and len(sent) <= SENT_TERMS:
         words = F.filter(words, lambda w: w.isin(sent))
-    terms = chunks.select("chunk_id", F.explode(words).alias("term"))
-    if len(sent) > SENT_TERMS:
-        terms = terms.join(asked, "term", "left_semi")
-    return terms.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    fields = T.StructType([T.StructField("term", T.StringType()), chunks.schema["chunk_id"], T.StructField("tf", T.LongType())])
+
+    def count(batches):
+        for whole in batches:
+            for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+                lists = batch.column(1)
+                coded = lists.flatten().dictionary_encode()
+                if not len(coded):
+                    continue
+                n = len(coded.dictionary)
+                row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                key, tf = np.unique(row * n + coded.indices.to_numpy(), return_counts=True)
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(key % n)), batch.column(0).take(pa.array(key // n)), pa.array(tf.astype(np.int64))], names=["term", "chunk_id", "tf"])
+
+    found = chunks.select("chunk_id", words.alias("words")).mapInArrow(count, fields)
+    return found.join(asked, "term", "left_semi") if len(sent) > SENT_TERMS else found
+
+
+def postings(chunks: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """term, chunk_id, tf: write it once, bucketed by term, and searches read only the terms they ask for. ``questions``: as in
+    ``counts``."""
+    return counts(chunks, questions).groupBy("term", "chunk_id").agg(F.sum("tf").alias("tf"))
 
 
 def lexical(index: DataFrame, questions: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """question_id, chunk_id, score, rank: chunks with any of the question's terms, by the sum of saturating weights.
 
-    A question without terms has no hit. Ties go to the smaller chunk_id.
+    ``index``: ``postings`` or ``counts`` (several rows of a term and chunk add up). A question without terms has no hit. Ties go to
+    the smaller chunk_id. The questions are read when this is called.
     """
-    hits = index.join(asked_terms(questions), "term").groupBy("question_id", "chunk_id").agg(F.round(F.sum(lexical_score(F.col("tf"))), 6).alias("score"))
+    hits = scored.best(index, asked_terms(questions), "term", ["tf"], scored.by_counts, limit, scored.compact_counts)
     return _top(hits, [F.desc("score"), F.asc("chunk_id")], limit)
 
 
+def matched(index: DataFrame, questions: DataFrame) -> DataFrame:
+    """question_id, any_term, all_terms: how many chunks have any and how many all terms of each question that has a hit."""
+    return scored.matched(index, asked_terms(questions))
+
+
 def _unit(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By length: which of the vectors have it (those of length 0, with a null or a component that isn't finite don't count), as unit vectors."""
     by: dict[int, list] = {}

@@ -317,7 +317,7 @@ def _questions(spark, sf_dir) -> DataFrame:
 
 
 def _index(spark, sf_dir) -> DataFrame:
-    return search.postings(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), _questions(spark, sf_dir))
+    return search.counts(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), _questions(spark, sf_dir))
 
 
 _LEXICAL = """
@@ -336,10 +336,7 @@ def lexical_or_topk(spark, sf_dir):
 k AS (SELECT question_id, count(*) AS terms FROM q GROUP BY 1)
 SELECT question_id, count(*) AS any_term, count(*) FILTER (n = terms) AS all_terms FROM hits JOIN k USING (question_id) GROUP BY 1""")
 def lexical_or_canary(spark, sf_dir):
-    asked = _questions(spark, sf_dir).select("question_id", F.explode(F.array_distinct(F.transform(X.query_terms(F.col("question")), F.lower))).alias("term"))
-    n = asked.groupBy("question_id").agg(F.count("*").alias("terms"))
-    hits = _index(spark, sf_dir).join(asked, "term").groupBy("question_id", "chunk_id").agg(F.count("*").alias("n"))
-    return hits.join(n, "question_id").groupBy("question_id").agg(F.count("*").alias("any_term"), F.count_if(F.col("n") == F.col("terms")).alias("all_terms"))
+    return search.matched(_index(spark, sf_dir), _questions(spark, sf_dir))
 
 
 _WORDS = """
@@ -361,7 +358,7 @@ hits AS (SELECT question_id, chunk_id, sum(list_sum(list_transform(range(1, len(
 def lexical_english_topk(spark, sf_dir):
     chunks = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     q = _questions(spark, sf_dir)
-    return search.ranked(search.positions(chunks, q), q, 10).withColumn("score", F.round("score", 7))
+    return search.ranked(search.positions(chunks, q), q, 10).withColumn("score", F.floor(F.col("score") * 1e7 + 0.5) / 1e7)
 
 
 @query(f"""WITH {_WORDS[1:]},
@@ -372,7 +369,7 @@ SELECT question_id, chunk_id, round(score, 7) AS score, row_number() OVER (PARTI
 def lexical_closeness_topk(spark, sf_dir):
     chunks = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     q = _questions(spark, sf_dir)
-    return search.ranked(search.positions(chunks, q), q, 10, normalise="log", closeness=0.01).withColumn("score", F.round("score", 7))
+    return search.ranked(search.positions(chunks, q), q, 10, normalise="log", closeness=0.01).withColumn("score", F.floor(F.col("score") * 1e7 + 0.5) / 1e7)
 
 
 @query(f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
