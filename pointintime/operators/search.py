@@ -20,6 +20,8 @@ from .bitemporal import as_of as known_at
 
 #: Query vectors that are compared with the chunks in one pass.
 QUERY_BLOCK = 4_096
+#: Chunks and queries of one matrix product, and hits after which a task keeps the nearest only.
+ROWS, QUERIES, HELD = 1_024, 512, 1 << 18
 
 
 def validate(query: str | None = None, limit: int = TOP_K, candidates: int = CANDIDATES, mode: str = "hybrid") -> None:
@@ -153,11 +155,42 @@ def _unit(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+class _Nearest:
+    """The ``limit`` nearest chunks of each query so far, by rounded distance and chunk_id."""
+
+    def __init__(self, queries: int, limit: int):
+        self.limit, self.bound, self.held, self.size = limit, np.full(queries, np.inf), [], 0
+
+    def add(self, which: np.ndarray, likeness: np.ndarray, ids: pa.Array, rows: np.ndarray) -> None:
+        """``likeness``: cosines of the queries ``which`` and of the chunks ``rows`` of ``ids``."""
+        raw = 1 - likeness
+        bound = self.bound[which]
+        if np.isinf(bound).any() and raw.shape[1] > self.limit:
+            bound = np.minimum(bound, np.partition(raw, self.limit - 1, 1)[:, self.limit - 1])
+        row, col = np.nonzero(raw <= bound[:, None] + 2e-9)  # none that rounding could put first is left out
+        self.held.append((which[row].astype(np.int64), np.floor(raw[row, col] * 1e9 + 0.5) / 1e9, ids.take(pa.array(rows[col]))))
+        self.size += len(row)
+        if self.size > max(HELD, 4 * self.limit * len(self.bound)):
+            self.prune()
+
+    def prune(self) -> None:
+        query, distance = (np.concatenate([h[k] for h in self.held]) for k in range(2))
+        ids = pa.concat_arrays([h[2] for h in self.held])
+        order = np.lexsort((pc.rank(ids, tiebreaker="first").to_numpy(), distance, query))
+        by = query[order]
+        rank = np.arange(len(by)) - np.searchsorted(by, by)
+        last = order[rank == self.limit - 1]
+        self.bound[query[last]] = distance[last]
+        order = order[rank < self.limit]
+        self.held, self.size = [(query[order], distance[order], ids.take(pa.array(order)))], len(order)
+
+
 def dense(chunks: DataFrame, queries: DataFrame, limit: int = CANDIDATES, version: str | None = None) -> DataFrame:
     """question_id, chunk_id, distance, rank by exact cosine distance; ``queries``: question_id, vector.
 
     One pass over the chunks for each block of about ``QUERY_BLOCK`` queries, whose unit vectors travel to all tasks as one
-    array. A batch of chunks meets them in one matrix product and passes on the ``limit`` nearest of each query only.
+    array. Parts of ``ROWS`` chunks by ``QUERIES`` queries are one matrix product, and a task keeps the ``limit`` nearest of each query
+    over all of its chunks, so neither what it holds nor what it passes on grows with its chunks.
     """
     has = chunks.where(F.col("embedding").isNotNull())
     if version is not None:
@@ -170,22 +203,19 @@ def dense(chunks: DataFrame, queries: DataFrame, limit: int = CANDIDATES, versio
         block = queries.where(part == b).select("question_id", "vector").collect()
         sent = chunks.sparkSession.sparkContext.broadcast(_unit([r.vector for r in block]))
 
-        def nearest(batches, sent=sent):
-            for batch in batches:
-                order = pc.rank(batch.column(0), tiebreaker="first").to_numpy() if batch.num_rows else None
-                for n, (rows, v) in _unit(batch.column(1).to_pylist()).items():
-                    which, q = sent.value.get(n, (np.zeros(0, int), None))
-                    if not len(which) or not len(rows):
-                        continue
-                    distance = np.floor((1 - q @ v.T) * 1e9 + 0.5) / 1e9
-                    most = min(limit, len(rows))
-                    bound = np.partition(distance, most - 1, 1)[:, most - 1]
-                    row, col = np.nonzero(distance <= bound[:, None])
-                    sort = np.lexsort((order[rows[col]], distance[row, col], row))
-                    row, col = row[sort], col[sort]
-                    keep = np.arange(len(row)) - np.searchsorted(row, row) < limit
-                    row, col = row[keep], col[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(which[row].astype(np.int64)), batch.column(0).take(pa.array(rows[col])), pa.array(distance[row, col])], names=["query", "chunk_id", "distance"])
+        def nearest(batches, sent=sent, most=len(block)):
+            best = _Nearest(most, limit)
+            for whole in batches:
+                for batch in (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS)):
+                    for n, (rows, v) in _unit(batch.column(1).to_pylist()).items():
+                        which, q = sent.value.get(n, (np.zeros(0, int), None))
+                        if len(rows):
+                            for at in range(0, len(which), QUERIES):
+                                best.add(which[at : at + QUERIES], q[at : at + QUERIES] @ v.T, batch.column(0), rows)
+            if best.held:
+                best.prune()
+                query, distance, ids = best.held[0]
+                yield pa.RecordBatch.from_arrays([pa.array(query), ids, pa.array(distance)], names=["query", "chunk_id", "distance"])
 
         ids = chunks.sparkSession.createDataFrame([(k, r.question_id) for k, r in enumerate(block)], T.StructType([T.StructField("query", T.LongType()), queries.schema["question_id"]]))
         one = has.select("chunk_id", "embedding").mapInArrow(nearest, fields).join(F.broadcast(ids), "query").select("question_id", "chunk_id", "distance")

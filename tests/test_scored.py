@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pointintime.operators import scored, search
@@ -52,3 +53,21 @@ def test_a_task_passes_on_its_best_only(spark):
     assert "HashAggregate" not in search.counts(chunks, ask)._jdf.queryExecution().toString()
     got = search.lexical(search.counts(chunks, ask), ask, 5).where("question_id = 3").orderBy("rank").collect()
     assert [r.chunk_id for r in got] == [0, 1, 2, 3, 4]
+
+
+def test_nearest_holds_a_bounded_number(monkeypatch):
+    monkeypatch.setattr(search, "HELD", 100)
+    draw = np.random.default_rng(1)
+    likeness = np.round(draw.uniform(-1, 1, (3, 4_000)), 2)  # many ties
+    best = search._Nearest(3, 10)
+    ids = draw.permutation(4_000)
+    most = 0
+    for at in range(0, 4_000, 50):
+        best.add(np.arange(3), likeness[:, at : at + 50], pa.array(ids[at : at + 50]), np.arange(50))
+        most = max(most, best.size)
+    best.prune()
+    assert most <= 120 + 3 * 50
+    query, distance, got = best.held[0]
+    for q in range(3):
+        want = sorted(zip(np.floor((1 - likeness[q]) * 1e9 + 0.5) / 1e9, ids.tolist(), strict=True))[:10]
+        assert list(zip(distance[query == q].tolist(), got.to_numpy()[query == q].tolist(), strict=True)) == want
