@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,9 @@ from ..functions.text import looks_like_header, row_sentence, strip
 from ..sources.store import Store
 from ..vocabulary import CHUNK_DOCUMENTS_PER_RUN, OVERLAP_CHARS, TABULAR_KINDS, WINDOW_CHARS
 
+#: Bytes of texts that are cut at one time.
+PIECE_BYTES = 1 << 19
+
 
 def table_chunks(documents: DataFrame) -> DataFrame:
     """document_id, ordinal, text, section_path of each table row that isn't blank.
@@ -68,11 +74,26 @@ def window_spans(text: Column) -> Column:
 def prose_chunks(documents: DataFrame) -> DataFrame:
     """document_id, ordinal, text, section_path, span_start, span_end; ``documents``: document_id, doc_type, text.
 
-    A document is one row, so windows are numbered where they are made: no shuffle."""
-    spans = documents.select("document_id", "doc_type", windows(F.col("text")).alias("windows"))
-    cut = spans.select("document_id", "doc_type", F.posexplode(F.filter("windows", lambda w: w["chunk"] != "")).alias("ordinal", "w"))
-    path = F.concat(F.col("doc_type"), F.lit(" > text > chars "), F.col("w.s").cast("string"), F.lit("-"), F.col("w.e").cast("string"))
-    return cut.select("document_id", "ordinal", F.col("w.chunk").alias("text"), path.alias("section_path"), F.col("w.s").alias("span_start"), F.col("w.e").alias("span_end"))
+    A document is one row, so windows are numbered where they are made: no shuffle. A task holds the windows of a few texts at a time."""
+    kept = [documents.schema[c] for c in ("document_id", "doc_type")]
+    fields = T.StructType([*kept, T.StructField("ordinal", T.IntegerType()), T.StructField("text", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("span_start", "span_end"))])
+
+    def cut(batches):
+        for batch in batches:
+            texts, at = batch.column(2), 0
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            part = np.cumsum(sizes.astype(np.int64)) // PIECE_BYTES
+            for end in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]:
+                out = [(row, ordinal, *w) for row, text in enumerate(texts.slice(at, end - at).to_pylist(), at) for ordinal, w in enumerate(w for w in _windows(text) if w[2])]
+                if out:
+                    row, ordinal, start, stop, chunk = zip(*out, strict=True)
+                    row = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(ordinal, pa.int32()), pa.array(chunk, pa.string()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=fields.names)
+                at = end
+
+    made = documents.select("document_id", "doc_type", "text").mapInArrow(cut, fields)
+    path = F.concat(F.col("doc_type"), F.lit(" > text > chars "), F.col("span_start").cast("string"), F.lit("-"), F.col("span_end").cast("string"))
+    return made.select("document_id", "ordinal", "text", path.alias("section_path"), "span_start", "span_end")
 
 
 def chunk_documents(documents: DataFrame) -> DataFrame:

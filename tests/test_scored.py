@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pointintime.operators import chunks as C
 from pointintime.operators import scored, search
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
@@ -71,3 +72,13 @@ def test_nearest_holds_a_bounded_number(monkeypatch):
     for q in range(3):
         want = sorted(zip(np.floor((1 - likeness[q]) * 1e9 + 0.5) / 1e9, ids.tolist(), strict=True))[:10]
         assert list(zip(distance[query == q].tolist(), got.to_numpy()[query == q].tolist(), strict=True)) == want
+
+
+def test_prose_windows_a_few_texts_at_a_time(spark, monkeypatch):
+    """Windows leave the worker as rows, a few texts at a time, not as one array a text and one array of these a batch."""
+    monkeypatch.setattr(C, "PIECE_BYTES", 500)
+    texts = [(k, "article", t) for k, t in enumerate(["", None, "  \n", "word " * 900, "One. Two.\n\n" * 300, "x" * 5_000])]
+    made = C.prose_chunks(spark.createDataFrame(texts, "document_id long, doc_type string, text string").coalesce(1))
+    assert "ArrowEvalPython" not in made._jdf.queryExecution().toString()
+    got = sorted((r.document_id, r.ordinal, r.text, r.span_start, r.span_end) for r in made.collect())
+    assert got == [(k, i, c, s, e) for k, _, t in texts for i, (s, e, c) in enumerate(w for w in C._windows(t) if w[2])]
