@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.retrieval import found_by, place_weights, rrf
 from ..functions.stem import stemmed, stop_word
-from ..functions.text import query_terms, tokens
+from ..functions.text import query_terms
 from ..vocabulary import CANDIDATES, LAST_POSITION, RANK_POSITIONS, RRF_K, TOP_K
 from . import scored
 from .bitemporal import as_of as known_at
@@ -22,6 +22,9 @@ from .bitemporal import as_of as known_at
 QUERY_BLOCK = 4_096
 #: Chunks and queries of one matrix product, and hits after which a task keeps the nearest only.
 ROWS, QUERIES, HELD = 1_024, 512, 1 << 18
+#: Words that are sent to all tasks at most, and bytes of text that a task takes apart at a time.
+SENT_TERMS, PIECE_BYTES = 20_000, 1 << 20
+_IN_WORD = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
 
 
 def validate(query: str | None = None, limit: int = TOP_K, candidates: int = CANDIDATES, mode: str = "hybrid") -> None:
@@ -58,6 +61,47 @@ def _stems(words: DataFrame) -> DataFrame:
     return words.join(stemmed(words.select("term").distinct()), "term")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """chunk_id and text of the batches, about ``PIECE_BYTES`` of text at a time."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        edges = [0, *(np.flatnonzero(np.diff(size // PIECE_BYTES)) + 1).tolist(), batch.num_rows]
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            yield batch.column(0).slice(x, y - x), batch.column(1).slice(x, y - x)
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All runs of ASCII letters and digits of lower-cased texts in order, how long each is, and how many a text has (null: none)."""
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    text_end = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    if not len(text_end) or not text_end[-1]:
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    begin = int(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset])
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[begin : begin + int(text_end[-1])]
+    inside = _IN_WORD[data]
+    after = np.append(inside[:-1] & inside[1:], False)  # the next byte goes on with the word
+    after[text_end[text_end > 0] - 1] = False
+    ends = np.flatnonzero(inside & ~after)
+    inner = np.concatenate([[False], after[:-1]])
+    length = ends - np.flatnonzero(inside & ~inner) + 1
+    kept, offsets = data[inside], np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(length), pa.py_buffer(offsets), pa.py_buffer(kept))
+    return words, length, np.diff(np.searchsorted(ends, text_end), prepend=0)
+
+
+def _lists(row: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """For entries in ascending rows of ``n``: which rows have any, and where the list of each of these begins."""
+    size = np.bincount(row, minlength=n)
+    has = np.flatnonzero(size)
+    return pa.array(has), pa.array(np.concatenate([[0], np.cumsum(size[has])]).astype(np.int32))
+
+
+def _sent(rows: DataFrame) -> list | None:
+    """The rows, if there are ``SENT_TERMS`` at most (a job that runs when this is called)."""
+    few = rows.limit(SENT_TERMS + 1).repartition(1).collect()  # all parts at once, not one after the other
+    return few if len(few) <= SENT_TERMS else None
+
+
 def positions(chunks: DataFrame, questions: DataFrame | None = None) -> DataFrame:
     """stem, chunk_id, positions, length: English postings with the places of each stem in ascending order (from 1, stop words count
     as places and aren't kept), and how many words of the chunk are kept.
@@ -88,47 +132,47 @@ def ranked(index: DataFrame, questions: DataFrame, limit: int = CANDIDATES, norm
     return _top(hits, [F.desc("score"), F.asc("chunk_id")], limit)
 
 
-#: Asked terms that are sent to all tasks at most; more are joined by a shuffle.
-SENT_TERMS = 20_000
-
-
 def counts(chunks: DataFrame, questions: DataFrame | None = None) -> DataFrame:
-    """term, chunk_id, tf: how often each row of ``chunks`` has each word; rows of one chunk_id aren't added up. With ``questions``
-    only their terms are counted: up to ``SENT_TERMS`` of them (a job that runs when this is called) pick the words of a text before
-    it is taken apart, more are joined. A text is counted where it stands: no shuffle."""
-    words = tokens(F.col("text"))
-    asked = None if questions is None else asked_terms(questions).select("term").distinct()
-    sent = [] if asked is None else [r.term for r in asked.limit(SENT_TERMS + 1).collect()]
-    if asked is not None and len(sent) <= SENT_TERMS:
-        words = F.filter(words, lambda w: w.isin(sent))
-    fields = T.StructType([T.StructField("term", T.StringType()), chunks.schema["chunk_id"], T.StructField("tf", T.LongType())])
+    """term, chunk_id, tf: a row for each row of ``chunks`` that has words, with lists of its different words and of how often it has each;
+    rows of one chunk_id aren't added up. With ``questions``, up to ``SENT_TERMS`` of their terms (a job that runs when this is called)
+    are sent to all tasks and are the only words counted; if there are more, all words are. A text is counted where it stands: no shuffle."""
+    sent = None if questions is None else _sent(asked_terms(questions).select("term").distinct())
+    only = None if sent is None else pa.array([r.term for r in sent], pa.string())
+    fields = T.StructType([T.StructField("term", T.ArrayType(T.StringType())), chunks.schema["chunk_id"], T.StructField("tf", T.ArrayType(T.LongType()))])
 
     def count(batches):
-        for whole in batches:
-            for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
-                lists = batch.column(1)
-                coded = lists.flatten().dictionary_encode()
-                if not len(coded):
-                    continue
-                n = len(coded.dictionary)
-                row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-                key, tf = np.unique(row * n + coded.indices.to_numpy(), return_counts=True)
-                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(key % n)), batch.column(0).take(pa.array(key // n)), pa.array(tf.astype(np.int64))], names=["term", "chunk_id", "tf"])
-
-    found = chunks.select("chunk_id", words.alias("words")).mapInArrow(count, fields)
-    return found.join(asked, "term", "left_semi") if len(sent) > SENT_TERMS else found
+        for ids, piece in _pieces(batches):
+            words, length, n = _words(piece)
+            if only is None:
+                coded = words.dictionary_encode()
+                terms, code, use = coded.dictionary, coded.indices, length > 1
+            else:
+                terms, code = only, pc.index_in(words, value_set=only)
+                use = (length > 1) & code.is_valid().to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(use)
+            if len(at):
+                row = np.repeat(np.arange(len(n)), n)[at]
+                key, tf = np.unique(row * len(terms) + code.take(pa.array(at)).to_numpy(), return_counts=True)
+                has, offsets = _lists(key // len(terms), len(n))
+                lists = (pa.ListArray.from_arrays(offsets, v) for v in (terms.take(pa.array(key % len(terms))), pa.array(tf.astype(np.int64))))
+                yield pa.RecordBatch.from_arrays([next(lists), ids.take(has), next(lists)], names=fields.names)
+
+    return chunks.select("chunk_id", F.lower("text").alias("text")).mapInArrow(count, fields)
 
 
 def postings(chunks: DataFrame, questions: DataFrame | None = None) -> DataFrame:
-    """term, chunk_id, tf: write it once, bucketed by term, and searches read only the terms they ask for. ``questions``: as in
-    ``counts``."""
-    return counts(chunks, questions).groupBy("term", "chunk_id").agg(F.sum("tf").alias("tf"))
+    """term, chunk_id, tf: write it once, bucketed by term, and searches read only the terms they ask for. With ``questions`` only their
+    terms are counted."""
+    each = counts(chunks, questions).select(F.explode(F.arrays_zip("term", "tf")).alias("w"), "chunk_id").select("w.term", "chunk_id", "w.tf")
+    if questions is not None:
+        each = each.join(asked_terms(questions).select("term").distinct(), "term", "left_semi")
+    return each.groupBy("term", "chunk_id").agg(F.sum("tf").alias("tf"))
 
 
 def lexical(index: DataFrame, questions: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """question_id, chunk_id, score, rank: chunks with any of the question's terms, by the sum of saturating weights.
 
-    ``index``: ``postings`` or ``counts`` (several rows of a term and chunk add up). A question without terms has no hit. Ties go to
+    ``index``: ``postings`` or ``counts`` (several counts of a term and chunk add up). A question without terms has no hit. Ties go to
     the smaller chunk_id. The questions are read when this is called.
     """
     hits = scored.best(index, asked_terms(questions), "term", ["tf"], scored.by_counts, limit, scored.compact_counts)
