@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.retrieval import found_by, place_weights, rrf
 from ..functions.stem import stemmed, stop_word
 from ..functions.text import query_terms
-from ..vocabulary import CANDIDATES, LAST_POSITION, RANK_POSITIONS, RRF_K, TOP_K
+from ..vocabulary import CANDIDATES, LAST_POSITION, RRF_K, STOP_WORDS, TOP_K
 from . import scored
 from .bitemporal import as_of as known_at
 
@@ -103,32 +103,58 @@ def _sent(rows: DataFrame) -> list | None:
 
 
 def positions(chunks: DataFrame, questions: DataFrame | None = None) -> DataFrame:
-    """stem, chunk_id, positions, length: English postings with the places of each stem in ascending order (from 1, stop words count
-    as places and aren't kept), and how many words of the chunk are kept.
+    """stem, chunk_id, place, length: for each place of a word (from 1, stop words count as places and aren't kept) its stem, and how many
+    words of the chunk are kept. The last place that is told apart is ``LAST_POSITION``, as in the text search whose rank this serves.
 
-    The last place that is told apart is ``LAST_POSITION`` and a stem has ``RANK_POSITIONS`` places at most, as in the text search whose
-    rank this serves. With ``questions`` only the stems they ask for are kept; words that can't have one go before the shuffle.
+    With ``questions`` only the stems they ask for are kept. Up to ``SENT_TERMS`` words that have one are sent to all tasks, and a text
+    is taken apart where it stands, as one row whose stems and places are lists; more words are joined, as rows of one place each. The
+    different words of all chunks are read once for their stems, when this is called.
     """
-    words = F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w, k: F.struct(w.alias("term"), F.least(k + 1, F.lit(LAST_POSITION)).alias("place")))
-    kept = F.filter(words, lambda w: ~stop_word(w["term"]))
-    each = chunks.select("chunk_id", kept.alias("kept")).select("chunk_id", F.size("kept").alias("length"), F.explode("kept").alias("w")).select("chunk_id", "length", "w.term", "w.place")
-    vocabulary = stemmed(each.select("term").distinct())
+    texts = chunks.select("chunk_id", F.lower("text").alias("text"))
+
+    def different(batches):
+        for _, piece in _pieces(batches):
+            yield pa.RecordBatch.from_arrays([pc.unique(_words(piece)[0])], names=["term"])
+
+    vocabulary, sent = stemmed(texts.mapInArrow(different, "term string").distinct().where(~stop_word(F.col("term")))), None
     if questions is not None:
         vocabulary = vocabulary.join(asked_terms(questions, english=True).select(F.col("term").alias("stem")).distinct(), "stem", "left_semi")
-    places = F.slice(F.array_sort(F.collect_set("place")), 1, RANK_POSITIONS)
-    return each.join(vocabulary, "term").groupBy("stem", "chunk_id").agg(places.alias("positions"), F.first("length").alias("length"))
+        sent = _sent(vocabulary)
+    terms, stems = (None, None) if sent is None else (pa.array([r[c] for r in sent], pa.string()) for c in ("term", "stem"))
+    stop = pa.array(STOP_WORDS)
+    fields = T.StructType([T.StructField("stem", T.ArrayType(T.StringType())), chunks.schema["chunk_id"], T.StructField("place", T.ArrayType(T.IntegerType())), T.StructField("length", T.IntegerType())])
+
+    def places(batches):
+        for ids, piece in _pieces(batches):
+            words, _, n = _words(piece)
+            row = np.repeat(np.arange(len(n)), n)
+            place = np.minimum(np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + 1, LAST_POSITION).astype(np.int32)
+            kept = ~pc.is_in(words, value_set=stop).to_numpy(zero_copy_only=False)
+            length = np.bincount(row[kept], minlength=len(n)).astype(np.int32)
+            code = None if terms is None else pc.index_in(words, value_set=terms)
+            at = np.flatnonzero(kept if terms is None else code.is_valid().to_numpy(zero_copy_only=False))
+            has, offsets = _lists(row[at], len(n))
+            found = words.take(pa.array(at)) if terms is None else stems.take(code.take(pa.array(at)))
+            lists = (pa.ListArray.from_arrays(offsets, v) for v in (found, pa.array(place[at])))
+            yield pa.RecordBatch.from_arrays([next(lists), ids.take(has), next(lists), pa.array(length).take(has)], names=fields.names)
+
+    found = texts.mapInArrow(places, fields)
+    if sent is not None:
+        return found
+    each = found.select(F.explode(F.arrays_zip(F.col("stem").alias("term"), "place")).alias("w"), "chunk_id", "length")
+    return each.select("w.term", "chunk_id", "w.place", "length").join(vocabulary, "term").select("stem", "chunk_id", "place", "length")
 
 
 def ranked(index: DataFrame, questions: DataFrame, limit: int = CANDIDATES, normalise: str | None = None, closeness: float = 0.0) -> DataFrame:
     """question_id, chunk_id, score, rank: chunks with any stem of the question by the text search rank over ``positions``.
 
-    A stem of n places gives the sum of 1/k**2 for k up to n, the sum over the question's stems is divided by their number, so that
+    A stem of n places, of which the first ``RANK_POSITIONS`` count, gives the sum of 1/k**2 for k up to n, the sum over the question's stems is divided by their number, so that
     more matched stems weigh more than repeats. ``normalise``: "log" divides by 1 + ln(length), "length" by the length. ``closeness``
     adds, times this factor, 1/distance of the nearest places of each two stems that follow one another in the alphabet. Questions whose
     words are all stop words have no hit; ties go to the smaller chunk_id.
     """
     asked = asked_terms(questions, english=True)
-    hits = scored.best(index, asked, "stem", ["positions", "length"], scored.by_places(place_weights(), normalise, closeness), limit)
+    hits = scored.best(index, asked, "stem", ["place", "length"], scored.by_places(place_weights(), normalise, closeness), limit)
     return _top(hits, [F.desc("score"), F.asc("chunk_id")], limit)
 
 

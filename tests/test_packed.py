@@ -24,6 +24,8 @@ def test_a_text_is_a_row_until_it_is_scored(spark):
     sent = spark.sparkContext.broadcast(scored.Questions(ask.selectExpr("question_id", "split(question, ' ') AS terms").collect()))
     for index in (search.counts(chunks, ask), search.counts(chunks), search.postings(chunks, ask).coalesce(1).sortWithinPartitions("chunk_id")):
         assert scored._packed(index, sent, "term", ["tf"]).count() == 500
+    assert search.positions(chunks, ask).count() == 500
+    assert "Exchange" not in search.positions(chunks, ask)._jdf.queryExecution().toString()
 
 
 @pytest.mark.parametrize("piece", [1 << 20, 20])
@@ -56,7 +58,18 @@ def test_more_words_than_are_sent(spark, sent, monkeypatch):
     """Sent or joined, lists or rows of one posting: the same hits."""
     chunks, ask = _frames(spark)
     hits = lambda found: sorted(map(repr, found.collect()))
-    plain = hits(search.lexical(search.postings(chunks), ask, 9))
+    plain, english = hits(search.lexical(search.postings(chunks), ask, 9)), [hits(search.ranked(search.positions(chunks), ask, 9, n, c)) for n, c in ((None, 0.0), ("log", 0.5))]
     monkeypatch.setattr(search, "SENT_TERMS", sent)
-    assert plain
+    assert plain and all(english)
     assert hits(search.lexical(search.counts(chunks, ask), ask, 9)) == hits(search.lexical(search.postings(chunks, ask), ask, 9)) == plain
+    assert [hits(search.ranked(search.positions(chunks, ask), ask, 9, n, c)) for n, c in ((None, 0.0), ("log", 0.5))] == english
+
+
+def test_places_count_up_to_the_last(spark):
+    """255 places of a stem count, those beyond the last place that is told apart are one."""
+    chunks, ask = _frames(spark)
+    got = {r.chunk_id: r.score for r in search.ranked(search.positions(chunks, ask), ask.where("question_id = 1"), 20).collect()}
+    weigh = lambda n: sum(1 / k**2 for k in range(1, n + 1)) * 0.1 / 1.64493406685 / 2
+    assert got[8] == pytest.approx(weigh(255), abs=1e-9) and got[9] == pytest.approx(2 * weigh(1), abs=1e-9)
+    assert got[3] == pytest.approx(2 * weigh(1), abs=1e-9)  # two rows of one chunk
+    assert got[4] == pytest.approx(weigh(2), abs=1e-9) and got[None] == pytest.approx(2 * weigh(1), abs=1e-9)
