@@ -201,7 +201,7 @@ def lexical(index: DataFrame, questions: DataFrame, limit: int = CANDIDATES) ->
     ``index``: ``postings`` or ``counts`` (several counts of a term and chunk add up). A question without terms has no hit. Ties go to
     the smaller chunk_id. The questions are read when this is called.
     """
-    hits = scored.best(index, asked_terms(questions), "term", ["tf"], scored.by_counts, limit, scored.compact_counts)
+    hits = scored.best(index, asked_terms(questions), "term", ["tf"], scored.by_counts, limit, scored.compact_counts, counted=True)
     return _top(hits, [F.desc("score"), F.asc("chunk_id")], limit)
 
 

@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -73,3 +74,36 @@ def test_places_count_up_to_the_last(spark):
     assert got[8] == pytest.approx(weigh(255), abs=1e-9) and got[9] == pytest.approx(2 * weigh(1), abs=1e-9)
     assert got[3] == pytest.approx(2 * weigh(1), abs=1e-9)  # two rows of one chunk
     assert got[4] == pytest.approx(weigh(2), abs=1e-9) and got[None] == pytest.approx(2 * weigh(1), abs=1e-9)
+
+
+@pytest.mark.parametrize("base", [256, 2])
+def test_a_count_is_sorted_with_its_number(spark, base, monkeypatch):
+    """What is sorted by chunk is one integer a posting: before, a number and a count of eight bytes. Large counts are several integers, which add up."""
+    monkeypatch.setattr(scored, "ONE_COUNT", base)
+    chunks = spark.createDataFrame([(1, "alpha " * 700 + "beta"), (2, "beta " * 512), (None, "alpha"), (1, "alpha gamma"), (3, "delta")], "chunk_id long, text string").coalesce(1)
+    ask = spark.createDataFrame([(1, "alpha beta gamma"), (2, "gamma")], "question_id int, question string")
+    sent = spark.sparkContext.broadcast(scored.Questions(ask.selectExpr("question_id", "split(question, ' ') AS terms").collect()))
+    want = Counter({(1, "alpha"): 701, (1, "beta"): 1, (2, "beta"): 512, (None, "alpha"): 1, (1, "gamma"): 1})
+    for index in (search.counts(chunks, ask), search.counts(chunks), search.postings(chunks, ask)):
+        packed = scored._packed(index, sent, "term", ["tf"], True)
+        assert packed.dtypes == [("number", "array<int>"), ("chunk_id", "bigint")]
+        rows = packed.collect()
+        batch = pa.RecordBatch.from_arrays([pa.array([r.number for r in rows], pa.list_(pa.int32())), pa.array([r.chunk_id for r in rows])], names=["number", "chunk_id"])
+        got = Counter()
+        for b in scored._counted(scored._postings([batch]), sent.value.base):
+            for number, chunk, count in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                assert 1 <= count <= base
+                got[chunk, sent.value.terms[number]] += count
+        assert got == want
+        hits = {(r.question_id, r.chunk_id): r.score for r in search.lexical(index, ask, 9).collect()}
+        assert hits == pytest.approx({(1, 1): 701 / 702 + 1, (1, 2): 512 / 513, (1, None): 0.5, (2, 1): 0.5}, abs=1e-6)
+        assert {r.question_id: (r.any_term, r.all_terms) for r in search.matched(index, ask).collect()} == {1: (3, 1), 2: (1, 1)}
+
+
+def test_a_number_and_a_count_stay_below_the_largest_integer():
+    """Few terms or many: the largest code of the last term is still an int."""
+    for terms in (1, 1 << 23, 1 << 27, (1 << 31) - 1):
+        base = min(scored.ONE_COUNT, (2**31 - 1) // terms)
+        code, times = scored._coded(np.array([terms - 1], np.int32), np.array([base + 1]), base)
+        assert code.dtype == np.int32 and (code >= 0).all() and times.tolist() == [2]
+        assert (code // base).tolist() == [terms - 1] * 2 and (code % base + 1).sum() == base + 1
