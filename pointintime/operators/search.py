@@ -24,6 +24,8 @@ QUERY_BLOCK = 4_096
 ROWS, QUERIES, HELD = 1_024, 512, 1 << 18
 #: Words that are sent to all tasks at most, and bytes of text that a task takes apart at a time.
 SENT_TERMS, PIECE_BYTES = 20_000, 1 << 20
+#: Hits that are sent to all texts at most.
+SENT_HITS = 100_000
 _IN_WORD = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
 
 
@@ -317,6 +319,13 @@ def hybrid(chunks: DataFrame, index: DataFrame, questions: DataFrame, embed_quer
     return fuse(lists, limit=limit).withColumn("mode_used", F.lit(used))
 
 
+def with_text(hits: DataFrame, chunks: DataFrame, questions: DataFrame, limit: int) -> DataFrame:
+    """``hits``, at most ``limit`` of each question, with the texts of their chunks (chunk_id, text). Up to ``SENT_HITS`` hits are sent to the
+    texts, which stay where they are; of more, Spark chooses the join. The questions are counted when this is called."""
+    few = questions.count() * limit <= SENT_HITS
+    return (F.broadcast(hits) if few else hits).join(chunks.select("chunk_id", "text"), "chunk_id")
+
+
 def serialised(hits: DataFrame) -> DataFrame:
     """What a caller gets: times as ISO text, the score rounded to six digits."""
     times = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX").alias(c) for c in ("knowledge_time", "published_time") if c in hits.columns]

@@ -444,9 +444,9 @@ p AS (SELECT b.item_id AS question_id, count(hit) AS n_relevant, count(rank) AS
 
 
 def _found(spark, sf_dir) -> DataFrame:
-    hits = search.lexical(_index(spark, sf_dir), _questions(spark, sf_dir), 10)
-    hits = hits.join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
-    return evaluate.positions(hits, _questions(spark, sf_dir).select("question_id", F.array("question").alias("must_contain")))
+    q, texts = _questions(spark, sf_dir), read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    hits = search.with_text(search.lexical(_index(spark, sf_dir), q, 10), texts, q, 10)
+    return evaluate.positions(hits, q.select("question_id", F.array("question").alias("must_contain")))
 
 
 @query(_GOLD + " SELECT question_id, n_relevant, n_returned, coalesce(first_position, 0) AS first_position, reciprocal_rank FROM p")
@@ -759,7 +759,7 @@ def mode_comparison(spark, sf_dir):
     q, texts = _questions(spark, sf_dir), read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     lists = {"lexical": search.lexical(_index(spark, sf_dir), q), "dense": search.dense(e, embed(q))}
     ranked = {mode: found.where("rank <= 10") for mode, found in lists.items()} | {"hybrid": search.fuse(lists)}
-    metrics, _ = evaluate.by_mode({m: r.join(texts, "chunk_id") for m, r in ranked.items()}, q.select("question_id", F.array("question").alias("must_contain")))
+    metrics, _ = evaluate.by_mode({m: search.with_text(r, texts, q, 10) for m, r in ranked.items()}, q.select("question_id", F.array("question").alias("must_contain")))
     return metrics.withColumn("mrr", F.round("mrr", 9))
 
 

@@ -107,3 +107,18 @@ def test_a_number_and_a_count_stay_below_the_largest_integer():
         code, times = scored._coded(np.array([terms - 1], np.int32), np.array([base + 1]), base)
         assert code.dtype == np.int32 and (code >= 0).all() and times.tolist() == [2]
         assert (code // base).tolist() == [terms - 1] * 2 and (code % base + 1).sum() == base + 1
+
+
+@pytest.mark.parametrize("most", [100_000, 10])
+def test_texts_stay_where_they_are(spark, most, monkeypatch, tmp_path):
+    """Hits are sent to the texts up to a number: before, all texts were dealt and sorted to meet a few hits. The rows are the same."""
+    monkeypatch.setattr(search, "SENT_HITS", most)
+    chunks, ask = _frames(spark)
+    chunks.write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    hits = search.lexical(search.counts(chunks, ask), ask, 5)
+    got = search.with_text(hits, chunks, ask, 5)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == (most > 20)
+    want = sorted(repr((r.question_id, r.chunk_id, r["rank"], c.text)) for r in hits.collect() for c in chunks.collect() if c.chunk_id == r.chunk_id and c.chunk_id is not None)
+    assert want and sorted(repr((r.question_id, r.chunk_id, r["rank"], r.text)) for r in got.collect()) == want
