@@ -46,9 +46,9 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/tables", {}
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, **options: int) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path, out
         return out

@@ -73,11 +73,12 @@ class _Shard:
         starts = np.concatenate([[0], np.cumsum(df)])
         spread = np.arange(len(key)) + np.repeat(starts[order] - np.concatenate([[0], np.cumsum(df[order])])[:-1], df[order]) if len(key) else key
         names = list(self.words)
-        return {"ids": self.ids, "terms": [names[k].decode() for k in order], "df": df[order].astype(np.int32), "docs": doc[spread].astype(np.int32), "impacts": impact[spread].astype(np.int32), "documents": documents}
+        return {"ids": self.ids, "terms": [names[k].decode() for k in order], "df": df[order].astype(np.int32), "docs": doc[spread].astype("<i4").tobytes(), "impacts": impact[spread].astype("<i4").tobytes(), "documents": documents}
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """Shards of all documents: ids, terms, df, docs, impacts, documents (how many of the collection have a word).
+    """Shards of all documents: ids, terms, df, docs, impacts, documents (how many of the collection have a word). ``docs`` and
+    ``impacts`` are 32-bit integers as bytes, little end first, which no reader takes apart number by number.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. A null or empty text has no words and is found
     by nothing; repeated rows and ids are documents each; a null id stays null. A long text is counted in stretches and can be a shard
@@ -107,13 +108,18 @@ def build_index(docs: DataFrame, key: str = "doc_id", column: str = "text") -> D
     return docs.mapInArrow(shards, _SHARD)
 
 
-_SHARD = "ids array<long>, terms array<string>, df array<int>, docs array<int>, impacts array<int>, documents long"
+_SHARD = "ids array<long>, terms array<string>, df array<int>, docs binary, impacts binary, documents long"
 
 
 def _packed(row: dict) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-    arrays = [pa.array([v], pa.list_(kind)) for v, kind in zip(list(row.values())[:5], kinds, strict=True)]
-    return pa.RecordBatch.from_arrays([*arrays, pa.array([row["documents"]], pa.int64())], names=list(row))
+    kinds = (pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row.values(), kinds, strict=True)], names=list(row))
+
+
+def written_index(index: DataFrame) -> DataFrame:
+    """The shards as a table in the shared folder. Each is a row group: a reader holds all rows of a group at one time, up to some
+    thousands, and a writer would gather a hundred before it first looks at their bytes."""
+    return Tables(index.sparkSession).write(index, **{"parquet.block.row.count.limit": 1})
 
 
 def question_terms(questions: DataFrame, key: str = "item_id", column: str = "text") -> DataFrame:
@@ -181,9 +187,10 @@ def _scorer(sent, limit: int, kind: pa.DataType):
         kept: list = [None] * len(items)
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, terms, df, docs, impacts = (batch.column(c).slice(k, 1).flatten() for c in range(5))
+                ids, terms, df = (batch.column(c).slice(k, 1).flatten() for c in range(3))
+                docs, impacts = (np.frombuffer(batch.column(c)[k].as_buffer(), "<i4") for c in (3, 4))
                 absent = ids.is_null().to_numpy(zero_copy_only=False)
-                ids, df, docs, impacts = ids.fill_null(0).to_numpy(), df.to_numpy(), docs.to_numpy(), impacts.to_numpy()
+                ids, df = ids.fill_null(0).to_numpy(), df.to_numpy()
                 place = pc.index_in(words, terms).fill_null(-1).to_numpy()
                 starts = np.concatenate([[0], np.cumsum(df, dtype=np.int64)])
                 score = np.zeros(len(ids), np.int64)
@@ -213,7 +220,7 @@ def _scorer(sent, limit: int, kind: pa.DataType):
 
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 50 of all ``documents`` for each item of ``benchmark``."""
-    index = Tables(spark).write(build_index(table(spark, sf_dir, "documents")))
+    index = written_index(build_index(table(spark, sf_dir, "documents")))
     return search(index, table(spark, sf_dir, "benchmark")).withColumnRenamed("item", "item_id")
 
 

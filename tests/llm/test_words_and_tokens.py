@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -111,6 +112,22 @@ def test_lexical_search(spark, shard, block, monkeypatch):
     assert lexical.search(index, asked.where("false")).count() == 0
 
 
+def test_lexical_shards_are_row_groups(spark, tmp_path, monkeypatch):
+    """A reader holds a row group at one time, so a task's memory doesn't grow with the shards of a file."""
+    monkeypatch.setattr(lexical, "SHARD_BYTES", 600)
+    rng, kept, search = random.Random(4), [], lexical.search
+    monkeypatch.setattr(lexical, "search", lambda index, *more: kept.append(index) or search(index, *more))
+    docs = [(k, " ".join(f"w{rng.randrange(90)}" for _ in range(8))) for k in range(3000)] + [(3000, "w1 w2 " * 50_000)]
+    items = [(k, f"w{k} w{k + 1} w{k + 50}") for k in range(9)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [tuple(r) for r in lexical.op13_lexical_search(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=lambda r: r[:2]) == rank_all(docs, items, 50)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in kept[0].inputFiles()]
+    groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert len(groups) > 5 and max(groups) == 1
+
+
 def encoded(table, texts):
     out = [[] for _ in texts]
     for first, last, ids, starts in bpe.encode_texts(table, pa.array(texts, pa.string())):
